@@ -44,11 +44,12 @@ def near_duplicates(
 
     Method: each set becomes 288 minima.  48 bands of 6 give candidate buckets; of each
     minimum two low bits stay, packed into nine longs.  Equal sets collapse to their
-    smallest id first.  In every bucket each document is compared with the bucket's
-    smallest id only, by the collision-corrected estimate from bit counts; its best partner
-    is confirmed on full shingle sets.  After components of these links, buckets that still
-    hold several components have every pair across components checked in the same way, so
-    no link that shares a bucket is lost and no group emits all its pairs.  A confirmed link
+    smallest id first.  Each bucket has a centre, the member that meets the most others;
+    each document is compared with the centre that it meets most often, by the
+    collision-corrected estimate from bit counts and then on full shingle sets.  After
+    components of these links, buckets that still hold several components have every pair
+    across components checked in the same way, so no link that shares a bucket is lost, and
+    what is already linked emits no more pairs.  A confirmed link
     that shares no bucket is missed with a chance below 1e-6.
 
     Null, empty and blank texts have an empty set and link with nothing.  Ids are taken as
@@ -66,24 +67,31 @@ def near_duplicates(
     sketches = reps.drop("bands")
 
     bands = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = saved(bands.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"))
+    shared = saved(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     buckets = saved(bands.join(shared, "key"))
-
-    stars = buckets.filter("first < doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    scored = _sketched(stars, sketches, percent).filter(F.col("similarity") >= _least(percent))
-    best = scored.groupBy("a").agg(F.max(F.struct("similarity", (-F.col("b")).alias("minus_b"))).alias("best"))
-    links = saved(_confirmed(best.select("a", (-F.col("best.minus_b")).alias("b")), texts, words, percent))
+    # The member that meets the most others in all its buckets is likely to be what the rest are copies of.
+    crowd = buckets.groupBy("doc_id").agg(F.sum("n").alias("crowd"))
+    ranked = saved(buckets.join(saved(crowd), "doc_id").select("key", "doc_id", F.struct("crowd", (-F.col("doc_id")).alias("minus_id")).alias("place")))
+    centres = saved(ranked.groupBy("key").agg(F.max("place").alias("centre")))
+    stars = ranked.join(centres, "key").filter("place < centre").select(F.col("doc_id").alias("a"), (-F.col("centre.minus_id")).alias("b"))
+    met = stars.groupBy("a", "b").agg(F.count("*").alias("times"))
+    best = met.groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("minus_b"))).alias("best")).select("a", (-F.col("best.minus_b")).alias("b"))
+    likely = _sketched(best, sketches).filter(F.col("similarity") >= _least(percent)).select("a", "b")
+    links = saved(_confirmed(likely, texts, words, percent))
     component = connected_components(links)
 
     labelled = saved(
         buckets.select("key", "doc_id").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     )
     mixed = saved(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"))
-    rest = saved(labelled.join(mixed, "key").join(sketches.drop("n_shingles"), "doc_id"))
+    rest = saved(labelled.join(mixed, "key").join(reps.drop("n_shingles"), "doc_id"))
     x, y = rest.alias("x"), rest.alias("y")
     across = x.join(
         y,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & (_estimate("x.", "y.") >= F.lit(_least(percent))),
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.component") < F.col("y.component"))
+        & (_estimate("x.", "y.") >= F.lit(_least(percent)))
+        & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")),  # a pair counts in one bucket only
     ).select(F.least("x.doc_id", "y.doc_id").alias("b"), F.greatest("x.doc_id", "y.doc_id").alias("a"))
     more = _confirmed(across.distinct().select("a", "b"), texts, words, percent)
     all_links = saved(links.unionByName(more))
@@ -115,7 +123,7 @@ def _estimate(left: str, right: str) -> Column:
     return ((1 - differing / F.lit(MINIMA)) - by_chance) / (1 - by_chance)
 
 
-def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     left = sketches.select(F.col("doc_id").alias("a"), *(F.col(f"s{i}").alias(f"l_s{i}") for i in range(SIGNATURE_LONGS)))
     right = sketches.select(F.col("doc_id").alias("b"), *(F.col(f"s{i}").alias(f"r_s{i}") for i in range(SIGNATURE_LONGS)))
     return pairs.join(left, "a").join(right, "b").select("a", "b", _estimate("l_", "r_").alias("similarity"))

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.bpe import encode_documents
+from tessera.llm.line_dedup import remove_boilerplate
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack_documents
+from tessera.llm.quality import quality
 from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.vocabularies import vocabulary
 
@@ -16,22 +19,53 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_boilerplate(_read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), with_text=False)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_read(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=2)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_bpe": op9_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS i
+            FROM documents WHERE text IS NOT NULL
+        ), b AS (
+            SELECT trim(line) AS bare, min(doc_id) AS first FROM l WHERE trim(line) <> ''
+            GROUP BY 1 HAVING count(DISTINCT source) >= 10
+        ), k AS (
+            SELECT doc_id, i, line, bare IS NOT NULL AND doc_id > first AS gone FROM l LEFT JOIN b ON trim(line) = bare
+        )
+        SELECT d.doc_id, count(k.i) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id
+    """,
+}
