@@ -23,7 +23,11 @@ SIGNATURE_LONGS = MINIMA * BITS // 64
 _random = np.random.default_rng(11)
 _A = (_random.integers(0, 1 << 32, (MINIMA, 1), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _random.integers(0, 1 << 32, (MINIMA, 1), dtype=np.uint64).astype(np.uint32)
+#: Minima of the wide signature that documents in mixed buckets get.
+WIDE = 2048
 _BAND = _random.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+_WIDE_A = (_random.integers(0, 1 << 32, (WIDE, 1), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_WIDE_B = _random.integers(0, 1 << 32, (WIDE, 1), dtype=np.uint64).astype(np.uint32)
 _SALT = np.uint64(0xA24BAED4963EE407)
 #: Shingles that are hashed at a time: the block stays in a core's cache.
 _BLOCK = 512
@@ -47,9 +51,10 @@ def near_duplicates(
     smallest id first.  Each bucket has a centre, the member that meets the most others;
     each document is compared with the centre that it meets most often, by the
     collision-corrected estimate from bit counts and then on full shingle sets.  After
-    components of these links, buckets that still hold several components have every pair
-    across components checked in the same way, so no link that shares a bucket is lost, and
-    what is already linked emits no more pairs.  A confirmed link
+    components of these links, documents in buckets that still hold several components get
+    2048 minima, and every pair across components whose wider estimate is within five
+    standard errors of the threshold is confirmed too.  What is already linked emits no more
+    pairs.  A confirmed link
     that shares no bucket is missed with a chance below 1e-6.
 
     Null, empty and blank texts have an empty set and link with nothing.  Ids are taken as
@@ -84,14 +89,16 @@ def near_duplicates(
         buckets.select("key", "doc_id").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     )
     mixed = saved(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"))
-    rest = saved(labelled.join(mixed, "key").join(reps.drop("n_shingles"), "doc_id"))
+    rest = saved(labelled.join(mixed, "key"))
+    wide = texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(lambda batches: _sign_wide(batches, words), "doc_id long, wide array<long>")
+    rest = saved(rest.join(saved(wide), "doc_id").join(reps.select("doc_id", "bands"), "doc_id"))
     x, y = rest.alias("x"), rest.alias("y")
     across = x.join(
         y,
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.component") < F.col("y.component"))
-        & (_estimate("x.", "y.") >= F.lit(_least(percent)))
-        & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")),  # a pair counts in one bucket only
+        & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key"))  # a pair counts in one bucket only
+        & (_similarity(F.aggregate(F.zip_with("x.wide", "y.wide", _differing), F.lit(0), lambda n, d: n + d), WIDE) >= F.lit(_least(percent, WIDE, 5))),
     ).select(F.least("x.doc_id", "y.doc_id").alias("b"), F.greatest("x.doc_id", "y.doc_id").alias("a"))
     more = _confirmed(across.distinct().select("a", "b"), texts, words, percent)
     all_links = saved(links.unionByName(more))
@@ -105,28 +112,30 @@ def near_duplicates(
     )
 
 
-def _least(percent: int) -> float:
-    """Estimates below this rule a pair out: six standard errors under the threshold."""
+def _least(percent: int, minima: int = MINIMA, errors: int = 6) -> float:
+    """Estimates below this rule a pair out: so many standard errors under the threshold."""
     s, by_chance = percent / 100, 0.5**BITS
     match = s + (1 - s) * by_chance
-    return s - 6 * math.sqrt(match * (1 - match) / MINIMA) / (1 - by_chance)
+    return s - errors * math.sqrt(match * (1 - match) / minima) / (1 - by_chance)
 
 
-def _estimate(left: str, right: str) -> Column:
-    """The similarity from two packed signatures, corrected for low bits that agree by chance."""
-    low_bits = int.from_bytes(bytes([0x55] * 8), "big")
-    differing = F.lit(0)
-    for i in range(SIGNATURE_LONGS):
-        either = F.col(f"{left}s{i}").bitwiseXOR(F.col(f"{right}s{i}"))
-        differing = differing + F.bit_count(either.bitwiseOR(F.shiftrightunsigned(either, 1)).bitwiseAND(F.lit(low_bits)))
+def _differing(left: Column, right: Column) -> Column:
+    """How many of the two-bit fields of two longs differ."""
+    either = left.bitwiseXOR(right)
+    return F.bit_count(either.bitwiseOR(F.shiftrightunsigned(either, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
+def _similarity(differing: Column, minima: int) -> Column:
+    """The estimate from the number of differing fields, corrected for low bits that agree by chance."""
     by_chance = 0.5**BITS
-    return ((1 - differing / F.lit(MINIMA)) - by_chance) / (1 - by_chance)
+    return ((1 - differing / F.lit(minima)) - by_chance) / (1 - by_chance)
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     left = sketches.select(F.col("doc_id").alias("a"), *(F.col(f"s{i}").alias(f"l_s{i}") for i in range(SIGNATURE_LONGS)))
     right = sketches.select(F.col("doc_id").alias("b"), *(F.col(f"s{i}").alias(f"r_s{i}") for i in range(SIGNATURE_LONGS)))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", _estimate("l_", "r_").alias("similarity"))
+    differing = sum((_differing(F.col(f"l_s{i}"), F.col(f"r_s{i}")) for i in range(SIGNATURE_LONGS)), F.lit(0))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", _similarity(differing, MINIMA).alias("similarity"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -151,18 +160,32 @@ def _sets(found: W.Words, size: int) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
-def _minima(shingles: np.ndarray) -> np.ndarray:
+def _minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, block: int) -> np.ndarray:
     x = (shingles >> np.uint64(32)).astype(np.uint32)[None, :]
-    found = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
-    for at in range(0, x.shape[1], _BLOCK):
-        block = _A * x[:, at : at + _BLOCK]
-        block += _B
-        np.minimum(found, block.min(axis=1), out=found)
-    return found
+    found = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for at in range(0, x.shape[1], block):
+        some = a * x[:, at : at + block]
+        some += b
+        np.minimum(found, some.min(axis=1), out=found)
+    return found.astype(np.uint64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _packed(minima: np.ndarray) -> np.ndarray:
+    """The low bits of the minima, packed into longs."""
     shifts = np.arange(0, 64, BITS, dtype=np.uint64)
+    bits = W.mix(minima) & np.uint64((1 << BITS) - 1)
+    return (bits.reshape(-1, 64 // BITS) << shifts).sum(axis=1, dtype=np.uint64)
+
+
+def _sign_wide(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in W.slices(batch):
+            wide = [_packed(_minima(s, _WIDE_A, _WIDE_B, _BLOCK // 8)) if len(s) else np.zeros(WIDE * BITS // 64, np.uint64) for s in _sets(W.batch_words(part), words)]
+            first = np.arange(len(wide) + 1) * (WIDE * BITS // 64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), W.lists(first, pa.array(np.concatenate(wide).view(np.int64)))], names=["doc_id", "wide"])
+
+
+def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in W.slices(batch):
             n, bands, packed, sums = [], [], [], []
@@ -173,11 +196,10 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
                     packed.append(np.zeros(SIGNATURE_LONGS, np.uint64))
                     sums.append((0, 0))
                     continue
-                low = _minima(shingles).astype(np.uint64)
+                low = _minima(shingles, _A, _B, _BLOCK)
                 keys = W.mix((low.reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
                 bands.append(keys.view(np.int64))
-                bits = W.mix(low) & np.uint64((1 << BITS) - 1)
-                packed.append((bits.reshape(SIGNATURE_LONGS, -1) << shifts).sum(axis=1, dtype=np.uint64))
+                packed.append(_packed(low))
                 sums.append((W.mix(shingles).sum(dtype=np.uint64), W.mix(shingles ^ _SALT).sum(dtype=np.uint64)))
             first = np.r_[0, np.cumsum([len(b) for b in bands])]
             sums = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
