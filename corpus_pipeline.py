@@ -8,6 +8,8 @@ from tessera.llm import stages
 from tessera.plans.tables import saved
 
 STAGES = [
+    ("quality_rules", stages.quality_rules),
+    ("line_dedup", stages.line_dedup),
     ("near_dedup", stages.near_dedup),
     ("substring_dedup", stages.substring_dedup),
     ("packing", stages.packing),

@@ -47,7 +47,7 @@ def remove_boilerplate(
         lines.select("doc_id", "a", "b").distinct().join(boilerplate, ["a", "b"])
         .filter("doc_id is null or doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("lost"))
     )
-    lost = saved(lost.withColumnRenamed("doc_id", "lost_id"))
+    lost = saved(lost.withColumnRenamed("doc_id", "lost_id")).hint("merge")  # it grows with the documents
     split = F.split("text", "\n", -1)
     kept = F.filter(split, lambda line: ~F.array_contains(F.col("lost"), _hashes(line)) | _hashes(line)["a"].isNull())
     joined = texts.select("doc_id", "text").join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left")

@@ -90,7 +90,7 @@ def near_duplicates(
     )
     mixed = saved(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"))
     rest = saved(labelled.join(mixed, "key"))
-    wide = texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(lambda batches: _sign_wide(batches, words), "doc_id long, wide array<long>")
+    wide = texts.join(rest.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(lambda batches: _sign_wide(batches, words), "doc_id long, wide array<long>")
     rest = saved(rest.join(saved(wide), "doc_id").join(reps.select("doc_id", "bands"), "doc_id"))
     x, y = rest.alias("x"), rest.alias("y")
     across = x.join(
@@ -142,7 +142,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     """The pairs whose full shingle sets are similar enough."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = saved(pairs).join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    # Pairs grow with the documents, so neither side is ever broadcast.
+    both = saved(pairs).hint("merge").join(left, "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(lambda batches: _compare(batches, words, percent), "a long, b long")
 
 

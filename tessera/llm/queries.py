@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_documents
+from tessera.llm.language_id import identify
 from tessera.llm.line_dedup import remove_boilerplate
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import quality
 from tessera.llm.substring_dedup import remove_repeats
+from tessera.llm.token_counts import section_tokens
+from tessera.llm.top_k import scaled_vectors, top_k
 from tessera.llm.vocabularies import vocabulary
+from tessera.llm.warc import page_captures, resolve_revisits
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,10 +28,45 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_boilerplate(_read(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages (text, markup, address) and all documents (text, source as host)."""
+    documents = _read(spark, sf_dir, "documents")
+    visible = F.regexp_replace("html", r"(?s)<(script|style|nav)\b[^>]*>.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+    pages = _read(spark, sf_dir, "pages").select(
+        (2 * F.col("page_id")).alias("id"),
+        visible.alias("text"),
+        F.regexp_extract("html", r'(?i)<html[^>]*\blang="([^"]+)"', 1).alias("declared"),
+        F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1).alias("host"),
+    )
+    texts = documents.select((2 * F.col("doc_id") + 1).alias("id"), "text", F.lit(None).cast("string").alias("declared"), F.col("source").alias("host"))
+    found = identify(pages.unionByName(texts), documents)
+    key = F.shiftright("id", 1)
+    is_page = F.col("id") % 2 == 0
+    return found.select(
+        F.when(~is_page, key).alias("doc_id"), F.when(is_page, key).alias("page_id"), "language", "text_language", "posterior", "kept"
+    )
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = scaled_vectors(_read(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), with_text=False)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits of all pages; the merged headers as sorted text."""
+    found = resolve_revisits(page_captures(_read(spark, sf_dir, "pages")))
+    pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return found.withColumn("headers", F.array_join(pairs, "\n"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"))
 
@@ -45,7 +85,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_language_id": op2_language_id,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_quality_rules": op7_quality_rules,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_bpe": op9_bpe,
@@ -68,4 +112,59 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id
     """,
+    "op3_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT)) AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            GROUP BY vec_id
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+        ) WHERE rank <= 20
+    """,
+    "op6_warc_revisits": r"""
+        WITH p AS (
+            SELECT *, '"' || substr(sha256(html), 1, 16) || '"' AS etag,
+                   TIMESTAMP '2024-01-01' + to_minutes(page_id) AS moment,
+                   regexp_replace(trim(url), '#.*$', '') AS bare
+            FROM pages
+        ), parts AS (
+            SELECT *, regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1) AS start FROM p
+        ), u AS (
+            SELECT *, substr(bare, length(start) + 1) AS rest,
+                   regexp_replace(regexp_replace(regexp_replace(lower(start), '^https://', 'http://'), '^(http://)www\.', '\1'), ':(80|443)$', '') AS site
+            FROM parts
+        ), c AS (
+            SELECT *, site || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '')
+                   || CASE WHEN regexp_extract(rest, '\?(.*)$', 1) <> '' THEN '?' ||
+                        array_to_string(list_sort(string_split(regexp_extract(rest, '\?(.*)$', 1), '&')), '&') ELSE '' END AS key
+            FROM u
+        ), r AS (
+            SELECT key, moment, min(2 * page_id) AS response_id FROM c WHERE page_id % 3 <> 2 GROUP BY key, moment
+        ), v AS (
+            SELECT page_id, key, moment + to_minutes(10 + page_id % 50) AS moment,
+                   CASE WHEN page_id % 7 = 0 THEN '"changed"' WHEN page_id % 5 = 0 THEN NULL ELSE etag END AS etag,
+                   page_id % 28 AS day, page_id % 50 AS age
+            FROM c
+        ), j AS (
+            SELECT v.*, r.response_id FROM v ASOF LEFT JOIN r ON v.key = r.key AND v.moment > r.moment
+        ), f AS (
+            SELECT j.page_id, j.response_id, j.age,
+                   CASE WHEN j.response_id IS NULL THEN 'missing'
+                        WHEN coalesce(j.etag = s.etag, j.day = s.page_id % 28) THEN 'resolved' ELSE 'mismatch' END AS status,
+                   s.etag AS r_etag, s.html
+            FROM j LEFT JOIN c s ON j.response_id = 2 * s.page_id
+        )
+        SELECT 2 * page_id + 1 AS record_id, response_id, status,
+               CASE WHEN status = 'resolved' THEN 'age: ' || age || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || r_etag
+                    ELSE 'age: ' || age || chr(10) || 'content-length: 0' END AS headers,
+               CASE WHEN status = 'resolved' THEN sha256(html) END AS payload_sha256
+        FROM f
+    """,
 }

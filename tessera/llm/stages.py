@@ -5,22 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.line_dedup import remove_boilerplate
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack_documents
+from tessera.llm.quality import quality
 from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.vocabularies import vocabulary
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality rules reject."""
+    return _only(docs, quality(docs).filter("kept"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines that are boilerplate of many sites."""
+    return with_new_text(docs, remove_boilerplate(docs).filter("n_removed > 0"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies (five-word shingles, 0.8)."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return _only(docs, near_duplicates(docs).filter("kept"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 words and more that an earlier document has."""
-    cut = remove_repeats(docs).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text")
-    return with_new_text(docs, cut, "cut_id", "kept_text")
+    return with_new_text(docs, remove_repeats(docs).filter("n_removed > 0"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +38,22 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"))
 
 
-def with_new_text(docs: DataFrame, changes: DataFrame, key: str, text: str) -> DataFrame:
-    """The documents with the changed texts in place; n_chars follows the text."""
-    joined = docs.join(changes, docs["doc_id"] == changes[key], "left")
-    new = F.coalesce(changes[text], docs["text"])
-    n_chars = F.when(changes[key].isNotNull(), F.char_length(changes[text]).cast("long")).otherwise(docs["n_chars"])
-    columns = {"text": new.alias("text"), "n_chars": n_chars.alias("n_chars")}
-    return joined.select(*(columns.get(c, docs[c]) for c in docs.columns))
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose id is among the kept ones. Both grow alike, so neither is broadcast."""
+    ids = kept.select(F.col("doc_id").alias("kept_id")).hint("merge")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+
+
+def with_new_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """The documents with ``kept_text`` of the changed ones in place; n_chars follows the text.
+
+    Ids are taken as unique; rows that repeat an id and a text change alike.
+    """
+    changes = changed.select(F.col("doc_id").alias("changed_id"), F.col("kept_text").alias("changed_text")).dropDuplicates(["changed_id"]).hint("merge")
+    joined = docs.join(changes, docs["doc_id"].eqNullSafe(changes["changed_id"]), "left")
+    is_new = changes["changed_text"].isNotNull()
+    new = {
+        "text": F.when(is_new, changes["changed_text"]).otherwise(docs["text"]).alias("text"),
+        "n_chars": F.when(is_new, F.char_length(changes["changed_text"]).cast("long")).otherwise(docs["n_chars"]).alias("n_chars"),
+    }
+    return joined.select(*(new.get(c, docs[c]) for c in docs.columns))
