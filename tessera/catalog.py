@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import graph_queries
+from tessera.plans import geometry_queries, graph_queries
 
-FLAGSHIP = "orders_components"
+FLAGSHIP = "cell_types"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**graph_queries.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**geometry_queries.QUERIES, **graph_queries.QUERIES}
 
-SQL: dict[str, str] = {**graph_queries.SQL}
+SQL: dict[str, str] = {**geometry_queries.SQL, **graph_queries.SQL}

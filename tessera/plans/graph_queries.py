@@ -1,24 +1,253 @@
-"""Graph queries over the customers, suppliers and orders."""
+"""Graph, partition, sparse-matrix and case queries over the business tables and documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import partition, sparse
 from tessera.plans.components import connected_components
+from tessera.sources import cases
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def orders_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of customers (even nodes) and suppliers (odd nodes) of one nation and balance class."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    level = F.floor(F.col("c_acctbal") / 1000)
-    c = customers.select((F.col("c_custkey") * 2).alias("a"), F.col("c_nationkey").alias("nation"), level.alias("level"))
+    customers, suppliers = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "supplier")
+    c = customers.select((F.col("c_custkey") * 2).alias("a"), F.col("c_nationkey").alias("nation"), F.floor(F.col("c_acctbal") / 1000).alias("level"))
     s = suppliers.select((F.col("s_suppkey") * 2 + 1).alias("b"), F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal") / 1000).alias("level"))
     return connected_components(c.join(s, ["nation", "level"]))
 
 
-QUERIES = {"orders_components": orders_components}
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contact for each line item between the nations of customer and supplier; the level follows the line number."""
+    items, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
+    joined = (
+        items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
+        .join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(_read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    )
+    return joined.select(F.col("c_nationkey").cast("long").alias("a"), F.col("s_nationkey").cast("long").alias("b"), (F.col("l_linenumber") % 4).cast("int").alias("level"))
+
+
+_TRADE = """
+    SELECT c_nationkey::BIGINT AS a, s_nationkey::BIGINT AS b, (l_linenumber % 4)::INTEGER AS level
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+"""
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between nations with their traffic and the time of their messages."""
+    edges = partition.edge_totals(_trade(spark, sf_dir), [], 8.0)
+    return edges.withColumn("time", partition.message_time(F.col("phases"), F.col("bytes"), 2.0, 64.0))
+
+
+_TRADE_EDGES = f"""
+    WITH n AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, level, count(*) AS n FROM ({_TRADE}) WHERE a <> b GROUP BY ALL)
+    SELECT lo, hi, sum(n)::BIGINT AS contacts, sum(n * 2.0 ** level)::DOUBLE AS weight, sum(8 * n * 2.0 ** level)::DOUBLE AS bytes, bit_or((1 << level)::BIGINT) AS phases,
+           (sum(DISTINCT 2 ** level) * 2 + sum(8 * n * 2.0 ** level) / 64)::DOUBLE AS time FROM n GROUP BY lo, hi
+"""
+
+
+def _atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as atoms over the range of their order dates, with their orders as work."""
+    orders = _read(spark, sf_dir, "orders")
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
+    return (
+        orders.filter("o_orderkey % 7 = 0").groupBy(F.col("o_custkey").alias("atom_id"))
+        .agg(F.min(day).alias("lo"), (F.max(day) + 1).alias("hi"), F.count("*").cast("double").alias("work"))
+    )
+
+
+_ATOMS = """
+    SELECT o_custkey AS atom_id, min(date_diff('day', DATE '1990-01-01', o_orderdate::DATE)) AS lo, max(date_diff('day', DATE '1990-01-01', o_orderdate::DATE)) + 1 AS hi,
+           count(*)::DOUBLE AS work FROM orders WHERE o_orderkey % 7 = 0 GROUP BY o_custkey
+"""
+
+
+def legal_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days at which no customer of a nation is between first and last order."""
+    customers = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("atom_id"), "c_nationkey")
+    return partition.legal_cuts(_atoms(spark, sf_dir).join(customers, "atom_id"), "c_nationkey")
+
+
+def rank_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads and boxes of eight ranks that share the atoms by key."""
+    atoms = _atoms(spark, sf_dir)
+    return partition.rank_loads(atoms, atoms.select("atom_id", (F.col("atom_id") % 8).alias("rank")))
+
+
+def load_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loads = rank_loads(spark, sf_dir)
+    return partition.imbalance(loads).withColumn("imbalance", F.round("imbalance", 9))
+
+
+def bisection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners of the atoms after two weighted bisections."""
+    return partition.bisected(_atoms(spark, sf_dir), 2)
+
+
+_HALF = """
+    SELECT atom_id, lo, work, rank * 2 + (CASE WHEN (SELECT 1) = 1 AND upto - w / 2 > total / 2 THEN 1 ELSE 0 END) AS rank FROM (
+        SELECT a.*, c.upto, c.w, c.total FROM {0} a JOIN (
+            SELECT rank, lo, w, sum(w) OVER (PARTITION BY rank ORDER BY lo) AS upto, sum(w) OVER (PARTITION BY rank) AS total
+            FROM (SELECT rank, lo, sum(work) AS w FROM {0} GROUP BY rank, lo)) c USING (rank, lo))
+"""
+
+
+def rank_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that ranks need from each other: customers who share a supplier of a large line."""
+    items, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
+    large = items.filter("l_quantity >= 49").join(orders, items["l_orderkey"] == orders["o_orderkey"]).select("l_suppkey", F.col("o_custkey").alias("c")).distinct()
+    first = large.groupBy("l_suppkey").agg(F.min("c").alias("a"))
+    edges = large.join(first, "l_suppkey").filter("a < c").select("a", F.col("c").alias("b")).distinct()
+    owners = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("atom_id"), (F.col("c_custkey") % 8).alias("rank"))
+    return partition.ghosts(edges, owners)
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trade(spark, sf_dir).filter("a <> b").groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
+
+
+_FLOW = f"SELECT a, b, count(*)::DOUBLE AS w FROM ({_TRADE}) WHERE a <> b GROUP BY a, b"
+
+
+def nation_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse.page_rank(_flow(spark, sf_dir), 5).withColumn("rank", F.round("rank", 9))
+
+
+def nation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest paths from nation 0, an edge costing 1000 over its trade, rounded up."""
+    cost = _flow(spark, sf_dir).withColumn("w", F.ceil(1000 / F.col("w")).cast("double"))
+    return sparse.shortest_paths(cost, 0)
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the words of all documents as matrix entries: row doc_id, col the word."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))
+    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), word.alias("col")).groupBy("row", "col").agg(F.count("*").cast("double").alias("val"))
+
+
+_WORDS = "SELECT doc_id AS row, col, count(*)::DOUBLE AS val FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS col FROM documents) GROUP BY ALL"
+
+
+def pruned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = sparse.prune(_words(spark, sf_dir), "col", 2, 20)
+    return kept.groupBy("row").agg(F.count("*").alias("n"), F.sum("val").alias("total"))
+
+
+def weighted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Norms of the rows after scaling by inverse document frequency."""
+    return sparse.norms(sparse.scale(_words(spark, sf_dir), "idf"), "row").select("row", "n", F.round("norm", 6).alias("norm"))
+
+
+def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse.top_entries(_words(spark, sf_dir), "row", 5, 20.0).select("row", "col", "val")
+
+
+def heavy_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse.heaviest(_words(spark, sf_dir), "row", 0.5).groupBy("row").agg(F.count("*").alias("n"), F.min("val").alias("least"))
+
+
+def marked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse.above_mean(_words(spark, sf_dir), "row", 4.0).groupBy("row").agg(F.count("*").alias("n"), F.sum("val").alias("total"))
+
+
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three most similar documents by the words that 2 to 20 documents have."""
+    rare = sparse.prune(_words(spark, sf_dir), "col", 2, 20)
+    return sparse.similar_rows(rare, 3, 0.1, "jaccard").withColumn("similarity", F.round("similarity", 9))
+
+
+def score_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the length of a text tells good documents from bad ones."""
+    scored = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id")
+    return sparse.roc(scored, "n_chars", "quality").withColumn("area", F.round("area", 9))
+
+
+def item_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent sets of one or two part classes within an order, by FP-growth."""
+    from pyspark.ml.fpm import FPGrowth
+
+    baskets = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set((F.col("l_partkey") % 20).cast("int")).alias("items"))
+    found = FPGrowth(minSupport=0.01, itemsCol="items").fit(baskets).freqItemsets
+    return found.filter(F.size("items") <= 2).select(F.array_join(F.array_sort("items"), ",").alias("items"), "freq")
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour and type."""
+    hour = F.window("ts", "1 hour")
+    return _read(spark, sf_dir, "events").groupBy(hour.alias("w"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users")).select(F.col("w.start").alias("hour"), "event_type", "n", "users")
+
+
+def case_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case files written from parts, parsed again: values in SI units."""
+    part = _read(spark, sf_dir, "part")
+    text = F.concat_ws(
+        "\n",
+        F.lit("# a comment"),
+        F.concat(F.lit("Dynamic-Viscosity = "), F.col("p_size").cast("string"), F.lit(" mPa*s")),
+        F.concat(F.lit("rho: "), (1000 + F.col("p_size")).cast("string"), F.lit(" kg/m^3")),
+        F.concat(F.lit("characteristic length = "), F.col("p_size").cast("string"), F.lit(" cm   # along x")),
+        F.when(F.col("p_partkey") % 2 == 0, F.lit("periodic_x = on")),
+        F.concat(F.lit("case name = '"), F.col("p_brand"), F.lit("'")),
+        F.when(F.col("p_partkey") % 5 == 0, F.lit("wall = 3 furlong")),
+    )
+    parsed = cases.parse_cases(cases.case_lines(part.select(F.col("p_partkey").alias("case_id"), text.alias("text"))))
+    return parsed.select("case_id", "line_no", "name", "kind", F.round("value", 9).alias("value"), F.array_join("dims", ",").alias("dims"), "flag", "word")
+
+
+def case_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases from orders, completed by the rules: derived values and the number of warnings."""
+    orders = _read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    stated = {
+        "density": F.lit(1000.0), "dynamic_viscosity": (1 + k % 5).cast("double") / 1000, "kinematic_viscosity": F.when(k % 3 == 0, 1e-6), "reynolds_number": (100 + k % 50).cast("double"),
+        "characteristic_length": F.lit(0.1), "grid_spacing": F.lit(0.005), "relaxation_time": F.when(k % 2 == 0, 0.6 + (k % 20) / 10), "mach_number": F.lit(0.05), "physical_time": F.lit(10.0),
+    }
+    case = orders.select(k.alias("case_id"), *((stated.get(c, F.lit(None)).cast("double")).alias(c) for c in cases.CASE_COLUMNS))
+    done = cases.complete(case)
+    return done.select(
+        "case_id", F.round("characteristic_velocity", 9).alias("velocity"), F.round("relaxation_time", 9).alias("tau"), F.round("mach_number", 9).alias("mach"),
+        F.round("time_step", 9).alias("time_step"), F.size("warnings").alias("n_warnings"), F.size("missing").alias("n_missing"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        orders_components, trade_edges, legal_cuts, rank_loads, load_imbalance, bisection, rank_ghosts, nation_rank, nation_paths, pruned_words, weighted_words, top_words,
+        heavy_words, marked_words, similar_documents, score_area, item_sets, event_windows, case_values, case_rules,
+    )
+}
+
+
+def _page_rank_sql(rounds: int) -> str:
+    steps = [
+        f"WITH e AS MATERIALIZED ({_FLOW}), n AS MATERIALIZED (SELECT a AS node FROM e UNION SELECT b FROM e), o AS MATERIALIZED (SELECT a, sum(w) AS s FROM e GROUP BY a)",
+        "r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n)",
+    ]
+    for i in range(rounds):
+        steps.append(f"""r{i + 1} AS MATERIALIZED (
+            SELECT n.node, (0.15 + 0.85 * coalesce((SELECT sum(rank) FROM r{i} WHERE node NOT IN (SELECT a FROM o)), 0)) / (SELECT count(*) FROM n) + 0.85 * coalesce(m.s, 0) AS rank
+            FROM n LEFT JOIN (SELECT e.b, sum(r.rank * e.w / o.s) AS s FROM e JOIN o ON e.a = o.a JOIN r{i} r ON r.node = e.a GROUP BY e.b) m ON n.node = m.b)""")
+    return ", ".join(steps) + f" SELECT node, round(rank, 9) AS rank FROM r{rounds}"
+
+
+def _paths_sql(rounds: int) -> str:
+    steps = [f"WITH e AS MATERIALIZED (SELECT a, b, ceil(1000 / w) AS w FROM ({_FLOW}))", "p0 AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS distance, 0::BIGINT AS hops)"]
+    for i in range(rounds):
+        steps.append(f"""p{i + 1} AS MATERIALIZED (SELECT node, distance, hops FROM (
+            SELECT *, row_number() OVER (PARTITION BY node ORDER BY distance, hops) AS k FROM (
+                SELECT * FROM p{i} UNION ALL SELECT e.b, p.distance + e.w, p.hops + 1 FROM p{i} p JOIN e ON e.a = p.node)) WHERE k = 1)""")
+    return ", ".join(steps) + f" SELECT * FROM p{rounds}"
+
+
+_RARE = f"SELECT * FROM w WHERE col IN (SELECT col FROM w GROUP BY col HAVING count(*) BETWEEN 2 AND 20)"
+_SIZED = "CASE WHEN p_size IS NULL THEN NULL ELSE p_size END"
 
 SQL = {
     "orders_components": """
@@ -29,4 +258,75 @@ SQL = {
         reach AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON r.seen = u.a)
         SELECT node, min(seen) AS component FROM reach GROUP BY node
     """,
+    "trade_edges": _TRADE_EDGES,
+    "legal_cuts": f"""
+        SELECT c_nationkey, plane, below FROM (
+            SELECT c_nationkey, max(hi) OVER w AS top, lead(lo) OVER (PARTITION BY c_nationkey ORDER BY lo, atom_id) AS plane, sum(work) OVER w AS below
+            FROM ({_ATOMS}) JOIN customer ON atom_id = c_custkey WINDOW w AS (PARTITION BY c_nationkey ORDER BY lo, atom_id ROWS UNBOUNDED PRECEDING)) WHERE top <= plane
+    """,
+    "rank_loads": f"SELECT atom_id % 8 AS rank, count(*) AS atoms, sum(work) AS work, min(lo) AS lo, max(hi) AS hi, max(work) AS largest FROM ({_ATOMS}) GROUP BY 1",
+    "load_imbalance": f"""
+        SELECT count(*) AS ranks, sum(work) AS total, max(work) AS most, round(max(work) / avg(work), 9) AS imbalance
+        FROM (SELECT atom_id % 8 AS rank, sum(work) AS work FROM ({_ATOMS}) GROUP BY 1)
+    """,
+    "bisection": f"""
+        WITH a0 AS MATERIALIZED (SELECT atom_id, lo, work, 0::BIGINT AS rank FROM ({_ATOMS})), a1 AS MATERIALIZED ({_HALF.format("a0")}), a2 AS ({_HALF.format("a1")})
+        SELECT atom_id, rank::BIGINT AS rank FROM a2
+    """,
+    "rank_ghosts": """
+        WITH l AS (SELECT DISTINCT l_suppkey, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49),
+        e AS (SELECT DISTINCT f.a, l.c AS b FROM l JOIN (SELECT l_suppkey, min(c) AS a FROM l GROUP BY 1) f USING (l_suppkey) WHERE f.a < l.c AND f.a % 8 <> l.c % 8)
+        SELECT a % 8 AS rank, b % 8 AS peer, b AS atom_id FROM e UNION SELECT b % 8, a % 8, a FROM e
+    """,
+    "nation_rank": _page_rank_sql(5),
+    "nation_paths": _paths_sql(10),
+    "pruned_words": f"WITH w AS MATERIALIZED ({_WORDS}) SELECT row, count(*) AS n, sum(val) AS total FROM ({_RARE}) GROUP BY row",
+    "weighted_words": f"""
+        WITH w AS MATERIALIZED ({_WORDS}), d AS (SELECT col, ln((SELECT count(DISTINCT row) FROM w) / count(*)) AS f FROM w GROUP BY col)
+        SELECT row, count(*) AS n, round(sqrt(sum((val * f) ** 2)), 6) AS norm FROM w JOIN d USING (col) GROUP BY row
+    """,
+    "top_words": f"SELECT row, col, val FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY val DESC, col) AS k FROM ({_WORDS})) WHERE k <= 5 OR val >= 20",
+    "heavy_words": f"""
+        SELECT row, count(*) AS n, min(val) AS least FROM (
+            SELECT row, val, coalesce(sum(val * val) OVER (PARTITION BY row ORDER BY val DESC, col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                   sum(val * val) OVER (PARTITION BY row) AS total FROM ({_WORDS})) WHERE before < 0.5 * total GROUP BY row
+    """,
+    "marked_words": f"""
+        SELECT row, count(*) AS n, sum(val) AS total FROM (SELECT row, val, avg(val) OVER (PARTITION BY row) AS mean FROM ({_WORDS})) WHERE val > 4 * mean GROUP BY row
+    """,
+    "similar_documents": f"""
+        WITH w AS MATERIALIZED ({_WORDS}), r AS MATERIALIZED ({_RARE}), n AS (SELECT row, count(*) AS n FROM r GROUP BY row),
+        c AS (SELECT x.row AS row, y.row AS other, count(*) AS c FROM r x JOIN r y ON x.col = y.col AND x.row <> y.row GROUP BY 1, 2),
+        s AS (SELECT c.row, c.other, c.c / (a.n + b.n - c.c) AS similarity FROM c JOIN n a ON c.row = a.row JOIN n b ON c.other = b.row)
+        SELECT row, other, round(similarity, 9) AS similarity, rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY row ORDER BY similarity DESC, other)::INTEGER AS rank FROM s WHERE similarity >= 0.1) WHERE rank <= 3
+    """,
+    "score_area": """
+        WITH d AS (SELECT n_chars AS s, quality AS q FROM documents JOIN labels USING (doc_id)),
+        l AS (SELECT s, sum(q) AS p, count(*) - sum(q) AS m FROM d GROUP BY s),
+        c AS (SELECT *, coalesce(sum(m) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM l)
+        SELECT sum(p + m)::BIGINT AS n, sum(p)::BIGINT AS positives, round(sum(p * (below + m / 2)) / (sum(p) * sum(m)), 9) AS area FROM c
+    """,
+    "item_sets": """
+        WITH i AS (SELECT DISTINCT l_orderkey AS o, (l_partkey % 20)::INTEGER AS p FROM lineitem), n AS (SELECT count(DISTINCT o) AS n FROM i)
+        SELECT * FROM (
+            SELECT p::VARCHAR AS items, count(*) AS freq FROM i GROUP BY p UNION ALL
+            SELECT a.p || ',' || b.p, count(*) FROM i a JOIN i b ON a.o = b.o AND a.p < b.p GROUP BY a.p, b.p) WHERE freq >= ceil(0.01 * (SELECT n FROM n))
+    """,
+    "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2",
+    "case_values": """
+        SELECT p_partkey AS case_id, 2 AS line_no, 'dynamic_viscosity' AS name, 'quantity' AS kind, round(p_size / 1000, 9) AS value, '-1,1,-1,0' AS dims, NULL::BOOLEAN AS flag, NULL AS word FROM part
+        UNION ALL SELECT p_partkey, 3, 'density', 'quantity', 1000.0 + p_size, '-3,1,0,0', NULL, NULL FROM part
+        UNION ALL SELECT p_partkey, 4, 'characteristic_length', 'quantity', round(p_size / 100, 9), '1,0,0,0', NULL, NULL FROM part
+        UNION ALL SELECT p_partkey, 5, 'periodic_x', 'bool', NULL, NULL, true, NULL FROM part WHERE p_partkey % 2 = 0
+        UNION ALL SELECT p_partkey, 5 + (p_partkey % 2 = 0)::INTEGER, 'case_name', 'string', NULL, NULL, NULL, p_brand FROM part
+        UNION ALL SELECT p_partkey, 6 + (p_partkey % 2 = 0)::INTEGER, 'wall', 'error', NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 5 = 0
+    """,
+    "case_rules": """
+        WITH c AS (SELECT o_orderkey AS k, (1 + o_orderkey % 5) / 1e6 AS nu, (100 + o_orderkey % 50)::DOUBLE AS re, 20.0::DOUBLE AS cells FROM orders),
+        t AS (SELECT *, re * nu / 0.1 AS u, CASE WHEN k % 2 = 0 THEN 0.6 + (k % 20) / 10 ELSE 0.5 + 3 * (0.05 / sqrt(3) * cells / re) END AS tau FROM c),
+        v AS (SELECT *, re * ((tau - 0.5) / 3) / cells AS ul FROM t)
+        SELECT k AS case_id, round(u, 9) AS velocity, round(tau, 9) AS tau, round(ul * sqrt(3), 9) AS mach, round(0.005 * ul / u, 9) AS time_step,
+               ((k % 3 = 0)::INTEGER + (ul * sqrt(3) > 0.1)::INTEGER + (tau < 0.55)::INTEGER + (tau > 2)::INTEGER) AS n_warnings, 0 AS n_missing FROM v
+    """,
 }
