@@ -7,18 +7,22 @@ and models of a language have a bound that no corpus exceeds.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-from tessera.llm._words import mix
+from tessera.llm._words import mix, slices
 
 ORDER, BITS = 4, 5
 SYMBOLS, GRAMS = 1 << BITS, 1 << (ORDER * BITS)
 _SPACE, _DIGIT, _MARK, _OTHER = 0, 27, 30, 31
 #: Log-probabilities are kept as integers in units of 2**-16, so sums do not depend on their order.
 UNIT = 1 << 16
+#: Languages whose counts a task holds at a time, 8 MB each.
+_HELD = 8
 
 
 @lru_cache(maxsize=1)
@@ -61,6 +65,29 @@ def text_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return grams[own], at
 
 
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts the four-grams of ``text`` by ``language``: rows ``language, gram int, n long``, summed within a task."""
+    held: dict[str, np.ndarray] = {}
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for name, counts in held.items():
+            grams = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"language": pa.array([name] * len(grams), pa.string()), "gram": grams.astype(np.int32), "n": counts[grams]})
+        held.clear()
+
+    for batch in batches:
+        for part in slices(batch):
+            grams, at = text_grams(part.column("text").to_pylist())
+            language = part.column("language").dictionary_encode()
+            of_gram = np.repeat(language.indices.to_numpy(), np.diff(at))
+            for code, name in enumerate(language.dictionary.to_pylist()):
+                if name not in held and len(held) == _HELD:
+                    yield from given()
+                counts = np.bincount(grams[of_gram == code], minlength=GRAMS)
+                held[name] = held[name] + counts if name in held else counts
+    yield from given()
+
+
 def _hashed(grams: np.ndarray, order: int) -> np.ndarray:
     return mix(grams.astype(np.uint64) + (np.uint64(order) << np.uint64(40)))
 

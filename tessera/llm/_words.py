@@ -2,8 +2,8 @@
 
 Helpers that run inside Spark tasks.  A word is a maximal run of bytes other than
 0x20 and 0x09-0x0D, as in the regular expression ``[^\\x20\\x09-\\x0D]+``; on UTF-8 the
-bytes and the code points give the same words.  Batches are cut into slices of a few
-megabytes of text, so memory is bounded by the longest single text.
+bytes and the code points give the same words.  Batches are cut into slices of about a
+megabyte of text, so memory is bounded by the longest single text.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)

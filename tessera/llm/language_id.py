@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _words as W
-from tessera.llm._ngrams import GRAMS, text_grams
+from tessera.llm._ngrams import GRAMS, count_grams, text_grams
 from tessera.plans.tables import saved
 
 #: Log-likelihoods in units of 2**-16 nats: sums do not depend on their order.
@@ -65,7 +65,7 @@ def identify(rows: DataFrame, training: DataFrame, min_posterior: float = 0.0) -
 def _fit(training: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log-probability of each gram in each language."""
     labelled = training.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("language"), F.col("text").cast("string").alias("text"))
-    counts = labelled.mapInArrow(_count, "language string, gram int, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = labelled.mapInArrow(count_grams, "language string, gram int, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counts.column("language").to_pylist()))
     table = np.zeros((len(names), GRAMS), np.int64)
     code = {name: i for i, name in enumerate(names)}
@@ -75,18 +75,6 @@ def _fit(training: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, np.round(UNIT * (np.log(table + ALPHA) - np.log(table.sum(1, keepdims=True) + ALPHA * GRAMS))).astype(np.int32)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in W.slices(batch, limit=8 * W.SLICE_BYTES):
-            grams, at = text_grams(part.column("text").to_pylist())
-            language = part.column("language").dictionary_encode()
-            of = np.repeat(language.indices.to_numpy(), np.diff(at))
-            for code, name in enumerate(language.dictionary.to_pylist()):
-                counts = np.bincount(grams[of == code], minlength=GRAMS)
-                seen = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_pydict({"language": pa.array([name] * len(seen), pa.string()), "gram": seen.astype(np.int32), "n": counts[seen]})
-
-
 def _score(batches: Iterator[pa.RecordBatch], model: tuple[list[str], np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Tempered log-likelihoods by text, and the posterior by text in thousandths (none without text)."""
     names, table = model

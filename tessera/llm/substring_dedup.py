@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm import _words as W
 
 #: Bytes of text of a batch, and batches to a partition.
-BATCH_BYTES, BATCHES_TO_PARTITION = 4 << 20, 4
+BATCH_BYTES, BATCHES_TO_PARTITION = 2 << 20, 8
 _NO_ID = np.iinfo(np.int64).max
 
 
