@@ -159,7 +159,7 @@ def points_in_solids(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = {i: (c + (0.25 if not i & 1 else 9.75), F.lit(1.25 if not i & 2 else 6.75), F.lit(0.75 if not i & 4 else 5.25)) for i in range(8)}
     faces = [(0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5), (3, 7, 5)]
     rows = F.explode(F.array(*(F.struct(*(e.alias(v + x) for v, i in zip("abc", f, strict=True) for x, e in zip("xyz", corner[i], strict=True))) for f in faces)))
-    facets = suppliers.filter("s_suppkey <= 20").select("s_suppkey", rows.alias("f")).select("s_suppkey", "f.*")
+    facets = suppliers.select("s_suppkey", rows.alias("f")).select("s_suppkey", "f.*")
     inside = mesh.enclosed(_cells(spark, sf_dir), facets, "s_suppkey", "cell_id")
     return inside.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.min("cell_id").alias("first"))
 
@@ -293,7 +293,7 @@ SQL = {
     """,
     "points_in_solids": f"""
         SELECT s_suppkey, count(*) AS n, min(cell_id) AS first FROM supplier JOIN ({_CELLS})
-        ON x > s_suppkey % 20 + 0.25 AND x < s_suppkey % 20 + 9.75 AND y > 1.25 AND y < 6.75 AND z > 0.75 AND z < 5.25 WHERE s_suppkey <= 20 GROUP BY 1
+        ON x > s_suppkey % 20 + 0.25 AND x < s_suppkey % 20 + 9.75 AND y > 1.25 AND y < 6.75 AND z > 0.75 AND z < 5.25 GROUP BY 1
     """,
     "range_cells": f"""
         SELECT s_suppkey, count(*) AS n FROM supplier JOIN ({_CELLS}) ON x BETWEEN s_suppkey % 40 AND s_suppkey % 40 + 3 AND y BETWEEN 2 AND 4 AND z BETWEEN 1 AND 3 GROUP BY 1

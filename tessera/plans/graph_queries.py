@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import partition, sparse
 from tessera.plans.components import connected_components
-from tessera.sources import cases
+from tessera.sources import cases, graphs
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,25 +53,27 @@ _TRADE_EDGES = f"""
 
 
 def _atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as atoms over the range of their order dates, with their orders as work."""
+    """A customer's orders of one month as an atom over the range of their days, with their number as work."""
     orders = _read(spark, sf_dir, "orders")
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
     return (
-        orders.filter("o_orderkey % 7 = 0").groupBy(F.col("o_custkey").alias("atom_id"))
+        orders.groupBy("o_custkey", month.alias("month"))
         .agg(F.min(day).alias("lo"), (F.max(day) + 1).alias("hi"), F.count("*").cast("double").alias("work"))
+        .select((F.col("o_custkey") * 100000 + F.col("month")).alias("atom_id"), "lo", "hi", "work", "o_custkey")
     )
 
 
 _ATOMS = """
-    SELECT o_custkey AS atom_id, min(date_diff('day', DATE '1990-01-01', o_orderdate::DATE)) AS lo, max(date_diff('day', DATE '1990-01-01', o_orderdate::DATE)) + 1 AS hi,
-           count(*)::DOUBLE AS work FROM orders WHERE o_orderkey % 7 = 0 GROUP BY o_custkey
+    SELECT o_custkey * 100000 + year(o_orderdate) * 12 + month(o_orderdate) AS atom_id, min(date_diff('day', DATE '1990-01-01', o_orderdate::DATE)) AS lo,
+           max(date_diff('day', DATE '1990-01-01', o_orderdate::DATE)) + 1 AS hi, count(*)::DOUBLE AS work, o_custkey FROM orders GROUP BY 1, o_custkey
 """
 
 
 def legal_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days at which no customer of a nation is between first and last order."""
-    customers = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("atom_id"), "c_nationkey")
-    return partition.legal_cuts(_atoms(spark, sf_dir).join(customers, "atom_id"), "c_nationkey")
+    """Days at which no customer of a nation is between the first and last order of a month."""
+    customers = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    return partition.legal_cuts(_atoms(spark, sf_dir).join(customers, "o_custkey"), "c_nationkey")
 
 
 def rank_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +93,7 @@ def bisection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HALF = """
-    SELECT atom_id, lo, work, rank * 2 + (CASE WHEN (SELECT 1) = 1 AND upto - w / 2 > total / 2 THEN 1 ELSE 0 END) AS rank FROM (
+    SELECT atom_id, lo, work, rank * 2 + (CASE WHEN upto - w / 2 > total / 2 THEN 1 ELSE 0 END) AS rank FROM (
         SELECT a.*, c.upto, c.w, c.total FROM {0} a JOIN (
             SELECT rank, lo, w, sum(w) OVER (PARTITION BY rank ORDER BY lo) AS upto, sum(w) OVER (PARTITION BY rank) AS total
             FROM (SELECT rank, lo, sum(work) AS w FROM {0} GROUP BY rank, lo)) c USING (rank, lo))
@@ -99,11 +101,11 @@ _HALF = """
 
 
 def rank_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers that ranks need from each other: customers who share a supplier of a large line."""
+    """Customers that ranks need from each other: customers who share a supplier."""
     items, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
-    large = items.filter("l_quantity >= 49").join(orders, items["l_orderkey"] == orders["o_orderkey"]).select("l_suppkey", F.col("o_custkey").alias("c")).distinct()
-    first = large.groupBy("l_suppkey").agg(F.min("c").alias("a"))
-    edges = large.join(first, "l_suppkey").filter("a < c").select("a", F.col("c").alias("b")).distinct()
+    bought = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).select("l_suppkey", F.col("o_custkey").alias("c")).distinct()
+    first = bought.groupBy("l_suppkey").agg(F.min("c").alias("a"))
+    edges = bought.join(first, "l_suppkey").filter("a < c").select("a", F.col("c").alias("b")).distinct()
     owners = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("atom_id"), (F.col("c_custkey") % 8).alias("rank"))
     return partition.ghosts(edges, owners)
 
@@ -119,6 +121,17 @@ def nation_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.page_rank(_flow(spark, sf_dir), 5).withColumn("rank", F.round("rank", 9))
 
 
+def nation_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations that are each other's largest trading partners."""
+    return graphs.heaviest_matches(partition.edge_totals(_trade(spark, sf_dir), [], 8.0).select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("contacts").alias("w")))
+
+
+def order_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that share two parts or more."""
+    items = _read(spark, sf_dir, "lineitem")
+    return graphs.mesh_dual(items.select(F.col("l_orderkey").alias("element"), F.col("l_partkey").alias("node")), 2)
+
+
 def nation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest paths from nation 0, an edge costing 1000 over its trade, rounded up."""
     cost = _flow(spark, sf_dir).withColumn("w", F.ceil(1000 / F.col("w")).cast("double"))
@@ -219,7 +232,7 @@ def case_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        orders_components, trade_edges, legal_cuts, rank_loads, load_imbalance, bisection, rank_ghosts, nation_rank, nation_paths, pruned_words, weighted_words, top_words,
+        orders_components, trade_edges, legal_cuts, rank_loads, load_imbalance, bisection, rank_ghosts, nation_rank, nation_matches, order_dual, nation_paths, pruned_words, weighted_words, top_words,
         heavy_words, marked_words, similar_documents, score_area, item_sets, event_windows, case_values, case_rules,
     )
 }
@@ -247,7 +260,6 @@ def _paths_sql(rounds: int) -> str:
 
 
 _RARE = f"SELECT * FROM w WHERE col IN (SELECT col FROM w GROUP BY col HAVING count(*) BETWEEN 2 AND 20)"
-_SIZED = "CASE WHEN p_size IS NULL THEN NULL ELSE p_size END"
 
 SQL = {
     "orders_components": """
@@ -262,7 +274,7 @@ SQL = {
     "legal_cuts": f"""
         SELECT c_nationkey, plane, below FROM (
             SELECT c_nationkey, max(hi) OVER w AS top, lead(lo) OVER (PARTITION BY c_nationkey ORDER BY lo, atom_id) AS plane, sum(work) OVER w AS below
-            FROM ({_ATOMS}) JOIN customer ON atom_id = c_custkey WINDOW w AS (PARTITION BY c_nationkey ORDER BY lo, atom_id ROWS UNBOUNDED PRECEDING)) WHERE top <= plane
+            FROM ({_ATOMS}) JOIN customer ON o_custkey = c_custkey WINDOW w AS (PARTITION BY c_nationkey ORDER BY lo, atom_id ROWS UNBOUNDED PRECEDING)) WHERE top <= plane
     """,
     "rank_loads": f"SELECT atom_id % 8 AS rank, count(*) AS atoms, sum(work) AS work, min(lo) AS lo, max(hi) AS hi, max(work) AS largest FROM ({_ATOMS}) GROUP BY 1",
     "load_imbalance": f"""
@@ -274,11 +286,21 @@ SQL = {
         SELECT atom_id, rank::BIGINT AS rank FROM a2
     """,
     "rank_ghosts": """
-        WITH l AS (SELECT DISTINCT l_suppkey, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49),
+        WITH l AS (SELECT DISTINCT l_suppkey, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
         e AS (SELECT DISTINCT f.a, l.c AS b FROM l JOIN (SELECT l_suppkey, min(c) AS a FROM l GROUP BY 1) f USING (l_suppkey) WHERE f.a < l.c AND f.a % 8 <> l.c % 8)
         SELECT a % 8 AS rank, b % 8 AS peer, b AS atom_id FROM e UNION SELECT b % 8, a % 8, a FROM e
     """,
     "nation_rank": _page_rank_sql(5),
+    "nation_matches": f"""
+        WITH e AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, count(*) AS w FROM ({_TRADE}) WHERE a <> b GROUP BY ALL),
+        s AS (SELECT lo AS a, hi AS b, w, lo, hi FROM e UNION ALL SELECT hi, lo, w, lo, hi FROM e),
+        m AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, lo, hi) AS k FROM s) WHERE k = 1)
+        SELECT x.a, x.b FROM m x JOIN m y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b
+    """,
+    "order_dual": """
+        WITH i AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)
+        SELECT x.o AS a, y.o AS b, count(*) AS n FROM i x JOIN i y ON x.p = y.p AND x.o < y.o GROUP BY 1, 2 HAVING count(*) >= 2
+    """,
     "nation_paths": _paths_sql(10),
     "pruned_words": f"WITH w AS MATERIALIZED ({_WORDS}) SELECT row, count(*) AS n, sum(val) AS total FROM ({_RARE}) GROUP BY row",
     "weighted_words": f"""
