@@ -1,68 +1,77 @@
-"""Adaptive quadtrees over points: refinement to a fixpoint, 2:1 balance and interface roles."""
+"""Adaptive quadtrees and octrees over points: refinement to a fixpoint, 2:1 balance and interface roles.
+
+``axes`` names the integer coordinates: two of them make a quadtree, three an octree.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import product
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.tables import saved
 
 
-def refine(points: DataFrame, max_level: int, most: int) -> DataFrame:
-    """Leaves ``level, i, j, n`` of a quadtree over points ``i, j`` at ``max_level``: a node with more than ``most`` points splits.
+def refine(points: DataFrame, max_level: int, most: int, axes: str = "ij") -> DataFrame:
+    """Leaves ``level, axes, n`` of a tree over points with coordinates at ``max_level``: a node with more than ``most`` points splits.
 
     Counts of all levels come from one pass by shifting the coordinates; empty leaves next to
     occupied ones are leaves too.
     """
-    counts = saved(points.groupBy("i", "j").agg(F.count("*").alias("n")))
+    counts = saved(points.groupBy(*axes).agg(F.count("*").alias("n")))
     levels = F.explode(F.sequence(F.lit(0), F.lit(max_level)))
     nodes = (
-        counts.select(levels.alias("level"), "i", "j", "n")
-        .select("level", F.expr(f"shiftright(i, {max_level} - level)").alias("i"), F.expr(f"shiftright(j, {max_level} - level)").alias("j"), "n")
-        .groupBy("level", "i", "j").agg(F.sum("n").alias("n"))
+        counts.select(levels.alias("level"), *axes, "n")
+        .select("level", *(F.expr(f"shiftright({c}, {max_level} - level)").alias(c) for c in axes), "n")
+        .groupBy("level", *axes).agg(F.sum("n").alias("n"))
     )
     nodes = saved(nodes)
-    split = nodes.filter((F.col("n") > most) & (F.col("level") < max_level)).select("level", "i", "j")
-    children = _children(split).unionByName(points.sparkSession.createDataFrame([(0, 0, 0)], "level int, i long, j long"))
-    leaves = children.join(split, ["level", "i", "j"], "left_anti").join(nodes, ["level", "i", "j"], "left")
-    return leaves.select("level", "i", "j", F.coalesce("n", F.lit(0)).alias("n"))
+    split = nodes.filter((F.col("n") > most) & (F.col("level") < max_level)).select("level", *axes)
+    root = points.sparkSession.range(1).select(F.lit(0).alias("level"), *(F.lit(0).cast("long").alias(c) for c in axes))
+    children = _children(split, axes).unionByName(root)
+    leaves = children.join(split, ["level", *axes], "left_anti").join(nodes, ["level", *axes], "left")
+    return leaves.select("level", *axes, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _children(split: DataFrame) -> DataFrame:
-    quarter = F.explode(F.sequence(F.lit(0), F.lit(3)))
-    return split.select((F.col("level") + 1).alias("level"), "i", "j", quarter.alias("q")).select(
-        "level", (F.col("i") * 2 + F.col("q") % 2).cast("long").alias("i"), (F.col("j") * 2 + F.shiftright("q", 1)).cast("long").alias("j")
+def _children(split: DataFrame, axes: str) -> DataFrame:
+    part = F.explode(F.sequence(F.lit(0), F.lit(2 ** len(axes) - 1)))
+    return split.select((F.col("level") + 1).alias("level"), *axes, part.alias("q")).select(
+        "level", *((F.col(c) * 2 + F.shiftright("q", d) % 2).cast("long").alias(c) for d, c in enumerate(axes))
     )
 
 
-def balance(leaves: DataFrame, max_level: int) -> DataFrame:
-    """Splits leaves until neighbours, over edges and corners, differ by one level at most: ``level, i, j``.
+def _moved(offsets: list[tuple[int, ...]], axes: str) -> Column:
+    return F.explode(F.array(*(F.struct(*(F.lit(o).alias(c) for c, o in zip(axes, offset, strict=True))) for offset in offsets)))
+
+
+def balance(leaves: DataFrame, max_level: int, axes: str = "ij") -> DataFrame:
+    """Splits leaves until neighbours, over faces, edges and corners, differ by one level at most: ``level, axes``.
 
     From the finest level up, the parent of every leaf needs all its neighbours to exist at the
     parent's level; each such cell forces its ancestors to split.
     """
-    current = saved(leaves.select(F.col("level").cast("int").alias("level"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")))
-    near = F.explode(F.expr("transform(sequence(0, 8), k -> named_struct('di', k % 3 - 1, 'dj', cast(floor(k / 3) as int) - 1))"))
+    key = ["level", *axes]
+    current = saved(leaves.select(F.col("level").cast("int").alias("level"), *(F.col(c).cast("long").alias(c) for c in axes)))
+    near = _moved(list(product((-1, 0, 1), repeat=len(axes))), axes)
+    width = F.expr("shiftleft(1L, level)")
     while True:
-        width = F.expr("shiftleft(1L, level)")
-        parents = current.filter("level >= 2").select((F.col("level") - 1).alias("level"), F.shiftright("i", 1).alias("i"), F.shiftright("j", 1).alias("j")).distinct()
-        wanted = (
-            parents.select("level", "i", "j", near.alias("d")).select("level", (F.col("i") + F.col("d.di")).alias("i"), (F.col("j") + F.col("d.dj")).alias("j"))
-            .filter((F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("i") < width) & (F.col("j") < width)).distinct()
-        )
+        parents = current.filter("level >= 2").select((F.col("level") - 1).alias("level"), *(F.shiftright(c, 1).alias(c) for c in axes)).distinct()
+        wanted = parents.select(*key, near.alias("d")).select("level", *((F.col(c) + F.col(f"d.{c}")).alias(c) for c in axes))
+        for c in axes:
+            wanted = wanted.filter((F.col(c) >= 0) & (F.col(c) < width))
         up = F.explode(F.sequence(F.lit(1), F.col("level")))
-        above = wanted.select("level", "i", "j", up.alias("u")).select(
-            (F.col("level") - F.col("u")).alias("level"), F.expr("shiftright(i, u)").alias("i"), F.expr("shiftright(j, u)").alias("j")
-        ).distinct()
-        coarse = saved(current.join(above, ["level", "i", "j"], "left_semi"))
+        above = wanted.distinct().select(*key, up.alias("u")).select((F.col("level") - F.col("u")).alias("level"), *(F.expr(f"shiftright({c}, u)").alias(c) for c in axes))
+        coarse = saved(current.join(above.distinct(), key, "left_semi"))
         if coarse.isEmpty():
             return current
-        current = saved(current.join(coarse, ["level", "i", "j"], "left_anti").unionByName(_children(coarse)))
+        current = saved(current.join(coarse, key, "left_anti").unionByName(_children(coarse, axes)))
 
 
-def interfaces(leaves: DataFrame) -> DataFrame:
-    """Pairs of a leaf and an edge neighbour one level finer: ``level, i, j, fine_i, fine_j``."""
-    sides = F.explode(F.expr("array(named_struct('di', -1, 'dj', 0), named_struct('di', 2, 'dj', 0), named_struct('di', -1, 'dj', 1), named_struct('di', 2, 'dj', 1), named_struct('di', 0, 'dj', -1), named_struct('di', 1, 'dj', -1), named_struct('di', 0, 'dj', 2), named_struct('di', 1, 'dj', 2))"))
-    asked = leaves.select("level", "i", "j", sides.alias("d")).select("level", "i", "j", (2 * F.col("i") + F.col("d.di")).alias("fine_i"), (2 * F.col("j") + F.col("d.dj")).alias("fine_j"))
-    fine = leaves.select((F.col("level") - 1).alias("level"), F.col("i").alias("fine_i"), F.col("j").alias("fine_j"))
-    return asked.join(fine, ["level", "fine_i", "fine_j"]).select("level", "i", "j", "fine_i", "fine_j")
+def interfaces(leaves: DataFrame, axes: str = "ij") -> DataFrame:
+    """Pairs of a leaf and a neighbour over a face one level finer: ``level, axes`` and ``fine_`` of each axis."""
+    within = list(product((0, 1), repeat=len(axes) - 1))
+    offsets = [(*w[:d], side, *w[d:]) for d in range(len(axes)) for side in (-1, 2) for w in within]
+    asked = leaves.select("level", *axes, _moved(offsets, axes).alias("d")).select("level", *axes, *((2 * F.col(c) + F.col(f"d.{c}")).alias(f"fine_{c}") for c in axes))
+    fine = leaves.select((F.col("level") - 1).alias("level"), *(F.col(c).alias(f"fine_{c}") for c in axes))
+    return asked.join(fine, ["level", *(f"fine_{c}" for c in axes)]).select("level", *axes, *(f"fine_{c}" for c in axes))

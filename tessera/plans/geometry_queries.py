@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import morton
@@ -152,14 +152,19 @@ def facet_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.facet_summary(_facets(spark, sf_dir))
 
 
+def box_facets(table: DataFrame, key: str, low: tuple[Column, ...], high: tuple[Column, ...]) -> DataFrame:
+    """Twelve facets ``key, facet_id int`` and corners for each row's box, normals outward."""
+    corner = {i: tuple(F.when(F.lit(bool(i >> a & 1)), hi).otherwise(lo).cast("double") for a, (lo, hi) in enumerate(zip(low, high, strict=True))) for i in range(8)}
+    faces = [(0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5), (3, 7, 5)]
+    rows = [F.struct(F.lit(n).alias("facet_id"), *(e.alias(v + x) for v, i in zip("abc", f, strict=True) for x, e in zip("xyz", corner[i], strict=True))) for n, f in enumerate(faces)]
+    return table.select(key, F.explode(F.array(*rows)).alias("f")).select(key, "f.*")
+
+
 def points_in_solids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points strictly inside the boxes spanned by suppliers, each a closed mesh of twelve facets."""
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", (F.col("s_suppkey") % 20).cast("double").alias("o"))
     c = F.col("o")
-    corner = {i: (c + (0.25 if not i & 1 else 9.75), F.lit(1.25 if not i & 2 else 6.75), F.lit(0.75 if not i & 4 else 5.25)) for i in range(8)}
-    faces = [(0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5), (3, 7, 5)]
-    rows = F.explode(F.array(*(F.struct(*(e.alias(v + x) for v, i in zip("abc", f, strict=True) for x, e in zip("xyz", corner[i], strict=True))) for f in faces)))
-    facets = suppliers.select("s_suppkey", rows.alias("f")).select("s_suppkey", "f.*")
+    facets = box_facets(suppliers, "s_suppkey", (c + 0.25, F.lit(1.25), F.lit(0.75)), (c + 9.75, F.lit(6.75), F.lit(5.25)))
     inside = mesh.enclosed(_cells(spark, sf_dir), facets, "s_suppkey", "cell_id")
     return inside.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.min("cell_id").alias("first"))
 
