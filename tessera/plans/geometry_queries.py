@@ -154,10 +154,11 @@ def facet_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def box_facets(table: DataFrame, key: str, low: tuple[Column, ...], high: tuple[Column, ...]) -> DataFrame:
     """Twelve facets ``key, facet_id int`` and corners for each row's box, normals outward."""
-    corner = {i: tuple(F.when(F.lit(bool(i >> a & 1)), hi).otherwise(lo).cast("double") for a, (lo, hi) in enumerate(zip(low, high, strict=True))) for i in range(8)}
     faces = [(0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5), (3, 7, 5)]
-    rows = [F.struct(F.lit(n).alias("facet_id"), *(e.alias(v + x) for v, i in zip("abc", f, strict=True) for x, e in zip("xyz", corner[i], strict=True))) for n, f in enumerate(faces)]
-    return table.select(key, F.explode(F.array(*rows)).alias("f")).select(key, "f.*")
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("facet_id"), *(F.lit(i).alias(v) for v, i in zip("abc", f, strict=True))) for n, f in enumerate(faces))))
+    ends = [F.array(lo.cast("double"), hi.cast("double")).alias(x) for x, lo, hi in zip("xyz", low, high, strict=True)]
+    corners = [F.col(x)[F.shiftright(f"f.{v}", bit) % 2].alias(v + x) for v in "abc" for bit, x in enumerate("xyz")]
+    return table.select(key, *ends, rows.alias("f")).select(key, "f.facet_id", *corners)
 
 
 def points_in_solids(spark: SparkSession, sf_dir: str) -> DataFrame:
