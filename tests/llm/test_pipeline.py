@@ -56,7 +56,15 @@ def test_run_gives_the_last_stage(spark, steps):
 
 def test_odd_rows_pass_through(spark):
     docs = spark.createDataFrame(odd_rows(), SCHEMA)
-    for name, stage in corpus_pipeline.STAGES[1:4]:
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, docs, SMALL)
         assert after.columns == docs.columns, name
         assert after.count() <= docs.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert packed.filter("piece = 0").count() == docs.count()
+
+
+def test_empty_tables_pass_through(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SMALL).isEmpty(), name
