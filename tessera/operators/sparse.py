@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.tables import saved
@@ -71,20 +71,23 @@ def scale(entries: DataFrame, how: str) -> DataFrame:
 
 
 def similar_rows(entries: DataFrame, k: int, least: float, measure: str = "cosine") -> DataFrame:
-    """For each row the k most similar other rows: ``row, other, similarity, rank``; cosine or jaccard (of column sets).
+    """For each row the k most similar other rows: ``row, other, similarity, rank``.
 
-    Rows meet through an inverted index of their columns, so prune frequent columns first.
+    Measures: ``cosine``; ``jaccard`` of column sets; ``min``, the sum of the smaller values over that of
+    the larger ones; ``amin``, the same over the sum of the row itself, which is not symmetric.  The last
+    two take values that are not negative.  Rows meet through an inverted index of their columns, so prune
+    frequent columns first.
     """
-    size = norms(entries, "row").select("row", F.col("norm" if measure == "cosine" else "n").alias("size"))
+    size = norms(entries, "row").select("row", F.col({"cosine": "norm", "jaccard": "n"}.get(measure, "total")).alias("size"))
     x, y = entries.alias("x"), entries.alias("y")
-    product = F.col("x.val") * F.col("y.val") if measure == "cosine" else F.lit(1)
-    common = x.join(y, (F.col("x.col") == F.col("y.col")) & (F.col("x.row") < F.col("y.row"))).groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b")).agg(F.sum(product).alias("common"))
+    shared = {"cosine": F.col("x.val") * F.col("y.val"), "jaccard": F.lit(1)}.get(measure, F.least("x.val", "y.val"))
+    common = x.join(y, (F.col("x.col") == F.col("y.col")) & (F.col("x.row") < F.col("y.row"))).groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b")).agg(F.sum(shared).alias("common"))
     sized = common.join(size.select(F.col("row").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("row").alias("b"), F.col("size").alias("nb")), "b")
-    value: Column = F.col("common") / (F.col("na") * F.col("nb") if measure == "cosine" else F.col("na") + F.col("nb") - F.col("common"))
-    found = sized.withColumn("similarity", value).filter(F.col("similarity") >= least)
-    both = found.select(F.col("a").alias("row"), F.col("b").alias("other"), "similarity").unionByName(found.select(F.col("b").alias("row"), F.col("a").alias("other"), "similarity"))
+    both = sized.select(F.col("a").alias("row"), F.col("b").alias("other"), "common", "na", "nb").unionByName(sized.select(F.col("b").alias("row"), F.col("a").alias("other"), "common", F.col("nb").alias("na"), F.col("na").alias("nb")))
+    against = {"cosine": F.col("na") * F.col("nb"), "amin": F.col("na")}.get(measure, F.col("na") + F.col("nb") - F.col("common"))
+    found = both.withColumn("similarity", F.col("common") / against).filter(F.col("similarity") >= least)
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("similarity"), "other"))
-    return both.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.select("row", "other", "similarity", rank.alias("rank")).filter(F.col("rank") <= k)
 
 
 def symmetric(edges: DataFrame, how: str = "max") -> DataFrame:

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -29,15 +30,16 @@ def refine(points: DataFrame, max_level: int, most: int, axes: str = "ij") -> Da
     nodes = saved(nodes)
     split = nodes.filter((F.col("n") > most) & (F.col("level") < max_level)).select("level", *axes)
     root = points.sparkSession.range(1).select(F.lit(0).alias("level"), *(F.lit(0).cast("long").alias(c) for c in axes))
-    children = _children(split, axes).unionByName(root)
+    children = children(split, axes).unionByName(root)
     leaves = children.join(split, ["level", *axes], "left_anti").join(nodes, ["level", *axes], "left")
     return leaves.select("level", *axes, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _children(split: DataFrame, axes: str) -> DataFrame:
+def children(split: DataFrame, axes: str, extra: Sequence[str] = ()) -> DataFrame:
+    """The cells one level finer, with the extra columns of their parents."""
     part = F.explode(F.sequence(F.lit(0), F.lit(2 ** len(axes) - 1)))
-    return split.select((F.col("level") + 1).alias("level"), *axes, part.alias("q")).select(
-        "level", *((F.col(c) * 2 + F.shiftright("q", d) % 2).cast("long").alias(c) for d, c in enumerate(axes))
+    return split.select((F.col("level") + 1).alias("level"), *axes, *extra, part.alias("_part")).select(
+        "level", *((F.col(c) * 2 + F.shiftright("_part", d) % 2).cast("long").alias(c) for d, c in enumerate(axes)), *extra
     )
 
 
@@ -65,7 +67,7 @@ def balance(leaves: DataFrame, max_level: int, axes: str = "ij") -> DataFrame:
         coarse = saved(current.join(above.distinct(), key, "left_semi"))
         if coarse.isEmpty():
             return current
-        current = saved(current.join(coarse, key, "left_anti").unionByName(_children(coarse, axes)))
+        current = saved(current.join(coarse, key, "left_anti").unionByName(children(coarse, axes)))
 
 
 def interfaces(leaves: DataFrame, axes: str = "ij") -> DataFrame:

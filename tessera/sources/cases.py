@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import boolean_word, near, normal_name
+from tessera.sources.units import known_units, whole_exponents
 
 #: Units (fixed values): symbol, whether prefixes apply, factor to SI, exponents of length, mass, time and temperature.
 UNITS = [
@@ -52,10 +53,10 @@ def case_lines(texts: DataFrame, key: str = "case_id", text: str = "text") -> Da
 
 
 def parse_cases(lines: DataFrame, key: str = "case_id") -> DataFrame:
-    """Typed rows: ``key, line_no, name, kind`` (quantity, bool, string, error), ``value double`` in SI units, ``dims array<int>``, ``flag boolean``, ``word string``.
+    """Typed rows: ``key, line_no, name, kind`` (quantity, bool, string, error), ``value double`` in SI units, ``dims array<int>``, ``flag boolean``, ``word string``, ``exponents array<struct<num, den>>``.
 
-    Aliases are resolved.  A unit is a product of terms with ``*``, ``/`` and whole exponents ``^``;
-    an unknown term makes the row an error.
+    Aliases are resolved.  Units follow the grammar of ``units.flat_unit``; one that is not well formed or
+    has an unknown symbol makes the row an error.  ``dims`` is null where an exponent is a fraction.
     """
     spark = lines.sparkSession
     alias = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))
@@ -65,34 +66,24 @@ def parse_cases(lines: DataFrame, key: str = "case_id") -> DataFrame:
             "name": F.coalesce(alias[F.col("name")], F.col("name")),
             "number": F.when(number != "", number.cast("double")),
             "flag": boolean_word(F.col("rest")),
-            "unit": F.regexp_replace(F.regexp_replace("rest", _NUMBER, ""), r"\s+", ""),
+            "unit": F.trim(F.regexp_replace("rest", _NUMBER, "")),
         }
     )
-    term = F.explode_outer(F.regexp_extract_all("unit", F.lit(r"([*/]?[A-Za-z]+(?:\^-?\d+)?)"), 1))
-    terms = typed.filter("number is not null and unit <> ''").select(key, "line_no", "unit", term.alias("term"))
-    power = F.coalesce(F.try_to_number(F.regexp_extract("term", r"\^(-?\d+)$", 1), F.lit("S99")).cast("int"), F.lit(1))
-    parts = terms.select(
-        key, "line_no", F.regexp_extract("term", "([A-Za-z]+)", 1).alias("symbol"), F.when(F.col("term").startswith("/"), -power).otherwise(power).alias("power")
-    )
-    known = parts.join(F.broadcast(unit_symbols(spark)), "symbol", "left")
-    units = known.groupBy(key, "line_no").agg(
-        F.product(F.pow("factor", "power")).alias("factor"),
-        F.array(*(F.sum(F.col("dims")[i] * F.col("power")).cast("int") for i in range(4))).alias("dims"),
-        F.bool_and(F.col("factor").isNotNull()).alias("known"),
-    )
-    well_formed = F.col("unit").rlike(r"^[A-Za-z]+(?:\^-?\d+)?(?:[*/][A-Za-z]+(?:\^-?\d+)?)*$")
-    joined = typed.join(units, [key, "line_no"], "left")
+    units = known_units(typed.filter("number is not null and unit <> ''"), unit_symbols(spark))
+    joined = typed.join(units, "unit", "left")
     plain = F.col("unit") == ""
     kind = (
         F.when(F.col("name").isNull() | (F.col("rest") == ""), "error").when(F.col("flag").isNotNull(), "bool").when(F.col("number").isNull(), "string")
-        .when(plain | (well_formed & F.col("known")), "quantity").otherwise("error")
+        .when(plain | F.col("factor").isNotNull(), "quantity").otherwise("error")
     )
     value = F.when(plain, F.col("number")).otherwise(F.col("number") * F.col("factor"))
-    nothing = F.array(*[F.lit(0)] * 4)
+    nothing = F.array(*[F.struct(F.lit(0).cast("long").alias("num"), F.lit(1).cast("long").alias("den"))] * 4)
+    exponents = F.when(F.col("kind") == "quantity", F.coalesce("exponents", nothing))
     is_quantity = F.col("kind") == "quantity"
     return joined.withColumn("kind", kind).select(
-        key, "line_no", "name", "kind", F.when(is_quantity, value).alias("value"), F.when(is_quantity, F.coalesce("dims", nothing)).alias("dims"), "flag",
+        key, "line_no", "name", "kind", F.when(is_quantity, value).alias("value"), whole_exponents(exponents).alias("dims"), "flag",
         F.when(F.col("kind") == "string", F.regexp_replace("rest", r"""^(['"])(.*)\1$""", "$2")).alias("word"),
+        exponents.alias("exponents"),
     )
 
 
