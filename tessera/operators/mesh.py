@@ -6,12 +6,12 @@ Indexed facets: ``facet_id long, v0, v1, v2 long``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import Vector, cross, dot, minus, norm, solid_angle, vector
 from tessera.plans.components import connected_components
-from tessera.plans.tables import saved
+from tessera.plans.scans import sums_before
 
 #: A facet with a lower quality is called poor, one over so many mean areas oversized.
 QUALITY, OVERSIZED = 0.2, 4.0
@@ -90,13 +90,8 @@ def weld(points: DataFrame, radius: float, key: str = "id") -> DataFrame:
 
 
 def dense_ids(table: DataFrame, column: str, name: str) -> DataFrame:
-    """Numbers the distinct values of a column from 0 in their order, in two levels: within ranges, then over ranges."""
-    values = saved(table.select(column).distinct().repartitionByRange(column).withColumn("part", F.spark_partition_id()))
-    sizes = values.groupBy("part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    bases = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "base")
-    within = Window.partitionBy("part").orderBy(column)
-    return values.join(F.broadcast(bases), "part").select(column, (F.col("base") + F.row_number().over(within) - 1).alias(name))
+    """Numbers the distinct values of a column from 0 in their order."""
+    return sums_before(table.select(column).distinct(), [column], {name: F.lit(1)})
 
 
 def surface_components(indexed: DataFrame) -> DataFrame:

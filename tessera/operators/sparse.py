@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.scans import sums_before
 from tessera.plans.tables import saved
 
 
@@ -52,42 +53,58 @@ def normalise(entries: DataFrame, by: str, order: int = 2) -> DataFrame:
     return entries.join(size, by).withColumn("val", F.when(F.col("_size") > 0, F.col("val") / F.col("_size")).otherwise(F.col("val"))).drop("_size")
 
 
+#: Exponents of the scalings by a power (fixed values).
+POWERS = {"sqrt": 0.5, "pow25": 0.25, "pow65": 0.65, "pow75": 0.75, "pow85": 0.85}
+#: The scalings by a row's largest value: what each value starts from (fixed values).
+LARGEST = {"maxtf": 0.5, "maxtf2": 0.1}
+
+
 def scale(entries: DataFrame, how: str) -> DataFrame:
-    """Rescales values: ``maxtf`` (0.5 + 0.5 v / the row's largest), ``sqrt``, ``log`` (1 + log2 |v|, signed) or ``idf`` (v times log of rows over rows with the column)."""
+    """Rescales values; a zero stays zero under powers and ``log``.
+
+    ``maxtf`` and ``maxtf2``: b + (1 - b) v / the largest |v| of the row, with b of 0.5 and 0.1.
+    ``sqrt``, ``pow25``, ``pow65``, ``pow75``, ``pow85``: 0.1 + |v| to that power, with the sign of v on it.
+    ``log``: 1 + log2 |v|, with the sign of v on the logarithm.  ``idf``: v ln(rows / rows with the column).
+    ``idf2``: v ln((rows + 2 f) / (f + rows with the column)), f being half the mean size of a column, 10 at least.
+    """
     v = F.col("val")
-    sign = F.signum("val")
-    if how == "maxtf":
+    if how in LARGEST:
+        base = LARGEST[how]
         largest = entries.groupBy("row").agg(F.max(F.abs("val")).alias("_max"))
-        return entries.join(largest, "row").withColumn("val", 0.5 + 0.5 * v / F.col("_max")).drop("_max")
-    if how == "sqrt":
-        return entries.withColumn("val", sign * F.sqrt(F.abs(v)))
+        return entries.join(largest, "row").withColumn("val", base + (1 - base) * v / F.col("_max")).drop("_max")
+    if how in POWERS:
+        return entries.withColumn("val", F.when(v != 0, 0.1 + F.signum(v) * F.pow(F.abs(v), F.lit(POWERS[how]))).otherwise(v))
     if how == "log":
-        return entries.withColumn("val", F.when(v != 0, sign * (1 + F.log2(F.abs(v)))).otherwise(v))
-    if how == "idf":
-        rows = entries.agg(F.count_distinct("row").alias("_rows"))
+        return entries.withColumn("val", F.when(v != 0, 1 + F.signum(v) * F.log2(F.abs(v))).otherwise(v))
+    if how in ("idf", "idf2"):
         have = entries.groupBy("col").agg(F.count("*").alias("_have"))
-        return entries.join(have, "col").crossJoin(F.broadcast(rows)).withColumn("val", v * F.log(F.col("_rows") / F.col("_have"))).drop("_rows", "_have")
+        whole = entries.agg(F.count_distinct("row").alias("_rows"), F.greatest(F.lit(10), F.floor(0.5 * F.count("*") / F.count_distinct("col"))).alias("_f"))
+        rows, f = F.col("_rows"), F.when(F.lit(how == "idf2"), F.col("_f")).otherwise(0)
+        weighed = entries.join(have, "col").crossJoin(F.broadcast(whole))  # one row
+        return weighed.withColumn("val", v * F.log((rows + 2 * f) / (f + F.col("_have")))).drop("_rows", "_f", "_have")
     raise ValueError(f"unknown scaling {how!r}")
 
 
 def similar_rows(entries: DataFrame, k: int, least: float, measure: str = "cosine") -> DataFrame:
-    """For each row the k most similar other rows: ``row, other, similarity, rank``.
+    """For each row the k most similar other rows: ``row, other, similarity, rank``; ties go to the smaller row.
 
-    Measures: ``cosine``; ``jaccard`` of column sets; ``min``, the sum of the smaller values over that of
-    the larger ones; ``amin``, the same over the sum of the row itself, which is not symmetric.  The last
-    two take values that are not negative.  Rows meet through an inverted index of their columns, so prune
-    frequent columns first.
+    Measures: ``dot``; ``cosine``; ``tanimoto``, the product over the sum of squares less the product;
+    ``jaccard`` of column sets; ``min``, the sum of the smaller values over that of the larger ones;
+    ``amin``, the same over the sum of the row itself, which is not symmetric.  The last two take values
+    that are not negative.  Rows meet through an inverted index of their columns, so prune frequent
+    columns first.
     """
-    size = norms(entries, "row").select("row", F.col({"cosine": "norm", "jaccard": "n"}.get(measure, "total")).alias("size"))
+    sizes = {"dot": "n", "cosine": "norm", "tanimoto": "squares", "jaccard": "n", "min": "total", "amin": "total"}
+    size = norms(entries, "row").select("row", F.col(sizes[measure]).alias("size"))
     x, y = entries.alias("x"), entries.alias("y")
-    shared = {"cosine": F.col("x.val") * F.col("y.val"), "jaccard": F.lit(1)}.get(measure, F.least("x.val", "y.val"))
+    shared = {"jaccard": F.lit(1), "min": F.least("x.val", "y.val"), "amin": F.least("x.val", "y.val")}.get(measure, F.col("x.val") * F.col("y.val"))
     common = x.join(y, (F.col("x.col") == F.col("y.col")) & (F.col("x.row") < F.col("y.row"))).groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b")).agg(F.sum(shared).alias("common"))
     sized = common.join(size.select(F.col("row").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("row").alias("b"), F.col("size").alias("nb")), "b")
-    both = sized.select(F.col("a").alias("row"), F.col("b").alias("other"), "common", "na", "nb").unionByName(sized.select(F.col("b").alias("row"), F.col("a").alias("other"), "common", F.col("nb").alias("na"), F.col("na").alias("nb")))
-    against = {"cosine": F.col("na") * F.col("nb"), "amin": F.col("na")}.get(measure, F.col("na") + F.col("nb") - F.col("common"))
-    found = both.withColumn("similarity", F.col("common") / against).filter(F.col("similarity") >= least)
+    turned = sized.select(F.col("b").alias("a"), F.col("a").alias("b"), "common", F.col("nb").alias("na"), F.col("na").alias("nb"))
+    against = {"dot": F.lit(1.0), "cosine": F.col("na") * F.col("nb"), "amin": F.col("na")}.get(measure, F.col("na") + F.col("nb") - F.col("common"))
+    found = sized.unionByName(turned).select(F.col("a").alias("row"), F.col("b").alias("other"), (F.col("common") / against).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("similarity"), "other"))
-    return found.select("row", "other", "similarity", rank.alias("rank")).filter(F.col("rank") <= k)
+    return found.filter(F.col("similarity") >= least).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def symmetric(edges: DataFrame, how: str = "max") -> DataFrame:
@@ -129,9 +146,23 @@ def shortest_paths(edges: DataFrame, start: int) -> DataFrame:
 
 def roc(scored: DataFrame, score: str, positive: str) -> DataFrame:
     """One row: ``n, positives, area`` under the ROC curve, by summed ranks with ties at half."""
-    levels = scored.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("p"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)  # a row for each distinct score
-    counted = levels.withColumn("q", F.col("n") - F.col("p"))
-    counted = counted.withColumn("q_below", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    levels = scored.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("p")).withColumn("q", F.col("n") - F.col("p"))
+    counted = sums_before(levels, [score], {"q_below": F.col("q")})
     total = counted.agg(F.sum("n").alias("n"), F.sum("p").alias("positives"), F.sum("q").alias("q"), F.sum(F.col("p") * (F.col("q_below") + F.col("q") / 2)).alias("won"))
     return total.select("n", "positives", (F.col("won") / (F.col("positives") * F.col("q"))).alias("area"))
+
+
+def ranking(scored: DataFrame, score: str, positive: str, key: str) -> DataFrame:
+    """One row on a list from the highest score down, ties by key: ``n, positives, accuracy, median_false``.
+
+    ``accuracy``: the best percentage of right verdicts that a cut after some row gives.
+    ``median_false``: the share of negatives ahead of the positive at half the list's positives; null
+    without negatives, 0 without positives.  An empty table gives 0 rows counted and nulls.
+    """
+    rows = scored.select(F.col(score).alias("s"), F.col(key).alias("k"), F.coalesce(F.col(positive).cast("long"), F.lit(0)).alias("p")).withColumn("q", 1 - F.col("p"))
+    totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("p"), F.lit(0)).alias("positives"), F.coalesce(F.sum("q"), F.lit(0)).alias("negatives"))
+    ahead = sums_before(rows, [F.desc("s"), F.asc("k")], {"tp": F.col("p"), "fp": F.col("q")}).crossJoin(F.broadcast(totals))  # one row
+    right = F.col("tp") + F.col("p") + F.col("negatives") - F.col("fp") - F.col("q")
+    middle = (F.col("p") == 1) & (F.col("tp") + 1 == F.floor((F.col("positives") + 1) / 2))
+    found = ahead.agg(F.max(100.0 * right / F.col("n")).alias("accuracy"), F.coalesce(F.max(F.when(middle, F.col("fp"))), F.lit(0)).alias("before"))
+    return totals.crossJoin(F.broadcast(found)).select("n", "positives", "accuracy", F.when(F.col("negatives") > 0, F.col("before") / F.col("negatives")).alias("median_false"))

@@ -30,8 +30,8 @@ def refine(points: DataFrame, max_level: int, most: int, axes: str = "ij") -> Da
     nodes = saved(nodes)
     split = nodes.filter((F.col("n") > most) & (F.col("level") < max_level)).select("level", *axes)
     root = points.sparkSession.range(1).select(F.lit(0).alias("level"), *(F.lit(0).cast("long").alias(c) for c in axes))
-    children = children(split, axes).unionByName(root)
-    leaves = children.join(split, ["level", *axes], "left_anti").join(nodes, ["level", *axes], "left")
+    candidates = children(split, axes).unionByName(root)
+    leaves = candidates.join(split, ["level", *axes], "left_anti").join(nodes, ["level", *axes], "left")
     return leaves.select("level", *axes, F.coalesce("n", F.lit(0)).alias("n"))
 
 

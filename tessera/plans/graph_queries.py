@@ -181,6 +181,24 @@ def score_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.roc(scored, "n_chars", "quality").withColumn("area", F.round("area", 9))
 
 
+def alike_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three documents that hold most of a document's rarer words."""
+    rare = sparse.prune(_words(spark, sf_dir), "col", 2, 20)
+    return sparse.similar_rows(rare, 3, 0.2, "amin").withColumn("similarity", F.round("similarity", 9))
+
+
+def dampened_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the rows after scaling by dampened inverse document frequency."""
+    return sparse.norms(sparse.scale(_words(spark, sf_dir), "idf2"), "row").select("row", "n", F.round("total", 6).alias("total"))
+
+
+def length_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a list of the longest texts first holds the good ones."""
+    scored = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id")
+    found = sparse.ranking(scored, "n_chars", "quality", "doc_id")
+    return found.withColumns({c: F.round(c, 9) for c in ("accuracy", "median_false")})
+
+
 def item_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent sets of one or two part classes within an order, by FP-growth."""
     from pyspark.ml.fpm import FPGrowth
@@ -233,7 +251,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         orders_components, trade_edges, legal_cuts, rank_loads, load_imbalance, bisection, rank_ghosts, nation_rank, nation_matches, order_dual, nation_paths, pruned_words, weighted_words, top_words,
-        heavy_words, marked_words, similar_documents, score_area, item_sets, event_windows, case_values, case_rules,
+        heavy_words, marked_words, similar_documents, alike_documents, dampened_words, length_ranking, score_area, item_sets, event_windows, case_values, case_rules,
     )
 }
 
@@ -323,6 +341,24 @@ SQL = {
         SELECT row, other, round(similarity, 9) AS similarity, rank FROM (
             SELECT *, row_number() OVER (PARTITION BY row ORDER BY similarity DESC, other)::INTEGER AS rank FROM s WHERE similarity >= 0.1) WHERE rank <= 3
     """,
+    "alike_documents": f"""
+        WITH w AS MATERIALIZED ({_WORDS}), r AS MATERIALIZED ({_RARE}), n AS (SELECT row, sum(val) AS n FROM r GROUP BY row),
+        c AS (SELECT x.row AS row, y.row AS other, sum(least(x.val, y.val)) AS c FROM r x JOIN r y ON x.col = y.col AND x.row <> y.row GROUP BY 1, 2),
+        s AS (SELECT c.row, c.other, c.c / n.n AS similarity FROM c JOIN n ON c.row = n.row)
+        SELECT row, other, round(similarity, 9) AS similarity, rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY row ORDER BY similarity DESC, other)::INTEGER AS rank FROM s WHERE similarity >= 0.2) WHERE rank <= 3
+    """,
+    "dampened_words": f"""
+        WITH w AS MATERIALIZED ({_WORDS}), h AS (SELECT col, count(*) AS h FROM w GROUP BY col),
+        a AS (SELECT count(DISTINCT row) AS rows, greatest(10, floor(0.5 * count(*) / count(DISTINCT col))) AS f FROM w)
+        SELECT row, count(*) AS n, round(sum(val * ln((rows + 2 * f) / (f + h))), 6) AS total FROM w JOIN h USING (col), a GROUP BY row
+    """,
+    "length_ranking": """
+        WITH s AS (SELECT d.doc_id, n_chars, coalesce(quality, 0) AS p FROM documents d JOIN labels l USING (doc_id)),
+        t AS (SELECT *, sum(p) OVER o AS tp, sum(1 - p) OVER o AS fp, count(*) OVER () AS n, sum(p) OVER () AS pos FROM s WINDOW o AS (ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING))
+        SELECT any_value(n) AS n, any_value(pos)::BIGINT AS positives, round(max((tp + n - pos - fp) * 100.0::DOUBLE / n), 9) AS accuracy,
+               round(max(fp) FILTER (WHERE p = 1 AND tp = (pos + 1) // 2) / any_value(n - pos)::DOUBLE, 9) AS median_false FROM t
+    """,
     "score_area": """
         WITH d AS (SELECT n_chars AS s, quality AS q FROM documents JOIN labels USING (doc_id)),
         l AS (SELECT s, sum(q) AS p, count(*) - sum(q) AS m FROM d GROUP BY s),

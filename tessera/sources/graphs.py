@@ -7,9 +7,11 @@ say whether vertices have sizes, vertices have weights, and edges have weights.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.scans import sums_before
+
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
     """Edges ``path, a, b long, w double`` of all graph files under a path, vertices from 0, each edge in both directions as in the file.
@@ -77,8 +79,5 @@ def contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def ranked_levels(distances: DataFrame) -> DataFrame:
-    """Breadth-first order: ``node, position`` by hops and number; a running number within a level, on top of the sizes of the levels before."""
-    sizes = distances.groupBy("hops").agg(F.count("*").alias("n"))
-    before = Window.orderBy("hops").rowsBetween(Window.unboundedPreceding, -1)  # a row for each level
-    bases = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("hops", "base")
-    return distances.join(bases, "hops").select("node", (F.col("base") + F.row_number().over(Window.partitionBy("hops").orderBy("node")) - 1).alias("position"))
+    """Breadth-first order: ``node, position`` by hops and number, from 0."""
+    return sums_before(distances.select("hops", "node"), ["hops", "node"], {"position": F.lit(1)}).select("node", "position")

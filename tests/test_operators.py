@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import numbers
 from tessera.functions.vectors import vector
 from tessera.operators import mesh, partition, shapes, sparse, tree
+from tessera.plans.scans import sums_before
 from tessera.sources import cases, stl
 
 TETRAHEDRON = [((0, 0, 0), (0, 1, 0), (1, 0, 0)), ((0, 0, 0), (1, 0, 0), (0, 0, 1)), ((0, 0, 0), (0, 0, 1), (0, 1, 0)), ((1, 0, 0), (0, 1, 0), (0, 0, 1))]
@@ -122,9 +123,13 @@ def test_scalings(spark):
     m = spark.createDataFrame([(0, 0, 4.0), (0, 1, 1.0), (1, 1, 2.0)], "row long, col long, val double")
     got = lambda df: {(r.row, r.col): round(r.val, 6) for r in df.collect()}
     assert got(sparse.scale(m, "maxtf")) == {(0, 0): 1.0, (0, 1): 0.625, (1, 1): 1.0}
-    assert got(sparse.scale(m, "sqrt"))[0, 0] == 2
+    assert got(sparse.scale(m, "maxtf2"))[0, 1] == 0.325
+    assert got(sparse.scale(m, "sqrt"))[0, 0] == 2.1
+    assert got(sparse.scale(m.withColumn("val", -F.col("val")), "pow25"))[0, 0] == round(0.1 - 4**0.25, 6)
+    assert got(sparse.scale(m.withColumn("val", -F.col("val")), "log"))[0, 0] == -1
     assert got(sparse.scale(m, "log"))[0, 0] == 3
     assert got(sparse.scale(m, "idf"))[0, 1] == 0
+    assert got(sparse.scale(m, "idf2"))[0, 0] == round(4 * math.log(22 / 11), 6)
     assert got(sparse.normalise(m, "row", 1)) == {(0, 0): 0.8, (0, 1): 0.2, (1, 1): 1.0}
 
 
@@ -146,3 +151,32 @@ def test_case_file(spark):
     assert got[4, "name"].word == "a # b" and got[5, "periodic_x"].flag is True
     assert got[6, "l"].kind == "error" and got[8, None].kind == "error"
     assert [tuple(r) for r in cases.duplicates(rows).collect()] == [(1, "density", 7)]
+
+
+def test_similarity_measures(spark):
+    rows = {0: {0: 1.0, 1: 2.0}, 1: {1: 3.0, 2: 1.0}, 2: {3: 5.0}, 3: {0: 2.0, 1: 1.0, 2: 4.0}}
+    m = spark.createDataFrame([(r, c, v) for r, e in rows.items() for c, v in e.items()], "row long, col long, val double")
+    dot = lambda a, b: sum(v * b.get(c, 0) for c, v in a.items())
+    low = lambda a, b: sum(min(v, b.get(c, 0)) for c, v in a.items())
+    measures = {
+        "dot": dot, "cosine": lambda a, b: dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)), "tanimoto": lambda a, b: dot(a, b) / (dot(a, a) + dot(b, b) - dot(a, b)),
+        "jaccard": lambda a, b: len(a.keys() & b.keys()) / len(a.keys() | b.keys()), "min": lambda a, b: low(a, b) / (sum(a.values()) + sum(b.values()) - low(a, b)),
+        "amin": lambda a, b: low(a, b) / sum(a.values()),
+    }
+    for name, f in measures.items():
+        got = {(r.row, r.other): r.similarity for r in sparse.similar_rows(m, 5, 0.01, name).collect()}
+        assert got == pytest.approx({(a, b): f(rows[a], rows[b]) for a in rows for b in rows if a != b and dot(rows[a], rows[b])}), name
+
+
+def test_sums_before_and_rankings(spark):
+    n = 1000
+    table = spark.range(n).selectExpr("id", "id * 7919 % 1009 AS x", "if(id % 10 = 0, NULL, id % 5) AS v")
+    got = {r.x: r.s for r in sums_before(table, [F.desc("x")], {"s": F.col("v")}).collect()}
+    rows, total = sorted(((i * 7919 % 1009, 0 if i % 10 == 0 else i % 5) for i in range(n)), reverse=True), 0
+    for x, v in rows:
+        assert got[x] == total
+        total += v
+    assert sums_before(table.limit(0), ["x"], {"s": F.lit(1)}).isEmpty()
+    scored = spark.createDataFrame([(i, s, p) for i, (s, p) in enumerate([(9.0, 1), (8.0, 0), (8.0, 1), (7.0, 1), (5.0, 0), (4.0, None), (3.0, 1)])], "id long, s double, p int")
+    assert tuple(sparse.ranking(scored, "s", "p", "id").first()) == (7, 4, pytest.approx(500 / 7), pytest.approx(1 / 3))
+    assert tuple(sparse.ranking(scored.limit(0), "s", "p", "id").first()) == (0, 0, None, None)
