@@ -11,7 +11,7 @@ from tessera.sources import cases, units
 _ORIGIN, _WIDTH = (0.0, 0.0, 0.0), 2.0
 
 
-def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, regions.Region]:
+def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's domain of four cells an axis, around a ball whose place and size vary with the key."""
     k = F.col("s_suppkey")
     balls = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
@@ -23,18 +23,17 @@ def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, regions.Region
     centre, radius = tuple(F.col(f"c{x}") for x in "xyz"), F.col("radius")
     fluid = regions.BoxRegion(_ORIGIN, (8.0, 8.0, 8.0)) - regions.BallRegion(centre, radius)
     rules = [regions.Rule(regions.BallRegion(centre, 2 * radius), 1), regions.Rule(fluid, 2, 0.25, (6,))]
-    return regions.refine_by_rules(roots, rules, fluid, origin=_ORIGIN, width=_WIDTH), fluid
+    return regions.refine_by_rules(roots, rules, fluid, origin=_ORIGIN, width=_WIDTH)
 
 
 def ruled_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of each supplier's tree: refined in a wide ball, and more in a band around the ball that is cut out."""
-    return _forest(spark, sf_dir)[0].groupBy("s_suppkey", "level").agg(F.count("*").alias("leaves"))
+    return _forest(spark, sf_dir).groupBy("s_suppkey", "level").agg(F.count("*").alias("leaves"))
 
 
 def wet_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same trees without the leaves that lie in the ball."""
-    leaves, fluid = _forest(spark, sf_dir)
-    return regions.without_dry(leaves, fluid, origin=_ORIGIN, width=_WIDTH).groupBy("s_suppkey", "level").agg(F.count("*").alias("leaves"))
+    return _forest(spark, sf_dir).filter("wet").groupBy("s_suppkey", "level").agg(F.count("*").alias("leaves"))
 
 
 def root_units(spark: SparkSession, sf_dir: str) -> DataFrame:

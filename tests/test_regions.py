@@ -56,6 +56,9 @@ def test_leaves_tile_the_domain_and_follow_the_rules(spark):
         own = [r for r in leaves if r.id == n]
         assert sum(4.0**-r.level for r in own) == 4
         assert max(r.level for r in own) == (0 if n == 2 else 4)
+    assert all(r.wet for r in leaves)
+    dry = regions.refine_by_rules(roots, rules[:1], ~regions.BallRegion((F.col("cx"), 1.0), 0.3), "ij", (0.0, 0.0), 1.0).collect()
+    assert {r.wet for r in dry} == {True, False} and all(math.dist(((r.i + 0.5) / 2**r.level, (r.j + 0.5) / 2**r.level), (r.cx, 1.0)) < 0.3 for r in dry if not r.wet)
     for r in leaves:
         if r.r is not None and r.level < 3:
             h = 0.5**r.level
