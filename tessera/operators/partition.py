@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.scans import sums_before
+
 
 def edge_totals(contacts: DataFrame, by: list[str], bytes_each: float) -> DataFrame:
     """Aggregates single contacts ``a, b, level`` to edges: count first, so the sums do not depend on their order."""
@@ -74,3 +76,17 @@ def ghosts(edges: DataFrame, owners: DataFrame) -> DataFrame:
     cut = edges.select("a", "b").join(a, "a").join(b, "b").filter("rank_a <> rank_b")
     need = cut.select(F.col("rank_a").alias("rank"), F.col("rank_b").alias("peer"), F.col("b").alias("atom_id"))
     return need.unionByName(cut.select(F.col("rank_b").alias("rank"), F.col("rank_a").alias("peer"), F.col("a").alias("atom_id"))).distinct()
+
+
+def local_views(owners: DataFrame, needed: DataFrame) -> DataFrame:
+    """What each rank holds and under which number: ``rank, ghost boolean, atom_id, local``.
+
+    A rank's own atoms come first and then its ghosts (``needed`` as from ``ghosts``, from any number
+    of peers), both by id, numbered from 0.  Running numbers over all ranks less each rank's first one,
+    so that no rank meets in one task.  Ranks without ghosts have only their atoms.
+    """
+    own = owners.select("rank", F.lit(False).alias("ghost"), "atom_id")
+    rows = own.unionByName(needed.select("rank", F.lit(True).alias("ghost"), "atom_id").distinct())
+    numbered = sums_before(rows, ["rank", "ghost", "atom_id"], {"local": F.lit(1)})
+    bases = numbered.groupBy("rank").agg(F.min("local").alias("_base"))
+    return numbered.join(bases, "rank").select("rank", "ghost", "atom_id", (F.col("local") - F.col("_base")).alias("local"))

@@ -100,14 +100,29 @@ _HALF = """
 """
 
 
+def _customer_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("atom_id"), (F.col("c_custkey") % 8).alias("rank"))
+
+
 def rank_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers that ranks need from each other: customers who share a supplier."""
     items, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
     bought = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).select("l_suppkey", F.col("o_custkey").alias("c")).distinct()
     first = bought.groupBy("l_suppkey").agg(F.min("c").alias("a"))
     edges = bought.join(first, "l_suppkey").filter("a < c").select("a", F.col("c").alias("b")).distinct()
-    owners = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("atom_id"), (F.col("c_custkey") % 8).alias("rank"))
-    return partition.ghosts(edges, owners)
+    return partition.ghosts(edges, _customer_ranks(spark, sf_dir))
+
+
+def local_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers under which the eight ranks hold their own customers and those of others."""
+    return partition.local_views(_customer_ranks(spark, sf_dir), rank_ghosts(spark, sf_dir))
+
+
+_GHOSTS = """
+    WITH l AS (SELECT DISTINCT l_suppkey, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    e AS (SELECT DISTINCT f.a, l.c AS b FROM l JOIN (SELECT l_suppkey, min(c) AS a FROM l GROUP BY 1) f USING (l_suppkey) WHERE f.a < l.c AND f.a % 8 <> l.c % 8)
+    SELECT a % 8 AS rank, b % 8 AS peer, b AS atom_id FROM e UNION SELECT b % 8, a % 8, a FROM e
+"""
 
 
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +265,7 @@ def case_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        orders_components, trade_edges, legal_cuts, rank_loads, load_imbalance, bisection, rank_ghosts, nation_rank, nation_matches, order_dual, nation_paths, pruned_words, weighted_words, top_words,
+        orders_components, trade_edges, legal_cuts, rank_loads, load_imbalance, bisection, rank_ghosts, local_views, nation_rank, nation_matches, order_dual, nation_paths, pruned_words, weighted_words, top_words,
         heavy_words, marked_words, similar_documents, alike_documents, dampened_words, length_ranking, score_area, item_sets, event_windows, case_values, case_rules,
     )
 }
@@ -303,10 +318,10 @@ SQL = {
         WITH a0 AS MATERIALIZED (SELECT atom_id, lo, work, 0::BIGINT AS rank FROM ({_ATOMS})), a1 AS MATERIALIZED ({_HALF.format("a0")}), a2 AS ({_HALF.format("a1")})
         SELECT atom_id, rank::BIGINT AS rank FROM a2
     """,
-    "rank_ghosts": """
-        WITH l AS (SELECT DISTINCT l_suppkey, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-        e AS (SELECT DISTINCT f.a, l.c AS b FROM l JOIN (SELECT l_suppkey, min(c) AS a FROM l GROUP BY 1) f USING (l_suppkey) WHERE f.a < l.c AND f.a % 8 <> l.c % 8)
-        SELECT a % 8 AS rank, b % 8 AS peer, b AS atom_id FROM e UNION SELECT b % 8, a % 8, a FROM e
+    "rank_ghosts": _GHOSTS,
+    "local_views": f"""
+        SELECT rank, ghost, atom_id, row_number() OVER (PARTITION BY rank ORDER BY ghost, atom_id) - 1 AS local FROM (
+            SELECT c_custkey % 8 AS rank, false AS ghost, c_custkey AS atom_id FROM customer UNION SELECT rank, true, atom_id FROM ({_GHOSTS}))
     """,
     "nation_rank": _page_rank_sql(5),
     "nation_matches": f"""

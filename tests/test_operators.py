@@ -180,3 +180,11 @@ def test_sums_before_and_rankings(spark):
     scored = spark.createDataFrame([(i, s, p) for i, (s, p) in enumerate([(9.0, 1), (8.0, 0), (8.0, 1), (7.0, 1), (5.0, 0), (4.0, None), (3.0, 1)])], "id long, s double, p int")
     assert tuple(sparse.ranking(scored, "s", "p", "id").first()) == (7, 4, pytest.approx(500 / 7), pytest.approx(1 / 3))
     assert tuple(sparse.ranking(scored.limit(0), "s", "p", "id").first()) == (0, 0, None, None)
+
+
+def test_local_views(spark):
+    owners = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (5, 0), (9, 2)], "atom_id long, rank long")
+    edges = spark.createDataFrame([(0, 1), (0, 5), (2, 1), (1, 5)], "a long, b long")
+    got = partition.local_views(owners, partition.ghosts(edges, owners)).collect()
+    expected = {(0, False, 1, 0), (0, False, 5, 1), (0, True, 0, 2), (0, True, 2, 3), (1, False, 0, 0), (1, False, 2, 1), (1, True, 1, 2), (1, True, 5, 3), (2, False, 9, 0)}
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
