@@ -15,8 +15,10 @@ from tessera.plans.tables import saved
 
 #: A document with fewer words fails, as does one with a larger share of repeated words (percent).
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: A band's reach on a side of the median, in distances from it to the quantile at BAND_QUANTILE on that side, and the least reach below and above in nats.
-BAND_WIDTH, BAND_QUANTILE, LEAST_BELOW, LEAST_ABOVE = 4.0, 0.1, 0.1, 1.0
+#: A band's reach on a side of the median, in distances from it to the quantile at BAND_QUANTILE on that side, and the least reach on either side in nats.
+BAND_WIDTH, BAND_QUANTILE, LEAST_REACH = 4.0, 0.1, 0.1
+#: Characters of a passage, which is scored under its likeliest language.
+PASSAGE = 128
 
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
@@ -37,10 +39,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     Kneser-Ney model of each language sits in sorted hash arrays.  Over a 32-symbol
     alphabet a language has at most 2**20 four-grams, which bounds what the driver and the
     broadcast hold.  A language's band runs from its median to four times the distance of
-    its lower or upper decile, and at least 0.1 nats below and 1 nat above, so that prose with
-    passages in another language stays; its quantiles come from exact
-    counts of log-perplexities in thousandths, over documents that pass the rules on words.
-    Documents outside the band are rejected.
+    its lower or upper decile, and at least 0.1 nats either way; its quantiles come from exact
+    counts of scores in thousandths, over documents that pass the rules on words.
+    Documents whose score is outside the band are rejected.  A score is the document's
+    log-perplexity with every passage of 128 characters under its likeliest language, so that prose
+    with passages in another language stays; where less than half of the characters are
+    likeliest in the document's own language, all are scored in that language.
 
     Null language: its own group, ``und``.  Null and empty texts have no words and fail.
     Ids need not be unique or non-null.  An empty table gives no rows; other columns are not
@@ -88,8 +92,8 @@ def _bands(judged: DataFrame) -> DataFrame:
     found = ranked.groupBy("language").agg(quantile(BAND_QUANTILE).alias("q_low"), quantile(0.5).alias("q_mid"), quantile(1 - BAND_QUANTILE).alias("q_high"))
     return found.select(
         "language",
-        (F.col("q_mid") - F.greatest(F.lit(1000 * LEAST_BELOW), BAND_WIDTH * (F.col("q_mid") - F.col("q_low")))).alias("low"),
-        (F.col("q_mid") + F.greatest(F.lit(1000 * LEAST_ABOVE), BAND_WIDTH * (F.col("q_high") - F.col("q_mid")))).alias("high"),
+        (F.col("q_mid") - F.greatest(F.lit(1000 * LEAST_REACH), BAND_WIDTH * (F.col("q_mid") - F.col("q_low")))).alias("low"),
+        (F.col("q_mid") + F.greatest(F.lit(1000 * LEAST_REACH), BAND_WIDTH * (F.col("q_high") - F.col("q_mid")))).alias("high"),
     )
 
 
@@ -97,31 +101,42 @@ def _judge(batches: Iterator[pa.RecordBatch], models: dict[str, KneserNey]) -> I
     for batch in batches:
         for part in W.slices(batch):
             words = W.batch_words(part)
-            surprise, n = _surprise(part, models)
+            surprise, score, n = _surprise(part, models)
             known = n > 0
             per = surprise / np.maximum(n, 1) / UNIT
             columns = {"doc_id": part.column("doc_id"), "language": part.column("language"), "n_words": words.counts}
             columns |= _base(words)
-            columns["thousandths"] = pa.array(np.round(1000 * per).astype(np.int64), mask=~known)
+            columns["thousandths"] = pa.array(np.round(1000 * score / np.maximum(n, 1) / UNIT).astype(np.int64), mask=~known)
             columns["log_perplexity"] = pa.array(per, mask=~known)
             yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for k, v in columns.items()})
 
 
-def _surprise(part: pa.RecordBatch, models: dict[str, KneserNey]) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the sum of -log p, in units of 1 / UNIT, and its number of characters."""
+def _surprise(part: pa.RecordBatch, models: dict[str, KneserNey]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the sum of -log p in its language and that by passages, in units of 1 / UNIT, and its number of characters."""
     grams, at = text_grams(part.column("text").to_pylist())
+    n = np.diff(at)
     language = part.column("language").dictionary_encode()
-    of_gram = np.repeat(language.indices.to_numpy(), np.diff(at))
-    cost = np.zeros(len(grams), np.int64)
+    code = {name: i for i, name in enumerate(language.dictionary.to_pylist())}
+    pieces = -(-n // PASSAGE)
+    first = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(pieces, out=first[1:])
+    of = np.repeat(np.arange(len(n)), pieces)
+    start = at[of] + PASSAGE * (np.arange(first[-1]) - first[of])
+    size = np.minimum(start + PASSAGE, at[of + 1]) - start
+    speaks = language.indices.to_numpy()[of]
+    own = np.zeros(len(of), np.int64)
+    best = np.full(len(of), np.iinfo(np.int64).max)
+    distinct = np.flatnonzero(np.bincount(grams, minlength=GRAMS))
     table = np.zeros(GRAMS, np.int64)
-    for code, name in enumerate(language.dictionary.to_pylist()):
-        of = np.flatnonzero(of_gram == code)
-        distinct = np.flatnonzero(np.bincount(grams[of], minlength=GRAMS))
-        table[distinct] = np.round(-UNIT * models[name].log_probabilities(distinct))
-        cost[of] = table[grams[of]]
-    sums = np.zeros(len(cost) + 1, np.int64)
-    np.cumsum(cost, out=sums[1:])
-    return sums[at[1:]] - sums[at[:-1]], np.diff(at)
+    for name, model in models.items():
+        table[distinct] = np.round(-UNIT * model.log_probabilities(distinct))
+        cost = np.add.reduceat(table[grams], start) if len(start) else own
+        mine = speaks == code.get(name, -1)
+        own[mine] = cost[mine]
+        best = np.minimum(best, cost)
+    whole, mixed = _per_text(first, own), _per_text(first, best)
+    at_home = _per_text(first, np.where(own == best, size, 0))
+    return whole, np.where(2 * at_home >= n, mixed, whole), n
 
 
 def _per_text(at: np.ndarray, marks: np.ndarray) -> np.ndarray:

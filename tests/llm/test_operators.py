@@ -242,6 +242,23 @@ def test_quality_rejects_noise_and_keeps_prose(spark, documents):
     assert sum(not r.kept and not r.base_failed for r in got.values()) < 0.02 * len(got)
 
 
+def test_quality_bands_reject_above(spark, documents):
+    """Shuffled letters and a wrong label go; prose with a passage in another language stays, and a text mostly in another goes."""
+    r = np.random.default_rng(4)
+    usual = [d for d in documents.orderBy("doc_id").collect() if d.text and 800 < len(d.text) < 4000 and " | " not in d.text]
+    prose = {name: [d for d in usual if d.lang == name] for name in ("en", "de")}
+    kept = {d.doc_id for d in quality(documents).filter("kept").collect()}
+    english, german = ([d.text for d in prose[name] if d.doc_id in kept][:2] for name in ("en", "de"))
+    cases = [("letters", "".join(r.permutation(list(t))), "en") for t in english] + [("label", english[0], "de")]
+    cases += [("passage", e[:600] + "\n" + d[:200], "en") for e, d in zip(english, german)]
+    cases += [("mostly", e[:200] + "\n" + d[:600], "en") for e, d in zip(english, german)]
+    rows = spark.createDataFrame([(10**6 + i, t, lang) for i, (_, t, lang) in enumerate(cases)], "doc_id long, text string, lang string")
+    got = {d.doc_id: d.kept for d in quality(documents.select("doc_id", "text", "lang").unionByName(rows)).collect()}
+    share = {kind: np.mean([got[10**6 + i] for i, c in enumerate(cases) if c[0] == kind]) for kind in ("letters", "label", "passage", "mostly")}
+    assert {k: share[k] for k in ("letters", "label", "mostly")} == {"letters": 0, "label": 0, "mostly": 0}
+    assert share["passage"] == 1
+
+
 def test_model_is_a_distribution():
     from tessera.llm._ngrams import GRAMS, kneser_ney
 
