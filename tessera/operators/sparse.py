@@ -107,6 +107,37 @@ def similar_rows(entries: DataFrame, k: int, least: float, measure: str = "cosin
     return found.filter(F.col("similarity") >= least).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def similar_sets(entries: DataFrame, k: int, least: float) -> DataFrame:
+    """As ``similar_rows`` by ``jaccard``, over all columns however frequent; for ``least`` over 0.
+
+    Rows with equal column sets are compared once, through the smallest of them.  Two sets that are similar
+    enough share one of their rarest columns: of n, all but the ceil(least n) - 1 most frequent.  Pairs
+    that meet there, and whose sizes allow it, are compared on all their columns.
+    """
+    have = entries.groupBy("col").agg(F.count("*").alias("have"))
+    ranked = entries.join(have, "col").groupBy("row").agg(F.transform(F.array_sort(F.collect_set(F.struct("have", "col"))), lambda x: x["col"]).alias("cols"))
+    groups = saved(ranked.withColumns({"head": F.min("row").over(Window.partitionBy("cols")), "place": F.row_number().over(Window.partitionBy("cols").orderBy("row"))}))
+    heads = groups.filter("place = 1").select(F.col("row").alias("head"), "cols", F.size("cols").alias("n"))
+    # A hair below ceil keeps a product that rounding lifts over a whole number.
+    needed = F.greatest(F.ceil(least * F.col("n") - 1e-9), F.lit(1)).cast("int")
+    rare = heads.select("head", "n", F.explode(F.slice("cols", F.lit(1), F.col("n") - needed + 1)).alias("col"))
+    x, y = rare.alias("x"), rare.alias("y")
+    near = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-9) & (F.col("x.head") < F.col("y.head"))
+    pairs = x.join(y, (F.col("x.col") == F.col("y.col")) & near).select(F.col("x.head").alias("a"), F.col("y.head").alias("b")).distinct()
+    left, right = (heads.select(F.col("head").alias(c), F.col("cols").alias(f"cols_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    common = F.size(F.array_intersect("cols_a", "cols_b"))
+    compared = saved(pairs.join(left, "a").join(right, "b").select("a", "b", (common / (F.col("n_a") + F.col("n_b") - common)).alias("similarity")).filter(F.col("similarity") >= least))
+    both = compared.unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    # Of k groups ahead of a group each has a row ahead of all of its rows, and of a group its smallest rows come first.
+    best = both.withColumn("_at", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).filter(F.col("_at") <= k).drop("_at")
+    same = heads.select(F.col("head").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("similarity"))
+    others = groups.filter(F.col("place") <= k + 1).select(F.col("head").alias("b"), F.col("row").alias("other"))
+    offered = best.unionByName(same).join(others, "b").select(F.col("a").alias("head"), "other", "similarity")
+    found = groups.select("row", "head").join(offered, "head").filter("row <> other").select("row", "other", "similarity")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("similarity"), "other"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def symmetric(edges: DataFrame, how: str = "max") -> DataFrame:
     """Edges in both directions; where both are there, the larger, smaller or summed weight."""
     f = {"max": F.max, "min": F.min, "sum": F.sum}[how]

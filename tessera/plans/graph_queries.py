@@ -185,11 +185,16 @@ def marked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three most similar documents by the words that 2 to 20 documents have."""
+    """The three most similar documents by the words that 2 to 20 documents have; ``similar_texts`` takes all words."""
     rare = sparse.prune(_words(spark, sf_dir), "col", 2, 20)
     return sparse.similar_rows(rare, 3, 0.1, "jaccard").withColumn("similarity", F.round("similarity", 9))
 
 
+def similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three most similar documents by all their words, however many documents have them."""
+    return sparse.similar_sets(_words(spark, sf_dir), 3, 0.1).withColumn("similarity", F.round("similarity", 9))
+
+
 def score_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the length of a text tells good documents from bad ones."""
     scored = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id")
@@ -266,7 +271,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         orders_components, trade_edges, legal_cuts, rank_loads, load_imbalance, bisection, rank_ghosts, local_views, nation_rank, nation_matches, order_dual, nation_paths, pruned_words, weighted_words, top_words,
-        heavy_words, marked_words, similar_documents, alike_documents, dampened_words, length_ranking, score_area, item_sets, event_windows, case_values, case_rules,
+        heavy_words, marked_words, similar_documents, similar_texts, alike_documents, dampened_words, length_ranking, score_area, item_sets, event_windows, case_values, case_rules,
     )
 }
 
@@ -356,6 +361,13 @@ SQL = {
         SELECT row, other, round(similarity, 9) AS similarity, rank FROM (
             SELECT *, row_number() OVER (PARTITION BY row ORDER BY similarity DESC, other)::INTEGER AS rank FROM s WHERE similarity >= 0.1) WHERE rank <= 3
     """,
+    "similar_texts": f"""
+        WITH r AS MATERIALIZED ({_WORDS}), n AS (SELECT row, count(*) AS n FROM r GROUP BY row),
+        c AS (SELECT x.row AS row, y.row AS other, count(*) AS c FROM r x JOIN r y ON x.col = y.col AND x.row <> y.row GROUP BY 1, 2),
+        s AS (SELECT c.row, c.other, c.c / (a.n + b.n - c.c) AS similarity FROM c JOIN n a ON c.row = a.row JOIN n b ON c.other = b.row)
+        SELECT row, other, round(similarity, 9) AS similarity, rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY row ORDER BY similarity DESC, other)::INTEGER AS rank FROM s WHERE similarity >= 0.1) WHERE rank <= 3
+    """,
     "alike_documents": f"""
         WITH w AS MATERIALIZED ({_WORDS}), r AS MATERIALIZED ({_RARE}), n AS (SELECT row, sum(val) AS n FROM r GROUP BY row),
         c AS (SELECT x.row AS row, y.row AS other, sum(least(x.val, y.val)) AS c FROM r x JOIN r y ON x.col = y.col AND x.row <> y.row GROUP BY 1, 2),

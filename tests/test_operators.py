@@ -188,3 +188,19 @@ def test_local_views(spark):
     got = partition.local_views(owners, partition.ghosts(edges, owners)).collect()
     expected = {(0, False, 1, 0), (0, False, 5, 1), (0, True, 0, 2), (0, True, 2, 3), (1, False, 0, 0), (1, False, 2, 1), (1, True, 1, 2), (1, True, 5, 3), (2, False, 9, 0)}
     assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+def test_similar_sets_of_frequent_columns(spark):
+    """Rows that only share columns of more than 20 rows, and groups of more than 20 equal rows, against brute force."""
+    r = np.random.default_rng(6)
+    sets = {i: {int(c) for c in r.choice(14, r.integers(1, 9), replace=False)} for i in range(90)}
+    sets |= {100 + i: {1, 2, 3, 50} for i in range(25)}
+    entries = spark.createDataFrame([(i, c, 1.0) for i, s in sets.items() for c in s], "row long, col long, val double")
+    for least in (0.1, 0.5):
+        expected = set()
+        for i, s in sets.items():
+            scored = sorted((-len(s & t) / len(s | t), j) for j, t in sets.items() if j != i and len(s & t) >= least * len(s | t))
+            expected |= {(i, j, -v, k) for k, (v, j) in enumerate(scored[:3], 1)}
+        assert {tuple(x) for x in sparse.similar_sets(entries, 3, least).collect()} == expected
+    pruned = sparse.similar_rows(sparse.prune(entries, "col", 2, 20), 3, 0.1, "jaccard")
+    assert pruned.filter("row >= 100").isEmpty()
