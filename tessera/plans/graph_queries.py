@@ -105,7 +105,7 @@ def _customer_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers that ranks need from each other: customers who share a supplier."""
+    """Customers that ranks need from each other along a star for each supplier: from its smallest customer to its others, not between those."""
     items, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
     bought = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).select("l_suppkey", F.col("o_custkey").alias("c")).distinct()
     first = bought.groupBy("l_suppkey").agg(F.min("c").alias("a"))
