@@ -9,24 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset in local mode, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_by_hand.isDefined():
             return set_by_hand.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes the rows to the shared folder as Parquet and reads them back.
 
     Later jobs read these files: they neither compute the rows again nor depend on the
     disks of single executors.
     """
     path = f"{shared_folder(df.sparkSession)}/tessera/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
