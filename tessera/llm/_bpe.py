@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
-from tessera.llm._words import mix, range_hashes
+from tessera.llm._words import equal_ranges
 
 #: Endings that the split pattern takes as one token after an apostrophe (fixed values).
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -53,6 +54,7 @@ class WordModel:
         model = stored["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.specials = {t["content"]: t["id"] for t in stored["added_tokens"]}
+        self.special_pattern = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.specials, key=len, reverse=True)) + ")")
         names = _byte_names()
         self.inner = np.array([vocab[c] for c in names], np.int64)
         self.last = np.array([vocab[c + suffix] for c in names], np.int64)
@@ -74,9 +76,8 @@ class WordModel:
         part_at = np.r_[0, np.cumsum([len(p) + 1 for p in joined])]
         start, end = _split(codes)
         part = np.searchsorted(part_at, start, "right") - 1
-        hashes = range_hashes(mix(codes.astype(np.uint64)), start, end)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        ids, at = self.merge([codes[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace") for a, b in zip(start[first], end[first], strict=True)])
+        which, distinct = equal_ranges(codes.view(np.uint8), 4 * start, 4 * end)
+        ids, at = self.merge([w.decode("utf-32-le", "surrogatepass").encode("utf-8", "replace") for w in distinct.to_pylist()])
         length = np.diff(at)[which]
         out_part = np.repeat(part, length)
         ends = np.cumsum(length)
@@ -94,17 +95,11 @@ class WordModel:
         owner: list[int] = []
         fixed: list[tuple[int, int]] = []
         for i, text in enumerate(texts):
-            rest = text or ""
-            while True:
-                found = min(((rest.find(s), s) for s in self.specials if s in rest), default=None)
-                parts.append(_normal(rest if found is None else rest[: found[0]]))
+            for k, piece in enumerate(self.special_pattern.split(text or "") if self.specials else [text or ""]):
+                if k % 2:
+                    fixed.append((len(parts), self.specials[piece]))
+                parts.append("" if k % 2 else _normal(piece))
                 owner.append(i)
-                if found is None:
-                    break
-                fixed.append((len(parts), self.specials[found[1]]))
-                parts.append("")
-                owner.append(i)
-                rest = rest[found[0] + len(found[1]) :]
         return parts, owner, fixed
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

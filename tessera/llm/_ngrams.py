@@ -1,4 +1,4 @@
-"""Character n-grams over a small alphabet, and modified Kneser-Ney models of them.
+"""Character n-grams over a small alphabet, for language identification.
 
 Every character maps to one of 32 symbols, so there are at most 32**4 four-grams: counts
 and models of a language have a bound that no corpus exceeds.
@@ -8,19 +8,16 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm._words import mix, slices
+from tessera.llm._words import slices
 
 ORDER, BITS = 4, 5
 SYMBOLS, GRAMS = 1 << BITS, 1 << (ORDER * BITS)
 _SPACE, _DIGIT, _MARK, _OTHER = 0, 27, 30, 31
-#: Log-probabilities are kept as integers in units of 2**-16, so sums do not depend on their order.
-UNIT = 1 << 16
 #: Languages whose counts a task holds at a time, 8 MB each.
 _HELD = 8
 
@@ -86,87 +83,3 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts = np.bincount(grams[of_gram == code], minlength=GRAMS)
                 held[name] = held[name] + counts if name in held else counts
     yield from given()
-
-
-def _hashed(grams: np.ndarray, order: int) -> np.ndarray:
-    return mix(grams.astype(np.uint64) + (np.uint64(order) << np.uint64(40)))
-
-
-@dataclass
-class SortedHashes:
-    """Values by key in two arrays, sorted by the hash of the key; found by binary search."""
-
-    hashes: np.ndarray
-    values: np.ndarray
-
-    @staticmethod
-    def of(grams: np.ndarray, order: int, values: np.ndarray) -> SortedHashes:
-        hashes = _hashed(grams, order)
-        by_hash = np.argsort(hashes)
-        return SortedHashes(hashes[by_hash], values[by_hash].astype(np.float32))
-
-    def find(self, grams: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is there, and its value (0 where it is not)."""
-        if not len(self.hashes):
-            return np.zeros(len(grams), bool), np.zeros(len(grams))
-        wanted = _hashed(grams, order)
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        found = self.hashes[at] == wanted
-        return found, np.where(found, self.values[at], 0.0)
-
-
-@dataclass
-class KneserNey:
-    """An interpolated modified Kneser-Ney model: for each order, log-probabilities of seen n-grams and log backoff weights of seen contexts."""
-
-    seen: list[SortedHashes]
-    backoff: list[SortedHashes]
-
-    def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
-        """The natural log of the probability of each four-gram's last symbol, given the three before it."""
-        result = np.full(len(grams), -np.log(SYMBOLS))
-        weight = np.zeros(len(grams))
-        open_ = np.arange(len(grams))
-        for order in range(ORDER, 0, -1):
-            part = grams[open_] & ((1 << (order * BITS)) - 1)
-            found, value = self.seen[order - 1].find(part, order)
-            result[open_[found]] = weight[open_[found]] + value[found]
-            open_, part = open_[~found], part[~found]
-            weight[open_] += self.backoff[order - 1].find(part >> BITS, order)[1]
-            result[open_] = weight[open_] - np.log(SYMBOLS)
-        return result
-
-
-def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> KneserNey:
-    """Fits the model to the counts of distinct four-grams."""
-    levels: list[tuple[np.ndarray, np.ndarray]] = [(grams, counts)]
-    for order in range(ORDER - 1, 0, -1):  # lower orders count the distinct symbols before an n-gram
-        levels.append(np.unique(levels[-1][0] & ((1 << (order * BITS)) - 1), return_counts=True))
-    levels.reverse()
-    seen, backoff = [], []
-    lower = np.full(SYMBOLS, 1 / SYMBOLS)
-    lower_grams = np.arange(SYMBOLS)
-    for order, (keys, n) in enumerate(levels, 1):
-        by_key = np.argsort(keys)
-        keys, n = keys[by_key], n[by_key]
-        discount = _discounts(n)[np.minimum(n, 3)]
-        contexts, context = np.unique(keys >> BITS, return_inverse=True)
-        total = np.bincount(context, n)
-        left_over = np.bincount(context, discount) / total
-        below = lower[np.searchsorted(lower_grams, keys & ((1 << ((order - 1) * BITS)) - 1))] if order > 1 else lower[keys]
-        p = (n - discount) / total[context] + left_over[context] * below
-        seen.append(SortedHashes.of(keys, order, np.log(p)))
-        backoff.append(SortedHashes.of(contexts, order, np.log(left_over)))
-        lower, lower_grams = p, keys
-    return KneserNey(seen, backoff)
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """The discounts for counts of 1, 2 and 3 or more, from the counts of counts; 0.5, 0.75 and 0.9 where these are too few."""
-    n1, n2, n3, n4 = (int((n == k).sum()) for k in (1, 2, 3, 4))
-    found = np.array([0, 0.5, 0.75, 0.9])
-    if n1 and n2:
-        y = n1 / (n1 + 2 * n2)
-        guess = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.9]
-        found[1:] = [g if 0 < g < k + 1 else f for k, (g, f) in enumerate(zip(guess, found[1:], strict=True))]
-    return found

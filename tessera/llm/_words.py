@@ -10,17 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_BYTE_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: The prime of the window hashes, their two bases, and the key of the word digests: drawn once.
+PRIME = (1 << 61) - 1
+BASES = 0x0B4F1E36A9D27C55, 0x153C8D70E2BF6493
+_KEY = b"tessera words"
 
 _IS_WORD_BYTE = np.ones(256, bool)
 _IS_WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,32 +34,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+def times(values: np.ndarray, factor: int) -> np.ndarray:
+    """values * factor modulo PRIME, for values and a factor below it."""
+    low = np.uint64((1 << 31) - 1)
+    f1, f0 = np.uint64(factor >> 31), np.uint64(factor & ((1 << 31) - 1))
+    v1, v0 = values >> np.uint64(31), values & low
+    middle = v1 * f0 + v0 * f1
+    return reduced(np.uint64(2) * v1 * f1 + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + v0 * f0)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers, modulo 2**64, of an odd base and of its inverse."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        made = []
-        for base in (_ODD, _INVERSE):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            made.append(np.cumprod(steps, dtype=np.uint64))
-        _powers = tuple(made)
-    return _powers
+def reduced(values: np.ndarray) -> np.ndarray:
+    """Any unsigned numbers modulo PRIME."""
+    p = np.uint64(PRIME)
+    values = (values & p) + (values >> np.uint64(61))
+    return np.where(values >= p, values - p, values)
 
 
-def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each pair; equal ranges have equal hashes."""
-    if not len(start):
+def window_hashes(values: np.ndarray, size: int, base: int) -> np.ndarray:
+    """For each window of ``size`` values, the polynomial in ``base`` that they are the coefficients of, modulo PRIME.
+
+    Windows are put together from windows of half their length.
+    """
+    n = len(values) - size + 1
+    if n <= 0:
         return np.empty(0, np.uint64)
-    power, inverse = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=sums[1:])
-    length = (end - start).astype(np.uint64)
-    return mix((sums[end] - sums[start]) * inverse[start] + length * np.uint64(0xD6E8FEB86659FD93))
+    if size == 1:
+        return values
+    half = size // 2
+    shorter = window_hashes(values, half, base)
+    found = reduced(shorter[: len(shorter) - half] + times(shorter[half:], pow(base, half, PRIME)))
+    if size % 2:
+        found = reduced(found[:n] + times(values[size - 1 :], pow(base, size - 1, PRIME)))
+    return found
+
+
+def joint(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number for each pair (left, right): equal pairs alone share one."""
+    if not len(left):
+        return np.empty(0, np.int64)
+    return np.unique(left.astype(np.int64) * (int(right.max()) + 1) + right, return_inverse=True)[1]
+
+
+def equal_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each range of bytes, ranges in rising order, and the distinct ones: equal bytes alone share a number."""
+    at = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=at[1:])
+    bytes_ = data[np.repeat(start - at[:-1], end - start) + np.arange(at[-1])]
+    return numbered(bytes_, at)
+
+
+def numbered(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The same for ranges that touch: range i is data[at[i]:at[i + 1]]."""
+    ranges = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = ranges.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def digests(words: pa.Array) -> np.ndarray:
+    """Two 64-bit numbers for each word: its keyed BLAKE2b digest of 128 bits."""
+    return np.frombuffer(b"".join([blake2b(w, digest_size=16, key=_KEY).digest() for w in words.to_pylist()]), np.uint64).reshape(-1, 2)
 
 
 @dataclass
@@ -76,12 +113,15 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        values = _BYTE_VALUES
+    def interned(self, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
+        """The number of each word among the distinct ones, and these; with A-Z in lower case if asked for."""
+        data = self.data
+        inside = _IS_WORD_BYTE[data]
         if lower:
-            values = values.copy()
-            values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
-        return range_hashes(values[self.data], self.start, self.end)
+            data = _LOWER[data]
+        at = np.zeros(len(self.start) + 1, np.int64)
+        np.cumsum(self.end - self.start, out=at[1:])
+        return numbered(data[inside], at)  # every byte that is none of the separators belongs to a word
 
     def window_starts(self, size: int) -> np.ndarray:
         """Words at which a window of so many words of one text starts."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._rows import others, whole
 from tessera.plans.tables import saved
 
 #: Registers of a sketch, as a power of two; its relative standard error is about 1.04 / sqrt(2**LG_K).
@@ -12,7 +13,7 @@ LG_K = 12
 
 
 def remove_boilerplate(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, with_text: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, with_text: bool = True, whole_rows: bool = False
 ) -> DataFrame:
     """Removes lines that occur on ``min_sites`` or more distinct sites.
 
@@ -23,7 +24,8 @@ def remove_boilerplate(
 
     Returns per input row: ``id_col long, n_lines long`` (lines, blank ones included; none
     for a null text), ``n_removed long, kept_sha256 string`` (of the remaining lines joined
-    by line feeds) and, if asked for, ``kept_text``.
+    by line feeds) and, if asked for, ``kept_text``.  With ``whole_rows`` also ``row``, a struct
+    of all columns of the input row.
 
     Method: a HyperLogLog sketch of the sites of each line hash merges by aggregation, map
     side first.  Lines whose estimate is clearly over the threshold are boilerplate; lines
@@ -33,24 +35,32 @@ def remove_boilerplate(
     numbers again.
 
     Null sites count as no site.  Rows with a null id lose every boilerplate line.  Rows
-    that share an id are treated alike.  An empty table gives no rows; other columns are not
-    read.
+    that share an id are treated alike, each by its own text.  An empty table gives no rows;
+    other columns are carried, if asked for, and otherwise not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(site_col).cast("string").alias("site"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        # Rows without an id meet their lost lines by their text, so they do not all meet in one place.
+        F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(0).alias("salt"),
+        text.alias("text"),
+        F.col(site_col).cast("string").alias("site"),
+        *([others(docs, text_col)] if whole_rows else []),
+    )
     lines = (
-        texts.select("doc_id", "site", F.explode(F.transform(F.split("text", "\n", -1), _hashes)).alias("line"))
-        .select("doc_id", "site", "line.a", "line.b")
+        texts.select("doc_id", "salt", "site", F.explode(F.transform(F.split("text", "\n", -1), _hashes)).alias("line"))
+        .select("doc_id", "salt", "site", "line.a", "line.b")
         .filter("a is not null")
     )
     boilerplate = _boilerplate(lines, min_sites)
     lost = (
-        lines.select("doc_id", "a", "b").distinct().join(boilerplate, ["a", "b"])
-        .filter("doc_id is null or doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("lost"))
+        lines.select("doc_id", "salt", "a", "b").distinct().join(boilerplate, ["a", "b"])
+        .filter("doc_id is null or doc_id > first").groupBy("doc_id", "salt").agg(F.collect_list(F.struct("a", "b")).alias("lost"))
     )
-    lost = saved(lost.withColumnRenamed("doc_id", "lost_id")).hint("merge")  # it grows with the documents
+    lost = saved(lost.select(F.col("doc_id").alias("lost_id"), F.col("salt").alias("lost_salt"), "lost")).hint("merge")  # it grows with the documents
     split = F.split("text", "\n", -1)
     kept = F.filter(split, lambda line: ~F.array_contains(F.col("lost"), _hashes(line)) | _hashes(line)["a"].isNull())
-    joined = texts.select("doc_id", "text").join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left")
+    joined = texts.drop("site").join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("salt") == F.col("lost_salt")), "left")
     n_lines = F.coalesce(F.size(F.when(F.col("text").isNotNull(), split)), F.lit(0))
     kept_lines = F.when(F.col("lost").isNull(), split).otherwise(kept)
     kept_text = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
@@ -60,6 +70,7 @@ def remove_boilerplate(
         F.when(F.col("text").isNull(), 0).otherwise(F.size(split) - F.size(kept_lines)).cast("long").alias("n_removed"),
         F.sha2(F.coalesce(kept_text, F.lit("")).cast("binary"), 256).alias("kept_sha256"),
         *([kept_text.alias("kept_text")] if with_text else []),
+        *([whole(docs, text_col)] if whole_rows else []),
     )
     return result
 

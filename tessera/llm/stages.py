@@ -1,4 +1,8 @@
-"""Operators as pipeline stages: documents in, documents out."""
+"""Operators as pipeline stages: documents in, documents out.
+
+Every stage works on rows, not on ids: rows that share an id, or have none, each keep or lose
+their own text.  Documents come and go with all their columns, whatever these are called.
+"""
 
 from __future__ import annotations
 
@@ -14,46 +18,52 @@ from tessera.llm.vocabularies import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject."""
-    return _only(docs, quality(docs).filter("kept"))
+    """Drops the rows that the quality rules reject.
+
+    Null, empty and short texts go, as they have fewer than 50 words.  Scores on the edge of a
+    band stay.  Repeated rows are judged alike.  An empty table stays empty.
+    """
+    return quality(docs, whole_rows=True).filter("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that are boilerplate of many sites."""
-    return with_new_text(docs, remove_boilerplate(docs).filter("n_removed > 0"))
+    """Cuts lines that ten sites or more have; n_chars follows the text.
+
+    No row goes.  Null texts stay null.  The smallest id that has such a line keeps it, in all
+    rows of that id; rows with a null id lose it.  An empty table stays empty.
+    """
+    return _with_new_text(remove_boilerplate(docs, whole_rows=True), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies (five-word shingles, 0.8)."""
-    return _only(docs, near_duplicates(docs).filter("kept"))
+    """Keeps one row of each group of near copies (five-word shingles, similarity of 0.8 or more).
+
+    That is the row with the smallest id, nulls last; of several such rows, as of rows that
+    repeat, one stays.  Null, empty and blank texts all stay.  An empty table stays empty.
+    """
+    return near_duplicates(docs, whole_rows=True).filter("leader").select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 words and more that an earlier document has."""
-    return with_new_text(docs, remove_repeats(docs).filter("n_removed > 0"))
-
+    """Cuts passages of 50 words and more that a document with a smaller id has; n_chars follows the text.
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' token ids into sequences of 1024."""
-    return pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    No row goes.  Null texts stay null.  Rows that share an id cut nothing from each other; a
+    null id counts as the largest.  An empty table stays empty.
+    """
+    return _with_new_text(remove_repeats(docs, whole_rows=True), docs)
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose id is among the kept ones. Both grow alike, so neither is broadcast."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).hint("merge")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' token ids into sequences of 1024; returns a row for each piece.
 
+    Null and empty texts are a piece that holds the end token.  Every row is packed, repeated
+    ones and those without an id too.  An empty table stays empty.
+    """
+    return pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"))
 
-def with_new_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """The documents with ``kept_text`` of the changed ones in place; n_chars follows the text.
 
-    Ids are taken as unique; rows that repeat an id and a text change alike.
-    """
-    changes = changed.select(F.col("doc_id").alias("changed_id"), F.col("kept_text").alias("changed_text")).dropDuplicates(["changed_id"]).hint("merge")
-    joined = docs.join(changes, docs["doc_id"].eqNullSafe(changes["changed_id"]), "left")
-    is_new = changes["changed_text"].isNotNull()
-    new = {
-        "text": F.when(is_new, changes["changed_text"]).otherwise(docs["text"]).alias("text"),
-        "n_chars": F.when(is_new, F.char_length(changes["changed_text"]).cast("long")).otherwise(docs["n_chars"]).alias("n_chars"),
-    }
-    return joined.select(*(new.get(c, docs[c]) for c in docs.columns))
+def _with_new_text(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows with ``kept_text`` in place of the text where words or lines were removed."""
+    changed = F.col("n_removed") > 0
+    new = {"text": F.col("kept_text")} | ({"n_chars": F.char_length("kept_text").cast("long")} if "n_chars" in docs.columns else {})
+    return found.select(*(F.when(changed, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

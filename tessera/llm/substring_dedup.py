@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import _words as W
+from tessera.llm._rows import others, whole
 
 #: Bytes of text of a batch, and batches to a partition.
-BATCH_BYTES, BATCHES_TO_PARTITION = 2 << 20, 8
+BATCH_BYTES, BATCHES_TO_PARTITION = 8 << 20, 2
+#: Windows are doubled from the first length at or above this.
+SHORTEST = 12
 _NO_ID = np.iinfo(np.int64).max
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, with_text: bool = True) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, with_text: bool = True, whole_rows: bool = False
+) -> DataFrame:
     """Removes words that an earlier document already has within a window of ``size`` words.
 
     A word goes if some window of ``size`` consecutive words of its document covers it and
@@ -26,41 +33,68 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Returns one row per input row: ``id_col long, n_words long, n_removed long, kept_sha256
     string`` (of the kept words joined by one space) and, if asked for, ``kept_text``: the
-    text without the removed words and the white space that follows them.
-
-    Method: level-wise doubling.  Documents are dealt into batches by a hash of their id.
-    Of each window of ``size`` words the half-length window with the smallest hash stands
-    for it (equal windows pick equal halves), which leaves one position in about thirteen.
-    Halves that occur in two documents survive; only windows around a surviving half are
-    extended to the full length and compared again.  A batch sends one row per distinct
-    key, so a passage that a third of all documents share gives one row per batch and not
-    per document.  The text shuffles once, by batch, and that exchange serves all levels.
-
-    Keys are 64-bit hashes of word sequences.
+    text without the removed words and the white space that follows them.  With
+    ``whole_rows`` also ``row``, a struct of all columns of the input row.
+
+    Method: level-wise doubling, here 13, 25 and 50 words.  Documents are dealt into batches
+    by a hash.  At each length the shorter window with the smallest hash stands for every
+    full window around it (equal windows pick equal ones), which leaves one position in
+    about twenty at first.  Those that occur in two documents survive, and only full windows
+    around a survivor are extended to twice the length and compared again, up to the full
+    length; a batch in which none survives has nothing more to do.  The text shuffles once,
+    and that exchange serves all levels.  A batch sends one row per distinct key, so a
+    passage that a third of all documents share gives one row per batch and not per document.
+
+    Words are equal in a batch if their bytes are.  Between batches a window is known by two
+    polynomials of its words' BLAKE2b digests, of 122 bits together: two different windows of 50
+    words agree with a chance of 2**-110, which for 10**13 windows is one false match in 10**7
+    corpora.
 
     Null text: no words.  Texts shorter than ``size`` words keep everything.  A null id
     counts as larger than every other.  Rows that share an id never remove each other's
-    words.  An empty table gives no rows; other columns are not read.
+    words, and each keeps its own text.  An empty table gives no rows; other columns are
+    carried, if asked for, and otherwise not read.
     """
-    half = size // 2
-    text = F.col(text_col).cast("string")
+    text, key = F.col(text_col).cast("string"), F.col(id_col).cast("long")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     batches = max(1, -(-total // BATCH_BYTES))
     dealt = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).cast("long").alias("batch"), F.col(id_col).cast("long").alias("id"), text.alias("text")
+        F.pmod(F.when(key.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)), F.lit(batches)).cast("long").alias("batch"),
+        key.alias("id"),
+        text.alias("text"),
+        *([others(docs, text_col)] if whole_rows else []),
     ).repartition(max(1, -(-batches // BATCHES_TO_PARTITION)), "batch")
     grouped = dealt.groupBy("batch")
-    by_key = Window.partitionBy("key")
-
-    halves = grouped.applyInArrow(lambda t: _halves(t, size, half), "batch long, key long, low long, high long")
-    shared = halves.withColumns({"first": F.min("low").over(by_key), "last": F.max("high").over(by_key)}).filter("first < last").select("batch", "key")
-
-    wholes = grouped.cogroup(shared.groupBy("batch")).applyInArrow(lambda t, keys: _wholes(t, keys, size, half), "batch long, key long, low long, high long")
-    repeated = wholes.withColumn("first", F.min("low").over(by_key)).filter("first < high").select("batch", "key", "first")
 
-    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    kept = grouped.cogroup(repeated.groupBy("batch")).applyInArrow(lambda t, seen: _kept(t, seen, size, with_text), schema)
-    return kept.withColumnRenamed("id", id_col)
+    survivors, shorter = None, 0
+    for length in lengths(size):
+        schema = "batch long, a long, b long, low long, high long"
+        if survivors is None:
+            found = grouped.applyInArrow(_levels(size, length), schema)
+        else:
+            found = grouped.cogroup(survivors.groupBy("batch")).applyInArrow(_levels(size, length, shorter), schema)
+        by_key = Window.partitionBy("a", "b")
+        if length < size:
+            shared = found.withColumns({"first": F.min("low").over(by_key), "last": F.max("high").over(by_key)}).filter("first < last").select("batch", "a", "b")
+        else:
+            shared = found.withColumn("first", F.min("low").over(by_key)).filter("first < high").select("batch", "a", "b", "first")
+        survivors, shorter = shared, length
+
+    schema = T.StructType.fromDDL("id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    if whole_rows:
+        schema = schema.add("text", "string").add("row", dealt.schema["row"].dataType)
+    kept = grouped.cogroup(survivors.groupBy("batch")).applyInArrow(lambda t, seen: _kept(t, seen, size, with_text), schema)
+    if not whole_rows:
+        return kept.withColumnRenamed("id", id_col)
+    return kept.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text, whole(docs, text_col))
+
+
+def lengths(size: int) -> list[int]:
+    """The lengths of the levels: each at most twice the one before, the last the full size."""
+    found = [size]
+    while -(-found[0] // 2) >= SHORTEST:
+        found.insert(0, -(-found[0] // 2))
+    return found
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -71,60 +105,83 @@ def _words(table: pa.Table) -> W.Words:
     return W.find_words(*W.text_bytes(table.column("text").combine_chunks()))
 
 
-def _spans(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    return W.range_hashes(values, at, at + size)
+def _values(words: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers below PRIME for each word."""
+    codes, distinct = words.interned()
+    values = W.reduced(W.digests(distinct))[codes]
+    return np.ascontiguousarray(values[:, 0]), np.ascontiguousarray(values[:, 1])
 
 
-def _chosen(words: W.Words, values: np.ndarray, size: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where full windows start, where the half that stands for each starts, and the hashes of all halves."""
-    halves = _spans(values, np.arange(max(0, len(values) - half + 1)), half)
-    starts = words.window_starts(size)
-    return starts, W.sliding_minimum_at(halves, size - half + 1)[starts] if len(starts) else starts, halves
+def _stands(first: np.ndarray, starts: np.ndarray, size: int, length: int) -> np.ndarray:
+    """For each full window that starts at these words, where the window of this length starts that stands for it."""
+    if length == size or not len(starts):
+        return starts
+    return W.sliding_minimum_at(W.mix(first), size - length + 1)[starts]
 
 
-def _by_key(table: pa.Table, keys: np.ndarray, ids: np.ndarray) -> pa.Table:
-    """A row for each distinct key, with the smallest and largest id that has it."""
-    order = np.argsort(keys, kind="stable")
-    keys, ids = keys[order], ids[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    low, high = (f.reduceat(ids, first) if len(first) else ids for f in (np.minimum, np.maximum))
-    batch = table.column("batch")[0].as_py() if table.num_rows else 0
-    return pa.table({"batch": np.full(len(first), batch, np.int64), "key": keys[first].view(np.int64), "low": low, "high": high})
+def _levels(size: int, length: int, shorter: int | None = None) -> Callable[..., pa.Table]:
+    if shorter is None:
+        return lambda table: _level(table, None, size, length, 0)
+    return lambda table, keys: _level(table, keys, size, length, shorter)
 
 
-def _halves(table: pa.Table, size: int, half: int) -> pa.Table:
+def _level(table: pa.Table, shared: pa.Table | None, size: int, length: int, shorter: int) -> pa.Table:
+    """The keys at this length of all full windows, or of those around a shared key of the level before."""
     words = _words(table)
-    _, chosen, halves = _chosen(words, words.hashes(), size, half)
-    chosen = np.unique(chosen)
-    return _by_key(table, halves[chosen], _ids(table)[words.texts()[chosen]])
+    starts = words.window_starts(size)
+    none = np.empty(0, np.int64)
+    if not len(starts) or (shared is not None and not shared.num_rows):
+        return _by_key(table, none.view(np.uint64), none.view(np.uint64), none)
+    values = _values(words)
+    if shared is not None:
+        before = [W.window_hashes(v, shorter, base) for v, base in zip(values, W.BASES, strict=True)]
+        at = _stands(before[0], starts, size, shorter)
+        starts = starts[_places(*_sorted(shared)[:2], before[0][at], before[1][at]) >= 0]
+    keys = [W.window_hashes(v, length, base) for v, base in zip(values, W.BASES, strict=True)]
+    chosen = np.unique(_stands(keys[0], starts, size, length))
+    return _by_key(table, keys[0][chosen], keys[1][chosen], _ids(table)[words.texts()[chosen]])
+
+
+def _by_key(table: pa.Table, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """A row for each distinct key, with the smallest and largest id that has it."""
+    order = np.lexsort((b, a))
+    a, b, ids = a[order], b[order], ids[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+    low, high = (f.reduceat(ids, first) if len(first) else ids for f in (np.minimum, np.maximum))
+    batch = table.column("batch")[0].as_py() if table.num_rows else 0
+    return pa.table({"batch": np.full(len(first), batch, np.int64), "a": a[first].view(np.int64), "b": b[first].view(np.int64), "low": low, "high": high})
 
 
-def _wholes(table: pa.Table, shared: pa.Table, size: int, half: int) -> pa.Table:
-    if not table.num_rows:
-        return _by_key(table, np.empty(0, np.uint64), np.empty(0, np.int64))
-    words = _words(table)
-    values = words.hashes()
-    starts, chosen, halves = _chosen(words, values, size, half)
-    keys = np.sort(shared.column("key").to_numpy().view(np.uint64))
-    starts = starts[_found(keys, halves[chosen])[1]]
-    return _by_key(table, _spans(values, starts, size), _ids(table)[words.texts()[starts]])
+def _sorted(shared: pa.Table) -> list[np.ndarray]:
+    """The columns of the keys, and whatever comes with them, by rising first key."""
+    a = shared.column("a").to_numpy().view(np.uint64)
+    order = np.argsort(a)
+    return [a[order], shared.column("b").to_numpy().view(np.uint64)[order], *(shared.column(c).to_numpy()[order] for c in shared.column_names[3:])]
 
 
-def _found(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each value stands in the sorted keys, and whether it does."""
-    if not len(keys):
-        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    return at, keys[at] == values
+def _places(keys_a: np.ndarray, keys_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where each pair (a, b) stands among the keys, which rise by their first half; -1: nowhere."""
+    if not len(keys_a):
+        return np.full(len(a), -1)
+    at = np.searchsorted(keys_a, a)
+    last = len(keys_a) - 1
+    while True:  # one round, unless two keys agree in their first half
+        here = np.minimum(at, last)
+        next_ = (at <= last) & (keys_a[here] == a) & (keys_b[here] != b)
+        if not next_.any():
+            return np.where((at <= last) & (keys_a[here] == a), here, -1)
+        at = at + next_
 
 
 def _kept(table: pa.Table, seen: pa.Table, size: int, with_text: bool) -> pa.Table:
     words, ids = _words(table), _ids(table)
-    keys, first = seen.column("key").to_numpy().view(np.uint64), seen.column("first").to_numpy()
-    order = np.argsort(keys)
-    starts = words.window_starts(size) if len(keys) else np.empty(0, np.int64)
-    at, known = _found(keys[order], _spans(words.hashes(), starts, size)) if len(starts) else (starts, starts > 0)
-    gone = starts[known & (ids[words.texts()[starts]] > first[order][at])] if len(starts) else starts
+    starts = words.window_starts(size) if seen.num_rows else np.empty(0, np.int64)
+    gone = starts
+    if len(starts):
+        keys_a, keys_b, first = _sorted(seen)
+        a, b = (W.window_hashes(v, size, base)[starts] for v, base in zip(_values(words), W.BASES, strict=True))
+        at = _places(keys_a, keys_b, a, b)
+        gone = starts[(at >= 0) & (ids[words.texts()[starts]] > first[at])]
     edge = np.zeros(len(words.start) + 1, np.int64)
     np.add.at(edge, gone, 1)
     np.add.at(edge, gone + size, -1)
@@ -137,6 +194,8 @@ def _kept(table: pa.Table, seen: pa.Table, size: int, with_text: bool) -> pa.Tab
     columns = {"id": table.column("id"), "n_words": words.counts, "n_removed": removed, "kept_sha256": pa.array(sums, pa.string())}
     if with_text:
         columns["kept_text"] = pa.array(_cut(table, words, keep, removed), pa.string())
+    if "row" in table.column_names:
+        columns |= {"text": table.column("text"), "row": table.column("row")}
     return pa.table(columns)
 
 

@@ -259,15 +259,134 @@ def test_quality_bands_reject_above(spark, documents):
     assert share["passage"] == 1
 
 
-def test_model_is_a_distribution():
-    from tessera.llm._ngrams import GRAMS, kneser_ney
+def kneser_ney(texts):
+    """By brute force, for the texts of one language: -ln p of a four-gram, by its code points."""
+    holders = defaultdict(set)
+    counts = {4: Counter()}
+    for text in texts:
+        padded = "\n\n\n" + text
+        for k in range(len(text)):
+            counts[4][padded[k : k + 4]] += 1
+            for order_ in range(1, 5):
+                holders[padded[k + 4 - order_ : k + 4]].add(text)
+    for order_ in (3, 2, 1):
+        counts[order_] = Counter(g[1:] for g in counts[order_ + 1])
+
+    def discount(order_, n):
+        of = Counter(min(c, 5) for c in counts[order_].values())
+        plain = {1: 0.5, 2: 0.75, 3: 0.9}[min(n, 3)]
+        if not of[1] or not of[2]:
+            return plain
+        y, k = of[1] / (of[1] + 2 * of[2]), min(n, 3)
+        if not of[k]:
+            return plain
+        found = k - (k + 1) * y * of[k + 1] / of[k]
+        return found if 0 < found < k else plain
+
+    discounts = {(order_, n): discount(order_, n) for order_ in range(1, 5) for n in (1, 2, 3)}
+    contexts = defaultdict(list)
+    for order_ in range(1, 5):
+        for g, n in counts[order_].items():
+            contexts[order_, g[:-1]].append((g, n))
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(counts[1]) + 1)
+        order_ = len(gram)
+        inside = contexts[order_, gram[:-1]]
+        total = sum(n for _, n in inside)
+        own = {g: n - discounts[order_, min(n, 3)] for g, n in inside if len(holders[g]) > 1}
+        return own.get(gram, 0) / total + (1 - sum(own.values()) / total) * p(gram[1:])
+
+    return lambda gram: -np.log(p(gram))
+
+
+def test_perplexity_and_bands_against_brute_force(spark):
+    """Scores and verdicts of a small table in several scripts; a text that only copies hold does not vouch for itself."""
+    r = np.random.default_rng(12)
+    words = {"en": "the cat sat on a mat and saw it all".split(), "el": "και το να με του που για από".split(), "zh": list("的一是在不了有和人这中大")}
+    rows = []
+    for name, of in words.items():
+        rows += [(len(rows) + k, " ".join(r.choice(of, r.integers(55, 90))), name) for k in range(25)]
+    rows += [(200, "".join(r.choice(list("αβγδεζηθικλμ "), 1200)), "el"), (201, rows[0][1], "el"), (202, rows[1][1], None), (203, None, "en"), (204, "", "zh"), (205, rows[3][1] * 2, "en"), (206, rows[3][1] * 2, "en")]
+    got = {d.doc_id: d for d in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("stream", F.lit(1))).collect()}
+    scores = defaultdict(dict)
+    for name in ("en", "el", "zh", None):
+        texts = [(i, t) for i, t, lang in rows if lang == name and t]
+        cost = kneser_ney([t for _, t in texts])
+        for i, text in texts:
+            padded = "\n\n\n" + text
+            each = [cost(padded[k : k + 4]) for k in range(len(text))]
+            assert abs(got[i].log_perplexity - np.mean(each)) < 1e-4
+            pieces = max(1, len(text) // 128)
+            cuts = [128 * k for k in range(pieces)] + [len(text)]
+            passages = sorted(np.mean(each[a:b]) for a, b in zip(cuts, cuts[1:]))
+            assert abs(got[i].passage_perplexity - passages[(pieces - 1) // 2]) <= 0.0006
+            if not got[i].base_failed:
+                scores[name][i] = round(1000 * got[i].passage_perplexity)
+    rejected = set()
+    for of in scores.values():
+        ranked = sorted(of.values())
+        low, middle, high = (ranked[int(np.ceil(q * len(ranked) - 1e-9)) - 1] for q in (0.1, 0.5, 0.9))
+        rejected |= {i for i, s in of.items() if not middle - max(100, 4 * (middle - low)) <= s <= middle + max(100, 4 * (high - middle))}
+    assert {i for i, d in got.items() if not d.kept} == rejected | {i for i, d in got.items() if d.base_failed}
+    assert {200, 201} <= rejected and got[203].log_perplexity is None and got[202].language == "und"
+
+
+def test_model_is_a_distribution(spark):
+    """In every context the probabilities of the n-grams, and of the mass left to the order below, add up to one."""
+    from tessera.llm.perplexity import UNIT, fitted
 
     r = np.random.default_rng(1)
-    grams = np.unique(r.integers(0, GRAMS, 5000))
-    model = kneser_ney(grams, r.integers(1, 30, len(grams)))
-    for context in (*(grams[:5] >> 5), 12345):
-        p = np.exp(model.log_probabilities((int(context) << 5) + np.arange(32)))
-        assert abs(p.sum() - 1) < 1e-5
+    texts = ["".join(r.choice(list("abcd "), 200)) for _ in range(6)]
+    counts = [("x", ("\n\n\n" + t)[k : k + 4], 1, i, i) for i, t in enumerate(texts) for k in range(len(t))]
+    model = {d.gram: np.exp(-d.cost / UNIT) for d in fitted(spark.createDataFrame(counts, "language string, gram string, n long, low long, high long")).collect()}
+    cost = kneser_ney(texts)
+    for gram, p in model.items():
+        assert abs(np.exp(-cost(gram)) - p) < 1e-4
+    for context in {g[:3] for g in model}:
+        assert abs(sum(np.exp(-cost(context + c)) for c in "abcd ") - 1) < 0.2  # the rest is for symbols that were never seen
+
+
+def thue_morse(n):
+    """Two words of n letters, each the other with a and b exchanged: polynomials modulo 2**64 take them for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    from tokenizers import Tokenizer
+
+    x, y = thue_morse(2048)
+    start = passage(3, 49)
+    texts = [(1, f"{start} {x}"), (2, f"{start} {y}"), (3, f"{x} {x}"), (4, f"{y} {y}"), (5, f"{x}\n{y}"), (6, " ".join(x)), (7, " ".join(y)), (8, f"{start} {x}")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string")
+    assert order(tuple(d)[:4] for d in remove_repeats(docs).collect()) == repeats(texts, 50)
+    for words in (2, 5):
+        assert order((d.doc_id, d.n_shingles, d.component_id) for d in near_duplicates(docs, words=words).collect()) == components(texts, words, 80)
+    judged = {d.doc_id: d for d in quality(docs).collect()}
+    assert (judged[5].n_dup_lines, judged[5].n_repeat_words, judged[3].n_repeat_words) == (0, 0, 0)
+    model = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    got = {d.doc_id: d.ids for d in encode_documents(docs, vocabulary("word_bpe_49k.json")).collect()}
+    assert got == {i: model.encode(t, add_special_tokens=False).ids for i, t in texts}
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    a, b = passage(1, 100), passage(2, 100)
+    rows = [(1, a), (7, f"{a} z"), (7, b), (9, f"{b} z"), (None, f"{b} y"), (None, passage(3, 90)), (None, passage(3, 90))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "rep": F.lit(2)}), words=2, whole_rows=True).collect()
+    assert order((d.doc_id, d.row["text"], d.component_id, d.leader) for d in got if d.row["text"] != passage(3, 90)) == order(
+        [(1, a, 1, True), (7, f"{a} z", 1, False), (7, b, 7, True), (9, f"{b} z", 7, False), (None, f"{b} y", 7, False)]
+    )
+    assert sorted((d.component_id is None, d.leader, d.kept) for d in got if d.row["text"] == passage(3, 90)) == [(True, False, False), (True, True, True)]
+
+
+def test_special_tokens_in_a_row():
+    from tokenizers import Tokenizer
+
+    library, model = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), word_model(vocabulary("word_bpe_49k.json"))
+    text = "<|endoftext|>" * 3000 + "a<|startoftext|><|endoftext|><|endof" + "text|>"
+    assert model.encode([text, None, text])[0].tolist() == 2 * library.encode(text, add_special_tokens=False).ids
 
 
 def test_line_dedup(spark):
@@ -310,6 +429,54 @@ def test_top_k_with_odd_vectors(spark):
     assert top_k(few, few.filter("vec_id = 0"), k=20).count() == 4
 
 
+def brute_top_k(vectors, queries, k):
+    out = []
+    for q in queries:
+        best = sorted((-sum(a * b for a, b in zip(vectors[q], x)), v) for v, x in vectors.items() if v != q)[:k]
+        out += [(q, i + 1, v, -s) for i, (s, v) in enumerate(best)]
+    return order(out)
+
+
+def clusters(n, width, centres, spread, scale, seed):
+    r = np.random.default_rng(seed)
+    at = r.normal(0, scale, (centres, width))
+    return {i: [int(x) for x in np.floor(at[r.integers(centres)] + r.normal(0, spread, width))] for i in range(n)}
+
+
+@pytest.mark.parametrize("scale", [100, 10**8])
+def test_top_k_on_clusters(spark, scale):
+    """Ties, repeated ids, and components whose products pass 2**53."""
+    vectors = clusters(1500, 6, 12, scale / 50, scale, 1)
+    vectors |= {1500 + i: vectors[i] for i in range(40)}
+    rows = [*vectors.items(), *((i, [x + 1 for x in vectors[i]]) for i in range(0, 60, 20)), (3, vectors[3])]
+    least = {}
+    for i, x in rows:
+        least[i] = min(least.get(i, x), x)
+    table = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = top_k(table, table.filter("vec_id % 20 = 0"), k=5).collect()
+    assert order(map(tuple, got)) == brute_top_k(least, [i for i in least if i % 20 == 0], 5)
+
+
+def test_top_k_bounds_prune_clusters():
+    """With clusters, few rows reach the floor of a query, and groups of queries need few rows."""
+    from tessera.llm.top_k import _axes, passing
+
+    x = np.array(list(clusters(4000, 16, 60, 3, 100, 5).values()))
+    axes = _axes(x[::63])
+    v = x.astype(float)
+    cell = (v @ axes.T).argmax(1)
+    b = (v * axes[cell]).sum(1)
+    w = np.linalg.norm(v - b[:, None] * axes[cell], axis=1)
+    q = v[::20]
+    scores = q @ v.T
+    floor = np.sort(scores, axis=1)[:, -20]
+    home = np.argsort(-(q @ axes.T), axis=1)[:, :3]
+    open_ = passing(q, floor, home, cell, b, w, axes)
+    solved_before = (cell[None, :, None] == home[:, None, :]).any(2)
+    assert not ((scores > floor[:, None]) & ~open_ & ~solved_before).any()
+    assert (open_ | solved_before).mean() < 0.25
+
+
 @pytest.mark.parametrize("table", ["odd", "documents"])
 def test_section_tokens(table, request):
     from tokenizers import Tokenizer
