@@ -10,19 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_128_digest
 
 SLICE_BYTES = 1 << 20
-#: The prime of the window hashes, their two bases, and the key of the word digests: drawn once.
+#: The prime of the window hashes, their two bases, and the seed of the digests of long words: drawn once.
 PRIME = (1 << 61) - 1
 BASES = 0x0B4F1E36A9D27C55, 0x153C8D70E2BF6493
-_KEY = b"tessera words"
+_SEED = 0x6A5D39EAE12657A9
 
 _IS_WORD_BYTE = np.ones(256, bool)
 _IS_WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
+#: Masks of the first bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -35,19 +37,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def times(values: np.ndarray, factor: int) -> np.ndarray:
-    """values * factor modulo PRIME, for values and a factor below it."""
-    low = np.uint64((1 << 31) - 1)
+    """values * factor modulo PRIME, folded, for folded values and a factor below PRIME."""
     f1, f0 = np.uint64(factor >> 31), np.uint64(factor & ((1 << 31) - 1))
-    v1, v0 = values >> np.uint64(31), values & low
+    v1, v0 = values >> np.uint64(31), values & np.uint64((1 << 31) - 1)
     middle = v1 * f0 + v0 * f1
-    return reduced(np.uint64(2) * v1 * f1 + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + v0 * f0)
+    return folded(v1 * (f1 + f1) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + v0 * f0)
+
+
+def folded(values: np.ndarray) -> np.ndarray:
+    """Any unsigned numbers modulo PRIME, as numbers at most 7 above it."""
+    return (values & np.uint64(PRIME)) + (values >> np.uint64(61))
 
 
 def reduced(values: np.ndarray) -> np.ndarray:
     """Any unsigned numbers modulo PRIME."""
-    p = np.uint64(PRIME)
-    values = (values & p) + (values >> np.uint64(61))
-    return np.where(values >= p, values - p, values)
+    values = folded(values)
+    return values - np.uint64(PRIME) * (values >= np.uint64(PRIME))
 
 
 def window_hashes(values: np.ndarray, size: int, base: int) -> np.ndarray:
@@ -55,17 +60,31 @@ def window_hashes(values: np.ndarray, size: int, base: int) -> np.ndarray:
 
     Windows are put together from windows of half their length.
     """
+    return reduced(_windows(values, size, base))
+
+
+def _windows(values: np.ndarray, size: int, base: int) -> np.ndarray:
     n = len(values) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     if size == 1:
         return values
     half = size // 2
-    shorter = window_hashes(values, half, base)
-    found = reduced(shorter[: len(shorter) - half] + times(shorter[half:], pow(base, half, PRIME)))
+    shorter = _windows(values, half, base)
+    found = shorter[: len(shorter) - half] + times(shorter[half:], pow(base, half, PRIME))
     if size % 2:
-        found = reduced(found[:n] + times(values[size - 1 :], pow(base, size - 1, PRIME)))
-    return found
+        found = found[:n] + times(values[size - 1 :], pow(base, size - 1, PRIME))
+    return folded(found)
+
+
+def hashes_at(values: np.ndarray, at: np.ndarray, size: int, base: int) -> np.ndarray:
+    """The hashes of the windows of ``size`` values that start at these places."""
+    if len(at) * size > 6 * len(values):
+        return window_hashes(values, size, base)[at]
+    found = values[at]
+    for k in range(1, size):
+        found = folded(found + times(values[at + k], pow(base, k, PRIME)))
+    return reduced(found)
 
 
 def joint(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -90,11 +109,6 @@ def numbered(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
-def digests(words: pa.Array) -> np.ndarray:
-    """Two 64-bit numbers for each word: its keyed BLAKE2b digest of 128 bits."""
-    return np.frombuffer(b"".join([blake2b(w, digest_size=16, key=_KEY).digest() for w in words.to_pylist()]), np.uint64).reshape(-1, 2)
-
-
 @dataclass
 class Words:
     """Words of several texts. Word w is data[start[w]:end[w]]; text i has words first[i]:first[i + 1] and bytes text_at[i]:text_at[i + 1]."""
@@ -123,6 +137,29 @@ class Words:
         np.cumsum(self.end - self.start, out=at[1:])
         return numbered(data[inside], at)  # every byte that is none of the separators belongs to a word
 
+    def keys(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit numbers for each word, with A-Z in lower case if asked for.
+
+        A word of up to 15 bytes is spelled out in them, with its length in the last byte; a
+        longer one has 120 bits of its XXH3 digest.
+        """
+        data = np.r_[_LOWER[self.data] if lower else self.data, np.zeros(16, np.uint8)]
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+        length = self.end - self.start
+        a = eight[self.start] & _FIRST[np.minimum(length, 8)]
+        b = eight[self.start + 8] & _FIRST[np.clip(length - 8, 0, 8)] | length.astype(np.uint64) << np.uint64(56)
+        long_ = np.flatnonzero(length > 15)
+        if len(long_):
+            which, distinct = equal_ranges(data, self.start[long_], self.end[long_])
+            digests = np.frombuffer(b"".join([xxh3_128_digest(w, _SEED) for w in distinct.to_pylist()]), np.uint64).reshape(-1, 2)[which]
+            a[long_], b[long_] = digests[:, 0], digests[:, 1] | np.uint64(0xFF << 56)
+        return a, b
+
+    def values(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers below PRIME for each word, mixed from its keys."""
+        a, b = self.keys()
+        return reduced(mix(a + mix(b + np.uint64(BASES[0])))), reduced(mix(b - mix(a ^ np.uint64(BASES[1]))))
+
     def window_starts(self, size: int) -> np.ndarray:
         """Words at which a window of so many words of one text starts."""
         ends = np.repeat(self.first[1:], self.counts)

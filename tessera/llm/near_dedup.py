@@ -51,7 +51,7 @@ def near_duplicates(
 
     Method: each set becomes 288 minima.  48 bands of 6 give candidate buckets; of each
     minimum two low bits stay, packed into nine longs.  Equal sets, known by a BLAKE2b digest
-    of 256 bits of their sorted shingles, collapse to one row first.  Each bucket has a
+    of 256 bits over the words of their sorted shingles, collapse to one row first.  Each bucket has a
     centre, the member that meets the most others; each document is compared with the centre
     that it meets most often, by the collision-corrected estimate from bit counts and then on
     full shingle sets, word by word.  After components of these links, documents in buckets
@@ -171,7 +171,7 @@ class Shingles:
     """The distinct shingles of each text: numbers that equal shingles alone share, and the words that they start with."""
 
     def __init__(self, found: W.Words, size: int) -> None:
-        self.codes, self.distinct = found.interned(lower=True)
+        self.codes = found.interned(lower=True)[0]
         self.first, self.size = found.first, size
         at = np.arange(max(0, len(self.codes) - size + 1))
         self.number = self.codes[at]
@@ -194,7 +194,7 @@ class Shingles:
 def _hashes(found: W.Words, size: int) -> Iterator[tuple[np.ndarray, bytes]]:
     """For each text the sorted 64-bit hashes of its shingles, and a digest of the words of all of them."""
     shingles = Shingles(found, size)
-    values = W.digests(shingles.distinct)[shingles.codes]
+    values = np.stack(found.keys(lower=True), axis=1)
     for i, (first, last) in enumerate(zip(found.first[:-1], found.first[1:], strict=True)):
         at = shingles.text(i)
         width = min(size, last - first)
@@ -204,7 +204,7 @@ def _hashes(found: W.Words, size: int) -> Iterator[tuple[np.ndarray, bytes]]:
         words = values[at[:, None] + np.arange(width)]
         hashes = np.full(len(at), width, np.uint64)
         for k in range(width):
-            hashes = W.mix(hashes * np.uint64(0x9E3779B97F4A7C15) + words[:, k, 0])
+            hashes = W.mix(hashes * np.uint64(0x9E3779B97F4A7C15) + words[:, k, 0] + W.mix(words[:, k, 1]))
         order = np.argsort(hashes)
         yield hashes[order], blake2b(np.ascontiguousarray(words[order]), digest_size=32, salt=int(width).to_bytes(8, "little")).digest()
 

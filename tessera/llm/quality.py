@@ -23,6 +23,8 @@ BAND_WIDTH, BAND_QUANTILE, LEAST_REACH = 4.0, 0.1, 0.1
 PASSAGE = 128
 #: Bytes of text of a batch. Each batch asks once for every n-gram that it holds.
 BATCH_BYTES = 32 << 20
+#: Bytes that a task packs at a time.
+PACK_BYTES = 8 << 20
 
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
@@ -130,7 +132,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in W.slices(batch):
             held.append(part)
-            if sum(h.nbytes for h in held) > BATCH_BYTES:
+            if sum(h.nbytes for h in held) > PACK_BYTES:
                 yield from flushed(held)
                 held = []
     if held:

@@ -45,10 +45,10 @@ def remove_repeats(
     and that exchange serves all levels.  A batch sends one row per distinct key, so a
     passage that a third of all documents share gives one row per batch and not per document.
 
-    Words are equal in a batch if their bytes are.  Between batches a window is known by two
-    polynomials of its words' BLAKE2b digests, of 122 bits together: two different windows of 50
-    words agree with a chance of 2**-110, which for 10**13 windows is one false match in 10**7
-    corpora.
+    Windows are known by two polynomials modulo 2**61 - 1 in numbers mixed from all bytes of
+    their words, or from 120-bit digests of words of 16 bytes and more.  Two different windows
+    of 50 words agree with a chance of about 2**-110, which for 10**13 windows is one false
+    match in 10**7 corpora.
 
     Null text: no words.  Texts shorter than ``size`` words keep everything.  A null id
     counts as larger than every other.  Rows that share an id never remove each other's
@@ -105,18 +105,13 @@ def _words(table: pa.Table) -> W.Words:
     return W.find_words(*W.text_bytes(table.column("text").combine_chunks()))
 
 
-def _values(words: W.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers below PRIME for each word."""
-    codes, distinct = words.interned()
-    values = W.reduced(W.digests(distinct))[codes]
-    return np.ascontiguousarray(values[:, 0]), np.ascontiguousarray(values[:, 1])
-
-
-def _stands(first: np.ndarray, starts: np.ndarray, size: int, length: int) -> np.ndarray:
-    """For each full window that starts at these words, where the window of this length starts that stands for it."""
+def _stands(values: np.ndarray, starts: np.ndarray, size: int, length: int) -> np.ndarray:
+    """For each full window that starts at these words, where the window of this length starts that stands for it: the one whose words' sum mixes to the least."""
     if length == size or not len(starts):
         return starts
-    return W.sliding_minimum_at(W.mix(first), size - length + 1)[starts]
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(W.mix(values), out=sums[1:])
+    return W.sliding_minimum_at(W.mix(sums[length:] - sums[:-length]), size - length + 1)[starts]
 
 
 def _levels(size: int, length: int, shorter: int | None = None) -> Callable[..., pa.Table]:
@@ -132,14 +127,17 @@ def _level(table: pa.Table, shared: pa.Table | None, size: int, length: int, sho
     none = np.empty(0, np.int64)
     if not len(starts) or (shared is not None and not shared.num_rows):
         return _by_key(table, none.view(np.uint64), none.view(np.uint64), none)
-    values = _values(words)
+    values = words.values()
     if shared is not None:
-        before = [W.window_hashes(v, shorter, base) for v, base in zip(values, W.BASES, strict=True)]
-        at = _stands(before[0], starts, size, shorter)
-        starts = starts[_places(*_sorted(shared)[:2], before[0][at], before[1][at]) >= 0]
-    keys = [W.window_hashes(v, length, base) for v, base in zip(values, W.BASES, strict=True)]
-    chosen = np.unique(_stands(keys[0], starts, size, length))
-    return _by_key(table, keys[0][chosen], keys[1][chosen], _ids(table)[words.texts()[chosen]])
+        at, window = np.unique(_stands(values[0], starts, size, shorter), return_inverse=True)
+        starts = starts[(_places(*_sorted(shared)[:2], *_keys(values, at, shorter)) >= 0)[window]]
+    chosen = np.unique(_stands(values[0], starts, size, length))
+    return _by_key(table, *_keys(values, chosen, length), _ids(table)[words.texts()[chosen]])
+
+
+def _keys(values: tuple[np.ndarray, np.ndarray], at: np.ndarray, length: int) -> list[np.ndarray]:
+    """The two halves of the keys of the windows that start at these words."""
+    return [W.hashes_at(v, at, length, base) for v, base in zip(values, W.BASES, strict=True)]
 
 
 def _by_key(table: pa.Table, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> pa.Table:
@@ -159,6 +157,10 @@ def _sorted(shared: pa.Table) -> list[np.ndarray]:
     return [a[order], shared.column("b").to_numpy().view(np.uint64)[order], *(shared.column(c).to_numpy()[order] for c in shared.column_names[3:])]
 
 
+def _known(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
 def _places(keys_a: np.ndarray, keys_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Where each pair (a, b) stands among the keys, which rise by their first half; -1: nowhere."""
     if not len(keys_a):
@@ -179,8 +181,9 @@ def _kept(table: pa.Table, seen: pa.Table, size: int, with_text: bool) -> pa.Tab
     gone = starts
     if len(starts):
         keys_a, keys_b, first = _sorted(seen)
-        a, b = (W.window_hashes(v, size, base)[starts] for v, base in zip(_values(words), W.BASES, strict=True))
-        at = _places(keys_a, keys_b, a, b)
+        values = words.values()
+        starts = starts[_known(keys_a, W.hashes_at(values[0], starts, size, W.BASES[0]))]
+        at = _places(keys_a, keys_b, *_keys(values, starts, size))
         gone = starts[(at >= 0) & (ids[words.texts()[starts]] > first[at])]
     edge = np.zeros(len(words.start) + 1, np.int64)
     np.add.at(edge, gone, 1)

@@ -79,6 +79,27 @@ def test_words_and_minima():
         assert sliding_minimum_at(values, width).tolist() == [i + int(np.argmin(values[i : i + width])) for i in range(200 - width + 1)]
 
 
+def test_window_hashes_are_polynomials():
+    from tessera.llm._words import BASES, PRIME, hashes_at, window_hashes
+
+    values = np.random.default_rng(4).integers(0, PRIME, 300, dtype=np.uint64)
+    for size in (1, 2, 13, 25, 50):
+        found, some = window_hashes(values, size, BASES[0]), hashes_at(values, np.array([7, 9]), size, BASES[0])
+        for i in (0, 7, 9, 300 - size):
+            assert int(found[i]) == sum(int(v) * pow(BASES[0], k, PRIME) for k, v in enumerate(values[i : i + size])) % PRIME
+        assert some.tolist() == found[[7, 9]].tolist()
+
+
+def test_word_keys_spell_words_out():
+    import pyarrow as pa
+
+    words = ["a", "A", "ab", "a" * 8, "a" * 9, "a" * 15, "a" * 16, "a" * 17, "\x00", "\x00\x00", "ü", "x" * 7 + "\x00"]
+    keys = list(zip(*find_words(*text_bytes(pa.array([" ".join(words)]))).keys()))
+    assert len(set(keys)) == len(words)
+    low = list(zip(*find_words(*text_bytes(pa.array(["Ab aB AB ÄB äB"]))).keys(lower=True)))
+    assert low[0] == low[1] == low[2] and low[3] != low[4]
+
+
 def repeats(rows, size):
     first, out = {}, []
     for _, words, i in sorted((10**9 if i is None else i, WORD.findall(t or ""), i) for i, t in rows):
