@@ -23,6 +23,8 @@ TRUST = {"declared": 0.9, "suffix": 0.7}
 PRIOR_WEIGHT = 5.0
 #: Pseudo-count of a gram in a language.
 ALPHA = 0.5
+#: Share of the training rows that a label needs to be a language; so there are at most 100, of 4 MB each.
+LEAST_SHARE = 0.01
 #: Country suffixes and the language they suggest (fixed values).
 SUFFIXES = {"at": "de", "ch": "de", "de": "de", "es": "es", "mx": "es", "ar": "es", "fr": "fr", "be": "fr", "uk": "en", "us": "en", "au": "en", "ie": "en"}
 
@@ -31,8 +33,8 @@ def identify(rows: DataFrame, training: DataFrame, min_posterior: float = 0.0) -
     """Names the language of each text.
 
     ``rows``: ``id long, text string, declared string`` (language of the markup, such as
-    ``de`` or ``de-AT``), ``host string``.  ``training``: ``text, lang``; every row with a
-    language counts.  Returns per row: ``id, language string`` (the likeliest; ``und`` when
+    ``de`` or ``de-AT``), ``host string``.  ``training``: ``text, lang``; every row of a
+    language counts, and a label is a language if a hundredth of the rows carry it.  Returns per row: ``id, language string`` (the likeliest; ``und`` when
     training has no language), ``text_language string`` (by text alone, null without text),
     ``posterior double``, ``kept boolean`` (posterior of ``min_posterior`` at least).
 
@@ -42,9 +44,10 @@ def identify(rows: DataFrame, training: DataFrame, min_posterior: float = 0.0) -
     address suffix multiply it by the chance of such a declaration.  The prior is that of
     the host: posteriors by text are summed by host, registered domain, suffix and overall
     in grouped aggregations, and each level is smoothed towards the one above.  A row's own
-    share does not count in its host's prior.
+    share counts in no level of its prior.
 
     The language set comes from the training labels, ordered by name; ties go to the first.
+    Rows may repeat or share an id; each is named by itself.
     Null text, declaration or host is no evidence.  Declared languages and suffixes that
     training does not know are no evidence either.  An empty table gives no rows; other
     columns are not read.
@@ -65,12 +68,14 @@ def identify(rows: DataFrame, training: DataFrame, min_posterior: float = 0.0) -
 def _fit(training: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log-probability of each gram in each language."""
     labelled = training.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("language"), F.col("text").cast("string").alias("text"))
-    counts = labelled.mapInArrow(count_grams, "language string, gram int, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(set(counts.column("language").to_pylist()))
+    rows = labelled.groupBy("language").agg(F.count("*").alias("n"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    names = sorted(r["language"] for r in rows.filter(F.col("n") >= LEAST_SHARE * total).collect())
+    counts = labelled.filter(F.col("language").isin(names)).mapInArrow(count_grams, "language string, gram int, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((len(names), GRAMS), np.int64)
     code = {name: i for i, name in enumerate(names)}
     languages = counts.column("language").combine_chunks().dictionary_encode()
-    of = np.array([code[name] for name in languages.dictionary.to_pylist()], np.int64)[languages.indices.to_numpy()] if names else np.empty(0, np.int64)
+    of = np.array([code[name] for name in languages.dictionary.to_pylist()], np.int64)[languages.indices.to_numpy()] if counts.num_rows else np.empty(0, np.int64)
     table[of, counts.column("gram").to_numpy()] = counts.column("n").to_numpy()
     return names, np.round(UNIT * (np.log(table + ALPHA) - np.log(table.sum(1, keepdims=True) + ALPHA * GRAMS))).astype(np.int32)
 
@@ -116,23 +121,27 @@ def _fused(scored: DataFrame, names: list[str], min_posterior: float) -> DataFra
     def above(key: list[str]) -> DataFrame:
         return hosts.groupBy(*key).agg(F.array(*(F.sum(F.col("n")[i]) for i in range(size))).alias(f"n_{'_'.join(key) or 'all'}"))
 
-    # Without a host the prior is the overall one, from all rows.
-    overall = summed([]).first()["n"]
-    flat = F.array(*(F.lit((x / 1000 + PRIOR_WEIGHT / size) / (sum(overall) / 1000 + PRIOR_WEIGHT)) for x in overall))
-    suffixes = above(["suffix"]).select("suffix", smoothed(F.col("n_suffix"), flat).alias("p_suffix"))
-    domains = above(["domain", "suffix"]).join(suffixes, "suffix").select("domain", "suffix", smoothed(F.col("n_domain_suffix"), F.col("p_suffix")).alias("p_domain"))
-    priors = saved(hosts.join(domains, ["domain", "suffix"]).select("host", "n", "p_domain"))
+    domains, suffixes = above(["domain", "suffix"]), above(["suffix"])
+    hosts = saved(hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix").select("host", "n", "n_domain_suffix", "n_suffix"))
+
+    def rest(n: Column) -> Column:
+        """What the other rows give."""
+        return F.zip_with(n, F.col("share"), lambda a, x: a - x)
 
-    rest = F.zip_with("n", "share", lambda a, b: a - b)
-    prior = F.when(F.col("n").isNull(), flat).otherwise(smoothed(rest, F.col("p_domain")))
+    # Without a host the prior is the overall one, from all rows.
+    overall = F.array(*(F.lit(x) for x in summed([]).first()["n"]))
+    flat = smoothed(rest(overall), F.array(*(F.lit(1.0 / size) for _ in names)))
+    prior = F.col("p_all")
+    for level in ("n_suffix", "n_domain_suffix", "n"):
+        prior = smoothed(rest(F.col(level)), prior)
 
     def vote(named: Column, trust: float) -> Column:
         """The chance of the declaration under each language; 1 when it says nothing that is known."""
         other = (1 - trust) / max(1, size - 1)
         return F.transform(known, lambda x: F.when(F.array_contains(known, named), F.when(x == named, trust).otherwise(other)).otherwise(1.0))
 
-    joined = labelled.join(priors, "host", "left").withColumns(
-        {"prior": prior, "by_declared": vote(F.col("declared"), TRUST["declared"]), "by_suffix": vote(by_suffix[F.col("suffix")], TRUST["suffix"])}
+    joined = labelled.join(hosts, "host", "left").withColumn("p_all", flat).withColumns(
+        {"prior": F.when(F.col("n").isNull(), F.col("p_all")).otherwise(prior), "by_declared": vote(F.col("declared"), TRUST["declared"]), "by_suffix": vote(by_suffix[F.col("suffix")], TRUST["suffix"])}
     )
     logs = F.transform(
         F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.get("score", i) / UNIT + F.log(F.get("prior", i)) + F.log(F.get("by_declared", i)) + F.log(F.get("by_suffix", i))
