@@ -132,23 +132,16 @@ SQL: dict[str, str] = {
         WITH p AS (
             SELECT *, '"' || substr(sha256(html), 1, 16) || '"' AS etag,
                    TIMESTAMP '2024-01-01' + to_minutes(page_id) AS moment,
-                   regexp_replace(trim(url), '#.*$', '') AS bare
+                   lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) AS start
             FROM pages
-        ), parts AS (
-            SELECT *, regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1) AS start FROM p
-        ), u AS (
-            SELECT *, substr(bare, length(start) + 1) AS rest,
-                   regexp_replace(regexp_replace(regexp_replace(lower(start), '^https://', 'http://'), '^(http://)www\.', '\1'), ':(80|443)$', '') AS site
-            FROM parts
         ), c AS (
-            SELECT *, site || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '')
-                   || CASE WHEN regexp_extract(rest, '\?(.*)$', 1) <> '' THEN '?' ||
-                        array_to_string(list_sort(string_split(regexp_extract(rest, '\?(.*)$', 1), '&')), '&') ELSE '' END AS key
-            FROM u
+            SELECT *, regexp_replace(regexp_replace(regexp_replace(start, '^https://', 'http://'), '^(http://)www\.', '\1'), ':(80|443)$', '')
+                   || '/part' || (page_id % 4) AS key
+            FROM p
         ), r AS (
-            SELECT key, moment, min(2 * page_id) AS response_id FROM c WHERE page_id % 3 <> 2 GROUP BY key, moment
+            SELECT key, moment, min(2 * page_id) AS response_id FROM c GROUP BY key, moment
         ), v AS (
-            SELECT page_id, key, moment + to_minutes(10 + page_id % 50) AS moment,
+            SELECT page_id, key, moment + to_minutes(CASE WHEN page_id % 11 = 0 THEN -30 ELSE 10 + page_id % 50 END) AS moment,
                    CASE WHEN page_id % 7 = 0 THEN '"changed"' WHEN page_id % 5 = 0 THEN NULL ELSE etag END AS etag,
                    page_id % 28 AS day, page_id % 50 AS age
             FROM c

@@ -52,8 +52,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     spread over tasks.  Records that share URL and date count as one point.  Headers join by
     response id only after the point is settled; payloads never move.
 
-    Null URLs and null dates have no earlier response.  Null headers count as none.  Empty
-    tables give no rows; other columns are not read.
+    Null URLs and null dates have no earlier response.  Null headers count as none.  Every
+    revisit row has one result row, repeated ones too; of responses that share id, URL and
+    date the one with the smallest validators and payload counts.  Empty tables give no rows;
+    other columns are not read.
     """
     keyed = records.select(
         "record_id", "record_type", canonical_url(F.col("url")).alias("url"), "date", "etag", "last_modified", "headers", "payload_sha256"
@@ -68,22 +70,31 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         .agg(F.min(F.when(F.col("record_type") == "response", F.col("record_id"))).alias("response_id"), F.max(F.col("record_type") == "revisit").alias("asked"))
         .withColumn("bucket", bucket)
     )
+    response = F.when(F.col("response_id").isNotNull(), F.struct("response_id", F.col("date").alias("response_date")))
     last = Window.partitionBy("url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = saved(
-        points.filter("response_id is not null").groupBy("url", "bucket").agg(F.max_by("response_id", "date").alias("final"))
-        .unionByName(points.filter("asked").select("url", "bucket").distinct().withColumn("final", F.lit(None).cast("long")))
-        .groupBy("url", "bucket").agg(F.max("final").alias("final"))
+        points.groupBy("url", "bucket").agg(F.max_by(response, F.when(F.col("response_id").isNotNull(), F.col("date"))).alias("final"))
         .withColumn("before", F.last("final", ignorenulls=True).over(last))
     )
     inside = Window.partitionBy("url", "bucket").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    settled = points.withColumn("here", F.last("response_id", ignorenulls=True).over(inside)).filter("asked")
-    earlier = saved(settled.join(carried, ["url", "bucket"]).select("url", "date", F.coalesce("here", "before").alias("response_id")).filter("response_id is not null"))
-
-    revisits = keyed.filter("record_type = 'revisit'").join(earlier, ["url", "date"], "left")
-    responses = keyed.filter("record_type = 'response'").select(
-        F.col("record_id").alias("response_id"), F.col("etag").alias("r_etag"), F.col("last_modified").alias("r_modified"), F.col("headers").alias("r_headers"), F.col("payload_sha256").alias("r_payload")
+    settled = points.withColumn("here", F.last(response, ignorenulls=True).over(inside)).filter("asked")
+    found = F.coalesce("here", "before")
+    earlier = saved(settled.join(carried, ["url", "bucket"]).select("url", "date", found["response_id"].alias("response_id"), found["response_date"].alias("response_date")).filter("response_id is not null"))
+
+    def salted(missing: Column) -> Column:
+        """Rows without a partner spread by their own id, so they do not all meet in one place."""
+        return F.when(missing, F.xxhash64("record_id")).otherwise(0).alias("salt")
+
+    asked = keyed.filter("record_type = 'revisit'").withColumn("salt", salted(F.col("url").isNull() | F.col("date").isNull()))
+    revisits = asked.join(earlier.withColumn("salt", F.lit(0).cast("long")), ["url", "date", "salt"], "left").withColumn("salt", salted(F.col("response_id").isNull()))
+    stored = F.struct(F.col("etag").alias("r_etag"), F.col("last_modified").alias("r_modified"), F.col("headers").alias("r_headers"), F.col("payload_sha256").alias("r_payload"))
+    responses = (
+        keyed.filter("record_type = 'response'")
+        .groupBy(F.col("record_id").alias("response_id"), "url", F.col("date").alias("response_date"), F.lit(0).cast("long").alias("salt"))
+        .agg(F.min_by(stored, F.struct("etag", "last_modified", "payload_sha256")).alias("stored"))
+        .select("response_id", "url", "response_date", "salt", "stored.*")
     )
-    both = revisits.join(responses, "response_id", "left")
+    both = revisits.join(responses, ["response_id", "url", "response_date", "salt"], "left")
     strong = [F.regexp_replace(F.col(c), "^W/", "") for c in ("etag", "r_etag")]
     agrees = F.coalesce(strong[0] == strong[1], F.col("last_modified") == F.col("r_modified"))
     status = (
@@ -104,21 +115,24 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
-    """Archive records of the crawled pages: of each page a full response and a later not-modified revisit.
+    """Archive records of the crawled pages: of each page a full response and a not-modified revisit.
 
-    Page n is captured in minute n and revisited 10 + n % 50 minutes later.  Validators come from
-    the page; every seventh revisit has another ETag, every fifth has none, and every third
-    page is revisited without a full response of its own.
+    The pages of a host are successive captures of its four parts, so a part has a response
+    for every fourth page of the host and a host with many pages has many to choose from.
+    Page n is captured in minute n and revisited 10 + n % 50 minutes later, or, every eleventh,
+    30 minutes before.  Validators come from the page; every seventh revisit has another ETag
+    and every fifth has none.
     """
     n = F.col("page_id")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     minute = F.expr("make_dt_interval(0, 0, cast(page_id as int), 0)")
+    part = F.concat(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1), F.lit("/part"), (n % 4).cast("string"))
     etag = F.concat(F.lit('"'), F.substring(F.sha2(F.col("html").cast("binary"), 256), 1, 16), F.lit('"'))
     day = F.concat(F.lit("day "), (n % 28).cast("string"))
-    response = pages.filter(n % 3 != 2).select(
+    response = pages.select(
         (2 * n).alias("record_id"),
         F.lit("response").alias("record_type"),
-        "url",
+        part.alias("url"),
         (start + minute).alias("date"),
         etag.alias("etag"),
         day.alias("last_modified"),
@@ -129,8 +143,8 @@ def page_captures(pages: DataFrame) -> DataFrame:
     revisit = pages.select(
         (2 * n + 1).alias("record_id"),
         F.lit("revisit").alias("record_type"),
-        F.concat(F.regexp_replace("url", "^http://", "https://"), F.lit("#again")).alias("url"),
-        (start + minute + F.expr("make_dt_interval(0, 0, cast(10 + page_id % 50 as int), 0)")).alias("date"),
+        F.concat(F.regexp_replace(part, "^http://", "https://"), F.lit("/#again")).alias("url"),
+        (start + minute + F.expr("make_dt_interval(0, 0, cast(if(page_id % 11 = 0, -30, 10 + page_id % 50) as int), 0)")).alias("date"),
         seen.alias("etag"),
         day.alias("last_modified"),
         F.create_map(F.lit("age"), (n % 50).cast("string"), F.lit("content-length"), F.lit("0")).alias("headers"),

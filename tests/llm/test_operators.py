@@ -540,6 +540,62 @@ def test_language_id(spark, documents):
     assert odd[1].text_language is None and len(odd) == 7
 
 
+def named(rows, training):
+    """By brute force: (id, language, text_language, posterior) of rows (id, text, declared, host), from training rows (text, lang)."""
+    from tessera.llm._ngrams import GRAMS, symbol_table
+    from tessera.llm.language_id import ALPHA, EFFECTIVE, PRIOR_WEIGHT, SUFFIXES, TRUST, UNIT
+
+    def grams(text):
+        symbols = [0, 0, 0] + [int(symbol_table()[ord(c)]) for c in text or ""]
+        return [tuple(symbols[k : k + 4]) for k in range(len(text or ""))]
+
+    labels = Counter(lang for text, lang in training if text is not None and lang is not None)
+    names = sorted(name for name, n in labels.items() if n >= 0.01 * sum(labels.values()))
+    counts = {name: Counter(g for text, lang in training if lang == name and text is not None for g in grams(text)) for name in names}
+    cost = {name: (lambda g, c=c, t=np.log(sum(c.values()) + ALPHA * GRAMS): round(UNIT * (np.log(c[g] + ALPHA) - t))) for name, c in counts.items()}
+    scores, shares = [], []
+    for _, text, _, _ in rows:
+        of = grams(text)
+        score = [sum(cost[name](g) for g in of) for name in names]
+        scores.append([s * EFFECTIVE // len(of) for s in score] if len(of) > EFFECTIVE else score)
+        odds = [np.exp((s - max(scores[-1])) / UNIT) for s in scores[-1]]
+        shares.append([round(1000 * o / sum(odds)) if of else 0 for o in odds])
+    out = []
+    for k, (i, text, declared, host) in enumerate(rows):
+        declared = (re.match("[A-Za-z]+", declared or "") or [""])[0].lower()
+        host = host and host.lower()
+        suffix = host and host.split(".")[-1]
+        domain = host and ".".join(host.split(".")[-2:]) if host and "." in host else ""
+        ends = lambda h: (h.lower().split(".")[-1], ".".join(h.lower().split(".")[-2:]) if "." in h else "", h.lower())
+        prior = [1 / len(names)] * len(names)
+        levels = [lambda h: True] + ([lambda h: h and ends(h)[0] == suffix, lambda h: h and ends(h)[:2] == (suffix, domain), lambda h: h and h.lower() == host] if host is not None else [])
+        for inside in levels:
+            n = [sum(shares[j][m] for j, r in enumerate(rows) if j != k and inside(r[3])) / 1000 for m in range(len(names))]
+            prior = [(x + PRIOR_WEIGHT * p) / (sum(n) + PRIOR_WEIGHT) for x, p in zip(n, prior)]
+        logs = [s / UNIT + np.log(p) for s, p in zip(scores[k], prior)]
+        for vote, trust in ((declared, TRUST["declared"]), (SUFFIXES.get(suffix), TRUST["suffix"])):
+            if vote in names:
+                logs = [x + np.log(trust if name == vote else (1 - trust) / (len(names) - 1)) for x, name in zip(logs, names)]
+        best = max(range(len(names)), key=lambda m: logs[m])
+        out.append((i, names[best], names[max(range(len(names)), key=lambda m: scores[k][m])] if text else None, 1 / sum(np.exp(x - logs[best]) for x in logs)))
+    return out
+
+
+def test_language_id_against_brute_force(spark):
+    r = np.random.default_rng(8)
+    words = {"de": "der die und nicht eine über".split(), "fr": "le la les être une où".split(), "en": "the and of a not over".split()}
+    text = lambda lang, n: " ".join(r.choice(words[lang], n))
+    training = [(text(lang, 20), lang) for lang in words for _ in range(50)] + [(text("de", 9), "dirty"), (None, "en"), ("x", None)]
+    hosts = [None, "a.site.de", "b.site.de", "c.other.de", "x.fr", "W.Big.com", "w.big.com", "local"]
+    rows = [(k, [text(["de", "fr", "en"][k % 3], 1 + k % 7), None, ""][0 if k % 5 else 1 + k % 2], [None, "de-AT", "FR", "xx", "en"][r.integers(5)], hosts[r.integers(8)]) for k in range(60)]
+    rows += [(900, text("fr", 3), None, "alone.fr"), rows[1], (1, "le la", None, "a.site.de")]
+    table = spark.createDataFrame(rows, "id long, text string, declared string, host string").withColumns({"share": F.lit(1), "suffix": F.lit("q"), "n": F.lit(0)})
+    got = identify(table, spark.createDataFrame(training, "text string, lang string").withColumn("gram", F.lit(1))).collect()
+    key = lambda t: (t[0], str(t[1]), str(t[2]), t[3])
+    for g, e in zip(sorted((tuple(g)[:4] for g in got), key=key), sorted(named(rows, training), key=key), strict=True):
+        assert g[:3] == e[:3] and abs(g[3] - e[3]) < 2e-5, (g, e)
+
+
 def test_host_prior_decides_without_text(spark, documents):
     french = documents.filter("lang = 'fr'").limit(30).select("doc_id", "text")
     rows = french.select(F.col("doc_id").alias("id"), "text", F.lit(None).cast("string").alias("declared"), F.lit("w.site.org").alias("host"))
@@ -551,7 +607,11 @@ def test_host_prior_decides_without_text(spark, documents):
 def test_revisits(spark):
     record = "record_id long, record_type string, url string, date timestamp, etag string, last_modified string, headers map<string,string>, payload_sha256 string"
     t = lambda h: __import__("datetime").datetime(2024, 1, 1, h)
+    repeated = (11, "revisit", "http://a.org/x?a=1&b=2", t(9), None, "m2", None, None)
     rows = [
+        repeated, repeated,
+        (1, "response", "https://elsewhere.org", t(2), "x", "y", None, "p0"),
+        (2, "response", "https://a.org/x?a=1&b=2", t(3), '"f"', "m2", None, "p2"),
         (1, "response", "HTTP://www.A.org:80/x/?b=2&a=1#f", t(1), '"e"', "m1", {"etag": '"e"', "age": "1", "content-type": "t"}, "p1"),
         (2, "response", "https://a.org/x?a=1&b=2", t(3), '"f"', "m2", None, "p2"),
         (3, "response", "https://a.org/x?a=1&b=2", t(3), '"g"', "m2", None, "p3"),
@@ -563,10 +623,13 @@ def test_revisits(spark):
         (9, "revisit", "http://a.org/x?a=1&b=2", None, None, None, None, None),
         (10, "revisit", "http://a.org/x?a=1&b=2", t(8), None, None, None, None),
     ]
-    got = {r.record_id: r for r in resolve_revisits(spark.createDataFrame(rows, record)).collect()}
+    table = spark.createDataFrame(rows, record).withColumns({"salt": F.lit(1), "bucket": F.lit(2), "here": F.lit(3), "status": F.lit("s")})
+    found = resolve_revisits(table).collect()
+    assert len(found) == 9
+    got = {r.record_id: r for r in found}
     assert {i: (r.response_id, r.status, r.payload_sha256) for i, r in got.items()} == {
         4: (1, "resolved", "p1"), 5: (2, "mismatch", "own"), 6: (None, "missing", None), 7: (2, "resolved", "p2"), 8: (None, "missing", None), 9: (None, "missing", None),
-        10: (2, "unvalidated", "p2"),
+        10: (2, "unvalidated", "p2"), 11: (2, "resolved", "p2"),
     }
     assert got[4].headers == {"etag": '"e"', "age": "9", "content-type": "t"}
     urls = spark.createDataFrame([("HTTPS://www.X.de:443/a//?q#z",), ("not a url#x",), (None,)], "u string")
