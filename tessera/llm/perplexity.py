@@ -16,7 +16,7 @@ ORDER = 4
 UNIT = 1 << 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Rows of counts that a task holds before it sums them up.
-_PENDING = 1 << 20
+_PENDING = 1 << 18
 #: Limits that no digest of a text reaches: an n-gram of two texts or more has them as low and high.
 _LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
@@ -88,7 +88,7 @@ def by_language(table: pa.Table):
     languages = table.column("language").combine_chunks().dictionary_encode()
     codes = languages.indices.to_numpy()
     for code, name in enumerate(languages.dictionary.to_pylist()):
-        rows = table.filter(pa.array(codes == code)).combine_chunks()
+        rows = table.filter(pa.array(codes == code))
         yield name, (part for batch in rows.to_batches() for part in W.slices(batch))
 
 

@@ -22,7 +22,7 @@ BAND_WIDTH, BAND_QUANTILE, LEAST_REACH = 4.0, 0.1, 0.1
 #: Characters of a passage; a document's score is that of its median passage.
 PASSAGE = 128
 #: Bytes of text of a batch. Each batch asks once for every n-gram that it holds.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 24 << 20
 #: Bytes that a task packs at a time.
 PACK_BYTES = 8 << 20
 
@@ -43,7 +43,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     ``passage_perplexity double`` (that of the median passage, to thousandths).  With
     ``whole_rows`` also ``row``, a struct of all columns of the input row.
 
-    Method: documents are dealt into batches of about 32 MB of text, which travel once, as
+    Method: documents are dealt into batches of about 24 MB of text, which travel once, as
     compressed Arrow streams.  Each batch counts its n-grams of four code points by language;
     Spark sums the counts and fits a modified Kneser-Ney model of each language
     (``perplexity.fitted``), a table that grows with the corpus.  Each batch gets the entries
@@ -146,6 +146,7 @@ def _unpacked(streams: pa.Table) -> pa.Table:
 def _judge(streams: pa.Table, model: pa.Table) -> pa.Table:
     out = []
     table = _unpacked(streams)
+    pa.default_memory_pool().release_unused()  # of the batch before: workers live on
     for language, texts in by_language(table):
         entries = model.filter(pa.compute.equal(model.column("language"), language))
         hashes = entries.column("hash").to_numpy().view(np.uint64)
