@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,9 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole_rows: bool = False) -> DataFrame:
+def quality(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole_rows: bool = False, batch_bytes: int = BATCH_BYTES
+) -> DataFrame:
     """Judges documents by rules on their words and by n-gram perplexity in their language.
 
     Returns per input row: ``id_col long``; ``n_words``, ``word_chars`` (code points in
@@ -43,8 +46,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     ``passage_perplexity double`` (that of the median passage, to thousandths).  With
     ``whole_rows`` also ``row``, a struct of all columns of the input row.
 
-    Method: documents are dealt into batches of about 24 MB of text, which travel once, as
-    compressed Arrow streams.  Each batch counts its n-grams of four code points by language;
+    Method: documents are dealt into batches of about ``batch_bytes`` of text, which
+    travel as compressed Arrow streams.  Each batch counts its n-grams of four code points by language;
     Spark sums the counts and fits a modified Kneser-Ney model of each language
     (``perplexity.fitted``), a table that grows with the corpus.  Each batch gets the entries
     of its own n-grams by a join on language and n-gram, as two arrays sorted by hash, and
@@ -62,7 +65,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """
     text, key = F.col(text_col).cast("string"), F.col(id_col).cast("long")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    batches = max(1, -(-total // BATCH_BYTES))
+    batches = max(1, -(-total // batch_bytes))
     dealt = docs.select(
         F.pmod(F.when(key.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)), F.lit(batches)).cast("long").alias("batch"),
         key.alias("doc_id"),
@@ -74,7 +77,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     streams = dealt.mapInArrow(_packed, "batch long, stream binary").repartition(batches, "batch")
     grouped = streams.groupBy("batch")
 
-    counts = saved(grouped.applyInArrow(lambda t: counted(_unpacked(t)), ", ".join(f"{c} {'long' if t == pa.int64() else 'string'}" for c, t in COUNTED)), "zstd")
+    counts = saved(grouped.applyInArrow(_counted, ", ".join(f"{c} {'long' if t == pa.int64() else 'string'}" for c, t in COUNTED)), "zstd")
     model = fitted(counts)
     asked = counts.select("batch", "language", "gram", "hash").join(model, ["language", "gram"]).select("batch", "language", "hash", "cost")
 
@@ -143,10 +146,24 @@ def _unpacked(streams: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(s.as_buffer()).read_all() for s in streams.column("stream")])
 
 
+def _counted(streams: pa.Table) -> pa.Table:
+    found = counted(_unpacked(streams))
+    _give_back()
+    return found
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system, since idle workers keep it from the JVM beside them; a no-op where the C library has no such call."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _judge(streams: pa.Table, model: pa.Table) -> pa.Table:
+    _give_back()
     out = []
     table = _unpacked(streams)
-    pa.default_memory_pool().release_unused()  # of the batch before: workers live on
     for language, texts in by_language(table):
         entries = model.filter(pa.compute.equal(model.column("language"), language))
         hashes = entries.column("hash").to_numpy().view(np.uint64)
@@ -163,6 +180,8 @@ def _judge(streams: pa.Table, model: pa.Table) -> pa.Table:
             if "row" in table.column_names:
                 columns |= {"text": part.column("text"), "row": part.column("row")}
             out.append(pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for k, v in columns.items()}))
+    del table, model, streams
+    _give_back()
     return pa.Table.from_batches(out)
 
 

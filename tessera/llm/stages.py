@@ -16,6 +16,9 @@ from tessera.llm.quality import quality
 from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.vocabularies import vocabulary
 
+#: Bytes of text of a batch of the quality rules, which carry whole rows here.
+BATCH_BYTES = 12 << 20
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows that the quality rules reject.
@@ -23,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null, empty and short texts go, as they have fewer than 50 words.  Scores on the edge of a
     band stay.  Repeated rows are judged alike.  An empty table stays empty.
     """
-    return quality(docs, whole_rows=True).filter("kept").select("row.*")
+    return quality(docs, whole_rows=True, batch_bytes=BATCH_BYTES).filter("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
