@@ -15,7 +15,7 @@ STAGES = [
     ("packing", stages.packing),
 ]
 
-#: Perplexity, MinHash and byte-pair encoding have no SQL form; tests hold each stage against brute force.
+#: Perplexity, MinHash and byte-pair encoding have no SQL form; tests hold the first four stages against brute force or their operators and the last one's rows against its input.
 ORACLE_SQL = None
 
 

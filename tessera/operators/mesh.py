@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import Vector, cross, dot, minus, norm, solid_angle, vector
 from tessera.plans.components import connected_components
 from tessera.plans.scans import sums_before
+from tessera.plans.tables import saved
 
 #: A facet with a lower quality is called poor, one over so many mean areas oversized.
 QUALITY, OVERSIZED = 0.2, 4.0
@@ -84,9 +85,16 @@ def close_pairs(points: DataFrame, radius: float, key: str = "id") -> DataFrame:
 
 
 def weld(points: DataFrame, radius: float, key: str = "id") -> DataFrame:
-    """Joins points within ``radius`` of each other, also in chains: ``key, representative`` (the smallest key)."""
-    found = connected_components(close_pairs(points, radius, key))
-    return points.select(key).join(found, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", F.col(key)).alias("representative"))
+    """Joins points within ``radius`` of each other, also in chains: ``key, representative`` (the smallest key).
+
+    Equal points stand for one, so that many of them make no pairs; a point without a place stays alone.
+    """
+    places = saved(points.groupBy("x", "y", "z").agg(F.min(key).alias("first")).dropna(subset=["x", "y", "z"]))
+    found = connected_components(close_pairs(places.withColumnRenamed("first", key), radius, key))
+    return (
+        points.join(places, ["x", "y", "z"], "left").withColumn("first", F.coalesce("first", key)).join(found, F.col("first") == F.col("node"), "left")
+        .select(key, F.coalesce("component", "first").alias("representative"))
+    )
 
 
 def dense_ids(table: DataFrame, column: str, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import partition, sparse
 from tessera.plans.components import connected_components
+from tessera.plans.tables import saved
 from tessera.sources import cases, graphs
 
 
@@ -154,9 +155,9 @@ def nation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the words of all documents as matrix entries: row doc_id, col the word."""
+    """Counts of the words of all documents as matrix entries: row doc_id, col the word. Written once, as callers read them more than once."""
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))
-    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), word.alias("col")).groupBy("row", "col").agg(F.count("*").cast("double").alias("val"))
+    return saved(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), word.alias("col")).groupBy("row", "col").agg(F.count("*").cast("double").alias("val")))
 
 
 _WORDS = "SELECT doc_id AS row, col, count(*)::DOUBLE AS val FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS col FROM documents) GROUP BY ALL"

@@ -204,3 +204,11 @@ def test_similar_sets_of_frequent_columns(spark):
         assert {tuple(x) for x in sparse.similar_sets(entries, 3, least).collect()} == expected
     pruned = sparse.similar_rows(sparse.prune(entries, "col", 2, 20), 3, 0.1, "jaccard")
     assert pruned.filter("row >= 100").isEmpty()
+
+
+def test_weld_of_equal_and_missing_points(spark):
+    from tessera.operators.mesh import weld
+
+    rows = [(i, 1.0, 2.0, 3.0) for i in range(50, 10, -1)] + [(5, 1.5, 2.0, 3.0), (60, 2.0, 2.0, 3.0), (70, 9.0, 9.0, 9.0), (71, None, 2.0, 3.0), (72, None, 2.0, 3.0)]
+    found = {r.id: r.representative for r in weld(spark.createDataFrame(rows, "id long, x double, y double, z double"), 0.6).collect()}
+    assert found == {i: 5 for i, *_ in rows[:42]} | {70: 70, 71: 71, 72: 72}
