@@ -48,14 +48,12 @@ def copysign(size: Column, sign: Column) -> Column:
     return F.when(sign < 0, -F.abs(size)).otherwise(F.abs(size))
 
 
-def first_root(a: Column, b: Column, c: Column) -> Column:
-    """The smallest root of a t^2 + b t + c in (0, 1], without cancellation; null if there is none."""
+def link_roots(a: Column, b: Column, c: Column) -> list[Column]:
+    """Both roots of a t^2 + b t + c, without cancellation; null for a root that is not in (0, 1]."""
     disc = b * b - 4 * a * c
     q = -0.5 * (b + copysign(F.sqrt(disc), b))
-    r1 = F.when(a != 0, q / a)
-    r2 = F.when(q != 0, c / q)
-    fit = [F.when((r > 0) & (r <= 1), r) for r in (r1, r2)]
-    return F.when((disc >= 0) & ((a != 0) | (b != 0)), F.least(*fit))
+    real = (disc >= 0) & ((a != 0) | (b != 0))
+    return [F.when(real & (r > 0) & (r <= 1), r) for r in (F.when(a != 0, q / a), F.when(q != 0, c / q))]
 
 
 def segment_distance(p: Vector, a: Vector, b: Vector) -> Column:

@@ -122,15 +122,28 @@ def signed_volumes(facets: DataFrame, by: str) -> DataFrame:
 
 
 def enclosed(points: DataFrame, facets: DataFrame, by: str, key: str = "id") -> DataFrame:
-    """``key, by`` for each point strictly inside a closed surface, by solid angle; points outside its bounding box are dropped first.
+    """``key, by`` for each point strictly inside a closed surface, by solid angle.
 
-    The facets of one surface are combined with its candidate points only.
+    Points meet the bounding boxes in cells: a box is in the at most eight cells that it meets of the width of the
+    power of two at or above its longest side, a point in one cell of each such width that some box has (some dozens
+    if sizes differ much).  The facets of one surface are combined with the points in its box only.  Points without
+    a place are nowhere inside; a flat surface holds nothing.
     """
     extent = facets.groupBy(by).agg(
         *(F.min(F.least(*(F.col(v + x) for v in "abc"))).alias(f"lo_{x}") for x in "xyz"), *(F.max(F.greatest(*(F.col(v + x) for v in "abc"))).alias(f"hi_{x}") for x in "xyz")
     )
+    sides = [F.col(f"hi_{x}") - F.col(f"lo_{x}") for x in "xyz"]
+    boxes = saved(extent.filter(F.least(*sides) > 0).withColumn("_size", F.ceil(F.log2(F.greatest(*sides))).cast("int")))
+    sizes = [r[0] for r in boxes.select("_size").distinct().collect()]  # exponents of doubles: 2,098 at most, whatever the table
+    if not sizes:
+        return points.select(key).limit(0).crossJoin(boxes.select(by).limit(0))
+    cell = lambda place: F.floor(place / F.pow(F.lit(2.0), F.col("_size")))
+    for x in "xyz":
+        boxes = boxes.withColumn(f"_{x}", F.explode(F.sequence(cell(F.col(f"lo_{x}")), cell(F.col(f"hi_{x}")))))
+    cells = ["_size", "_x", "_y", "_z"]
+    placed = points.select(key, *"xyz").dropna(subset=list("xyz")).withColumn("_size", F.explode(F.array(*map(F.lit, sizes)))).withColumns({f"_{x}": cell(F.col(x)) for x in "xyz"})
     within = [(F.col(x) >= F.col(f"lo_{x}")) & (F.col(x) <= F.col(f"hi_{x}")) for x in "xyz"]
-    candidates = points.select(key, *"xyz").join(extent, within[0] & within[1] & within[2]).select(key, *"xyz", by)
+    candidates = placed.join(boxes, cells).filter(within[0] & within[1] & within[2]).select(key, *"xyz", by)
     angle = solid_angle(vector("x", "y", "z"), *_corners())
     sums = candidates.join(facets, by).groupBy(key, by).agg(F.sum(angle).alias("angle"))
     return sums.filter(F.abs("angle") > 2 * 3.141592653589793).select(key, by)

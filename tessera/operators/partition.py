@@ -6,10 +6,11 @@ Edges: ``a, b long, level int`` or aggregated ``weight, bytes, phases``. Owners:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.scans import sums_before
+from tessera.plans.scans import running_before, sums_before
+from tessera.plans.tables import saved
 
 
 def edge_totals(contacts: DataFrame, by: list[str], bytes_each: float) -> DataFrame:
@@ -42,31 +43,31 @@ def imbalance(loads: DataFrame) -> DataFrame:
 
 
 def legal_cuts(atoms: DataFrame, group: str) -> DataFrame:
-    """Planes between atoms that no atom straddles: ``group, plane, below`` (work under the plane).
+    """Planes between atoms of a group that none of its atoms straddles: ``group, plane, below`` (work under the plane).
 
-    Sorted by their low end, everything up to an atom must end before the next one begins.
+    Everything that begins before a plane must end there at the latest.  Atoms are summed by their low
+    end first, and a group's planes are found range by range.
     """
-    rising = Window.partitionBy(group).orderBy("lo", "atom_id")
-    upto = rising.rowsBetween(Window.unboundedPreceding, 0)
-    marked = atoms.withColumns({"_top": F.max("hi").over(upto), "_next": F.lead("lo").over(rising), "below": F.sum("work").over(upto)})
-    return marked.filter("_top <= _next").select(group, F.col("_next").alias("plane"), "below")
+    at = atoms.groupBy(group, "lo").agg(F.max("hi").alias("_hi"), F.sum("work").alias("_work")).filter("lo is not null")
+    seen = running_before(at, group, ["lo"], {"below": F.col("_work")}, {"_top": F.col("_hi")})
+    return seen.filter("_top <= lo").select(group, F.col("lo").alias("plane"), "below")
 
 
 def bisected(atoms: DataFrame, depth: int) -> DataFrame:
     """Owners by repeated weighted bisection of the atoms' order along the axis: ``atom_id, rank``.
 
-    Every round splits each part where the running work passes half; the order within a part comes
-    from running sums over coordinate buckets, so a part is never sorted in one task: work is first
-    summed by coordinate.
+    Work is summed by coordinate, with the work before each coordinate from one scan by ranges.  Every
+    round then splits each part where the running work passes half; a part is an interval, so its share
+    of the running work starts at its smallest.  Atoms at one coordinate stay together, and those
+    without a coordinate have no owner.
     """
-    out = atoms.select("atom_id", "lo", "work").withColumn("rank", F.lit(0).cast("long"))
+    placed = atoms.filter("lo is not null")
+    at = sums_before(placed.groupBy("lo").agg(F.sum("work").alias("w")), ["lo"], {"before": F.col("w")}).withColumn("rank", F.lit(0).cast("long"))
     for _ in range(depth):
-        at = out.groupBy("rank", "lo").agg(F.sum("work").alias("w"))
-        upto = Window.partitionBy("rank").orderBy("lo")
-        whole = Window.partitionBy("rank")
-        cut = at.withColumns({"upto": F.sum("w").over(upto), "all": F.sum("w").over(whole)}).withColumn("half", (F.col("upto") - F.col("w") / 2 > F.col("all") / 2).cast("long"))
-        out = out.join(cut.select("rank", "lo", "half"), ["rank", "lo"]).select("atom_id", "lo", "work", (F.col("rank") * 2 + F.col("half")).alias("rank"))
-    return out.select("atom_id", "rank")
+        parts = at.groupBy("rank").agg(F.min("before").alias("start"), F.sum("w").alias("all"))
+        upper = F.col("before") - F.col("start") + F.col("w") / 2 > F.col("all") / 2
+        at = saved(at.join(F.broadcast(parts), "rank").select("lo", "w", "before", (F.col("rank") * 2 + upper.cast("long")).alias("rank")))  # 2 ** depth parts at most
+    return placed.join(at.select("lo", "rank"), "lo").select("atom_id", "rank")
 
 
 def ghosts(edges: DataFrame, owners: DataFrame) -> DataFrame:

@@ -2,36 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import Vector, dot, first_root, literal, minus, norm
+from tessera.functions.vectors import Vector, dot, link_roots, literal, minus, norm, vector
 
 DRY, BOUNDARY, INTERIOR = 0, 1, 2
 
 
 class Shape:
-    """A region. ``level`` is negative inside, 0 on the surface and positive outside."""
+    """A region bounded by faces that are numbered from 0; a merged shape numbers those of its second part after those of its first.
+
+    ``level`` is negative inside, 0 on the surface and positive outside.
+    """
+
+    n_faces: int
 
     def level(self, p: Vector) -> Column:
         raise NotImplementedError
 
-    def touched(self, p: Vector, h: float) -> list[Column]:
-        """For each face: whether the closed box p +- h meets it."""
+    def parts(self, base: int = 0) -> list[tuple[int, Primitive]]:
+        """The primitives, each with the number of its first face."""
+        raise NotImplementedError
+
+    def merged_type(self, types: dict[int, Column], base: int = 0) -> Column:
+        """A cell's type, given its types for the primitives by the number of their first face."""
+        raise NotImplementedError
+
+    def cell_type(self, p: Vector, h: float) -> Column:
+        """Dry, boundary or interior for the cell about p with reach h."""
+        return self.merged_type({base: part.cell_type(p, h) for base, part in self.parts()})
+
+    def members(self, p: Vector, h: float) -> list[Column]:
+        """For each face: whether the cell is a boundary cell of it."""
         raise NotImplementedError
 
-    def hits(self, p: Vector, e: Vector) -> list[Column]:
-        """For each face: the smallest t in (0, 1] with p + t e on it, null if there is none."""
+    def crossings(self, p: Vector, e: Vector) -> list[tuple[int, Column]]:
+        """Faces with each t in (0, 1] at which p + t e may be on them, null where it is not; hidden ones too."""
+        raise NotImplementedError
+
+    def side(self, p: Vector, forced: Callable[[int, int], Column], base: int) -> Column:
+        """-1, 0 or 1 for a point inside, on the surface or outside; 0 for a primitive with a forced face of base, base + 1, ..."""
+        raise NotImplementedError
+
+    def exposures(self, p: Vector, forced: Callable[[int, int], Column], base: int) -> list[tuple[int, Column]]:
+        """For each primitive, the end of its range of faces and whether its faces are exposed at p: every shape that it is part of has p on its surface."""
+        raise NotImplementedError
+
+    def first_hit(self, p: Vector, e: Vector, crossed: Column, types: dict[int, Column], base: int = 0) -> Column:
+        """The nearest hit as (q, face) of a link from a boundary cell, from the array of its crossings; ties go to the lower face, null without one."""
         raise NotImplementedError
 
     def __or__(self, other: Shape) -> Shape:
-        return Merged(self, other, F.least)
+        return Merged(self, other, unite=True)
 
     def __and__(self, other: Shape) -> Shape:
-        return Merged(self, other, F.greatest)
+        return Merged(self, other, unite=False)
 
     def __invert__(self) -> Shape:
         return Complement(self)
@@ -42,86 +72,184 @@ class Shape:
     def location(self, p: Vector) -> Column:
         return F.when(self.level(p) < 0, "wet").when(self.level(p) == 0, "surface").otherwise("dry")
 
+    def faces(self, p: Vector, h: float) -> Column:
+        """Ids of the faces that a boundary cell belongs to; empty for other cells."""
+        return F.array_compact(F.array(*(F.when(m, F.lit(i)) for i, m in enumerate(self.members(p, h)))))
+
+
+def crossed_faces(shape: Shape, p: Vector, e: Vector) -> Column:
+    """All crossings of a link as an array of (q, face)."""
+    found = [F.when(q.isNotNull(), F.struct(q.alias("q"), F.lit(face).alias("face"))) for face, q in shape.crossings(p, e)]
+    return F.array_compact(F.array(*found))
+
+
+class Primitive(Shape):
+    """A shape with its own surface: ``touched`` tells for each face whether the closed box p +- h meets it."""
+
+    def touched(self, p: Vector, h: float) -> list[Column]:
+        raise NotImplementedError
+
     def cell_type(self, p: Vector, h: float) -> Column:
         """Dry unless strictly inside; then boundary if the closed box p +- h meets a face, else interior."""
         meets = reduce(Column.__or__, self.touched(p, h))
         return F.when(self.level(p) >= 0, DRY).when(meets, BOUNDARY).otherwise(INTERIOR)
 
-    def faces(self, p: Vector, h: float) -> Column:
-        """Ids of the faces that the closed box p +- h meets."""
-        return F.array_compact(F.array(*(F.when(t, F.lit(i)) for i, t in enumerate(self.touched(p, h)))))
+    def parts(self, base: int = 0) -> list[tuple[int, Primitive]]:
+        return [(base, self)]
 
-    def first_hit(self, p: Vector, e: Vector) -> Column:
-        """The nearest hit as (q, face); ties go to the lower face."""
-        rows = [F.when(q.isNotNull(), F.struct(q.alias("q"), F.lit(i).alias("face"))) for i, q in enumerate(self.hits(p, e))]
-        return rows[0] if len(rows) == 1 else F.least(*rows)
+    def merged_type(self, types: dict[int, Column], base: int = 0) -> Column:
+        return types[base]
+
+    def members(self, p: Vector, h: float) -> list[Column]:
+        inside = self.level(p) < 0
+        return [inside & t for t in self.touched(p, h)]
+
+    def side(self, p: Vector, forced: Callable[[int, int], Column], base: int) -> Column:
+        return F.when(forced(base, base + self.n_faces), 0.0).otherwise(F.signum(self.level(p)))
+
+    def exposures(self, p: Vector, forced: Callable[[int, int], Column], base: int) -> list[tuple[int, Column]]:
+        return [(base + self.n_faces, F.lit(True))]
+
+    def first_hit(self, p: Vector, e: Vector, crossed: Column, types: dict[int, Column], base: int = 0) -> Column:
+        own = F.filter(crossed, lambda hit: (hit["face"] >= base) & (hit["face"] < base + self.n_faces))
+        return F.when(types[base] == BOUNDARY, F.array_min(own))
 
 
 @dataclass
-class Merged(Shape):
-    a: Shape
-    b: Shape
-    pick: object
+class Complement(Primitive):
+    """All that is outside a primitive; its faces stay as they are."""
+
+    a: Primitive
+
+    @property
+    def n_faces(self) -> int:
+        return self.a.n_faces
+
+    def __invert__(self) -> Shape:
+        return self.a
 
     def level(self, p: Vector) -> Column:
-        return self.pick(self.a.level(p), self.b.level(p))
+        return -self.a.level(p)
 
     def touched(self, p: Vector, h: float) -> list[Column]:
-        return self.a.touched(p, h) + self.b.touched(p, h)
+        return self.a.touched(p, h)
 
-    def hits(self, p: Vector, e: Vector) -> list[Column]:
-        return self.a.hits(p, e) + self.b.hits(p, e)
+    def crossings(self, p: Vector, e: Vector) -> list[tuple[int, Column]]:
+        return self.a.crossings(p, e)
 
 
 @dataclass
-class Complement(Shape):
+class Merged(Shape):
+    """Union or intersection of two shapes on one grid.
+
+    A cell is what the better (union) or worse (intersection) of the two makes of it.  A boundary cell
+    belongs to the faces that it belongs to in either.  Its links keep the nearest hit of the two; only
+    where a union's cell is at the boundary of both may the nearest hit be hidden inside the other, so
+    there it is the nearest one that is on the surface of the whole.
+    """
+
     a: Shape
+    b: Shape
+    unite: bool
+
+    @property
+    def n_faces(self) -> int:
+        return self.a.n_faces + self.b.n_faces
+
+    def __invert__(self) -> Shape:
+        return Merged(~self.a, ~self.b, not self.unite)
 
     def level(self, p: Vector) -> Column:
-        return -self.a.level(p)
+        return (F.least if self.unite else F.greatest)(self.a.level(p), self.b.level(p))
 
-    def touched(self, p: Vector, h: float) -> list[Column]:
-        return self.a.touched(p, h)
+    def parts(self, base: int = 0) -> list[tuple[int, Primitive]]:
+        return self.a.parts(base) + self.b.parts(base + self.a.n_faces)
+
+    def merged_type(self, types: dict[int, Column], base: int = 0) -> Column:
+        return (F.greatest if self.unite else F.least)(self.a.merged_type(types, base), self.b.merged_type(types, base + self.a.n_faces))
 
-    def hits(self, p: Vector, e: Vector) -> list[Column]:
-        return self.a.hits(p, e)
+    def members(self, p: Vector, h: float) -> list[Column]:
+        here = self.cell_type(p, h) == BOUNDARY
+        return [here & m for m in self.a.members(p, h) + self.b.members(p, h)]
+
+    def crossings(self, p: Vector, e: Vector) -> list[tuple[int, Column]]:
+        return self.a.crossings(p, e) + [(self.a.n_faces + face, q) for face, q in self.b.crossings(p, e)]
+
+    def side(self, p: Vector, forced: Callable[[int, int], Column], base: int) -> Column:
+        sides = self.a.side(p, forced, base), self.b.side(p, forced, base + self.a.n_faces)
+        return (F.least if self.unite else F.greatest)(*sides)
+
+    def exposures(self, p: Vector, forced: Callable[[int, int], Column], base: int) -> list[tuple[int, Column]]:
+        on = self.side(p, forced, base) == 0
+        return [(end, on & shown) for end, shown in self.a.exposures(p, forced, base) + self.b.exposures(p, forced, base + self.a.n_faces)]
+
+    def _first_exposed(self, p: Vector, e: Vector, crossed: Column, base: int) -> Column:
+        """Of the crossings of this shape's own faces, the nearest that is on its surface; those at one place count together."""
+
+        def shown(hit: Column) -> Column:
+            q, face = hit["q"], hit["face"]
+            at = tuple(x + q * y for x, y in zip(p, e, strict=True))
+            forced = lambda low, high: F.exists(crossed, lambda other: (other["q"] == q) & (other["face"] >= low) & (other["face"] < high))
+            on = F.lit(False)
+            for end, exposed in reversed(self.exposures(at, forced, base)):
+                on = F.when(face < end, exposed).otherwise(on)
+            return (face >= base) & on
+
+        return F.array_min(F.filter(crossed, shown))
+
+    def first_hit(self, p: Vector, e: Vector, crossed: Column, types: dict[int, Column], base: int = 0) -> Column:
+        ends = [(self.a, base), (self.b, base + self.a.n_faces)]
+        hit = F.least(*(part.first_hit(p, e, crossed, types, at) for part, at in ends))
+        if self.unite:
+            first, second = (part.merged_type(types, at) == BOUNDARY for part, at in ends)
+            hit = F.when(first & second, self._first_exposed(p, e, crossed, base)).otherwise(hit)
+        return F.when(self.merged_type(types, base) == BOUNDARY, hit)
 
 
 @dataclass
-class Box(Shape):
-    """An axis-parallel box, or a rectangle in two dimensions. Faces: low and high side of each axis in turn."""
+class Box(Primitive):
+    """An axis-parallel box with the low and high side of each axis in turn as faces, or a rectangle with its bottom, right, top and left."""
 
     low: tuple[float, ...]
     high: tuple[float, ...]
 
+    @property
+    def n_faces(self) -> int:
+        return 2 * len(self.low)
+
+    def _sides(self) -> list[tuple[int, float]]:
+        """Axis and coordinate of each face."""
+        if len(self.low) == 2:
+            return [(1, self.low[1]), (0, self.high[0]), (1, self.high[1]), (0, self.low[0])]
+        return [(axis, side) for axis in range(len(self.low)) for side in (self.low[axis], self.high[axis])]
+
     def level(self, p: Vector) -> Column:
         return F.greatest(*(F.greatest(F.lit(lo) - x, x - F.lit(hi)) for x, lo, hi in zip(p, self.low, self.high, strict=True)))
 
     def touched(self, p: Vector, h: float) -> list[Column]:
         overlaps = [(x + h >= lo) & (x - h <= hi) for x, lo, hi in zip(p, self.low, self.high, strict=True)]
         found = []
-        for axis, x in enumerate(p):
+        for axis, side in self._sides():
             others = [o for i, o in enumerate(overlaps) if i != axis]
-            for side in (self.low[axis], self.high[axis]):
-                found.append(reduce(Column.__and__, others, (x - h <= side) & (x + h >= side)))
+            found.append(reduce(Column.__and__, others, (p[axis] - h <= side) & (p[axis] + h >= side)))
         return found
 
-    def hits(self, p: Vector, e: Vector) -> list[Column]:
+    def crossings(self, p: Vector, e: Vector) -> list[tuple[int, Column]]:
         found = []
-        for axis in range(len(p)):
-            for side in (self.low[axis], self.high[axis]):
-                t = F.when(e[axis] != 0, (F.lit(side) - p[axis]) / e[axis])
-                on_face = [((p[i] + t * e[i]) >= self.low[i]) & ((p[i] + t * e[i]) <= self.high[i]) for i in range(len(p)) if i != axis]
-                found.append(F.when(reduce(Column.__and__, on_face, (t > 0) & (t <= 1)), t))
+        for face, (axis, side) in enumerate(self._sides()):
+            t = F.when(e[axis] != 0, (F.lit(side) - p[axis]) / e[axis])
+            on_face = [((p[i] + t * e[i]) >= self.low[i]) & ((p[i] + t * e[i]) <= self.high[i]) for i in range(len(p)) if i != axis]
+            found.append((face, F.when(reduce(Column.__and__, on_face, (t > 0) & (t <= 1)), t)))
         return found
 
 
 @dataclass
-class Ball(Shape):
+class Ball(Primitive):
     """A sphere, or a circle in two dimensions, with one face."""
 
     centre: tuple[float, ...]
     radius: float
+    n_faces = 1
 
     def level(self, p: Vector) -> Column:
         d = minus(p, literal(*self.centre))
@@ -133,13 +261,13 @@ class Ball(Shape):
         square = self.radius * self.radius
         return [(dot(tuple(near), tuple(near)) <= square) & (dot(tuple(far), tuple(far)) >= square)]
 
-    def hits(self, p: Vector, e: Vector) -> list[Column]:
+    def crossings(self, p: Vector, e: Vector) -> list[tuple[int, Column]]:
         d = minus(p, literal(*self.centre))
-        return [first_root(dot(e, e), 2 * dot(d, e), dot(d, d) - F.lit(self.radius * self.radius))]
+        return [(0, t) for t in link_roots(dot(e, e), 2 * dot(d, e), dot(d, d) - F.lit(self.radius * self.radius))]
 
 
 @dataclass
-class Cylinder(Shape):
+class Cylinder(Primitive):
     """A cylinder along an axis. Faces: mantle, low cap, high cap."""
 
     axis: int
@@ -147,6 +275,7 @@ class Cylinder(Shape):
     radius: float
     low: float
     high: float
+    n_faces = 3
 
     def _split(self, p: Vector) -> tuple[Column, Vector]:
         return p[self.axis], tuple(x for i, x in enumerate(p) if i != self.axis)
@@ -162,17 +291,18 @@ class Cylinder(Shape):
         mantle = Ball(self.centre, self.radius).touched(flat, h)[0] & (z + h >= self.low) & (z - h <= self.high)
         return [mantle, *(over & (z - h <= side) & (z + h >= side) for side in (self.low, self.high))]
 
-    def hits(self, p: Vector, e: Vector) -> list[Column]:
+    def crossings(self, p: Vector, e: Vector) -> list[tuple[int, Column]]:
         z, flat = self._split(p)
         ez, along = self._split(e)
-        q = Ball(self.centre, self.radius).hits(flat, along)[0]
-        at = z + q * ez
-        found = [F.when((at >= self.low) & (at <= self.high), q)]
+        found = []
+        for _, q in Ball(self.centre, self.radius).crossings(flat, along):
+            at = z + q * ez
+            found.append((0, F.when((at >= self.low) & (at <= self.high), q)))
         d = minus(flat, literal(*self.centre))
-        for side in (self.low, self.high):
-            t = F.when(ez != 0, (F.lit(side) - z) / ez)
+        for face, end in ((1, self.low), (2, self.high)):
+            t = F.when(ez != 0, (F.lit(end) - z) / ez)
             on = tuple(x + t * y for x, y in zip(d, along, strict=True))
-            found.append(F.when((t > 0) & (t <= 1) & (dot(on, on) <= self.radius * self.radius), t))
+            found.append((face, F.when((t > 0) & (t <= 1) & (dot(on, on) <= self.radius * self.radius), t)))
         return found
 
 
@@ -185,13 +315,16 @@ LATTICES = {
 }
 
 
-def lattice(spark: SparkSession, model: str) -> DataFrame:
-    """The links of a velocity set: ``link int, ex, ey, ez double, weight double``, rest link first, then by length and direction."""
+def _links(model: str) -> list[tuple[int, float, float, float, float]]:
     axes, weights = LATTICES[model]
     steps = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in ((-1, 0, 1) if axes == 3 else (0,))]
     links = sorted((s for s in steps if sum(c * c for c in s) in weights), key=lambda s: (sum(c * c for c in s), s))
-    rows = [(i, float(s[0]), float(s[1]), float(s[2]), weights[sum(c * c for c in s)]) for i, s in enumerate(links)]
-    return spark.createDataFrame(rows, "link int, ex double, ey double, ez double, weight double")
+    return [(i, float(s[0]), float(s[1]), float(s[2]), weights[sum(c * c for c in s)]) for i, s in enumerate(links)]
+
+
+def lattice(spark: SparkSession, model: str) -> DataFrame:
+    """The links of a velocity set: ``link int, ex, ey, ez double, weight double``, rest link first, then by length and direction."""
+    return spark.createDataFrame(_links(model), "link int, ex double, ey double, ez double, weight double")
 
 
 def grid(spark: SparkSession, low: tuple[float, ...], counts: tuple[int, ...], h: float) -> DataFrame:
@@ -203,11 +336,17 @@ def grid(spark: SparkSession, low: tuple[float, ...], counts: tuple[int, ...], h
 
 
 def wall_links(cells: DataFrame, shape: Shape, model: str, h: float, key: str) -> DataFrame:
-    """For each cell and link (but the rest link) that hits the shape: ``key, link, face, q``; one owner face each."""
-    links = F.broadcast(lattice(cells.sparkSession, model).filter("link > 0"))
-    step = tuple(F.col(c) * h for c in ("ex", "ey", "ez"))
-    hit = shape.first_hit((F.col("x"), F.col("y"), F.col("z")), step)
-    return cells.crossJoin(links).withColumn("hit", hit).filter("hit is not null").select(key, "link", "hit.face", "hit.q")
+    """For each boundary cell and link (but the rest link) that hits the shape: ``key, link, face, q``; one owner face each."""
+    place = vector("x", "y", "z")
+    types = {base: F.col(f"_type_{base}") for base, _ in shape.parts()}
+    typed = cells.select(key, *"xyz", *(part.cell_type(place, h).alias(f"_type_{base}") for base, part in shape.parts())).filter(shape.merged_type(types) == BOUNDARY)
+    links = F.array(*(F.struct(F.lit(n).alias("link"), *(F.lit(h * x).alias(a) for a, x in zip(("ex", "ey", "ez"), step, strict=True))) for n, *step, _ in _links(model)[1:]))
+    spread = typed.select("*", F.inline(links))
+    step = vector("ex", "ey", "ez")
+    # As the output of a generator the array is worked out once for each link; a filter on it stays behind it.
+    crossed = spread.select("*", F.explode(F.array(crossed_faces(shape, place, step))).alias("_crossed"))
+    hit = shape.first_hit(place, step, F.col("_crossed"), types)
+    return crossed.withColumn("hit", hit).filter("hit is not null").select(key, "link", "hit.face", "hit.q")
 
 
 __all__ = ["BOUNDARY", "DRY", "INTERIOR", "Ball", "Box", "Cylinder", "Shape", "grid", "lattice", "norm", "wall_links"]

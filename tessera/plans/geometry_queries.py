@@ -1,7 +1,12 @@
-"""Geometry queries: every line item is a point (quantity, discount in percent, tax in percent)."""
+"""Geometry queries: every line item is a point (quantity, discount in percent, tax in percent) in the block of its order.
+
+Blocks of 128 orders lie along x, 64 apart, so that cells grow with the table; shapes stand in every block.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +18,9 @@ from tessera.operators.tree import interfaces, refine
 
 BOX = Box((0.0, 0.0, 0.0), (50.0, 10.0, 8.0))
 BALL = Ball((25.0, 5.0, 4.0), 13.0)
+SLAB = Box((5.0, 0.5, 1.25), (30.0, 7.0, 6.75))
+BRICK = Box((20.0, 3.25, 0.5), (45.0, 9.5, 5.0))
+_MERGED = {"union": SLAB | BRICK, "intersection": SLAB & BRICK, "difference": SLAB - BRICK, "outside": ~(SLAB | BRICK)}
 PIPE = Cylinder(0, (5.0, 4.0), 4.0, 10.0, 40.0)
 
 
@@ -23,21 +31,23 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("x"),
         F.round(F.col("l_discount") * 100).alias("y"),
         F.round(F.col("l_tax") * 100).alias("z"),
+        F.floor(F.col("l_orderkey") / 128).alias("block"),
         "l_returnflag",
     )
 
 
 _POINTS = """
-    SELECT l_orderkey * 8 + l_linenumber AS id, l_quantity AS x, round(l_discount * 100) AS y, round(l_tax * 100) AS z, l_returnflag FROM lineitem
+    SELECT l_orderkey * 8 + l_linenumber AS id, l_quantity AS x, round(l_discount * 100) AS y, round(l_tax * 100) AS z, l_orderkey // 128 AS block, l_returnflag FROM lineitem
 """
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct points as cells of width 1."""
-    return points(spark, sf_dir).select("x", "y", "z").distinct().withColumn("cell_id", (F.col("x") + 100 * (F.col("y") + 100 * F.col("z"))).cast("long"))
+    """Distinct points of each block as cells of width 1: ``x, y, z, block, cell_id``."""
+    number = F.col("x") + 100 * (F.col("y") + 100 * (F.col("z") + 100 * F.col("block")))
+    return points(spark, sf_dir).select("x", "y", "z", "block").distinct().withColumn("cell_id", number.cast("long"))
 
 
-_CELLS = f"SELECT DISTINCT x, y, z, (x + 100 * (y + 100 * z))::BIGINT AS cell_id FROM ({_POINTS})"
+_CELLS = f"SELECT DISTINCT x, y, z, block, (x + 100 * (y + 100 * (z + 100 * block)))::BIGINT AS cell_id FROM ({_POINTS})"
 
 
 def point_location(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +100,21 @@ def boolean_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wet.groupBy(*shapes).agg(F.count("*").alias("n"))
 
 
+def boolean_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells by type and number of faces for the union, intersection and difference of slab and brick and the outside of their union."""
+    p = vector("x", "y", "z")
+    typed = [_cells(spark, sf_dir).select(F.lit(n).alias("shape"), s.cell_type(p, 1.0).alias("cell_type"), s.faces(p, 1.0).alias("faces")) for n, s in _MERGED.items()]
+    members = reduce(DataFrame.unionByName, typed).withColumn("faces", F.array_join("faces", ","))
+    return members.groupBy("shape", "cell_type", "faces").agg(F.count("*").alias("n"))
+
+
+def boolean_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of boundary cells by the face that owns them; faces of the union inside the other part own none."""
+    found = [wall_links(_cells(spark, sf_dir), s, "D3Q19", 1.0, "cell_id").withColumn("shape", F.lit(n)) for n, s in _MERGED.items()]
+    hits = reduce(DataFrame.unionByName, found)
+    return hits.groupBy("shape", "face").agg(F.count("*").alias("n"), F.min("q").alias("min_q"), F.round(F.sum("q"), 6).alias("sum_q"))
+
+
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     place = vectors.select(F.col("vec_id").alias("id"), *(F.round(F.col("embedding")[i].cast("double") * 1000).alias(c) for i, c in enumerate("xyz")))
@@ -162,20 +187,20 @@ def box_facets(table: DataFrame, key: str, low: tuple[Column, ...], high: tuple[
 
 
 def points_in_solids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points strictly inside the boxes spanned by suppliers, each a closed mesh of twelve facets."""
+    """Points strictly inside the boxes spanned by suppliers, each a closed mesh of twelve facets in the block of the supplier's key."""
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", (F.col("s_suppkey") % 20).cast("double").alias("o"))
-    c = F.col("o")
+    c = F.col("o") + 64 * F.col("s_suppkey")
     facets = box_facets(suppliers, "s_suppkey", (c + 0.25, F.lit(1.25), F.lit(0.75)), (c + 9.75, F.lit(6.75), F.lit(5.25)))
-    inside = mesh.enclosed(_cells(spark, sf_dir), facets, "s_suppkey", "cell_id")
+    inside = mesh.enclosed(_cells(spark, sf_dir).withColumn("x", F.col("x") + 64 * F.col("block")), facets, "s_suppkey", "cell_id")
     return inside.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.min("cell_id").alias("first"))
 
 
 def range_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' boxes joined with occupied cells by an equi-join on cell indices."""
+    """Suppliers' boxes, each in the block of its key, joined with occupied cells by an equi-join on cell indices."""
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    low = (F.col("s_suppkey") % 40).cast("double")
+    low = (F.col("s_suppkey") % 40 + 64 * F.col("s_suppkey")).cast("double")
     boxes = suppliers.select("s_suppkey", low.alias("lo_x"), (low + 3).alias("hi_x"), F.lit(2.0).alias("lo_y"), F.lit(4.0).alias("hi_y"), F.lit(1.0).alias("lo_z"), F.lit(3.0).alias("hi_z"))
-    cells = _cells(spark, sf_dir).select(*(F.col(a).cast("long").alias(f"cell_{a}") for a in "xyz"))
+    cells = _cells(spark, sf_dir).withColumn("x", F.col("x") + 64 * F.col("block")).select(*(F.col(a).cast("long").alias(f"cell_{a}") for a in "xyz"))
     return mesh.cells_of_boxes(boxes, 1.0, "s_suppkey").join(cells, ["cell_x", "cell_y", "cell_z"]).groupBy("s_suppkey").agg(F.count("*").alias("n"))
 
 
@@ -215,6 +240,45 @@ def _where(level: str) -> str:
     return f"CASE WHEN {level} < 0 THEN 'wet' WHEN {level} = 0 THEN 'surface' ELSE 'dry' END"
 
 
+def _box_in(a: Box, strict: bool = True) -> str:
+    less = "<" if strict else "<="
+    return " AND ".join(f"{lo} {less} {x} AND {x} {less} {hi}" for x, lo, hi in zip("xyz", a.low, a.high, strict=True))
+
+
+def _outside(a: Box) -> str:
+    return " OR ".join(f"{x} < {lo} OR {x} > {hi}" for x, lo, hi in zip("xyz", a.low, a.high, strict=True))
+
+
+def _touched(a: Box) -> list[str]:
+    """For each face, whether the cube of reach 1 about a cell meets it."""
+    found = []
+    for axis, x in enumerate("xyz"):
+        others = " AND ".join(f"{y} + 1 >= {a.low[i]} AND {y} - 1 <= {a.high[i]}" for i, y in enumerate("xyz") if i != axis)
+        found += [f"({x} - 1 <= {end} AND {x} + 1 >= {end} AND {others})" for end in (a.low[axis], a.high[axis])]
+    return found
+
+
+def _state(a: Box, wet: str) -> str:
+    return f"CASE WHEN NOT ({wet}) THEN 0 WHEN {' OR '.join(_touched(a))} THEN 1 ELSE 2 END"
+
+
+# For each merged shape: the conditions for its two parts to be wet, and whether a cell is the better of the two or the worse.
+_PARTS = [("union", _box_in(SLAB), _box_in(BRICK), "greatest"), ("intersection", _box_in(SLAB), _box_in(BRICK), "least"),
+          ("difference", _box_in(SLAB), _outside(BRICK), "least"), ("outside", _outside(SLAB), _outside(BRICK), "least")]
+_FACES = ", ".join(f"CASE WHEN {part} = 1 AND {t} THEN {n}::VARCHAR END" for n, (part, t) in enumerate([("a", t) for t in _touched(SLAB)] + [("b", t) for t in _touched(BRICK)]))
+_STATES = " UNION ALL ".join(
+    f"SELECT '{name}' AS shape, *, {merged}(a, b) AS cell_type FROM (SELECT x, y, z, cell_id, {_state(SLAB, first)} AS a, {_state(BRICK, second)} AS b FROM ({_CELLS}))"
+    for name, first, second, merged in _PARTS
+)
+_BOX_SIDES = [(axis, end, box, face) for base, box in ((0, SLAB), (6, BRICK)) for face, axis, end in ((base + 2 * i + s, i, (box.low, box.high)[s][i]) for i in range(3) for s in (0, 1))]
+_RAW_HITS = " UNION ALL ".join(
+    f"SELECT shape, cell_id, a, b, x, y, z, ex, ey, ez, {face} AS face, ({end} - {'xyz'[axis]}) / e{'xyz'[axis]} AS q, "
+    + " AND ".join(f"{y} + (({end} - {'xyz'[axis]}) / e{'xyz'[axis]}) * e{y} BETWEEN {box.low[i]} AND {box.high[i]}" for i, y in enumerate("xyz") if i != axis)
+    + f" AS on_face FROM l WHERE e{'xyz'[axis]} <> 0"
+    for axis, end, box, face in _BOX_SIDES
+)
+
+
 _NEAR = "(greatest(abs(x - 25) - 1, 0)) ** 2 + (greatest(abs(y - 5) - 1, 0)) ** 2 + (greatest(abs(z - 4) - 1, 0)) ** 2"
 _FAR = "(abs(x - 25) + 1) ** 2 + (abs(y - 5) + 1) ** 2 + (abs(z - 4) + 1) ** 2"
 _MORTON = " + ".join(f"((({a}::BIGINT >> {b}) & 1) << {3 * b + k})" for k, a in enumerate("xyz") for b in range(6))
@@ -222,7 +286,7 @@ _MORTON = " + ".join(f"((({a}::BIGINT >> {b}) & 1) << {3 * b + k})" for k, a in
 QUERIES = {
     f.__name__: f
     for f in (
-        point_location, point_distances, cell_types, face_members, link_hits, boolean_cells, near_pairs, welded, edge_verdicts, repeated_facets, mesh_components,
+        point_location, point_distances, cell_types, face_members, link_hits, boolean_cells, boolean_types, boolean_links, near_pairs, welded, edge_verdicts, repeated_facets, mesh_components,
         facet_measures, points_in_solids, range_cells, morton_order, tree_leaves, tree_interfaces,
     )
 }
@@ -262,6 +326,21 @@ SQL = {
         SELECT ({_BALL} < 0 OR {_PIPE} < 0) AS "union", ({_BALL} < 0 AND {_PIPE} < 0) AS "intersection", ({_BALL} < 0 AND {_PIPE} > 0) AS "difference", count(*) AS n
         FROM ({_CELLS}) GROUP BY ALL
     """,
+    "boolean_types": f"""
+        SELECT shape, cell_type, CASE WHEN cell_type = 1 THEN concat_ws(',', {_FACES}) ELSE '' END AS faces, count(*) AS n FROM ({_STATES}) GROUP BY ALL
+    """,
+    # A union's cell at the boundary of both keeps hits that the other box does not hold strictly inside.
+    "boolean_links": f"""
+        WITH c AS (SELECT * FROM ({_STATES}) WHERE cell_type = 1), s AS (SELECT unnest([-1, 0, 1])::DOUBLE AS v),
+        e AS (SELECT u.v AS ex, v.v AS ey, w.v AS ez FROM s u, s v, s w WHERE u.v ** 2 + v.v ** 2 + w.v ** 2 IN (1, 2)),
+        l AS (SELECT * FROM c, e), r AS ({_RAW_HITS}),
+        h AS (SELECT *, x + q * ex AS px, y + q * ey AS py, z + q * ez AS pz FROM r WHERE q > 0 AND q <= 1 AND on_face),
+        k AS (SELECT * FROM h WHERE CASE WHEN shape = 'union' AND a = 1 AND b = 1 THEN
+                NOT (CASE WHEN face < 6 THEN {_box_in(BRICK).replace("x", "px").replace("y", "py").replace("z", "pz")} ELSE {_box_in(SLAB).replace("x", "px").replace("y", "py").replace("z", "pz")} END)
+                ELSE CASE WHEN face < 6 THEN a = 1 ELSE b = 1 END END),
+        o AS (SELECT shape, cell_id, ex, ey, ez, min({{'q': q, 'face': face}}) AS hit FROM k GROUP BY ALL)
+        SELECT shape, hit.face AS face, count(*) AS n, min(hit.q) AS min_q, round(sum(hit.q), 6) AS sum_q FROM o GROUP BY ALL
+    """,
     "near_pairs": _PAIRS,
     "welded": f"""
         WITH RECURSIVE e AS ({_PAIRS}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -299,10 +378,10 @@ SQL = {
     """,
     "points_in_solids": f"""
         SELECT s_suppkey, count(*) AS n, min(cell_id) AS first FROM supplier JOIN ({_CELLS})
-        ON x > s_suppkey % 20 + 0.25 AND x < s_suppkey % 20 + 9.75 AND y > 1.25 AND y < 6.75 AND z > 0.75 AND z < 5.25 GROUP BY 1
+        ON block = s_suppkey AND x > s_suppkey % 20 + 0.25 AND x < s_suppkey % 20 + 9.75 AND y > 1.25 AND y < 6.75 AND z > 0.75 AND z < 5.25 GROUP BY 1
     """,
     "range_cells": f"""
-        SELECT s_suppkey, count(*) AS n FROM supplier JOIN ({_CELLS}) ON x BETWEEN s_suppkey % 40 AND s_suppkey % 40 + 3 AND y BETWEEN 2 AND 4 AND z BETWEEN 1 AND 3 GROUP BY 1
+        SELECT s_suppkey, count(*) AS n FROM supplier JOIN ({_CELLS}) ON block = s_suppkey AND x BETWEEN s_suppkey % 40 AND s_suppkey % 40 + 3 AND y BETWEEN 2 AND 4 AND z BETWEEN 1 AND 3 GROUP BY 1
     """,
     "morton_order": f"SELECT cell_id, {_MORTON} AS morton FROM ({_CELLS})",
     "tree_leaves": f"{_LEAVES} SELECT level, count(*) AS leaves, sum(n)::BIGINT AS points FROM leaves GROUP BY level",

@@ -212,3 +212,132 @@ def test_weld_of_equal_and_missing_points(spark):
     rows = [(i, 1.0, 2.0, 3.0) for i in range(50, 10, -1)] + [(5, 1.5, 2.0, 3.0), (60, 2.0, 2.0, 3.0), (70, 9.0, 9.0, 9.0), (71, None, 2.0, 3.0), (72, None, 2.0, 3.0)]
     found = {r.id: r.representative for r in weld(spark.createDataFrame(rows, "id long, x double, y double, z double"), 0.6).collect()}
     assert found == {i: 5 for i, *_ in rows[:42]} | {70: 70, 71: 71, 72: 72}
+
+
+def _brute_side(shape, p):
+    """-1, 0 or 1 for a point and an expression: (low, high) of a box, or ("or" | "and", a, b), or ("not", box)."""
+    if shape[0] in ("or", "and"):
+        return (min if shape[0] == "or" else max)(_brute_side(shape[1], p), _brute_side(shape[2], p))
+    if shape[0] == "not":
+        return -_brute_side(shape[1], p)
+    worst = max(max(lo - x, x - hi) for x, lo, hi in zip(p, *shape, strict=True))
+    return (worst > 0) - (worst < 0)
+
+
+def _brute_type(shape, p):
+    if shape[0] in ("or", "and"):
+        return (max if shape[0] == "or" else min)(_brute_type(shape[1], p), _brute_type(shape[2], p))
+    low, high = shape[1] if shape[0] == "not" else shape
+    meets = all(x + 1 >= lo and x - 1 <= hi for x, lo, hi in zip(p, low, high, strict=True)) and not all(x - 1 > lo and x + 1 < hi for x, lo, hi in zip(p, low, high, strict=True))
+    return 0 if _brute_side(shape, p) >= 0 else 1 if meets else 2
+
+
+def _brute_end(shape, p, step, planes):
+    """Where a link from a boundary cell first leaves: the shape as a whole, if it is a union with the cell at the boundary of both parts, else either part."""
+    if _brute_type(shape, p) != 1:
+        return None
+    merged = shape[0] in ("or", "and")
+    if merged and not (shape[0] == "or" and all(_brute_type(s, p) == 1 for s in shape[1:])):
+        return min((t for s in shape[1:] if (t := _brute_end(s, p, step, planes)) is not None), default=None)
+    stops = sorted({t for axis, plane in planes if step[axis] and 0 < (t := (plane - p[axis]) / step[axis]) <= 1}) + [1.0]
+    for t, after in zip(stops, stops[1:]):
+        if _brute_side(shape, [x + (t + after) / 2 * d for x, d in zip(p, step, strict=True)]) > 0:
+            return t
+    return None
+
+
+def test_links_of_merged_shapes_against_walks(spark):
+    """Types, faces and links of unions and differences of boxes, nested ones too, against walks from stop to stop along each link."""
+    a, b, c = ((0.0, 0.0, 0.0), (6.0, 6.0, 6.0)), ((3.3, 2.25, 1.4), (9.1, 8.35, 5.2)), ((5.1, 3.15, 2.4), (7.9, 4.65, 9.6))
+    planes = [(axis, end) for low, high in (a, b, c) for axis in range(3) for end in (low[axis], high[axis])]
+    x, y, z = (shapes.Box(*s) for s in (a, b, c))
+    cells = shapes.grid(spark, (-1.0, -1.0, -1.0), (11, 11, 12), 1.0)
+    steps = {r.link: (r.ex, r.ey, r.ez) for r in shapes.lattice(spark, "D3Q19").filter("link > 0").collect()}
+    p = vector("x", "y", "z")
+    hidden = 0
+    for shape, expression in (((x | y) | z, ("or", ("or", a, b), c)), (x - (y | z), ("and", a, ("and", ("not", b), ("not", c))))):
+        hits = {(r.cell_id, r.link): r for r in shapes.wall_links(cells, shape, "D3Q19", 1.0, "cell_id").collect()}
+        for r in cells.select("cell_id", *"xyz", shape.cell_type(p, 1.0).alias("t"), shape.faces(p, 1.0).alias("f")).collect():
+            place = (r.x, r.y, r.z)
+            assert r.t == _brute_type(expression, place) and (r.t == 1) == bool(r.f)
+            for link, step in steps.items():
+                end, hit = _brute_end(expression, place, step, planes), hits.pop((r.cell_id, link), None)
+                assert (hit and round(hit.q, 9)) == (end and round(end, 9)), (place, step)
+                if hit:
+                    axis, plane = planes[hit.face]
+                    assert math.isclose(place[axis] + hit.q * step[axis], plane, abs_tol=1e-9)
+                first = shape.unite and r.t == 1 and any(t for box in (a, b, c) if (t := _brute_end(box, place, step, planes)) and t < (end or 2))
+                hidden += bool(first)
+        assert not hits
+    assert hidden > 20  # links that pass a face inside another part
+
+
+def test_merged_cells_take_the_better_or_the_worse_part(spark):
+    """A cell deep in one box and at a face of the other is interior to the union and boundary of the intersection; a face hidden there is hit by no link."""
+    a, b = shapes.Box((0, 0, 0), (10, 10, 10)), shapes.Box((4.5, 4, 4), (9, 9, 9))
+    p = vector("x", "y", "z")
+    cell = spark.createDataFrame([(1, 5.0, 6.0, 6.0)], "cell_id long, x double, y double, z double")
+    types = cell.select(a.cell_type(p, 1.0), b.cell_type(p, 1.0), (a | b).cell_type(p, 1.0), (a & b).cell_type(p, 1.0), (~(a & b)).cell_type(p, 1.0)).first()
+    assert tuple(types) == (2, 1, 2, 1, 0)
+    assert cell.select((a & b).faces(p, 1.0)).first()[0] == [6]
+    assert shapes.wall_links(cell, a | b, "D3Q19", 1.0, "cell_id").isEmpty()
+    assert {r.face for r in shapes.wall_links(cell, a & b, "D3Q19", 1.0, "cell_id").collect()} == {6}
+    assert shapes.wall_links(cell.limit(0), a | b, "D3Q19", 1.0, "cell_id").isEmpty()
+    assert (~~(a - b)).n_faces == 12 and isinstance(~~a, shapes.Box)
+
+
+def test_rectangle_faces_run_from_the_bottom(spark):
+    box = shapes.Box((0.0, 0.0), (10.0, 4.0))
+    p = vector("x", "y")
+    cells = spark.createDataFrame([(5.0, 0.5), (9.5, 2.0), (5.0, 3.5), (0.5, 2.0), (9.5, 3.5)], "x double, y double")
+    assert [r[0] for r in cells.select(box.faces(p, 1.0)).collect()] == [[0], [1], [2], [3], [1, 2]]
+
+
+def test_both_roots_of_a_ball(spark):
+    from tessera.functions.vectors import link_roots
+
+    rows = spark.createDataFrame([(1.0, -1.0, 0.1875), (1.0, 0.0, -0.25), (0.0, 0.0, 1.0), (1.0, 0.0, 1.0), (0.0, 2.0, -1.0)], "a double, b double, c double")
+    got = [sorted(v for v in r if v is not None) for r in rows.select(*link_roots(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert got == [[0.25, 0.75], [0.5], [], [], [0.5]]
+
+
+def test_cuts_and_bisection_by_ranges(spark):
+    """A group with most of the atoms, groups of one, none and equal coordinates, against plain loops."""
+    r = np.random.default_rng(4)
+    rows = [(i, [None, 1, 1, 1, 1, 2, 3 + i][r.integers(0, 7)], int(lo), int(lo + r.integers(1, 4)), float(r.integers(1, 5))) for i, lo in enumerate(r.integers(0, 400, 600))]
+    atoms = spark.createDataFrame(rows + [(9999, 1, None, 3, 1.0)], "atom_id long, g long, lo long, hi long, work double")
+    expected = set()
+    for g in {row[1] for row in rows}:
+        mine = [row for row in rows if row[1] == g]
+        for plane in {row[2] for row in mine}:
+            below = [row for row in mine if row[2] < plane]
+            if below and max(row[3] for row in below) <= plane:
+                expected.add((g, plane, sum(row[4] for row in below)))
+    found = [tuple(x) for x in partition.legal_cuts(atoms, "g").collect()]
+    assert set(found) == expected and len(found) == len(expected)
+    ranks = {row[0]: 0 for row in rows}
+    for _ in range(3):
+        halves = {}
+        for rank in set(ranks.values()):
+            mine = sorted((row for row in rows if ranks[row[0]] == rank), key=lambda row: row[2])
+            for row in mine:
+                upto, at = sum(o[4] for o in mine if o[2] <= row[2]), sum(o[4] for o in mine if o[2] == row[2])
+                halves[row[0]] = 2 * rank + (upto - at / 2 > sum(o[4] for o in mine) / 2)
+        ranks = halves
+    assert dict(map(tuple, partition.bisected(atoms, 3).collect())) == ranks
+    assert partition.legal_cuts(atoms.limit(0), "g").isEmpty() and partition.bisected(atoms.limit(0), 2).isEmpty()
+
+
+def test_points_in_surfaces_of_different_sizes(spark):
+    from tessera.plans.geometry_queries import box_facets
+
+    sizes = [(i, float(s)) for i, s in enumerate((0.3, 1.0, 7.0, 300.0, 0.0))]
+    boxes = spark.createDataFrame(sizes, "solid long, s double")
+    facets = box_facets(boxes, "solid", (-F.col("s"),) * 3, (F.col("s"),) * 3)
+    points = [(i, v, v, 0.1) for i, v in enumerate((0.0, 0.5, 6.5, 250.0, 400.0))] + [(9, None, 0.0, 0.0)]
+    table = spark.createDataFrame(points, "id long, x double, y double, z double")
+    got = {tuple(x) for x in mesh.enclosed(table, facets, "solid").collect()}
+    assert got == {(i, k) for i, x, _, _ in points[:-1] for k, s in sizes if s > abs(x) and s > 0.1}
+    assert mesh.enclosed(table, facets.limit(0), "solid").isEmpty() and mesh.enclosed(table.limit(0), facets, "solid").isEmpty()
+    plan = mesh.enclosed(table, facets, "solid")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
