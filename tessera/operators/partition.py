@@ -25,8 +25,9 @@ def edge_totals(contacts: DataFrame, by: list[str], bytes_each: float) -> DataFr
 
 
 def message_time(phases: Column, bytes_: Column, latency: float, bandwidth: float) -> Column:
-    """A message in each phase bit l costs 2^l latencies; bytes cost their time on the wire."""
-    waits = F.aggregate(F.sequence(F.lit(0), F.lit(30)), F.lit(0.0), lambda s, l: s + F.when(F.getbit(phases, l) == 1, F.pow(F.lit(2.0), l)).otherwise(F.lit(0.0)))
+    """A message for each phase bit l, or l + 32, costs 2^l latencies; bytes cost their time on the wire."""
+    sent = lambda l: F.getbit(phases, l) + F.getbit(phases, l + 32)
+    waits = F.aggregate(F.sequence(F.lit(0), F.lit(30)), F.lit(0.0), lambda s, l: s + sent(l) * F.pow(F.lit(2.0), l))
     return waits * latency + bytes_ / bandwidth
 
 
