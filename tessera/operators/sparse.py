@@ -144,19 +144,32 @@ def symmetric(edges: DataFrame, how: str = "max") -> DataFrame:
     return edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(f("w").alias("w"))
 
 
-def page_rank(edges: DataFrame, rounds: int = 10, follow: float = 0.85) -> DataFrame:
-    """``node, rank`` after so many rounds of a random walk; nodes without out-edges give their rank to all alike."""
-    nodes = saved(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
-    n = nodes.count()
+def page_rank(edges: DataFrame, rounds: int = 10, follow: float = 0.85, restart: DataFrame | None = None, tolerance: float = 0.0) -> DataFrame:
+    """``node, rank`` of a random walk that starts, and restarts with 1 - ``follow``, by the shares of ``restart``.
+
+    ``restart`` is ``node, share``, the shares adding up to 1; all nodes alike without it.  Nodes without
+    out-edges lead back there as well.  Ends after so many rounds, or once no rank moves by ``tolerance`` or more.
+    """
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b"))
+    if restart is None:
+        nodes = saved(nodes.distinct())
+        home = nodes.withColumn("share", F.lit(1.0 / max(nodes.count(), 1)))
+    else:
+        named = nodes.select("node", F.lit(0.0).alias("share")).unionByName(restart.select("node", "share"))
+        home = saved(named.groupBy("node").agg(F.sum("share").alias("share")))
     out = edges.groupBy("a").agg(F.sum("w").alias("out"))
     steps = saved(edges.join(out, "a").select("a", "b", (F.col("w") / F.col("out")).alias("p")))
-    sinks = saved(nodes.join(out, nodes["node"] == out["a"], "left_anti"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    sinks = saved(home.join(out, home["node"] == out["a"], "left_anti").select("node"))
+    ranks = home.select("node", F.col("share").alias("rank"))
     for _ in range(rounds):
         lost = ranks.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         moved = steps.join(ranks, steps["a"] == ranks["node"]).groupBy("b").agg(F.sum(F.col("rank") * F.col("p")).alias("moved"))
-        base = (1 - follow) / n + follow * lost / n
-        ranks = saved(nodes.join(moved, nodes["node"] == moved["b"], "left").select("node", (F.lit(base) + follow * F.coalesce("moved", F.lit(0.0))).alias("rank")))
+        came = F.lit(1 - follow + follow * lost) * F.col("share") + follow * F.coalesce("moved", F.lit(0.0))
+        before, ranks = ranks, saved(home.join(moved, home["node"] == moved["b"], "left").select("node", came.alias("rank")))
+        if tolerance > 0:
+            most = ranks.join(before.withColumnRenamed("rank", "old"), "node").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            if most is None or most < tolerance:
+                break
     return ranks
 
 

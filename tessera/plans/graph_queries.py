@@ -137,6 +137,35 @@ def nation_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.page_rank(_flow(spark, sf_dir), 5).withColumn("rank", F.round("rank", 9))
 
 
+def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers (even nodes) and suppliers (odd ones) in both directions, weighted by their line items."""
+    items, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
+    sold = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).groupBy((F.col("o_custkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).agg(F.count("*").cast("double").alias("w"))
+    return saved(sold.unionByName(sold.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+
+
+_MARKET = """
+    market AS MATERIALIZED (SELECT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+    e AS MATERIALIZED (SELECT a, b, w FROM market UNION ALL SELECT b, a, w FROM market)
+"""
+
+
+def market_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PageRank of customers and suppliers for a walk that restarts at the suppliers of nation 0, or of all nations if it has none."""
+    suppliers = _read(spark, sf_dir, "supplier")
+    chosen = suppliers.filter("s_nationkey = 0")
+    count = chosen.count()
+    chosen, count = (chosen, count) if count else (suppliers, suppliers.count())
+    home = chosen.select((F.col("s_suppkey") * 2 + 1).alias("node"), F.lit(1.0 / max(count, 1)).alias("share"))
+    return sparse.page_rank(_market(spark, sf_dir), 4, restart=home).withColumn("rank", F.round("rank", 9))
+
+
+def market_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest paths from supplier 1 over customers and suppliers, an edge costing 12 over its line items, rounded up."""
+    cost = _market(spark, sf_dir).withColumn("w", F.ceil(12 / F.col("w")).cast("double"))
+    return sparse.shortest_paths(cost, 3)
+
+
 def nation_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations that are each other's largest trading partners."""
     return graphs.heaviest_matches(partition.edge_totals(_trade(spark, sf_dir), [], 8.0).select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("contacts").alias("w")))
@@ -271,7 +300,7 @@ def case_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        orders_components, trade_edges, legal_cuts, rank_loads, load_imbalance, bisection, rank_ghosts, local_views, nation_rank, nation_matches, order_dual, nation_paths, pruned_words, weighted_words, top_words,
+        orders_components, trade_edges, legal_cuts, rank_loads, load_imbalance, bisection, rank_ghosts, local_views, nation_rank, market_rank, market_paths, nation_matches, order_dual, nation_paths, pruned_words, weighted_words, top_words,
         heavy_words, marked_words, similar_documents, similar_texts, alike_documents, dampened_words, length_ranking, score_area, item_sets, event_windows, case_values, case_rules,
     )
 }
@@ -289,8 +318,8 @@ def _page_rank_sql(rounds: int) -> str:
     return ", ".join(steps) + f" SELECT node, round(rank, 9) AS rank FROM r{rounds}"
 
 
-def _paths_sql(rounds: int) -> str:
-    steps = [f"WITH e AS MATERIALIZED (SELECT a, b, ceil(1000 / w) AS w FROM ({_FLOW}))", "p0 AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS distance, 0::BIGINT AS hops)"]
+def _paths_sql(edges: str, start: int, rounds: int) -> str:
+    steps = [edges, f"p0 AS (SELECT {start}::BIGINT AS node, 0.0::DOUBLE AS distance, 0::BIGINT AS hops)"]
     for i in range(rounds):
         steps.append(f"""p{i + 1} AS MATERIALIZED (SELECT node, distance, hops FROM (
             SELECT *, row_number() OVER (PARTITION BY node ORDER BY distance, hops) AS k FROM (
@@ -298,6 +327,20 @@ def _paths_sql(rounds: int) -> str:
     return ", ".join(steps) + f" SELECT * FROM p{rounds}"
 
 
+def _market_rank_sql(rounds: int) -> str:
+    steps = [
+        f"WITH {_MARKET}, o AS MATERIALIZED (SELECT a, sum(w) AS s FROM e GROUP BY a)",
+        "c AS (SELECT s_suppkey * 2 + 1 AS node FROM supplier WHERE s_nationkey = 0 OR NOT EXISTS (SELECT * FROM supplier WHERE s_nationkey = 0))",
+        "n AS MATERIALIZED (SELECT node, sum(share) AS share FROM (SELECT a AS node, 0 AS share FROM e UNION ALL SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM c) FROM c) GROUP BY node)",
+        "r0 AS (SELECT node, share AS rank FROM n)",
+    ]
+    for i in range(rounds):
+        steps.append(f"""r{i + 1} AS MATERIALIZED (
+            SELECT n.node, (0.15 + 0.85 * coalesce((SELECT sum(rank) FROM r{i} WHERE node NOT IN (SELECT a FROM o)), 0)) * n.share + 0.85 * coalesce(m.s, 0) AS rank
+            FROM n LEFT JOIN (SELECT e.b, sum(r.rank * e.w / o.s) AS s FROM e JOIN o ON e.a = o.a JOIN r{i} r ON r.node = e.a GROUP BY e.b) m ON n.node = m.b)""")
+    return ", ".join(steps) + f" SELECT node, round(rank, 9) AS rank FROM r{rounds}"
+
+
 _RARE = f"SELECT * FROM w WHERE col IN (SELECT col FROM w GROUP BY col HAVING count(*) BETWEEN 2 AND 20)"
 
 SQL = {
@@ -340,7 +383,9 @@ SQL = {
         WITH i AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)
         SELECT x.o AS a, y.o AS b, count(*) AS n FROM i x JOIN i y ON x.p = y.p AND x.o < y.o GROUP BY 1, 2 HAVING count(*) >= 2
     """,
-    "nation_paths": _paths_sql(10),
+    "nation_paths": _paths_sql(f"WITH e AS MATERIALIZED (SELECT a, b, ceil(1000 / w) AS w FROM ({_FLOW}))", 0, 10),
+    "market_rank": _market_rank_sql(4),
+    "market_paths": _paths_sql(f"WITH {_MARKET.replace('SELECT a, b, w FROM market UNION ALL SELECT b, a, w', 'SELECT a, b, ceil(12 / w) AS w FROM market UNION ALL SELECT b, a, ceil(12 / w)')}", 3, 12),
     "pruned_words": f"WITH w AS MATERIALIZED ({_WORDS}) SELECT row, count(*) AS n, sum(val) AS total FROM ({_RARE}) GROUP BY row",
     "weighted_words": f"""
         WITH w AS MATERIALIZED ({_WORDS}), d AS (SELECT col, ln((SELECT count(DISTINCT row) FROM w) / count(*)) AS f FROM w GROUP BY col)

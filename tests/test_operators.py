@@ -119,6 +119,28 @@ def test_page_rank_with_a_sink(spark):
     assert ranks[3] > ranks[2] > ranks[1]
 
 
+def test_page_rank_restarts_where_told(spark):
+    """A walk from node 5, which has no out-edge, never leaves it; from node 1 it stops once ranks stand still."""
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (2, 3, 3.0), (4, 5, 1.0)], "a long, b long, w double")
+    home = lambda node: spark.createDataFrame([(node, 1.0)], "node long, share double")
+    assert {r.node: r["rank"] for r in sparse.page_rank(edges, 3, restart=home(5)).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+    ranks = {r.node: r["rank"] for r in sparse.page_rank(edges, 200, restart=home(1), tolerance=1e-5).collect()}
+    one, two, three = (ranks[i] for i in (1, 2, 3))
+    assert ranks[4] == ranks[5] == 0 and math.isclose(one + two + three, 1)
+    assert math.isclose(two, 0.85 * one, rel_tol=1e-3) and math.isclose(three, 0.85 * 0.75 * two, rel_tol=1e-3) and math.isclose(one, 0.15 + 0.85 * (three + two / 4), rel_tol=1e-3)
+
+
+def test_rational_arithmetic(spark):
+    from fractions import Fraction
+
+    pairs = [(1, 2, 1, 3), (-3, 4, 3, 4), (5, 7, 0, 1), (2971215073, 1836311903, 1, 1), (0, 1, -2, 9)]
+    table = spark.createDataFrame(pairs, "a long, b long, c long, d long")
+    x, y = numbers.rational(F.col("a"), F.col("b")), numbers.rational(F.col("c"), F.col("d"))
+    for r, (a, b, c, d) in zip(table.select(numbers.rational_subtract(x, y), numbers.rational_divide(x, y), numbers.rational_negate(x), numbers.rational_at_most(x, y), x).collect(), pairs, strict=True):
+        p, q = Fraction(a, b), Fraction(c, d)
+        assert Fraction(*r[0]) == p - q and (r[1] is None if q == 0 else Fraction(*r[1]) == p / q) and Fraction(*r[2]) == -p and r[3] == (p <= q) and Fraction(*r[4]) == p
+
+
 def test_scalings(spark):
     m = spark.createDataFrame([(0, 0, 4.0), (0, 1, 1.0), (1, 1, 2.0)], "row long, col long, val double")
     got = lambda df: {(r.row, r.col): round(r.val, 6) for r in df.collect()}
