@@ -1,4 +1,4 @@
-"""Typed case files: lines of ``name = value``, with units, completed by physical rules.
+"""Typed case files: lines of ``name = value``, with units.
 
 Lines become rows, and every step is a column expression over these rows or a join with a small
 fixed table, so that any number of case files goes through one job.
@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.numbers import boolean_word, near, normal_name
+from tessera.functions.numbers import boolean_word, normal_name
+from tessera.sources.builtins import parameter_names
 from tessera.sources.units import known_units, whole_exponents
 
 #: Units (fixed values): symbol, whether prefixes apply, factor to SI, exponents of length, mass, time and temperature.
@@ -25,12 +26,6 @@ PREFIXES = {
     "Q": 30, "R": 27, "Y": 24, "Z": 21, "E": 18, "P": 15, "T": 12, "G": 9, "M": 6, "k": 3, "h": 2, "da": 1, "d": -1, "c": -2, "m": -3, "u": -6, "n": -9, "p": -12,
     "f": -15, "a": -18, "z": -21, "y": -24, "r": -27, "q": -30,
 }
-#: Other names of parameters (fixed values).
-ALIASES = {
-    "rho": "density", "mu": "dynamic_viscosity", "viscosity": "dynamic_viscosity", "nu": "kinematic_viscosity", "re": "reynolds_number", "dx": "grid_spacing", "dt": "time_step",
-    "tau": "relaxation_time", "omega": "relaxation_frequency", "u_lat": "lattice_characteristic_velocity", "ma": "mach_number", "levels": "number_of_levels",
-}
-
 _NUMBER = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
@@ -55,15 +50,14 @@ def case_lines(texts: DataFrame, key: str = "case_id", text: str = "text") -> Da
 def parse_cases(lines: DataFrame, key: str = "case_id") -> DataFrame:
     """Typed rows: ``key, line_no, name, kind`` (quantity, bool, string, error), ``value double`` in SI units, ``dims array<int>``, ``flag boolean``, ``word string``, ``exponents array<struct<num, den>>``.
 
-    Aliases are resolved.  Units follow the grammar of ``units.flat_unit``; one that is not well formed or
+    Aliases are resolved, but in an error the name stays as it is spelled.  Units follow the grammar of ``units.flat_unit``; one that is not well formed or
     has an unknown symbol makes the row an error.  ``dims`` is null where an exponent is a fraction.
     """
     spark = lines.sparkSession
-    alias = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))
+    alias = F.create_map(*(F.lit(x) for pair in parameter_names().items() for x in pair))
     number = F.regexp_extract("rest", _NUMBER, 1)
     typed = lines.withColumns(
         {
-            "name": F.coalesce(alias[F.col("name")], F.col("name")),
             "number": F.when(number != "", number.cast("double")),
             "flag": boolean_word(F.col("rest")),
             "unit": F.trim(F.regexp_replace("rest", _NUMBER, "")),
@@ -80,8 +74,9 @@ def parse_cases(lines: DataFrame, key: str = "case_id") -> DataFrame:
     nothing = F.array(*[F.struct(F.lit(0).cast("long").alias("num"), F.lit(1).cast("long").alias("den"))] * 4)
     exponents = F.when(F.col("kind") == "quantity", F.coalesce("exponents", nothing))
     is_quantity = F.col("kind") == "quantity"
+    name = F.when(F.col("kind") == "error", F.col("name")).otherwise(F.coalesce(alias[F.col("name")], F.col("name")))
     return joined.withColumn("kind", kind).select(
-        key, "line_no", "name", "kind", F.when(is_quantity, value).alias("value"), whole_exponents(exponents).alias("dims"), "flag",
+        key, "line_no", name.alias("name"), "kind", F.when(is_quantity, value).alias("value"), whole_exponents(exponents).alias("dims"), "flag",
         F.when(F.col("kind") == "string", F.regexp_replace("rest", r"""^(['"])(.*)\1$""", "$2")).alias("word"),
         exponents.alias("exponents"),
     )
@@ -96,52 +91,3 @@ def duplicates(parsed: DataFrame, key: str = "case_id") -> DataFrame:
 def wide_cases(parsed: DataFrame, names: list[str], key: str = "case_id") -> DataFrame:
     """One row a case with a column for each name, null where it is not stated."""
     return parsed.filter("kind = 'quantity'").groupBy(key).agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
-
-
-def complete(cases: DataFrame) -> DataFrame:
-    """Fills what follows from what is stated, and says what is redundant, inconsistent or missing.
-
-    Fluid: any two of density, dynamic and kinematic viscosity.  Scales: any three of Reynolds
-    number, characteristic velocity, length and kinematic viscosity.  Lattice, with grid_spacing: the
-    first of relaxation time, frequency, lattice velocity, Mach number and time step that is stated;
-    the rest follows.  Adds ``warnings array<string>`` and ``missing array<string>``.
-    """
-    c = F.col
-    rho, mu, nu = c("density"), c("dynamic_viscosity"), c("kinematic_viscosity")
-    by_rule = mu / rho
-    fluid = F.when(rho.isNotNull() & mu.isNotNull() & nu.isNotNull(), F.when(near(nu, by_rule), "kinematic_viscosity is redundant").otherwise("kinematic_viscosity is inconsistent"))
-    out = cases.withColumn("_fluid", fluid).withColumn("kinematic_viscosity", F.coalesce(by_rule, nu))
-    nu = c("kinematic_viscosity")
-    out = out.withColumns({"density": F.coalesce(rho, mu / nu), "dynamic_viscosity": F.coalesce(mu, rho * nu)})
-    re, u, length = c("reynolds_number"), c("characteristic_velocity"), c("characteristic_length")
-    stated = re.isNotNull() & u.isNotNull() & length.isNotNull() & nu.isNotNull()
-    scales = F.when(stated & ~near(u, re * nu / length), "characteristic_velocity is inconsistent")
-    out = out.withColumn("_notes", F.array_compact(F.array(c("_fluid"), scales)))
-    out = out.withColumns({"characteristic_velocity": F.coalesce(re * nu / length, u), "reynolds_number": F.coalesce(re, u * length / nu), "characteristic_length": F.coalesce(length, re * nu / u)})
-    cells = length / c("grid_spacing")
-    tau_of_velocity = 0.5 + 3 * (c("lattice_characteristic_velocity") * cells / re)
-    tau_of_mach = 0.5 + 3 * (c("mach_number") / F.sqrt(F.lit(3.0)) * cells / re)
-    tau_of_step = 0.5 + 3 * (c("time_step") * u / c("grid_spacing") * cells / re)
-    tau = F.coalesce(c("relaxation_time"), 1 / c("relaxation_frequency"), tau_of_velocity, tau_of_mach, tau_of_step)
-    out = out.withColumn("relaxation_time", tau)
-    lattice_u = re * ((c("relaxation_time") - 0.5) / 3) / cells
-    out = out.withColumns({"relaxation_frequency": 1 / c("relaxation_time"), "lattice_characteristic_velocity": lattice_u})
-    out = out.withColumns({"mach_number": c("lattice_characteristic_velocity") * F.sqrt(F.lit(3.0)), "time_step": c("grid_spacing") * c("lattice_characteristic_velocity") / u})
-    steps = F.coalesce(c("max_steps"), F.ceil(c("physical_time") / c("time_step")).cast("double"))
-    out = out.withColumns({"max_steps": steps, "physical_time": steps * c("time_step")})
-    advice: list[Column] = [
-        F.when(c("mach_number") > 0.1, "mach_number above 0.1"),
-        F.when(c("relaxation_time") < 0.55, "relaxation_time below 0.55"),
-        F.when(c("relaxation_time") > 2, "relaxation_time above 2"),
-    ]
-    needed = ["density", "kinematic_viscosity", "characteristic_velocity", "characteristic_length", "relaxation_time", "max_steps"]
-    return out.withColumns(
-        {"warnings": F.concat("_notes", F.array_compact(F.array(*advice))), "missing": F.array_compact(F.array(*(F.when(c(n).isNull(), n) for n in needed)))}
-    ).drop("_notes", "_fluid")
-
-
-#: Columns that ``complete`` reads.
-CASE_COLUMNS = [
-    "density", "dynamic_viscosity", "kinematic_viscosity", "reynolds_number", "characteristic_velocity", "characteristic_length", "grid_spacing", "relaxation_time",
-    "relaxation_frequency", "lattice_characteristic_velocity", "mach_number", "time_step", "max_steps", "physical_time",
-]
