@@ -69,30 +69,31 @@ def duplicate_facets(indexed: DataFrame) -> DataFrame:
     return second.select(*(F.col("k")[i].alias(f"v{i}") for i in range(3)), "n", "repeat")
 
 
-def close_pairs(points: DataFrame, radius: float, key: str = "id") -> DataFrame:
-    """Pairs ``a < b`` of points at most ``radius`` apart.
+def close_pairs(points: DataFrame, radius: float, key: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs ``a < b`` of points at most ``radius`` apart and, if asked, equal in the columns ``by``.
 
     Space is cut into cubes of that width.  One side of the self-join goes to its own cube, the
     other to the 27 around it, so every pair meets in exactly one cube and needs no distinct.
     """
     own = {f"c{axis}": F.floor(F.col(axis) / radius) for axis in "xyz"}
-    left = points.select(F.col(key).alias("a"), *(F.col(c).alias(f"a_{c}") for c in "xyz"), *(e.alias(n) for n, e in own.items()))
+    left = points.select(*by, F.col(key).alias("a"), *(F.col(c).alias(f"a_{c}") for c in "xyz"), *(e.alias(n) for n, e in own.items()))
     around = F.explode(F.expr("transform(sequence(0, 26), i -> named_struct('x', i % 3 - 1, 'y', cast(floor(i / 3) as int) % 3 - 1, 'z', cast(floor(i / 9) as int) - 1))"))
-    right = points.select(F.col(key).alias("b"), *(F.col(c).alias(f"b_{c}") for c in "xyz"), around.alias("d"))
-    right = right.select("b", "b_x", "b_y", "b_z", *((F.floor(F.col(f"b_{axis}") / radius) + F.col(f"d.{axis}")).alias(f"c{axis}") for axis in "xyz"))
+    right = points.select(*by, F.col(key).alias("b"), *(F.col(c).alias(f"b_{c}") for c in "xyz"), around.alias("d"))
+    right = right.select(*by, "b", "b_x", "b_y", "b_z", *((F.floor(F.col(f"b_{axis}") / radius) + F.col(f"d.{axis}")).alias(f"c{axis}") for axis in "xyz"))
     gap = minus(vector("a_x", "a_y", "a_z"), vector("b_x", "b_y", "b_z"))
-    return left.join(right, ["cx", "cy", "cz"]).filter((F.col("a") < F.col("b")) & (dot(gap, gap) <= radius * radius)).select("a", "b")
+    return left.join(right, [*by, "cx", "cy", "cz"]).filter((F.col("a") < F.col("b")) & (dot(gap, gap) <= radius * radius)).select("a", "b")
 
 
-def weld(points: DataFrame, radius: float, key: str = "id") -> DataFrame:
-    """Joins points within ``radius`` of each other, also in chains: ``key, representative`` (the smallest key).
+def weld(points: DataFrame, radius: float, key: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+    """Joins points within ``radius`` of each other, also in chains: ``key, representative`` (the smallest key); if asked, only such as are equal in the columns ``by``.
 
     Equal points stand for one, so that many of them make no pairs; a point without a place stays alone.
     """
-    places = saved(points.groupBy("x", "y", "z").agg(F.min(key).alias("first")).dropna(subset=["x", "y", "z"]))
-    found = connected_components(close_pairs(places.withColumnRenamed("first", key), radius, key))
+    place = [*by, "x", "y", "z"]
+    places = saved(points.groupBy(place).agg(F.min(key).alias("first")).dropna(subset=place))
+    found = connected_components(close_pairs(places.withColumnRenamed("first", key), radius, key, by))
     return (
-        points.join(places, ["x", "y", "z"], "left").withColumn("first", F.coalesce("first", key)).join(found, F.col("first") == F.col("node"), "left")
+        points.join(places, place, "left").withColumn("first", F.coalesce("first", key)).join(found, F.col("first") == F.col("node"), "left")
         .select(key, F.coalesce("component", "first").alias("representative"))
     )
 

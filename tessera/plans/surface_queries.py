@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import features, mesh, solids, tree
+from tessera.operators import features, mesh, mesh_checks, solids, tree
 from tessera.plans.geometry_queries import box_facets, points
 from tessera.plans.tables import saved
 
@@ -97,6 +97,23 @@ def curve_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.curve_ends(features.feature_edges(_height_field(spark, sf_dir)))
 
 
+def mesh_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bar for each supplier, in six variants: sound, with a facet less, turned, twice or collapsed, and with another bar in it; ``place`` is the facet of a bar at fault, where one is."""
+    k, half = F.col("s_suppkey"), F.lit(0.5)
+    low = (k % 9).cast("double"), (k % 5).cast("double"), (k % 7).cast("double")
+    table = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    bar = box_facets(table, "s_suppkey", low, (low[0] + 1 + k % 15, low[1] + 1, low[2] + 1))
+    moved = tuple(x + half for x in low)
+    second = box_facets(table.filter("s_suppkey % 6 = 5"), "s_suppkey", moved, (moved[0] + 1 + k % 15, moved[1] + 1, moved[2] + 1)).withColumn("facet_id", F.col("facet_id") + 20)
+    variant, n = k % 6, F.col("facet_id")
+    bar = solids.turned(bar.filter(~((variant == 1) & (n == 5))), (variant == 2) & (n == 4))
+    bar = bar.withColumns({f"c{x}": F.when((variant == 4) & (n == 7), F.col(f"a{x}")).otherwise(F.col(f"c{x}")) for x in "xyz"})
+    again = bar.filter((variant == 3) & (n == 0)).withColumn("facet_id", F.lit(12))
+    facets = bar.union(again).union(second).withColumn("facet_id", 100 * k + n)
+    place = F.when(F.col("problem").isin("repeated facet", "coincident corners"), F.col("at") - 100 * k)
+    return mesh_checks.mesh_verdicts(facets, "s_suppkey").select("s_suppkey", "n_facets", "n_poor", "n_oversized", "problem", place.alias("place"))
+
+
 def _octree(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = points(spark, sf_dir).select(F.col("x").cast("long").alias("i"), (5 * F.col("y") + F.col("id") % 5).cast("long").alias("j"), (7 * F.col("z") + F.col("id") % 7).cast("long").alias("k"))
     return tree.refine(place, 6, 20, "ijk")
@@ -120,7 +137,7 @@ _OCTREE = """
     up AS MATERIALIZED (SELECT level - 1 AS level, i, j, k, i // 2 AS pi, j // 2 AS pj, k // 2 AS pk FROM leaves)
 """
 
-QUERIES = {f.__name__: f for f in (solid_cells, solid_links, flow_sides, planar_faces, feature_edges, curve_roles, octree_leaves, octree_interfaces)}
+QUERIES = {f.__name__: f for f in (solid_cells, solid_links, flow_sides, planar_faces, feature_edges, curve_roles, mesh_verdicts, octree_leaves, octree_interfaces)}
 
 SQL = {
     "solid_cells": f"SELECT s_suppkey, CASE WHEN {_NEAR_WALL} THEN 1 ELSE 2 END AS cell_type, count(*) AS n FROM ({_WET}) GROUP BY ALL",
@@ -148,6 +165,12 @@ SQL = {
         SELECT vertex, count(*) AS degree, CASE count(*) WHEN 1 THEN 'end' WHEN 2 THEN 'pass' ELSE 'junction' END AS role
         FROM (SELECT lo AS vertex FROM g UNION ALL SELECT hi FROM g) GROUP BY vertex
     """,
+    "mesh_verdicts": """
+        WITH v AS (SELECT * FROM (VALUES (0, 12, 8, NULL, NULL), (1, 11, 7, 'open edge', NULL), (2, 12, 8, 'winding', NULL), (3, 13, 9, 'repeated facet', 12), (4, 12, 7, 'coincident corners', 7), (5, 24, 16, 'facets meet', NULL))
+                   AS t(v, n, long_sides, problem, place))
+        SELECT s_suppkey, n::BIGINT AS n_facets, (CASE WHEN sqrt(3) * (1 + s_suppkey % 15) / ((1 + s_suppkey % 15) ** 2 + 1) < 0.2 THEN long_sides ELSE 0 END + (v = 4)::INTEGER)::BIGINT AS n_poor, 0::BIGINT AS n_oversized,
+               problem, place::BIGINT AS place FROM supplier JOIN v ON s_suppkey % 6 = v
+    """,
     "octree_leaves": f"{_OCTREE} SELECT level, count(*) AS leaves, sum(n)::BIGINT AS points FROM leaves GROUP BY level",
     "octree_interfaces": f"""
         {_OCTREE}, pairs AS (
