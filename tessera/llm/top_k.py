@@ -95,12 +95,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def scaled_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """Vectors of floor(scale * x) for every component x, as double; rows with null or non-finite components go."""
+def scaled_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, others: list[str] | None = None) -> DataFrame:
+    """Vectors of floor(scale * x) for every component x, as double, and ``others`` as they are; rows with null or non-finite components go."""
     x = F.transform(vector_col, lambda c: c.cast("double"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return table.filter(F.col(vector_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(
-        F.col(id_col).cast("long").alias(id_col), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("vector")
+        F.col(id_col).cast("long").alias(id_col), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("vector"), *(others or [])
     )
 
 
