@@ -31,4 +31,14 @@ def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/tessera/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._saved_at = path
+    return table
+
+
+def freed(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``saved`` gave and that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._saved_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

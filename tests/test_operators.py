@@ -363,3 +363,30 @@ def test_points_in_surfaces_of_different_sizes(spark):
     assert mesh.enclosed(table, facets.limit(0), "solid").isEmpty() and mesh.enclosed(table.limit(0), facets, "solid").isEmpty()
     plan = mesh.enclosed(table, facets, "solid")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("shuffled", [True, False])
+def test_components_take_few_passes(spark, monkeypatch, shuffled):
+    from tessera.plans import components
+
+    tables = []
+    monkeypatch.setattr(components, "saved", lambda df: tables.append(1) or saved(df))
+    ids = np.random.default_rng(1).permutation(10_000) if shuffled else np.arange(10_000)
+    rows = [(int(x), int(y)) for x, y in zip(ids[:-1], ids[1:])] + [(20_000, 20_000), (None, 1), (2, None), (30_002, 30_001), (30_001, 30_002), (30_001, 30_001)]
+    found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(10_000)} | {20_000: 20_000, 30_001: 30_001, 30_002: 30_001}
+    assert (len(tables) - 2) / 2 <= 15  # two tables for each pass
+
+
+def test_components_of_random_graphs(spark):
+    from tessera.plans.components import connected_components
+
+    r = np.random.default_rng(2)
+    for n, m in ((60, 50), (60, 25), (5, 0)):
+        rows = [(int(x), int(y)) for x, y in r.integers(0, n, (m, 2))]
+        top = {x: x for row in rows for x in row}
+        for _ in top:
+            for x, y in rows:
+                top[x] = top[y] = min(top[x], top[y])
+        found = connected_components(spark.createDataFrame(rows, "a long, b long"))
+        assert {x.node: x.component for x in found.collect()} == top
