@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -16,6 +17,8 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Code points that regular expressions call white space, Unicode's White_Space (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
+#: Bytes of a word from which it is merged by itself.
+LONG = 2000
 
 
 @lru_cache(maxsize=1)
@@ -68,6 +71,7 @@ class WordModel:
         raw = [f"{t} ".encode() for t in tokens]
         self.token_at = np.r_[0, np.cumsum([len(b) for b in raw])]
         self.token_bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.pair_of: dict[int, tuple[int, int]] = {}  # for long words
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The token ids of all texts in one array, and where each text starts in it."""
@@ -103,9 +107,47 @@ class WordModel:
         return parts, owner, fixed
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of the words in one flat array, and where each word starts.
-
-        In each round every word that still has a known pair merges its lowest-ranked one,
+        """Token ids of the words in one flat array, and where each word starts; words of more than ``LONG`` bytes go one by one."""
+        many = [len(w) > LONG for w in words]
+        if not any(many):
+            return self._rounds(words)
+        ids, at = self._rounds([w for w, long in zip(words, many, strict=True) if not long])
+        short = iter(np.split(ids, at[1:-1]) if len(at) > 1 else [])
+        found = [self._alone(w) if long else next(short) for w, long in zip(words, many, strict=True)]
+        return np.concatenate(found), np.r_[0, np.cumsum([len(f) for f in found])]
+
+    def _alone(self, word: bytes) -> np.ndarray:
+        """One long word: a round would touch all of it for a few merges, so a heap gives the lowest-ranked pair, the leftmost first."""
+        symbols = [*self.inner[np.frombuffer(word[:-1], np.uint8)].tolist(), int(self.last[word[-1]])]
+        if not self.pair_of:
+            self.pair_of = dict(zip(self.pair_keys.tolist(), zip(self.pair_ranks.tolist(), self.pair_merged.tolist(), strict=True), strict=True))
+        after, before = [*range(1, len(symbols)), -1], [*range(-1, len(symbols) - 1)]
+        open_: list[tuple[int, int, int, int]] = []
+
+        def offered(at: int) -> None:
+            if at >= 0 and after[at] >= 0:
+                key = symbols[at] << 32 | symbols[after[at]]
+                if key in self.pair_of:
+                    rank, merged = self.pair_of[key]
+                    heapq.heappush(open_, (rank, at, key, merged))
+
+        for at in range(len(symbols)):
+            offered(at)
+        while open_:
+            _, at, key, merged = heapq.heappop(open_)
+            then = after[at]
+            if then < 0 or symbols[at] < 0 or symbols[at] << 32 | symbols[then] != key:
+                continue  # one of both has gone into another pair
+            symbols[at], symbols[then] = merged, -1
+            after[at] = after[then]
+            if after[at] >= 0:
+                before[after[at]] = at
+            offered(at)
+            offered(before[at])
+        return np.array([x for x in symbols if x >= 0], np.int64)
+
+    def _rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """In each round every word that still has a known pair merges its lowest-ranked one,
         everywhere in the word from left to right.  Words that are done leave the array.
         """
         flat = np.frombuffer(b"".join(words), np.uint8)

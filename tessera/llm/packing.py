@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,6 +20,9 @@ from tessera.plans.tables import saved
 #: Split pattern and special token of the byte-level vocabulary (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
+#: White space of that pattern. Its engine gives up on runs of some hundred thousand, so runs of this length are cut by hand.
+_SPACE = "\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"[{_SPACE}]{{65536,}}")
 
 
 def pack_documents(
@@ -46,7 +50,8 @@ def pack_documents(
     from a running number within each task and a prefix sum of counts over tasks, so no
     length, however common, meets in one task.
 
-    Null and empty texts are one piece that holds ``end_id``.  Ids need not be unique or
+    A text is held whole, with its ids, and takes time in proportion to its length, also one of blanks or
+    letters alone.  Null and empty texts are one piece that holds ``end_id``.  Ids need not be unique or
     non-null.  An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -125,6 +130,20 @@ def encoding(ranks_path: str):
     return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
 
 
+def token_ids(model, text: str) -> np.ndarray:
+    """The ids of a text, whatever it holds.
+
+    The pattern takes a run of white space but for its last character as one piece; what follows takes that one, unless nothing does or the special token.
+    """
+    found, at = [], 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text) and not text.startswith(SPECIAL, run.end()))
+        found += [model.encode_to_numpy(text[at : run.start()], allowed_special="all"), np.array(model._encode_single_piece(run.group()[: end - run.start()]), np.uint32)]
+        at = end
+    found.append(model.encode_to_numpy(text[at:], allowed_special="all"))
+    return np.concatenate(found).astype(np.uint32)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], ranks_path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     model, part = encoding(ranks_path), TaskContext.get().partitionId()
     seen = np.zeros(capacity + 1, np.int64)
@@ -132,7 +151,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], ranks_path: str, capacity: int, e
         for some in W.slices(batch):
             rows: list[tuple] = []
             for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
-                ids = np.append(np.asarray(model.encode_to_numpy(text or "", allowed_special="all"), np.uint32), np.uint32(end_id)).astype("<u4")
+                ids = np.append(token_ids(model, text or ""), np.uint32(end_id)).astype("<u4")
                 head = len(ids) % capacity
                 cuts = [0, *range(head or capacity, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
                 for piece, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):

@@ -13,7 +13,7 @@ from tessera.plans.scans import running_before
 from tessera.plans.tables import saved
 
 #: Turns that a container holds at most; larger ones burst.
-CONTAINER = 1 << 13
+CONTAINER = 512
 #: Lanes of the key of a prefix, 32 bits each, and conversation ids that one piece of a list of them spells out.
 LANES, LISTED = 4, 4096
 _MASK = (1 << 32) - 1

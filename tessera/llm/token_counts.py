@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _words as W
-from tessera.llm.packing import encoding
+from tessera.llm.packing import encoding, token_ids
 
 
 def section_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n") -> DataFrame:
@@ -28,7 +28,8 @@ def section_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", tex
     documents.  Rule for tokens over a border: the section with the largest share of the
     span gets the token, the first one on ties.
 
-    The text goes through a byte-level BPE vocabulary; special tokens it spells out count as
+    A text is held whole, with its ids and spans, and takes time in proportion to its length, also one of
+    blanks alone.  The text goes through a byte-level BPE vocabulary; special tokens it spells out count as
     one token.  Null and empty texts have no sections and no rows.  Rows that share an id
     each give their own sections.  An empty table gives no rows; other columns are not read.
     """
@@ -39,7 +40,7 @@ def section_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", tex
 
 def token_spans(model, texts: list[str | None], data: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last character (exclusive) of all tokens, counted over the texts in a row, and the token ids."""
-    ids = [np.asarray(model.encode_to_numpy(t or "", allowed_special="all")) for t in texts]
+    ids = [token_ids(model, t or "") for t in texts]
     ids = np.concatenate(ids).astype(np.int64) if ids else np.empty(0, np.int64)
     end = np.cumsum(_lengths(model)[ids])
     start = end - _lengths(model)[ids]

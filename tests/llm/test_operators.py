@@ -41,7 +41,7 @@ def odd_rows():
     base = passage(2, 120).split()
     texts = [None, "", " \n\t ", "one", "Two Words", shared, f"{passage(3, 30)} {shared} {passage(4, 30)}", f"{shared}\n{shared}", " ".join(base), " ".join(base).upper()]
     texts += [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in (5, 50, 100)] + [" ".join(base[:60] + passage(5, 60).split())]
-    texts += [passage(6, 20000), "é" * 3000 + " ß \x00 " + "don't <|endoftext|> 🙂", "#*$%&|<> " * 20, "a b c " * 40, "line\nline\nother\n\nline"]
+    texts += [" " * 70000 + "x" + "\n" * 70000, "\t" * 66000 + "<|endoftext|>" + " " * 66000, "ab" * 3000, passage(6, 20000), "é" * 3000 + " ß \x00 " + "don't <|endoftext|> 🙂", "#*$%&|<> " * 20, "a b c " * 40, "line\nline\nother\n\nline"]
     rows = [(i, t, [None, "en", "de"][i % 3], [None, "s1", "s2"][i % 3], None, "b", i, "i") for i, t in enumerate(texts)]
     return rows + [rows[8], (None, shared, None, None, None, None, None, None)]
 
@@ -222,6 +222,28 @@ def test_bpe(table, request):
         assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
 
 
+def test_very_long_runs():
+    """Two million blanks, line feeds and letters, and a word of 200,000 letters."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    from tessera.llm.packing import encoding, token_ids
+
+    r = np.random.default_rng(9)
+    word = "".join(map(chr, r.integers(97, 123, 200_000)))
+    library, model = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), encoding(vocabulary("byte_bpe_50k.tiktoken"))
+    n = 2_000_000
+    for text in (" " * n, "a" + "\n" * n + "b", " \n" * (n // 2) + "\x1cq", "\u3000" * (n // 3) + "é", "x" + " " * n + "<|endoftext|>" + "\t" * n + "'s", word * 10):
+        assert token_ids(model, text).tolist() == library.encode(text, add_special_tokens=False).ids
+    library, model = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), word_model(vocabulary("word_bpe_49k.json"))
+    start = time.time()
+    ids, at = model.encode(["some words", word, "", "a" * 5000, "and more", word[:3000] + " b"])
+    assert time.time() - start < 6
+    for i, text in enumerate(["some words", word, "", "a" * 5000, "and more", word[:3000] + " b"]):
+        assert ids[at[i] : at[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_on_random_text():
     from tokenizers import Tokenizer
 
