@@ -14,20 +14,24 @@ from pyspark.sql import functions as F
 from tessera.plans.tables import saved
 
 
-def refine(points: DataFrame, max_level: int, most: int, axes: str = "ij") -> DataFrame:
-    """Leaves ``level, axes, n`` of a tree over points with coordinates at ``max_level``: a node with more than ``most`` points splits.
-
-    Counts of all levels come from one pass by shifting the coordinates; empty leaves next to
-    occupied ones are leaves too.
-    """
+def node_counts(points: DataFrame, max_level: int, axes: str = "ij") -> DataFrame:
+    """Points in the nodes of all levels, ``level, axes, n``, for coordinates at ``max_level``; nodes without points have no row."""
     counts = saved(points.groupBy(*axes).agg(F.count("*").alias("n")))
     levels = F.explode(F.sequence(F.lit(0), F.lit(max_level)))
-    nodes = (
+    return (
         counts.select(levels.alias("level"), *axes, "n")
         .select("level", *(F.expr(f"shiftright({c}, {max_level} - level)").alias(c) for c in axes), "n")
         .groupBy("level", *axes).agg(F.sum("n").alias("n"))
     )
-    nodes = saved(nodes)
+
+
+def refine(points: DataFrame, max_level: int, most: int, axes: str = "ij") -> DataFrame:
+    """Leaves ``level, axes, n`` of a tree over points with coordinates at ``max_level``: a node with more than ``most`` points splits.
+
+    Counts of all levels come from one pass by shifting the coordinates; empty leaves next to
+    occupied ones are leaves too.
+    """
+    nodes = saved(node_counts(points, max_level, axes))
     split = nodes.filter((F.col("n") > most) & (F.col("level") < max_level)).select("level", *axes)
     root = points.sparkSession.range(1).select(F.lit(0).alias("level"), *(F.lit(0).cast("long").alias(c) for c in axes))
     candidates = children(split, axes).unionByName(root)
