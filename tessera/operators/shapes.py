@@ -53,8 +53,8 @@ class Shape:
         """For each primitive, the end of its range of faces and whether its faces are exposed at p: every shape that it is part of has p on its surface."""
         raise NotImplementedError
 
-    def first_hit(self, p: Vector, e: Vector, crossed: Column, types: dict[int, Column], base: int = 0) -> Column:
-        """The nearest hit as (q, face) of a link from a boundary cell, from the array of its crossings; ties go to the lower face, null without one."""
+    def first_hit(self, p: Vector, e: Vector, crossed: list[tuple[int, Column]], types: dict[int, Column], base: int = 0) -> Column:
+        """The nearest hit as (q, face) of a link from a boundary cell, from all its crossings; ties go to the lower face, null without one."""
         raise NotImplementedError
 
     def __or__(self, other: Shape) -> Shape:
@@ -77,10 +77,13 @@ class Shape:
         return F.array_compact(F.array(*(F.when(m, F.lit(i)) for i, m in enumerate(self.members(p, h)))))
 
 
-def crossed_faces(shape: Shape, p: Vector, e: Vector) -> Column:
-    """All crossings of a link as an array of (q, face)."""
-    found = [F.when(q.isNotNull(), F.struct(q.alias("q"), F.lit(face).alias("face"))) for face, q in shape.crossings(p, e)]
-    return F.array_compact(F.array(*found))
+def _hits(crossed: list[tuple[int, Column]]) -> list[Column]:
+    """Crossings as (q, face), null where there is none; the least of them is the nearest."""
+    return [F.when(q.isNotNull(), F.struct(q.alias("q"), F.lit(face).alias("face"))) for face, q in crossed]
+
+
+def _least(columns: list[Column]) -> Column:
+    return F.least(*columns) if len(columns) > 1 else columns[0]
 
 
 class Primitive(Shape):
@@ -110,9 +113,9 @@ class Primitive(Shape):
     def exposures(self, p: Vector, forced: Callable[[int, int], Column], base: int) -> list[tuple[int, Column]]:
         return [(base + self.n_faces, F.lit(True))]
 
-    def first_hit(self, p: Vector, e: Vector, crossed: Column, types: dict[int, Column], base: int = 0) -> Column:
-        own = F.filter(crossed, lambda hit: (hit["face"] >= base) & (hit["face"] < base + self.n_faces))
-        return F.when(types[base] == BOUNDARY, F.array_min(own))
+    def first_hit(self, p: Vector, e: Vector, crossed: list[tuple[int, Column]], types: dict[int, Column], base: int = 0) -> Column:
+        own = [(face, q) for face, q in crossed if base <= face < base + self.n_faces]
+        return F.when(types[base] == BOUNDARY, _least(_hits(own)))
 
 
 @dataclass
@@ -183,8 +186,9 @@ class Merged(Shape):
         on = self.side(p, forced, base) == 0
         return [(end, on & shown) for end, shown in self.a.exposures(p, forced, base) + self.b.exposures(p, forced, base + self.a.n_faces)]
 
-    def _first_exposed(self, p: Vector, e: Vector, crossed: Column, base: int) -> Column:
+    def _first_exposed(self, p: Vector, e: Vector, crossings: list[tuple[int, Column]], base: int) -> Column:
         """Of the crossings of this shape's own faces, the nearest that is on its surface; those at one place count together."""
+        crossed = F.array_compact(F.array(*_hits(crossings)))
 
         def shown(hit: Column) -> Column:
             q, face = hit["q"], hit["face"]
@@ -197,7 +201,7 @@ class Merged(Shape):
 
         return F.array_min(F.filter(crossed, shown))
 
-    def first_hit(self, p: Vector, e: Vector, crossed: Column, types: dict[int, Column], base: int = 0) -> Column:
+    def first_hit(self, p: Vector, e: Vector, crossed: list[tuple[int, Column]], types: dict[int, Column], base: int = 0) -> Column:
         ends = [(self.a, base), (self.b, base + self.a.n_faces)]
         hit = F.least(*(part.first_hit(p, e, crossed, types, at) for part, at in ends))
         if self.unite:
@@ -341,12 +345,15 @@ def wall_links(cells: DataFrame, shape: Shape, model: str, h: float, key: str) -
     types = {base: F.col(f"_type_{base}") for base, _ in shape.parts()}
     typed = cells.select(key, *"xyz", *(part.cell_type(place, h).alias(f"_type_{base}") for base, part in shape.parts())).filter(shape.merged_type(types) == BOUNDARY)
     links = F.array(*(F.struct(F.lit(n).alias("link"), *(F.lit(h * x).alias(a) for a, x in zip(("ex", "ey", "ez"), step, strict=True))) for n, *step, _ in _links(model)[1:]))
-    spread = typed.select("*", F.inline(links))
+    # The cells are small against their links: dealt out by their own number of partitions, which adaptive execution leaves alone.
+    dealt = typed.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    spread = dealt.select("*", F.inline(links))
     step = vector("ex", "ey", "ez")
-    # As the output of a generator the array is worked out once for each link; a filter on it stays behind it.
-    crossed = spread.select("*", F.explode(F.array(crossed_faces(shape, place, step))).alias("_crossed"))
-    hit = shape.first_hit(place, step, F.col("_crossed"), types)
-    return crossed.withColumn("hit", hit).filter("hit is not null").select(key, "link", "hit.face", "hit.q")
+    found = shape.crossings(place, step)
+    crossed = spread.select("*", *(q.alias(f"_q{n}") for n, (_, q) in enumerate(found)))
+    hit = shape.first_hit(place, step, [(face, F.col(f"_q{n}")) for n, (face, _) in enumerate(found)], types)
+    # As the output of a generator the hit is worked out once for each link; a filter on it stays behind it.
+    return crossed.select(key, "link", F.explode(F.array(hit)).alias("hit")).filter("hit is not null").select(key, "link", "hit.face", "hit.q")
 
 
 __all__ = ["BOUNDARY", "DRY", "INTERIOR", "Ball", "Box", "Cylinder", "Shape", "grid", "lattice", "norm", "wall_links"]
