@@ -46,20 +46,24 @@ def text_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
     Before its first character a text has white space.
     """
-    pad = "\n" * (ORDER - 1)
-    lengths = np.fromiter((len(t or "") for t in texts), np.int64, len(texts))
-    joined = pad + pad.join(t or "" for t in texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = symbol_table()[codes].astype(np.int32)
-    grams = symbols[: len(symbols) - ORDER + 1].copy()
-    for k in range(1, ORDER):
-        grams = (grams << BITS) | symbols[k : len(symbols) - ORDER + 1 + k]
-    # The gram at position p ends at character p + 3, so text i owns grams from its own start on.
     at = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(lengths, out=at[1:])
-    starts = at[:-1] + (ORDER - 1) * np.arange(len(texts))
-    own = np.repeat(starts - at[:-1], lengths) + np.arange(at[-1])
-    return grams[own], at
+    np.cumsum(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), out=at[1:])
+    codes = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return symbol_grams(symbol_table()[codes], at), at
+
+
+def symbol_grams(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The four-gram that ends at each symbol of texts that start at these places."""
+    lengths = np.diff(at)
+    # White space, the symbol 0, stands before each text; the gram at position p ends at symbol p + 3, so text i owns grams from its own start on.
+    shift = (ORDER - 1) * np.arange(1, len(lengths) + 1)
+    padded = np.zeros(len(symbols) + (ORDER - 1) * len(lengths), np.int32)
+    own = np.arange(len(symbols)) + np.repeat(shift, lengths)
+    padded[own] = symbols
+    grams = np.zeros(len(symbols), np.int32)
+    for k in range(ORDER - 1, -1, -1):
+        grams = (grams << BITS) | padded[own - k]
+    return grams
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

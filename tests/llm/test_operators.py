@@ -572,7 +572,7 @@ def named(rows, training):
         return [tuple(symbols[k : k + 4]) for k in range(len(text or ""))]
 
     labels = Counter(lang for text, lang in training if text is not None and lang is not None)
-    names = sorted(name for name, n in labels.items() if n >= 0.01 * sum(labels.values()))
+    names = sorted(labels)
     counts = {name: Counter(g for text, lang in training if lang == name and text is not None for g in grams(text)) for name in names}
     cost = {name: (lambda g, c=c, t=np.log(sum(c.values()) + ALPHA * GRAMS): round(UNIT * (np.log(c[g] + ALPHA) - t))) for name, c in counts.items()}
     scores, shares = [], []
@@ -618,6 +618,25 @@ def test_language_id_against_brute_force(spark):
         assert g[:3] == e[:3] and abs(g[3] - e[3]) < 2e-5, (g, e)
 
 
+def test_rare_languages_count(spark, documents):
+    """One document of a language among a thousand names its texts, by text alone, markup and address."""
+    words = "che non una sono della con per anche questo perché gli dalla nella molto".split()
+    r = np.random.default_rng(11)
+    prose = lambda n: " ".join(r.choice(words, n))
+    rare = spark.createDataFrame([(prose(300), "it")], "text string, lang string")
+    training = documents.select("text", "lang").unionByName(rare)
+    rows = [(i, prose(12), [None, "it"][i % 2], [None, "x.it"][i % 2]) for i in range(20)] + [(99, documents.filter("lang = 'en' and n_chars > 200").first().text, None, None)]
+    got = {x.id: (x.language, x.text_language) for x in identify(spark.createDataFrame(rows, "id long, text string, declared string, host string"), training).collect()}
+    assert got == {i: ("it", "it") for i in range(20)} | {99: ("en", "en")}
+
+
+def test_batches_of_languages(documents):
+    """Small batches give what one gives."""
+    rows = documents.select(F.col("doc_id").alias("id"), "text", F.lit(None).cast("string").alias("declared"), F.col("source").alias("host"))
+    whole = order(tuple(x) for x in identify(rows, documents).collect())
+    assert order(tuple(x) for x in identify(rows, documents, batch_bytes=5000).collect()) == whole
+
+
 def test_host_prior_decides_without_text(spark, documents):
     french = documents.filter("lang = 'fr'").limit(30).select("doc_id", "text")
     rows = french.select(F.col("doc_id").alias("id"), "text", F.lit(None).cast("string").alias("declared"), F.lit("w.site.org").alias("host"))
