@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import Vector, cross, dot, minus, norm, solid_angle, vector
+from tessera.functions.vectors import Vector, cross, dot, minus, norm, vector
 from tessera.plans.components import connected_components
 from tessera.plans.scans import sums_before
 from tessera.plans.tables import saved
@@ -122,32 +122,70 @@ def signed_volumes(facets: DataFrame, by: str) -> DataFrame:
     return facets.join(centre, by).groupBy(by).agg((F.sum(six) / 6).alias("volume"))
 
 
+def shadow_toggles(corners: tuple[Vector, Vector, Vector], y: Column, z: Column) -> Column:
+    """Whether a line along x at (y, z) crosses a facet, as a condition; a line through an edge counts for one of its two facets (half-open rule on z, then y)."""
+    toggles = F.lit(0)
+    for p, q in zip(corners, corners[1:] + corners[:1], strict=True):
+        first = p[2] < q[2]  # an edge is worked out alike for both of its facets
+        low, high = ([F.when(first, s).otherwise(t) for s, t in pair] for pair in (zip(p, q, strict=True), zip(q, p, strict=True)))
+        at = F.when(high[2] > low[2], low[1] + (z - low[2]) * (high[1] - low[1]) / (high[2] - low[2]))
+        toggles = toggles + F.when(((p[2] <= z) != (q[2] <= z)) & (at > y), 1).otherwise(0)
+    return toggles % 2 == 1
+
+
 def enclosed(points: DataFrame, facets: DataFrame, by: str, key: str = "id") -> DataFrame:
-    """``key, by`` for each point strictly inside a closed surface, by solid angle.
+    """``key, by`` for each point strictly inside a closed surface, by the parity of crossings of its line along x.
 
     Points meet the bounding boxes in cells: a box is in the at most eight cells that it meets of the width of the
     power of two at or above its longest side, a point in one cell of each such width that some box has (some dozens
-    if sizes differ much).  The facets of one surface are combined with the points in its box only.  Points without
-    a place are nowhere inside; a flat surface holds nothing.
+    if sizes differ much).  A point then meets only the facets whose shadow on y and z is near its own line: shadows are
+    in at most nine cells of half their own width or more, a power of two, so that a surface of any number of facets gives each
+    point a few.  A point on a facet is not inside, a line through an edge counts for one of its two facets.
+    Keys have to be unique.  Points without a place are nowhere inside; a flat surface holds nothing.
     """
-    extent = facets.groupBy(by).agg(
-        *(F.min(F.least(*(F.col(v + x) for v in "abc"))).alias(f"lo_{x}") for x in "xyz"), *(F.max(F.greatest(*(F.col(v + x) for v in "abc"))).alias(f"hi_{x}") for x in "xyz")
-    )
+    return _crossings(points, facets, by, key).filter("crossings % 2 = 1 and on = 0").select(key, by)
+
+
+def on_surface(points: DataFrame, facets: DataFrame, by: str, key: str = "id") -> DataFrame:
+    """``key, by`` for each point exactly on a facet of a surface that is not flat, found as ``enclosed`` does."""
+    return _crossings(points, facets, by, key).filter("on > 0").select(key, by)
+
+
+def facets_near(points: DataFrame, facets: DataFrame, by: str, key: str) -> DataFrame:
+    """Points within a surface's box with each of its facets that may be on or ahead of them along x: ``key, by, x, y, z`` and corners."""
+    lowest, highest = ({x: f(*(F.col(v + x) for v in "abc")) for x in "xyz"} for f in (F.least, F.greatest))
+    exponent = lambda size: F.ceil(F.log2(size)).cast("int")
+    shaded = facets.withColumn("_s", exponent(F.greatest(*(highest[x] - lowest[x] for x in "yz"))) - 1).filter("_s is not null")
+    extent = shaded.groupBy(by).agg(*(F.min(lowest[x]).alias(f"lo_{x}") for x in "xyz"), *(F.max(highest[x]).alias(f"hi_{x}") for x in "xyz"), F.collect_set("_s").alias("_widths"))
     sides = [F.col(f"hi_{x}") - F.col(f"lo_{x}") for x in "xyz"]
-    boxes = saved(extent.filter(F.least(*sides) > 0).withColumn("_size", F.ceil(F.log2(F.greatest(*sides))).cast("int")))
+    boxes = saved(extent.filter(F.least(*sides) > 0).withColumn("_size", exponent(F.greatest(*sides))))
     sizes = [r[0] for r in boxes.select("_size").distinct().collect()]  # exponents of doubles: 2,098 at most, whatever the table
     if not sizes:
-        return points.select(key).limit(0).crossJoin(boxes.select(by).limit(0))
-    cell = lambda place: F.floor(place / F.pow(F.lit(2.0), F.col("_size")))
+        return points.select(key, *"xyz").limit(0).crossJoin(facets.select(by, *(v + x for v in "abc" for x in "xyz")).limit(0))
+    cell = lambda place, size: F.floor(place / F.pow(F.lit(2.0), F.col(size)))
     for x in "xyz":
-        boxes = boxes.withColumn(f"_{x}", F.explode(F.sequence(cell(F.col(f"lo_{x}")), cell(F.col(f"hi_{x}")))))
+        boxes = boxes.withColumn(f"_{x}", F.explode(F.sequence(cell(F.col(f"lo_{x}"), "_size"), cell(F.col(f"hi_{x}"), "_size"))))
     cells = ["_size", "_x", "_y", "_z"]
-    placed = points.select(key, *"xyz").dropna(subset=list("xyz")).withColumn("_size", F.explode(F.array(*map(F.lit, sizes)))).withColumns({f"_{x}": cell(F.col(x)) for x in "xyz"})
+    placed = points.select(key, *"xyz").dropna(subset=list("xyz")).withColumn("_size", F.explode(F.array(*map(F.lit, sizes)))).withColumns({f"_{x}": cell(F.col(x), "_size") for x in "xyz"})
     within = [(F.col(x) >= F.col(f"lo_{x}")) & (F.col(x) <= F.col(f"hi_{x}")) for x in "xyz"]
-    candidates = placed.join(boxes, cells).filter(within[0] & within[1] & within[2]).select(key, *"xyz", by)
-    angle = solid_angle(vector("x", "y", "z"), *_corners())
-    sums = candidates.join(facets, by).groupBy(key, by).agg(F.sum(angle).alias("angle"))
-    return sums.filter(F.abs("angle") > 2 * 3.141592653589793).select(key, by)
+    candidates = placed.join(boxes, cells).filter(within[0] & within[1] & within[2]).select(key, *"xyz", by, F.explode("_widths").alias("_s"))
+    candidates = candidates.withColumns({"_cy": cell(F.col("y"), "_s"), "_cz": cell(F.col("z"), "_s")})
+    for x in "yz":
+        shaded = shaded.withColumn(f"_c{x}", F.explode(F.sequence(cell(lowest[x], "_s"), cell(highest[x], "_s"))))
+    return candidates.join(shaded.select(by, "_s", "_cy", "_cz", *(v + x for v in "abc" for x in "xyz")), [by, "_s", "_cy", "_cz"]).filter(highest["x"] >= F.col("x"))
+
+
+def _crossings(points: DataFrame, facets: DataFrame, by: str, key: str) -> DataFrame:
+    """``key, by, crossings, on``: facets ahead of a point along x and facets it lies on, for points near some facet."""
+    near = facets_near(points, facets, by, key)
+    a, b, c = corners = _corners()
+    p = vector("x", "y", "z")
+    n = cross(minus(b, a), minus(c, a))
+    ahead = F.when(n[0] != 0, a[0] - (n[1] * (p[1] - a[1]) + n[2] * (p[2] - a[2])) / n[0]) > p[0]
+    on = (dot(n, minus(p, a)) == 0) & (dot(n, n) > 0)
+    for s, t in zip(corners, corners[1:] + corners[:1], strict=True):
+        on = on & (dot(n, cross(minus(t, s), minus(p, s))) >= 0)
+    return near.groupBy(key, by).agg(F.count_if(shadow_toggles(corners, p[1], p[2]) & ahead).alias("crossings"), F.count_if(on).alias("on"))
 
 
 def nesting(contains: DataFrame) -> DataFrame:

@@ -107,30 +107,40 @@ def similar_rows(entries: DataFrame, k: int, least: float, measure: str = "cosin
     return found.filter(F.col("similarity") >= least).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def similar_sets(entries: DataFrame, k: int, least: float) -> DataFrame:
-    """As ``similar_rows`` by ``jaccard``, over all columns however frequent; for ``least`` over 0.
-
-    Rows with equal column sets are compared once, through the smallest of them.  Two sets that are similar
-    enough share one of their rarest columns: of n, all but the ceil(least n) - 1 most frequent.  Pairs
-    that meet there, and whose sizes allow it, are compared on all their columns.
+def similar_sets(entries: DataFrame, k: int, least: float, measure: str = "jaccard") -> DataFrame:
+    """As ``similar_rows`` over all columns, however frequent, for ``least`` over 0.
+
+    ``measure``: ``jaccard`` of the column sets, ``min`` (sums of the lesser values over those of the greater ones) or ``amin`` (of the
+    lesser values over the row's own).  Values have to be positive.  Rows with equal entries are compared once, through the smallest of them.
+    Of two rows that are similar enough the rarest column that both have is among the
+    rarest of the row: all but a tail of frequent columns that holds less than ``least`` of its sum; but for ``amin`` of both rows.  Pairs
+    that meet there, and whose sums allow it, are compared on all their columns.
     """
+    value = F.lit(1) if measure == "jaccard" else F.col("val")
+    entries = entries.select("row", "col", value.alias("val"))
     have = entries.groupBy("col").agg(F.count("*").alias("have"))
-    ranked = entries.join(have, "col").groupBy("row").agg(F.transform(F.array_sort(F.collect_set(F.struct("have", "col"))), lambda x: x["col"]).alias("cols"))
+    ranked = entries.join(have, "col").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("have", "col", "val"))).alias("cols"))
     groups = saved(ranked.withColumns({"head": F.min("row").over(Window.partitionBy("cols")), "place": F.row_number().over(Window.partitionBy("cols").orderBy("row"))}))
-    heads = groups.filter("place = 1").select(F.col("row").alias("head"), "cols", F.size("cols").alias("n"))
-    # A hair below ceil keeps a product that rounding lifts over a whole number.
-    needed = F.greatest(F.ceil(least * F.col("n") - 1e-9), F.lit(1)).cast("int")
-    rare = heads.select("head", "n", F.explode(F.slice("cols", F.lit(1), F.col("n") - needed + 1)).alias("col"))
-    x, y = rare.alias("x"), rare.alias("y")
-    near = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-9) & (F.col("x.head") < F.col("y.head"))
-    pairs = x.join(y, (F.col("x.col") == F.col("y.col")) & near).select(F.col("x.head").alias("a"), F.col("y.head").alias("b")).distinct()
-    left, right = (heads.select(F.col("head").alias(c), F.col("cols").alias(f"cols_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-    common = F.size(F.array_intersect("cols_a", "cols_b"))
-    compared = saved(pairs.join(left, "a").join(right, "b").select("a", "b", (common / (F.col("n_a") + F.col("n_b") - common)).alias("similarity")).filter(F.col("similarity") >= least))
-    both = compared.unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    heads = groups.filter("place = 1").select(F.col("row").alias("head"), F.inline("cols"))
+    tail = Window.partitionBy("head").orderBy(F.desc("have"), F.desc("col"))
+    total = Window.partitionBy("head")
+    held = saved(heads.select("head", "col", "val", F.sum("val").over(total).alias("n"), F.sum("val").over(tail).alias("tail")))
+    rare = held.filter(F.col("tail") >= least * F.col("n") - 1e-9).select("head", "col", "n")  # a hair below keeps what rounding lifts
+    x, y = rare.alias("x"), (held.select("head", "col", "n") if measure == "amin" else rare).alias("y")
+    if measure == "amin":
+        near = (F.col("y.n") >= least * F.col("x.n") - 1e-9) & (F.col("x.head") != F.col("y.head"))
+    else:
+        near = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-9) & (F.col("x.head") < F.col("y.head"))
+    pairs = saved(x.join(y, (F.col("x.col") == F.col("y.col")) & near).select(F.col("x.head").alias("a"), F.col("x.n").alias("na"), F.col("y.head").alias("b"), F.col("y.n").alias("nb")).distinct())
+    left = held.select(F.col("head").alias("a"), "col", F.col("val").alias("left"))
+    right = held.select(F.col("head").alias("b"), "col", F.col("val").alias("right"))
+    common = pairs.join(left, "a").join(right, ["b", "col"]).groupBy("a", "b", "na", "nb").agg(F.sum(F.least("left", "right")).alias("common"))
+    against = F.col("na") if measure == "amin" else F.col("na") + F.col("nb") - F.col("common")
+    compared = saved(common.select("a", "b", (F.col("common") / against).alias("similarity")).filter(F.col("similarity") >= least))
+    both = compared if measure == "amin" else compared.unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     # Of k groups ahead of a group each has a row ahead of all of its rows, and of a group its smallest rows come first.
     best = both.withColumn("_at", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).filter(F.col("_at") <= k).drop("_at")
-    same = heads.select(F.col("head").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("similarity"))
+    same = groups.filter("place = 1").select(F.col("row").alias("a"), F.col("row").alias("b"), F.lit(1.0).alias("similarity"))
     others = groups.filter(F.col("place") <= k + 1).select(F.col("head").alias("b"), F.col("row").alias("other"))
     offered = best.unionByName(same).join(others, "b").select(F.col("a").alias("head"), "other", "similarity")
     found = groups.select("row", "head").join(offered, "head").filter("row <> other").select("row", "other", "similarity")
@@ -138,6 +148,27 @@ def similar_sets(entries: DataFrame, k: int, least: float) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def item_sets(entries: DataFrame, least: int, most: int | None = None, shortest: int = 1, longest: int | None = None) -> DataFrame:
+    """Sets of columns that at least ``least`` rows (and ``most``, if given) have together: ``items array`` in order and ``freq long``, for sets of ``shortest`` to ``longest`` columns.
+
+    By FP-growth over all rows; it finds longer sets too, which are left out.
+    """
+    from pyspark.ml.fpm import FPGrowth
+
+    baskets = saved(entries.groupBy("row").agg(F.collect_set("col").alias("items")))
+    rows = baskets.count()
+    if not rows:
+        return baskets.select("items", F.lit(0).cast("long").alias("freq"))
+    found = FPGrowth(minSupport=min(1.0, (least - 0.5) / rows), itemsCol="items").fit(baskets).freqItemsets
+    size = F.size("items")
+    found = found.filter((F.col("freq") >= least) & (size >= shortest))
+    if most is not None:
+        found = found.filter(F.col("freq") <= most)
+    if longest is not None:
+        found = found.filter(size <= longest)
+    return found.select(F.array_sort("items").alias("items"), "freq")
+
+
 def symmetric(edges: DataFrame, how: str = "max") -> DataFrame:
     """Edges in both directions; where both are there, the larger, smaller or summed weight."""
     f = {"max": F.max, "min": F.min, "sum": F.sum}[how]

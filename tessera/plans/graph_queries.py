@@ -18,9 +18,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def orders_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of customers (even nodes) and suppliers (odd nodes) of one nation and balance class."""
     customers, suppliers = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "supplier")
-    c = customers.select((F.col("c_custkey") * 2).alias("a"), F.col("c_nationkey").alias("nation"), F.floor(F.col("c_acctbal") / 1000).alias("level"))
-    s = suppliers.select((F.col("s_suppkey") * 2 + 1).alias("b"), F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal") / 1000).alias("level"))
-    return connected_components(c.join(s, ["nation", "level"]))
+    c = customers.select((F.col("c_custkey") * 2).alias("node"), F.col("c_nationkey").alias("nation"), F.floor(F.col("c_acctbal") / 1000).alias("level"))
+    s = suppliers.select((F.col("s_suppkey") * 2 + 1).alias("node"), F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal") / 1000).alias("level"))
+    # A link to the smallest node of a class stands for those to all of the other kind: a row for each node.
+    both = c.unionByName(s)
+    classes = both.groupBy("nation", "level").agg(F.min("node").alias("first"), F.count_if(F.col("node") % 2 == 0).alias("buyers"), F.count_if(F.col("node") % 2 == 1).alias("sellers"))
+    return connected_components(both.join(classes.filter("buyers > 0 and sellers > 0"), ["nation", "level"]).select(F.col("node").alias("a"), F.col("first").alias("b")))
 
 
 def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,14 +218,13 @@ def marked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three most similar documents by the words that 2 to 20 documents have; ``similar_texts`` takes all words."""
-    rare = sparse.prune(_words(spark, sf_dir), "col", 2, 20)
-    return sparse.similar_rows(rare, 3, 0.1, "jaccard").withColumn("similarity", F.round("similarity", 9))
+    """The three most similar documents by the sets of all their words, of those with half of them in common."""
+    return sparse.similar_sets(_words(spark, sf_dir), 3, 0.5).withColumn("similarity", F.round("similarity", 9))
 
 
 def similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three most similar documents by all their words, however many documents have them."""
-    return sparse.similar_sets(_words(spark, sf_dir), 3, 0.1).withColumn("similarity", F.round("similarity", 9))
+    """The three most similar documents by the counts of all their words."""
+    return sparse.similar_sets(_words(spark, sf_dir), 3, 0.6, "min").withColumn("similarity", F.round("similarity", 9))
 
 
 def score_area(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,9 +234,8 @@ def score_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alike_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three documents that hold most of a document's rarer words."""
-    rare = sparse.prune(_words(spark, sf_dir), "col", 2, 20)
-    return sparse.similar_rows(rare, 3, 0.2, "amin").withColumn("similarity", F.round("similarity", 9))
+    """The three documents that hold most of a document's words, counted as often as it has them, however frequent they are."""
+    return sparse.similar_sets(_words(spark, sf_dir), 3, 0.8, "amin").withColumn("similarity", F.round("similarity", 9))
 
 
 def dampened_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,12 +251,9 @@ def length_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequent sets of one or two part classes within an order, by FP-growth."""
-    from pyspark.ml.fpm import FPGrowth
-
-    baskets = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set((F.col("l_partkey") % 20).cast("int")).alias("items"))
-    found = FPGrowth(minSupport=0.01, itemsCol="items").fit(baskets).freqItemsets
-    return found.filter(F.size("items") <= 2).select(F.array_join(F.array_sort("items"), ",").alias("items"), "freq")
+    """Sets of two and three parts that at least two orders have together."""
+    parts = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"))
+    return sparse.item_sets(parts, 2, None, 2, 3).select(F.array_join("items", ",").alias("items"), "freq")
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,25 +399,25 @@ SQL = {
         SELECT row, count(*) AS n, sum(val) AS total FROM (SELECT row, val, avg(val) OVER (PARTITION BY row) AS mean FROM ({_WORDS})) WHERE val > 4 * mean GROUP BY row
     """,
     "similar_documents": f"""
-        WITH w AS MATERIALIZED ({_WORDS}), r AS MATERIALIZED ({_RARE}), n AS (SELECT row, count(*) AS n FROM r GROUP BY row),
+        WITH r AS MATERIALIZED ({_WORDS}), n AS (SELECT row, count(*) AS n FROM r GROUP BY row),
         c AS (SELECT x.row AS row, y.row AS other, count(*) AS c FROM r x JOIN r y ON x.col = y.col AND x.row <> y.row GROUP BY 1, 2),
         s AS (SELECT c.row, c.other, c.c / (a.n + b.n - c.c) AS similarity FROM c JOIN n a ON c.row = a.row JOIN n b ON c.other = b.row)
         SELECT row, other, round(similarity, 9) AS similarity, rank FROM (
-            SELECT *, row_number() OVER (PARTITION BY row ORDER BY similarity DESC, other)::INTEGER AS rank FROM s WHERE similarity >= 0.1) WHERE rank <= 3
+            SELECT *, row_number() OVER (PARTITION BY row ORDER BY similarity DESC, other)::INTEGER AS rank FROM s WHERE similarity >= 0.5) WHERE rank <= 3
     """,
     "similar_texts": f"""
-        WITH r AS MATERIALIZED ({_WORDS}), n AS (SELECT row, count(*) AS n FROM r GROUP BY row),
-        c AS (SELECT x.row AS row, y.row AS other, count(*) AS c FROM r x JOIN r y ON x.col = y.col AND x.row <> y.row GROUP BY 1, 2),
+        WITH r AS MATERIALIZED ({_WORDS}), n AS (SELECT row, sum(val) AS n FROM r GROUP BY row),
+        c AS (SELECT x.row AS row, y.row AS other, sum(least(x.val, y.val)) AS c FROM r x JOIN r y ON x.col = y.col AND x.row <> y.row GROUP BY 1, 2),
         s AS (SELECT c.row, c.other, c.c / (a.n + b.n - c.c) AS similarity FROM c JOIN n a ON c.row = a.row JOIN n b ON c.other = b.row)
         SELECT row, other, round(similarity, 9) AS similarity, rank FROM (
-            SELECT *, row_number() OVER (PARTITION BY row ORDER BY similarity DESC, other)::INTEGER AS rank FROM s WHERE similarity >= 0.1) WHERE rank <= 3
+            SELECT *, row_number() OVER (PARTITION BY row ORDER BY similarity DESC, other)::INTEGER AS rank FROM s WHERE similarity >= 0.6) WHERE rank <= 3
     """,
     "alike_documents": f"""
-        WITH w AS MATERIALIZED ({_WORDS}), r AS MATERIALIZED ({_RARE}), n AS (SELECT row, sum(val) AS n FROM r GROUP BY row),
+        WITH r AS MATERIALIZED ({_WORDS}), n AS (SELECT row, sum(val) AS n FROM r GROUP BY row),
         c AS (SELECT x.row AS row, y.row AS other, sum(least(x.val, y.val)) AS c FROM r x JOIN r y ON x.col = y.col AND x.row <> y.row GROUP BY 1, 2),
         s AS (SELECT c.row, c.other, c.c / n.n AS similarity FROM c JOIN n ON c.row = n.row)
         SELECT row, other, round(similarity, 9) AS similarity, rank FROM (
-            SELECT *, row_number() OVER (PARTITION BY row ORDER BY similarity DESC, other)::INTEGER AS rank FROM s WHERE similarity >= 0.2) WHERE rank <= 3
+            SELECT *, row_number() OVER (PARTITION BY row ORDER BY similarity DESC, other)::INTEGER AS rank FROM s WHERE similarity >= 0.8) WHERE rank <= 3
     """,
     "dampened_words": f"""
         WITH w AS MATERIALIZED ({_WORDS}), h AS (SELECT col, count(*) AS h FROM w GROUP BY col),
@@ -439,10 +437,10 @@ SQL = {
         SELECT sum(p + m)::BIGINT AS n, sum(p)::BIGINT AS positives, round(sum(p * (below + m / 2)) / (sum(p) * sum(m)), 9) AS area FROM c
     """,
     "item_sets": """
-        WITH i AS (SELECT DISTINCT l_orderkey AS o, (l_partkey % 20)::INTEGER AS p FROM lineitem), n AS (SELECT count(DISTINCT o) AS n FROM i)
-        SELECT * FROM (
-            SELECT p::VARCHAR AS items, count(*) AS freq FROM i GROUP BY p UNION ALL
-            SELECT a.p || ',' || b.p, count(*) FROM i a JOIN i b ON a.o = b.o AND a.p < b.p GROUP BY a.p, b.p) WHERE freq >= ceil(0.01 * (SELECT n FROM n))
+        WITH i AS MATERIALIZED (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+        t AS MATERIALIZED (SELECT a.o, a.p AS x, b.p AS y FROM i a JOIN i b ON a.o = b.o AND a.p < b.p)
+        SELECT x || ',' || y AS items, count(*) AS freq FROM t GROUP BY x, y HAVING count(*) >= 2 UNION ALL
+        SELECT x || ',' || y || ',' || p, count(*) FROM t JOIN i ON t.o = i.o AND i.p > y GROUP BY x, y, p HAVING count(*) >= 2
     """,
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2",
     "case_values": """

@@ -52,13 +52,16 @@ def flow_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     facets = box_facets(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey", tuple(places), tuple(p + size for p in places))
     facets = saved(solids.turned(facets, key % 5 == 0))
     volumes = mesh.signed_volumes(facets, "c_custkey").withColumn("mesh", F.floor(key / 3))
-    contains = solids.containment(facets, "c_custkey", 16.0)
+    contains = solids.containment(facets, "c_custkey")
     return solids.flow_sides(volumes, saved(contains), "c_custkey", "mesh", internal=True)
 
 
 def _height_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two triangles for each square of four parts, forty parts a row, at heights 0, 1 and 2."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.floor(F.col("p_size") / 17).cast("double").alias("h"))
+    return saved(_fields(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.floor(F.col("p_size") / 17).cast("double").alias("h"))))
+
+
+def _fields(parts: DataFrame) -> DataFrame:
     squares = parts.filter("p_partkey % 40 < 39").select("p_partkey", F.col("h").alias("h0"))
     for n, step in ((1, 1), (2, 40), (3, 41)):
         squares = squares.join(parts.select((F.col("p_partkey") - step).alias("p_partkey"), F.col("h").alias(f"h{n}")), "p_partkey")
@@ -68,7 +71,7 @@ def _height_field(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct((2 * p + half).alias("facet_id"), *(corner[i][0].alias(f"v{n}") for n, i in enumerate(t)), *(corner[i][1 + a].alias(f"{v}{x}") for v, i in zip("abc", t, strict=True) for a, x in enumerate("xyz")))
         for half, t in enumerate(((0, 1, 2), (1, 3, 2)))
     ]
-    return saved(squares.select(F.explode(F.array(*triangles)).alias("t")).select("t.*"))
+    return squares.select(F.explode(F.array(*triangles)).alias("t")).select("t.*")
 
 
 _FIELD = """
@@ -85,6 +88,22 @@ _FACES = f"""
 """
 
 
+def points_in_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts and line numbers of line items, placed above the square of their part, in the closed surface between the height field (zero at its rim) and its ground: one surface of all facets."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.floor(F.col("p_size") / 17).cast("double").alias("h"))
+    rows = parts.agg(F.max(F.floor(F.col("p_partkey") / 40)).alias("last"))  # one row
+    at, row = F.col("p_partkey") % 40, F.floor(F.col("p_partkey") / 40)
+    flat = parts.crossJoin(rows).withColumn("h", F.when(at.isin(0, 39) | (row <= 1) | (row >= F.col("last") - 1), 0.0).otherwise(F.col("h"))).filter((row >= 1) & (row < F.col("last")))
+    top = _fields(flat).drop("v0", "v1", "v2")
+    ground = top.withColumns({f"{v}z": F.lit(0.0) for v in "abc"}).withColumn("facet_id", F.col("facet_id") + (1 << 40))
+    facets = saved(top.unionByName(ground).withColumn("field", F.lit(0)))
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    places = items.select(
+        (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 40 + 0.25).cast("double").alias("x"), (F.floor(F.col("l_partkey") / 40) + 0.5).cast("double").alias("y"), (F.col("l_linenumber") * 0.25 + 0.125).cast("double").alias("z")
+    )
+    return mesh.enclosed(places.distinct(), facets, "field").groupBy((F.col("id") % 8).alias("line")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
 def planar_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.face_measures(_height_field(spark, sf_dir)).withColumn("area", F.round("area", 6))
 
@@ -137,7 +156,7 @@ _OCTREE = """
     up AS MATERIALIZED (SELECT level - 1 AS level, i, j, k, i // 2 AS pi, j // 2 AS pj, k // 2 AS pk FROM leaves)
 """
 
-QUERIES = {f.__name__: f for f in (solid_cells, solid_links, flow_sides, planar_faces, feature_edges, curve_roles, mesh_verdicts, octree_leaves, octree_interfaces)}
+QUERIES = {f.__name__: f for f in (solid_cells, solid_links, flow_sides, points_in_field, planar_faces, feature_edges, curve_roles, mesh_verdicts, octree_leaves, octree_interfaces)}
 
 SQL = {
     "solid_cells": f"SELECT s_suppkey, CASE WHEN {_NEAR_WALL} THEN 1 ELSE 2 END AS cell_type, count(*) AS n FROM ({_WET}) GROUP BY ALL",
@@ -154,6 +173,12 @@ SQL = {
                CASE level WHEN 0 THEN 'inside' ELSE 'outside' END AS fluid_side, outward <> (level = 0) AS flip, CASE level WHEN 2 THEN 'nested too deep' END AS problem
         FROM n
     """,
+    "points_in_field": """
+        WITH l AS (SELECT max(p_partkey // 40) AS last FROM part),
+        h AS MATERIALIZED (SELECT p_partkey AS p, CASE WHEN p_partkey % 40 IN (0, 39) OR p_partkey // 40 <= 1 OR p_partkey // 40 >= last - 1 THEN 0 ELSE p_size // 17 END AS h FROM part, l WHERE p_partkey // 40 >= 1 AND p_partkey // 40 < last),
+        s AS (SELECT a.p, a.h + 0.25 * (b.h - a.h) + 0.5 * (c.h - a.h) AS z FROM h a JOIN h b ON b.p = a.p + 1 JOIN h c ON c.p = a.p + 40 JOIN h d ON d.p = a.p + 41 WHERE a.p % 40 < 39)
+        SELECT l_linenumber::BIGINT AS line, count(DISTINCT p) AS n, min(p * 8 + l_linenumber) AS first FROM lineitem JOIN s ON l_partkey = p WHERE l_linenumber * 0.25 + 0.125 < z GROUP BY 1
+    """,
     "planar_faces": f"{_FACES} SELECT face_id, count(*) AS facets, round(sum(sqrt(1 + gx * gx + gy * gy) / 2), 6) AS area FROM m JOIN f USING (id) GROUP BY 1",
     "feature_edges": f"""
         {_FACES}, o AS (SELECT lo, hi, coalesce(face_id, id) AS face FROM e LEFT JOIN m USING (id))

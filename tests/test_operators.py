@@ -226,6 +226,31 @@ def test_similar_sets_of_frequent_columns(spark):
         assert {tuple(x) for x in sparse.similar_sets(entries, 3, least).collect()} == expected
     pruned = sparse.similar_rows(sparse.prune(entries, "col", 2, 20), 3, 0.1, "jaccard")
     assert pruned.filter("row >= 100").isEmpty()
+    weights = {i: {c: float(r.integers(1, 5)) if i < 100 else 2.0 for c in s} for i, s in sets.items()}
+    entries = spark.createDataFrame([(i, c, v) for i, s in weights.items() for c, v in s.items()], "row long, col long, val double")
+    for measure, least in (("min", 0.2), ("min", 0.7), ("amin", 0.3), ("amin", 0.9)):
+        expected = set()
+        for i, s in weights.items():
+            common = {j: sum(min(v, t.get(c, 0.0)) for c, v in s.items()) for j, t in weights.items() if j != i}
+            size = lambda j: sum(weights[j].values())
+            value = {j: v / (size(i) if measure == "amin" else size(i) + size(j) - v) for j, v in common.items()}
+            scored = sorted((-v, j) for j, v in value.items() if v >= least)
+            expected |= {(i, j, round(-v, 9), k) for k, (v, j) in enumerate(scored[:3], 1)}
+        got = {(x.row, x.other, round(x.similarity, 9), x.rank) for x in sparse.similar_sets(entries, 3, least, measure).collect()}
+        assert got == expected
+
+
+def test_item_sets(spark):
+    from itertools import combinations
+
+    r = np.random.default_rng(7)
+    baskets = {i: set(map(int, r.choice(8, r.integers(0, 6), replace=False))) for i in range(80)}
+    entries = spark.createDataFrame([(i, c) for i, b in baskets.items() for c in list(b) * 2], "row long, col long")
+    for least, most, shortest, longest in ((5, None, 1, None), (3, 9, 2, 3), (1000, None, 1, None)):
+        count = {c: sum(set(c) <= b for b in baskets.values()) for n in range(1, 9) for c in combinations(range(8), n)}
+        want = {(c, n) for c, n in count.items() if least <= n <= (most or n) and shortest <= len(c) <= (longest or 9)}
+        assert {(tuple(x["items"]), x.freq) for x in sparse.item_sets(entries, least, most, shortest, longest).collect()} == want
+    assert sparse.item_sets(entries.limit(0), 1).isEmpty()
 
 
 def test_weld_of_equal_and_missing_points(spark):
@@ -368,6 +393,7 @@ def test_points_in_surfaces_of_different_sizes(spark):
 @pytest.mark.parametrize("shuffled", [True, False])
 def test_components_take_few_passes(spark, monkeypatch, shuffled):
     from tessera.plans import components
+    from tessera.plans.tables import saved
 
     tables = []
     monkeypatch.setattr(components, "saved", lambda df: tables.append(1) or saved(df))

@@ -65,7 +65,7 @@ def test_flow_sides(spark):
         one = cube(spark, low, size, solid)
         all_facets = one if all_facets is None else all_facets.unionByName(one)
     all_facets = solids.turned(all_facets, F.col("solid") == 2)
-    contains = solids.containment(all_facets, "solid", 7.0)
+    contains = solids.containment(all_facets, "solid")
     assert {tuple(r) for r in contains.collect()} == {(1, 2), (1, 3), (1, 4), (2, 4)}
     volumes = mesh.signed_volumes(all_facets, "solid").withColumn("mesh", F.lit(0))
     assert {r.solid: round(r.volume) for r in volumes.collect()} == {1: 8000, 2: -512, 3: 64, 4: 27}
@@ -109,3 +109,46 @@ def test_octree_balance(spark):
         for q, s, m in boxes:
             if (p <= q + s).all() and (q <= p + w).all():
                 assert abs(l - m) <= 1
+
+
+def ball(n):
+    """Facets of a sphere: the six sides of a cube, each of n by n squares, blown up; normals outward."""
+    out = []
+    for axis, side in product(range(3), (-1, 1)):
+        def at(u, v):
+            p = np.roll([side, 2 * u / n - 1, 2 * v / n - 1], axis)  # noqa: B023
+            return tuple((p / np.linalg.norm(p)).tolist())
+
+        places = [[at(u, v) for v in range(n + 1)] for u in range(n + 1)]
+        for u, v in product(range(n), repeat=2):
+            a, b, c, d = places[u][v], places[u + 1][v], places[u + 1][v + 1], places[u][v + 1]
+            out += [(a, b, c), (a, c, d)] if side > 0 else [(a, c, b), (a, d, c)]
+    return out
+
+
+def test_points_in_a_large_mesh(spark):
+    """A sphere of 10**5 facets: each point meets fewer than a hundred of them, and is inside as its distance says."""
+    r = np.random.default_rng(1)
+    shell = facets(spark, ball(92), 3.0, (0.5, 0.25, -1.0)).cache()
+    assert shell.count() > 100_000
+    p = np.r_[r.normal(size=(600, 3)), [[0.0, 0.0, 0.0]]]
+    p[:600] *= (r.uniform(0, 1.3, 600) / np.linalg.norm(p[:600], axis=1))[:, None]
+    distance = np.linalg.norm(p, axis=1)
+    rows = [(i, *(3.0 * x + s for x, s in zip(q, (0.5, 0.25, -1.0), strict=True))) for i, q in enumerate(p.tolist()) if not 0.998 < distance[i] < 1.001]
+    points = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    assert {x.id for x in mesh.enclosed(points, shell, "solid").collect()} == {row[0] for row in rows if distance[row[0]] < 1}
+    met = mesh.facets_near(points, shell, "solid", "id").groupBy("id").count()
+    assert met.agg(F.max("count")).first()[0] < 100
+
+
+def test_wet_points_of_nested_surfaces(spark):
+    """A room with a pillar: wet within the room and outside the pillar; outside both for external flow."""
+    both = cube(spark, 0.0, 10.0, 1).unionByName(cube(spark, 4.0, 2.0, 2))
+    points = spark.createDataFrame([(i, float(v), 5.0, 5.5) for i, v in enumerate((-1, 0, 1, 4, 5, 6, 9, 10, 11))] + [(99, None, 0.0, 0.0)], "id long, x double, y double, z double")
+    sides = lambda rows: spark.createDataFrame(rows, "solid int, active boolean, fluid_side string")
+    wet = lambda rows: {x.id for x in solids.wet_points(points, both, sides(rows), "solid").collect()}
+    assert wet([(1, True, "inside"), (2, True, "outside")]) == {2, 6}
+    assert wet([(1, True, "outside"), (2, False, None)]) == {0, 8}
+    assert wet([(1, True, "inside"), (2, False, None)]) == {2, 3, 4, 5, 6}
+    assert wet([(1, False, None)]) == set()
+    assert {(x.id, x.solid) for x in mesh.on_surface(points, both, "solid").collect()} == {(1, 1), (3, 2), (5, 2), (7, 1)}
