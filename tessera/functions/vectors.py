@@ -78,3 +78,15 @@ def solid_angle(p: Vector, a: Vector, b: Vector, c: Vector) -> Column:
     top = dot(u, cross(v, w))
     bottom = nu * nv * nw + dot(u, v) * nw + dot(u, w) * nv + dot(v, w) * nu
     return 2 * F.atan2(top, bottom)
+
+
+def triangle_distance(p: Vector, a: Vector, b: Vector, c: Vector) -> Column:
+    """Distance of a point from a triangle: from its plane where the foot is within it, else from its nearest edge."""
+    along, across, to = minus(b, a), minus(c, a), minus(p, a)
+    first, mixed, second = dot(along, along), dot(along, across), dot(across, across)
+    area = first * second - mixed * mixed
+    u = F.try_divide(dot(to, along) * second - dot(to, across) * mixed, area)
+    v = F.try_divide(dot(to, across) * first - dot(to, along) * mixed, area)
+    foot = tuple(t - u * x - v * y for t, x, y in zip(to, along, across, strict=True))
+    edges = F.least(*(segment_distance(p, s, t) for s, t in ((a, b), (b, c), (c, a))))
+    return F.when((area > 0) & (u >= 0) & (v >= 0) & (u + v <= 1), norm(foot)).otherwise(edges)

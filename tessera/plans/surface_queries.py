@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import features, mesh, mesh_checks, solids, tree
+from tessera.operators import nearest, features, mesh, mesh_checks, solids, tree
 from tessera.plans.geometry_queries import box_facets, points
 from tessera.plans.tables import saved
 
@@ -88,6 +88,24 @@ _FACES = f"""
 """
 
 
+def mesh_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of every supplier that follow its box as a mesh: split twice where cells meet the solid and come near its surface."""
+    facets = _boxes(spark, sf_dir)
+    roots = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    for axis, n in zip("ijk", (4, 2, 3), strict=True):
+        roots = roots.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    leaves = nearest.refine_by_meshes(roots, facets, "s_suppkey", 2, 0.25, width=8.0)
+    return leaves.groupBy("s_suppkey", "level", "relation").agg(F.count("*").alias("leaves"))
+
+
+def field_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance from each fortieth part's place, at height 3, to the nearest facet of all the height field."""
+    facets = _height_field(spark, sf_dir).withColumn("field", F.lit(0))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.lit(0).alias("field"), F.lit(20.5).alias("x"), (F.floor(F.col("p_partkey") / 40) + 0.25).cast("double").alias("y"), F.lit(3.0).alias("z"))
+    found = nearest.nearest_facets(parts.filter("p_partkey % 40 = 20"), facets, "field", "p_partkey")
+    return found.select("p_partkey", F.round("distance", 9).alias("distance"))
+
+
 def points_in_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts and line numbers of line items, placed above the square of their part, in the closed surface between the height field (zero at its rim) and its ground: one surface of all facets."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.floor(F.col("p_size") / 17).cast("double").alias("h"))
@@ -156,7 +174,22 @@ _OCTREE = """
     up AS MATERIALIZED (SELECT level - 1 AS level, i, j, k, i // 2 AS pi, j // 2 AS pj, k // 2 AS pk FROM leaves)
 """
 
-QUERIES = {f.__name__: f for f in (solid_cells, solid_links, flow_sides, points_in_field, planar_faces, feature_edges, curve_roles, mesh_verdicts, octree_leaves, octree_interfaces)}
+def _band(level: int) -> str:
+    side = 8.0 / 2**level
+    reach = f"(0.5 * sqrt(3 * {side} * {side}))"
+    centres = ", ".join(f"({c} + 0.5) * {side} AS m{x}" for c, x in zip("ijk", "xyz", strict=True))
+    outer = " + ".join(f"greatest({x}0 - m{x}, m{x} - {x}1, 0) ** 2" for x in "xyz")
+    inner = ", ".join(f"m{x} - {x}0, {x}1 - m{x}" for x in "xyz")
+    source = "r0" if not level else f"(SELECT * EXCLUDE (i, j, k, q, mx, my, mz, d, relation, split), 2 * i + q % 2 AS i, 2 * j + q // 2 % 2 AS j, 2 * k + q // 4 AS k FROM c{level - 1}, (SELECT unnest(range(8)) AS q) WHERE split)"
+    return f"""
+        c{level} AS MATERIALIZED (SELECT *, relation >= 0 AND abs(d) <= 0.25 + {reach} AND {level} < 2 AS split FROM (
+            SELECT *, CASE WHEN abs(d) <= {reach} THEN 0 WHEN d < 0 THEN 1 ELSE -1 END AS relation FROM (
+                SELECT *, CASE WHEN {outer} > 0 THEN sqrt({outer}) ELSE -least({inner}) END AS d FROM (SELECT *, {centres} FROM {source}))))"""
+
+
+_BANDS = ",".join(map(_band, range(3)))
+
+QUERIES = {f.__name__: f for f in (solid_cells, solid_links, flow_sides, points_in_field, mesh_bands, field_distances, planar_faces, feature_edges, curve_roles, mesh_verdicts, octree_leaves, octree_interfaces)}
 
 SQL = {
     "solid_cells": f"SELECT s_suppkey, CASE WHEN {_NEAR_WALL} THEN 1 ELSE 2 END AS cell_type, count(*) AS n FROM ({_WET}) GROUP BY ALL",
@@ -173,6 +206,25 @@ SQL = {
                CASE level WHEN 0 THEN 'inside' ELSE 'outside' END AS fluid_side, outward <> (level = 0) AS flip, CASE level WHEN 2 THEN 'nested too deep' END AS problem
         FROM n
     """,
+    "mesh_bands": f"""
+        WITH b AS ({_BOXES}),
+        r0 AS (SELECT b.*, i, j, k FROM b, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(2)) AS j), (SELECT unnest(range(3)) AS k)),
+        {_BANDS}
+        SELECT s_suppkey, 0 AS level, relation, count(*) AS leaves FROM c0 WHERE NOT split GROUP BY ALL
+        UNION ALL SELECT s_suppkey, 1, relation, count(*) FROM c1 WHERE NOT split GROUP BY ALL UNION ALL SELECT s_suppkey, 2, relation, count(*) FROM c2 GROUP BY ALL
+    """,
+    "field_distances": f"""
+        WITH {_FIELD},
+        q AS (SELECT p_partkey, 20.5 AS x, p_partkey // 40 + 0.25 AS y, 3.0 AS z FROM part WHERE p_partkey % 40 = 20),
+        t AS (SELECT p % 40 AS ax, p // 40 AS ay, h0 AS az, p % 40 + 1 AS bx, p // 40 AS b2, h1 AS bz, p % 40 AS cx, p // 40 + 1 AS cy, h2 AS cz FROM s
+              UNION ALL SELECT p % 40 + 1, p // 40, h1, p % 40 + 1, p // 40 + 1, h3, p % 40, p // 40 + 1, h2 FROM s),
+        d AS (SELECT p_partkey, [bx - ax, b2 - ay, bz - az]::DOUBLE[3] AS e, [cx - ax, cy - ay, cz - az]::DOUBLE[3] AS f, [x - ax, y - ay, z - az]::DOUBLE[3] AS g FROM q, t WHERE abs(x - ax) <= 6 AND abs(y - ay) <= 6),
+        u AS (SELECT *, array_inner_product(e, e) AS ee, array_inner_product(e, f) AS ef, array_inner_product(f, f) AS ff, array_inner_product(g, e) AS ge, array_inner_product(g, f) AS gf, array_inner_product(g, g) AS gg FROM d),
+        v AS (SELECT *, (ge * ff - gf * ef) / (ee * ff - ef * ef) AS m, (gf * ee - ge * ef) / (ee * ff - ef * ef) AS n, greatest(0, least(1, ge / ee)) AS s1, greatest(0, least(1, gf / ff)) AS s2, greatest(0, least(1, (gf - ef - ge + ee) / (ff - 2 * ef + ee))) AS s3 FROM u),
+        w AS (SELECT p_partkey, CASE WHEN m >= 0 AND n >= 0 AND m + n <= 1 THEN gg - 2 * m * ge - 2 * n * gf + m * m * ee + 2 * m * n * ef + n * n * ff
+                     ELSE least(gg - 2 * s1 * ge + s1 * s1 * ee, gg - 2 * s2 * gf + s2 * s2 * ff, gg - 2 * ge + ee - 2 * s3 * (gf - ef - ge + ee) + s3 * s3 * (ff - 2 * ef + ee)) END AS square FROM v)
+        SELECT p_partkey, round(sqrt(greatest(min(square), 0)), 9) AS distance FROM w GROUP BY 1
+    """,
     "points_in_field": """
         WITH l AS (SELECT max(p_partkey // 40) AS last FROM part),
         h AS MATERIALIZED (SELECT p_partkey AS p, CASE WHEN p_partkey % 40 IN (0, 39) OR p_partkey // 40 <= 1 OR p_partkey // 40 >= last - 1 THEN 0 ELSE p_size // 17 END AS h FROM part, l WHERE p_partkey // 40 >= 1 AND p_partkey // 40 < last),

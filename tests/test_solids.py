@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import features, mesh, solids, tree
+from tessera.operators import features, mesh, nearest, solids, tree
 
 TETRAHEDRON = [((0, 0, 0), (0, 1, 0), (1, 0, 0)), ((0, 0, 0), (1, 0, 0), (0, 0, 1)), ((0, 0, 0), (0, 0, 1), (0, 1, 0)), ((1, 0, 0), (0, 1, 0), (0, 0, 1))]
 CUBE = [(0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5), (3, 7, 5)]
@@ -141,6 +141,66 @@ def test_points_in_a_large_mesh(spark):
     assert met.agg(F.max("count")).first()[0] < 100
 
 
+def plain_distance(p, t):
+    a, b, c = (np.array(x, float) for x in t)
+    best = min(np.linalg.norm(p - (s + np.clip(np.dot(p - s, e - s) / max(np.dot(e - s, e - s), 1e-300), 0, 1) * (e - s))) for s, e in ((a, b), (b, c), (c, a)))
+    n = np.cross(b - a, c - a)
+    if n.any():
+        foot = p - np.dot(p - a, n) / np.dot(n, n) * n
+        if all(np.dot(n, np.cross(e - s, foot - s)) >= 0 for s, e in ((a, b), (b, c), (c, a))):
+            best = min(best, np.linalg.norm(p - foot))
+    return best
+
+
+def test_nearest_facets(spark):
+    r = np.random.default_rng(4)
+    shapes = {1: [[tuple(3 * x for x in q) for q in t] for t in ball(9)], 2: [((0, 0, 0), (1, 0, 0), (0, 1, 0))] * 2, 3: [((5, 5, 5), (5, 5, 5), (6, 5, 5))]}
+    table = None
+    for solid, triangles in shapes.items():
+        one = facets(spark, triangles, solid=solid)
+        table = one if table is None else table.unionByName(one)
+    places = [(i, [1, 1, 2, 3, 4][i % 5], *(r.normal(size=3) * [1, 3, 30][i % 3]).tolist()) for i in range(200)] + [(900, 1, None, 0.0, 0.0), (901, 2, 0.25, 0.25, 0.0)]
+    points = spark.createDataFrame(places, "id long, solid int, x double, y double, z double")
+    got = {x.id: x for x in nearest.nearest_facets(points, table, "solid").collect()}
+    assert set(got) == {p[0] for p in places if p[1] in shapes and p[2] is not None}
+    for i, solid, *p in places:
+        if i in got:
+            want = [plain_distance(np.array(p), t) for t in shapes[solid]]
+            assert abs(got[i].distance - min(want)) < 1e-9 and want[got[i].facet_id] < min(want) + 1e-9
+    assert got[901].facet_id == 0 and got[901].distance == 0
+    assert nearest.nearest_facets(points, table.limit(0), "solid").isEmpty() and nearest.nearest_facets(points.limit(0), table, "solid").isEmpty()
+
+
+def test_far_and_near_points_of_a_fine_sphere(spark):
+    """A sphere of 7,500 facets: distances are those to a sphere but for what facets cut off."""
+    shell = facets(spark, ball(25))
+    points = spark.createDataFrame([(i, 0, *map(float, p)) for i, p in enumerate(((50, 3, 1), (2, 2, 2), (0, 0, -1.2), (0.9, 0.1, 0.1)))], "id long, solid int, x double, y double, z double")
+    got = {x.id: x.distance for x in nearest.nearest_facets(points, shell, "solid").collect()}
+    for i, p in enumerate(((50, 3, 1), (2, 2, 2), (0, 0, -1.2), (0.9, 0.1, 0.1))):
+        assert abs(got[i] - abs(np.linalg.norm(p) - 1)) < 8e-3
+
+
+def test_bands_around_a_mesh(spark):
+    shell = facets(spark, SMALL_BALL, 2.5, (4.0, 4.0, 4.0))
+    roots = spark.createDataFrame([(0, *c) for c in product(range(4), repeat=3)], "solid int, i int, j int, k int")
+    for thickness in (None, 0.2):
+        leaves = nearest.refine_by_meshes(roots, shell, "solid", 1, thickness, width=2.0).collect()
+        assert math.isclose(sum(8.0 ** -x.level for x in leaves), 64)
+        for x in leaves:
+            side = 2.0 / 2**x.level
+            centre = (np.array((x.i, x.j, x.k)) + 0.5) * side
+            d = min(plain_distance(centre, [tuple(2.5 * v + 4 for v in q) for q in t]) for t in SMALL_BALL)
+            reach = 0.5 * side * 3**0.5
+            inside = np.linalg.norm(centre - 4) < 2.0  # what is neither near nor within is farther out
+            assert x.relation == (0 if d <= reach else 1 if inside else -1)
+            assert x.level == 1 or not (x.relation >= 0 and (thickness is None or d <= thickness + reach))
+    with pytest.raises(ValueError):
+        nearest.refine_by_meshes(roots, shell, "solid", 1, -1.0)
+
+
+SMALL_BALL = ball(2)
+
+
 def test_wet_points_of_nested_surfaces(spark):
     """A room with a pillar: wet within the room and outside the pillar; outside both for external flow."""
     both = cube(spark, 0.0, 10.0, 1).unionByName(cube(spark, 4.0, 2.0, 2))
