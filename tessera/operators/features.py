@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import cross, dot, minus, norm, vector
 from tessera.operators.mesh import directed_edges, facet_measures
 from tessera.plans.components import connected_components
-from tessera.plans.tables import saved
+from tessera.plans.tables import freed, saved
 
 #: Distances up to so many units of rounding, times the size of the two facets, count as none.
 ROUNDING = 64 * 2.0**-52
@@ -70,3 +70,38 @@ def feature_curves(edges: DataFrame) -> DataFrame:
     links = at.groupBy("vertex").agg(F.min("edge").alias("a"), F.max("edge").alias("b")).select("a", "b")
     found = connected_components(links)
     return features.join(found, F.col("edge") == F.col("node"), "left").select("lo", "hi", F.coalesce("component", "edge").alias("curve"))
+
+
+def traced_curves(edges: DataFrame) -> DataFrame:
+    """Feature edges in the order of their curves: ``lo, hi, curve_lo, curve_hi, closed, position, edges``.
+
+    Curves are cut at ends and junctions and are known by the smallest of their edges.  An open curve runs from its smaller end vertex,
+    and if both are one junction, by its smaller neighbour there; a closed one starts at its smallest vertex towards the smaller of both neighbours.
+    Positions count from 0.
+
+    Method: list ranking.  Each edge is two arcs, and an arc is followed by the one that goes on from a passing vertex; closed
+    curves are opened at their smallest vertex.  Every round an arc takes over the successor of its successor and
+    adds up the steps, so a curve of n edges takes log2(n) rounds, in which no curve meets in one task.
+    """
+    curves = saved(feature_curves(edges))
+    roles = curve_ends(edges).filter("role = 'pass'").select("vertex", F.lit(True).alias("passing"))
+    arcs = curves.select("curve", "lo", "hi", F.inline(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")), F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")))))
+    arcs = saved(arcs.join(roles, F.col("v") == F.col("vertex"), "left").drop("vertex").withColumn("passing", F.coalesce("passing", F.lit(False))))
+    about = arcs.groupBy("curve").agg(F.bool_and("passing").alias("closed"), F.min("v").alias("first"), F.min(F.struct("lo", "hi")).alias("name"))
+    known = saved(arcs.join(about, "curve").withColumn("on", F.col("passing") & ~(F.col("closed") & (F.col("v") == F.col("first")))))
+    after = known.select("curve", F.col("u").alias("v"), F.col("v").alias("w"))
+    following = known.filter("on").join(after, ["curve", "v"]).filter("w <> u").select("u", "v", F.col("w"))
+    ranked = known.join(following, ["u", "v"], "left").select(
+        "curve", "name", "closed", "lo", "hi", "u", "v", F.when(F.col("w").isNotNull(), F.struct(F.col("v").alias("u"), F.col("w").alias("v"))).alias("next"), F.lit(1).cast("long").alias("steps"), F.struct("v", "u").alias("end")
+    )
+    ranked = saved(ranked)
+    while not ranked.filter("next is not null").isEmpty():
+        far = ranked.select(F.struct("u", "v").alias("next"), F.col("next").alias("_next"), F.col("steps").alias("_steps"), F.col("end").alias("_end"))
+        joined = ranked.join(far, "next", "left")
+        ended = F.col("next").isNull()
+        doubled = saved(joined.select("curve", "name", "closed", "lo", "hi", "u", "v", F.col("_next").alias("next"), F.when(ended, F.col("steps")).otherwise(F.col("steps") + F.col("_steps")).alias("steps"), F.when(ended, F.col("end")).otherwise(F.col("_end")).alias("end")))
+        freed(ranked)
+        ranked = doubled
+    # Of both directions the one with the larger end starts at the smaller one.
+    chains = ranked.groupBy("curve").agg(F.max("end").alias("end"), F.max("steps").alias("edges"))
+    return ranked.join(chains, ["curve", "end"]).select("lo", "hi", F.col("name.lo").alias("curve_lo"), F.col("name.hi").alias("curve_hi"), "closed", (F.col("edges") - F.col("steps")).alias("position"), "edges")

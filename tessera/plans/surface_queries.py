@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import nearest, features, mesh, mesh_checks, solids, tree
+from tessera.operators import features, mesh, mesh_checks, nearest, solids, tree
 from tessera.plans.geometry_queries import box_facets, points
 from tessera.plans.tables import saved
 
@@ -189,7 +189,12 @@ def _band(level: int) -> str:
 
 _BANDS = ",".join(map(_band, range(3)))
 
-QUERIES = {f.__name__: f for f in (solid_cells, solid_links, flow_sides, points_in_field, mesh_bands, field_distances, planar_faces, feature_edges, curve_roles, mesh_verdicts, octree_leaves, octree_interfaces)}
+def curve_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature edges of the height field in the order of their curves."""
+    return features.traced_curves(saved(features.feature_edges(_height_field(spark, sf_dir))))
+
+
+QUERIES = {f.__name__: f for f in (solid_cells, solid_links, flow_sides, points_in_field, mesh_bands, field_distances, planar_faces, feature_edges, curve_roles, curve_order, mesh_verdicts, octree_leaves, octree_interfaces)}
 
 SQL = {
     "solid_cells": f"SELECT s_suppkey, CASE WHEN {_NEAR_WALL} THEN 1 ELSE 2 END AS cell_type, count(*) AS n FROM ({_WET}) GROUP BY ALL",
@@ -242,6 +247,22 @@ SQL = {
         SELECT vertex, count(*) AS degree, CASE count(*) WHEN 1 THEN 'end' WHEN 2 THEN 'pass' ELSE 'junction' END AS role
         FROM (SELECT lo AS vertex FROM g UNION ALL SELECT hi FROM g) GROUP BY vertex
     """,
+    "curve_order": f"""
+        {_FACES}, o AS (SELECT lo, hi, coalesce(face_id, id) AS face FROM e LEFT JOIN m USING (id)),
+        g AS MATERIALIZED (SELECT lo, hi FROM o GROUP BY lo, hi HAVING count(*) > 1 AND min(face) <> max(face)),
+        arc AS MATERIALIZED (SELECT lo AS u, hi AS v FROM g UNION ALL SELECT hi, lo FROM g),
+        pass AS MATERIALIZED (SELECT u AS x FROM arc GROUP BY u HAVING count(*) = 2),
+        step AS MATERIALIZED (SELECT a.u, a.v, b.v AS w FROM arc a JOIN pass ON a.v = x JOIN arc b ON b.u = a.v AND b.v <> a.u),
+        walk AS (SELECT u AS su, v AS sv, u, v, 0 AS position FROM arc ANTI JOIN pass ON u = x
+                 UNION ALL SELECT su, sv, walk.v, w, position + 1 FROM walk JOIN step ON walk.u = step.u AND walk.v = step.v),
+        ends AS MATERIALIZED (SELECT su, sv, max(position) + 1 AS edges, arg_max(v, position) AS ev, arg_max(u, position) AS eu, min((least(u, v), greatest(u, v))) AS name FROM walk GROUP BY su, sv),
+        ring AS (SELECT u AS su, v AS sv, u, v, 0 AS position FROM arc ANTI JOIN (SELECT DISTINCT u, v FROM walk) USING (u, v)
+                 UNION ALL SELECT su, sv, ring.v, w, position + 1 FROM ring JOIN step ON ring.u = step.u AND ring.v = step.v WHERE ring.v <> su),
+        loops AS MATERIALIZED (SELECT su, sv, max(position) + 1 AS edges, arg_max(u, position) AS last, min((least(u, v), greatest(u, v))) AS name, min(u) AS low FROM ring GROUP BY su, sv)
+        SELECT least(u, v) AS lo, greatest(u, v) AS hi, name[1] AS curve_lo, name[2] AS curve_hi, false AS closed, position::BIGINT AS position, edges::BIGINT AS edges
+        FROM walk JOIN ends USING (su, sv) WHERE (su, sv) < (ev, eu) UNION ALL
+        SELECT least(u, v), greatest(u, v), name[1], name[2], true, position::BIGINT, edges::BIGINT FROM ring JOIN loops USING (su, sv) WHERE su = low AND sv < last
+    """,
     "mesh_verdicts": """
         WITH v AS (SELECT * FROM (VALUES (0, 12, 8, NULL, NULL), (1, 11, 7, 'open edge', NULL), (2, 12, 8, 'winding', NULL), (3, 13, 9, 'repeated facet', 12), (4, 12, 7, 'coincident corners', 7), (5, 24, 16, 'facets meet', NULL))
                    AS t(v, n, long_sides, problem, place))

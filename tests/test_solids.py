@@ -99,6 +99,31 @@ def test_curves_join_at_passing_vertices(spark):
     assert sorted(r["count"] for r in sizes) == [1, 1, 1, 4]
 
 
+def test_order_of_curves(spark):
+    """A closed and an open curve of 10**4 edges with shuffled vertices, curves between junctions, and two that return to theirs."""
+    n = 10_000
+    ids = np.random.default_rng(3).permutation(2 * n + 1) + 100
+    ring, line = ids[:n].tolist(), ids[n:].tolist()
+    closed = [(a, b) for a, b in zip(ring, ring[1:] + ring[:1])]
+    opened = [(a, b) for a, b in zip(line, line[1:])]
+    others = [(1, 2), (2, 3), (3, 4), (4, 5), (3, 6), (10, 11), (11, 12), (12, 13), (13, 11), (11, 14), (14, 15), (15, 11)]
+    rows = [(min(e), max(e), "feature") for e in closed + opened + others] + [(1, 5, "flat")]
+    got = {}
+    for x in features.traced_curves(spark.createDataFrame(rows, "lo long, hi long, kind string")).collect():
+        got.setdefault((x.curve_lo, x.curve_hi, x.closed, x.edges), []).append((x.position, (x.lo, x.hi)))
+    found = {k: [e for _, e in sorted(v)] for k, v in got.items()}
+    assert all(sorted(p for p, _ in v) == list(range(len(v))) and len(v) == k[3] for k, v in got.items())
+    at = ring.index(min(ring))
+    turned = ring[at:] + ring[:at]
+    if turned[1] > turned[-1]:
+        turned = turned[:1] + turned[:0:-1]
+    straight = line if line[0] < line[-1] else line[::-1]
+    pairs = lambda p: [(min(e), max(e)) for e in zip(p, p[1:])]
+    want = [(turned + turned[:1], True), (straight, False), ([1, 2, 3], False), ([3, 4, 5], False), ([3, 6], False), ([10, 11], False), ([11, 12, 13, 11], False), ([11, 14, 15, 11], False)]
+    assert found == {(*min(pairs(p)), c, len(p) - 1): pairs(p) for p, c in want}
+    assert features.traced_curves(spark.createDataFrame(rows[:0], "lo long, hi long, kind string")).isEmpty()
+
+
 def test_octree_balance(spark):
     points = spark.createDataFrame([(15, 15, 15)] * 5, "i long, j long, k long")
     leaves = tree.balance(tree.refine(points, 5, 2, "ijk").select("level", *"ijk"), 5, "ijk")
