@@ -83,3 +83,29 @@ def test_tables_reads_and_counts(spark):
     assert {tuple(r[:4]) + (tuple(r.unbound),) for r in registry.counts(rows, ["n"]).collect()} == {(1, 1, 5, 1, ("size", "m", "name", "on")), (None, 0, 3, 1, ("size", "name"))}
     with pytest.raises(ValueError, match="not one of"):
         registry.read_as(rows, [("n", "long", None, None)])
+
+
+def test_quotes_and_separators(spark):
+    from tessera.sources import cases
+
+    lines = ["case = 'abc", "precision = \"x' # y", "case = 'a # b' # c", "case name: 'x' y", "restart file 'a=b:c'", "density 3 kg/m^3", "output_directory = \"it's\"", "periodic-x on", "= 4", "'a=b' = 3", "case = a'b'c'"]
+    rows = cases.parse_cases(cases.case_lines(spark.createDataFrame([(1, "\n".join(lines))], "case_id long, text string"))).collect()
+    got = {r.line_no: (r.kind, r.word if r.kind == "string" else r.value if r.kind == "quantity" else r.flag) for r in rows}
+    assert got == {
+        1: ("error", None), 2: ("error", None), 3: ("string", "a # b"), 4: ("error", None), 5: ("error", None), 6: ("quantity", 3.0), 7: ("string", "it's"),
+        8: ("string", "-x on"), 9: ("error", None), 10: ("error", None), 11: ("error", None),
+    }
+
+
+def test_registered_units(spark):
+    from tessera.sources import cases
+
+    system = cases.UnitSystem().with_unit("ft", 0.3048, (1, 0, 0, 0)).with_unit("eV", 1.602176634e-19, (2, 1, -2, 0), prefixes=True).with_prefix("Ki", 3)
+    text = "a = 10 ft\nb = 2 keV\nc = 2 kft\nd = 3 Kim\ne = 4 ft^2/s"
+    rows = cases.parse_cases(cases.case_lines(spark.createDataFrame([(1, text)], "case_id long, text string")), units=system).collect()
+    got = {r.name: (r.kind, r.value and round(r.value, 24), r.dims) for r in rows}
+    assert got["a"] == ("quantity", 3.048, [1, 0, 0, 0]) and got["c"][0] == "error" and got["d"] == ("quantity", 3000.0, [1, 0, 0, 0])
+    assert abs(got["b"][1] / 3.204353268e-16 - 1) < 1e-6 and got["b"][2] == [2, 1, -2, 0] and abs(got["e"][1] - 0.37161216) < 1e-12
+    for bad in (lambda: system.with_unit("ft", 1.0, (1, 0, 0, 0)), lambda: system.with_prefix("k", 3), lambda: system.with_unit("x", 0.0, (0, 0, 0, 0)), lambda: system.with_prefix("", 1)):
+        with pytest.raises(ValueError):
+            bad()
