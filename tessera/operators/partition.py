@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.components import connected_components
 from tessera.plans.scans import running_before, sums_before
-from tessera.plans.tables import saved
+from tessera.plans.tables import freed, saved
 
 
 def edge_totals(contacts: DataFrame, by: list[str], bytes_each: float) -> DataFrame:
@@ -92,3 +93,42 @@ def local_views(owners: DataFrame, needed: DataFrame) -> DataFrame:
     numbered = sums_before(rows, ["rank", "ghost", "atom_id"], {"local": F.lit(1)})
     bases = numbered.groupBy("rank").agg(F.min("local").alias("_base"))
     return numbered.join(bases, "rank").select("rank", "ghost", "atom_id", (F.col("local") - F.col("_base")).alias("local"))
+
+
+def part_components(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pieces that parts fall into: ``node, part, component``, the smallest node of the piece.
+
+    ``edges``: ``a, b``; ``labels``: ``node, part``, each node once.  Only edges within a part connect; a node without one is a piece of its own.
+    """
+    a = labels.select(F.col("node").alias("a"), F.col("part").alias("part_a"))
+    b = labels.select(F.col("node").alias("b"), F.col("part").alias("part_b"))
+    within = edges.select("a", "b").join(a, "a").join(b, "b").filter("part_a = part_b").select("a", "b")
+    found = connected_components(within).withColumnRenamed("node", "_node")
+    return labels.join(found, F.col("node") == F.col("_node"), "left").select("node", "part", F.coalesce("component", F.col("node").cast("long")).alias("component"))
+
+
+def contiguous(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels ``node, part`` under which no part is in several pieces, as far as the graph itself hangs together.
+
+    ``edges``: ``a, b, w``; ``labels``: ``node, part`` and, if there is one, ``work`` (1 without).  Of each part the piece with the most work, the one with the
+    smallest node of equal ones, is its core.  Every round a piece that is no core goes to the core it has the
+    heaviest edges with, the smaller part of equal ones; pieces that touch no core wait for one to come nearer.  Each move joins two pieces, so rounds
+    end; they are as many as pieces lie in a row.  What has no way to any core stays.
+    """
+    labels = saved(labels.select("node", "part", (F.col("work") if "work" in labels.columns else F.lit(1.0)).cast("double").alias("work")))
+    edges = saved(edges.select("a", "b", F.col("w").cast("double").alias("w")))
+    while True:
+        pieces = saved(part_components(edges, labels).join(labels.select("node", "work"), "node"))
+        sizes = pieces.groupBy("part", "component").agg(F.sum("work").alias("size"))
+        cores = sizes.groupBy("part").agg((-F.max(F.struct("size", (-F.col("component")).alias("minus")))["minus"]).alias("component"))
+        marked = saved(pieces.join(cores.withColumn("core", F.lit(True)), ["part", "component"], "left").withColumn("core", F.coalesce("core", F.lit(False))))
+        ends = lambda side: marked.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("part", "component", "core")))  # noqa: E731, B023
+        both = edges.join(ends("a"), "a").join(ends("b"), "b")
+        ways = [both.filter(f"not core_{x} and core_{y}").select(F.col(f"component_{x}").alias("component"), F.col(f"part_{y}").alias("to"), "w") for x, y in ("ab", "ba")]
+        heaviest = ways[0].unionByName(ways[1]).groupBy("component", "to").agg(F.sum("w").alias("w"))
+        moves = saved(heaviest.groupBy("component").agg((-F.max(F.struct("w", (-F.col("to")).alias("minus")))["minus"]).alias("to")))
+        if moves.isEmpty():
+            return labels.select("node", "part")
+        moved = marked.join(moves, "component", "left")
+        labels = saved(moved.select("node", F.when(F.col("core"), F.col("part")).otherwise(F.coalesce("to", "part")).alias("part"), "work"))
+        freed(pieces, marked, moves)

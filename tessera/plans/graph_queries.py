@@ -163,6 +163,13 @@ def market_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.page_rank(_market(spark, sf_dir), 4, restart=home).withColumn("rank", F.round("rank", 9))
 
 
+def part_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of nations: customers and suppliers of a nation that trade with each other."""
+    customers = _read(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("node"), F.col("c_nationkey").alias("part"))
+    suppliers = _read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("node"), F.col("s_nationkey").alias("part"))
+    return partition.part_components(_market(spark, sf_dir).filter("a < b"), customers.unionByName(suppliers))
+
+
 def market_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest paths from supplier 1 over customers and suppliers, an edge costing 12 over its line items, rounded up."""
     cost = _market(spark, sf_dir).withColumn("w", F.ceil(12 / F.col("w")).cast("double"))
@@ -298,7 +305,7 @@ def case_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        orders_components, trade_edges, legal_cuts, rank_loads, load_imbalance, bisection, rank_ghosts, local_views, nation_rank, market_rank, market_paths, nation_matches, order_dual, nation_paths, pruned_words, weighted_words, top_words,
+        orders_components, trade_edges, legal_cuts, rank_loads, load_imbalance, bisection, rank_ghosts, local_views, nation_rank, market_rank, part_components, market_paths, nation_matches, order_dual, nation_paths, pruned_words, weighted_words, top_words,
         heavy_words, marked_words, similar_documents, similar_texts, alike_documents, dampened_words, length_ranking, score_area, item_sets, event_windows, case_values, case_rules,
     )
 }
@@ -383,6 +390,13 @@ SQL = {
     """,
     "nation_paths": _paths_sql(f"WITH e AS MATERIALIZED (SELECT a, b, ceil(1000 / w) AS w FROM ({_FLOW}))", 0, 10),
     "market_rank": _market_rank_sql(4),
+    "part_components": f"""
+        WITH RECURSIVE {_MARKET},
+        n AS (SELECT c_custkey * 2 AS node, c_nationkey AS part FROM customer UNION ALL SELECT s_suppkey * 2 + 1, s_nationkey FROM supplier),
+        i AS MATERIALIZED (SELECT e.a, e.b FROM e JOIN n x ON e.a = x.node JOIN n y ON e.b = y.node WHERE x.part = y.part),
+        r AS (SELECT a AS node, b AS seen FROM i UNION SELECT r.node, i.b FROM r JOIN i ON r.seen = i.a)
+        SELECT n.node, n.part, coalesce(least(min(seen), n.node), n.node) AS component FROM n LEFT JOIN r ON n.node = r.node GROUP BY n.node, n.part
+    """,
     "market_paths": _paths_sql(f"WITH {_MARKET.replace('SELECT a, b, w FROM market UNION ALL SELECT b, a, w', 'SELECT a, b, ceil(12 / w) AS w FROM market UNION ALL SELECT b, a, ceil(12 / w)')}", 3, 12),
     "pruned_words": f"WITH w AS MATERIALIZED ({_WORDS}) SELECT row, count(*) AS n, sum(val) AS total FROM ({_RARE}) GROUP BY row",
     "weighted_words": f"""

@@ -416,3 +416,37 @@ def test_components_of_random_graphs(spark):
                 top[x] = top[y] = min(top[x], top[y])
         found = connected_components(spark.createDataFrame(rows, "a long, b long"))
         assert {x.node: x.component for x in found.collect()} == top
+
+
+def test_parts_become_contiguous(spark):
+    """Random labels on a lattice, a far island, and a given labelling in pieces: no part is in two pieces but for what has no way to its core."""
+    r = np.random.default_rng(12)
+    n = 12
+    at = lambda i, j: n * i + j
+    edges = [(at(i, j), at(i + di, j + dj), float(r.integers(1, 9))) for i in range(n) for j in range(n) for di, dj in ((0, 1), (1, 0)) if i + di < n and j + dj < n]
+    labels = {at(i, j): int(r.integers(0, 5)) for i in range(n) for j in range(n)} | {1000: 0, 1001: 1, 1002: 1}
+    edges += [(1000, 1001, 1.0), (1001, 1002, 1.0)]
+
+    def pieces(part):
+        top = {x: x for x in part}
+        for _ in top:
+            for a, b, _ in edges:
+                if part[a] == part[b]:
+                    top[a] = top[b] = min(top[a], top[b])
+        return top
+
+    frame = spark.createDataFrame([(a, b, w) for a, b, w in edges], "a long, b long, w double")
+    table = spark.createDataFrame(list(labels.items()), "node long, part int")
+    found = {x.node: (x.part, x.component) for x in partition.part_components(frame, table).collect()}
+    assert found == {x: (labels[x], top) for x, top in pieces(labels).items()}
+    joined = dict(map(tuple, partition.contiguous(frame, table).collect()))
+    assert set(joined) == set(labels) and set(joined.values()) == set(range(5))
+    tops = {}
+    for x, top in pieces(joined).items():
+        tops.setdefault(joined[x], set()).add(top)
+    assert all(len({t for t in found if t < 1000}) == 1 for found in tops.values())
+    assert {x: joined[x] for x in (1000, 1001, 1002)} == {1000: 0, 1001: 1, 1002: 1}
+    line = spark.createDataFrame([(i, i + 1, 1.0 + (i == 3)) for i in range(7)], "a long, b long, w double")
+    given = spark.createDataFrame([(i, p, 1.0 + (i == 7)) for i, p in enumerate((0, 0, 0, 1, 0, 1, 1, 2))], "node long, part int, work double")
+    assert sorted(map(tuple, partition.contiguous(line, given).collect())) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 1), (7, 2)]
+    assert partition.contiguous(frame.limit(0), table.limit(0)).isEmpty()
