@@ -35,7 +35,7 @@ def format_conversations(turns: DataFrame, budget: int = 512, history: int = 128
     """Formats conversations as windows of at most ``budget`` tokens of whole turns.
 
     ``turns``: ``id_col long, turn, role, text`` and, where ``tokens_col`` names it, a count of tokens for
-    each turn (nulls and less than 1 count as 1); without it tokens are estimated from bytes.  Returns per
+    each turn (nulls and less than 1 count as 1, and of equal rows the largest holds); without it tokens are estimated from bytes.  Returns per
     window: ``id_col long, first_place long`` (place in its conversation, from 0, of its first new turn),
     ``n_turns int, n_repeated int`` (turns in it, and those at its start that an earlier window has as
     new), ``n_tokens long, text string, mask array<struct<start long, length long>>`` (code points from 0
@@ -54,7 +54,7 @@ def format_conversations(turns: DataFrame, budget: int = 512, history: int = 128
     system turn anywhere else is a turn like others, and one alone is a window.  An empty table gives no
     rows; other columns are not read.
 
-    Conversations may hold any share of the rows: prefix sums scan ranges, and all joins and groups are
+    Texts shuffle twice, to meet their places and as parts of windows.  Conversations may hold any share of the rows: prefix sums scan ranges, and all joins and groups are
     by conversation and place or window, whose rows the budget bounds; the join that gives every turn its
     conversation's system turn is one adaptive execution can split.
     """
@@ -62,17 +62,23 @@ def format_conversations(turns: DataFrame, budget: int = 512, history: int = 128
         raise ValueError("history has to be less than the budget")
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     tokens = estimated_tokens(F.concat(role, text)) if tokens_col is None else F.greatest(F.coalesce(F.col(f"`{tokens_col}`").cast("long"), F.lit(1)), F.lit(1))
-    rows = turns.select(F.col(f"`{id_col}`").cast("long").alias("conv"), "turn", role.alias("role"), text.alias("text"), tokens.cast("long").alias("tokens"))
-    order = ["turn", "role", "tie"]
-    rows = rows.withColumn("tie", F.sha2("text", 256))
-    placed = saved(running_before(rows, "conv", order, {"place": F.lit(1), "before": F.col("tokens")}, {}).drop("turn", "tie"))
+    conv, named = F.col(f"`{id_col}`").cast("long"), lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    whole_row = F.concat_ws("|", named(conv), named(F.col("turn")), F.length(role).cast("string"), F.concat(role, text))
+    rows = turns.select(conv.alias("conv"), "turn", role.alias("role"), text.alias("text"), tokens.cast("long").alias("tokens"), F.sha2(text, 256).alias("tie"), F.sha2(whole_row, 256).alias("row"))
+
+    # Windows are planned on rows without their texts, which join once at the end; equal rows are one with a count until then.
+    counted = rows.groupBy("conv", "turn", "role", "tie", "row").agg(F.max("tokens").alias("tokens"), F.count("*").alias("copies"))
+    scanned = running_before(counted, "conv", ["turn", "role", "tie"], {"place": F.col("copies"), "before": F.col("tokens") * F.col("copies")}, {})
+    copy = scanned.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    placed = saved(copy.select("conv", "role", "row", "tokens", (F.col("place") + F.col("copy")).alias("place"), (F.col("before") + F.col("copy") * F.col("tokens")).alias("before")))
 
     windows = _planned(placed.select("conv", "place", "before", "tokens", (F.col("role") == "system").alias("system")), budget, history)
+    named_rows = placed.select(F.col("conv").alias("_conv"), F.col("place").alias("_place"), "row", "tokens")
+    members = windows.join(named_rows, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("place") == F.col("_place"))).drop("_conv", "_place")
     piece = F.concat(F.lit(START), escaped(F.col("role")), F.lit(HEAD_END), escaped(F.col("text")), F.lit(TURN_END))
     head = F.length(escaped(F.col("role"))) + len(START) + len(HEAD_END)
-    pieces = placed.select("conv", "place", "tokens", (F.col("role") == target).alias("target"), head.cast("long").alias("head"), piece.alias("piece"))
-    there = windows.withColumnsRenamed({"conv": "_conv", "place": "_place"})
-    found = pieces.join(there, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("place") == F.col("_place")))
+    pieces = rows.groupBy("row").agg(F.first("role").alias("role"), F.first("text").alias("text")).select("row", (F.col("role") == target).alias("target"), head.cast("long").alias("head"), piece.alias("piece"))
+    found = pieces.join(members, "row")
     turn = F.struct("place", "new", "tokens", (F.col("new") & F.col("target")).alias("learnt"), "head", F.length("piece").cast("long").alias("size"), "piece")
     whole = found.groupBy("conv", "window").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     masked = F.filter(F.transform(_starts("turns"), lambda t: F.when(t["learnt"], F.struct((t["at"] + t["head"]).alias("start"), (t["size"] - t["head"] - len(TURN_END)).alias("length")))), lambda m: m.isNotNull())
