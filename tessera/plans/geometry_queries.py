@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numbers import morton
 from tessera.functions.vectors import box_distance, literal, segment_distance, vector
 from tessera.operators import mesh
+from tessera.operators.flow import external, internal
 from tessera.operators.shapes import Ball, Box, Cylinder, Shape, wall_links
 from tessera.operators.tree import interfaces, refine
 
@@ -56,6 +57,16 @@ def point_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return located.groupBy("l_returnflag", "in_box", "in_ball", "in_pipe").agg(F.count("*").alias("n"))
 
 
+def flow_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where points lie to an internal flow with a ball cut out, moved by one, and to an external flow around two shapes."""
+    room = (internal(Box((0.0, 0.0, 0.0), (40.0, 8.0, 6.0))) - internal(Ball((20.0, 4.0, 3.0), 2.5))).translated((1.0, 1.0, 1.0))
+    open_box = (-10.0, -10.0, -10.0), (70.0, 30.0, 30.0)
+    around = external(Box((5.0, 2.0, 1.0), (15.0, 6.0, 5.0)), *open_box) & external(Ball((30.0, 5.0, 4.0), 3.0), *open_box)
+    p = vector("x", "y", "z")
+    located = points(spark, sf_dir).select(room.location(p).alias("room"), around.location(p).alias("around"))
+    return located.groupBy("room", "around").agg(F.count("*").alias("n"))
+
+
 def point_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = vector("x", "y", "z")
     box = box_distance(p, literal(10, 2, 2), literal(40, 8, 6))
@@ -286,7 +297,7 @@ _MORTON = " + ".join(f"((({a}::BIGINT >> {b}) & 1) << {3 * b + k})" for k, a in
 QUERIES = {
     f.__name__: f
     for f in (
-        point_location, point_distances, cell_types, face_members, link_hits, boolean_cells, boolean_types, boolean_links, near_pairs, welded, edge_verdicts, repeated_facets, mesh_components,
+        point_location, flow_location, point_distances, cell_types, face_members, link_hits, boolean_cells, boolean_types, boolean_links, near_pairs, welded, edge_verdicts, repeated_facets, mesh_components,
         facet_measures, points_in_solids, range_cells, morton_order, tree_leaves, tree_interfaces,
     )
 }
@@ -295,6 +306,12 @@ SQL = {
     "point_location": f"""
         SELECT l_returnflag, {_where(_BOX)} AS in_box, {_where(_BALL)} AS in_ball, {_where(_PIPE)} AS in_pipe, count(*) AS n FROM ({_POINTS}) GROUP BY ALL
     """,
+    "flow_location": f"""
+        WITH d AS (SELECT greatest(1 - x, x - 41, 1 - y, y - 9, 1 - z, z - 7) AS box, (x - 21) ** 2 + (y - 5) ** 2 + (z - 4) ** 2 - 6.25 AS hole,
+                          greatest(5 - x, x - 15, 2 - y, y - 6, 1 - z, z - 5) AS block, (x - 30) ** 2 + (y - 5) ** 2 + (z - 4) ** 2 - 9 AS ball FROM ({_POINTS}))
+        SELECT CASE WHEN greatest(box, -hole) < 0 THEN 'wet' WHEN greatest(box, -hole) = 0 THEN 'surface' ELSE 'dry' END AS room,
+               CASE WHEN least(block, ball) > 0 THEN 'wet' WHEN least(block, ball) = 0 THEN 'surface' ELSE 'dry' END AS around, count(*) AS n FROM d GROUP BY ALL
+    """,
     "point_distances": f"""
         WITH d AS (SELECT l_returnflag, greatest(10 - x, x - 40) AS dx, greatest(2 - y, y - 8) AS dy, greatest(2 - z, z - 6) AS dz,
                           greatest(0, least(1, (50 * x + 10 * y + 8 * z) / 2664)) AS t, x, y, z FROM ({_POINTS})),
