@@ -132,9 +132,14 @@ def similar_sets(entries: DataFrame, k: int, least: float, measure: str = "jacca
     else:
         near = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-9) & (F.col("x.head") < F.col("y.head"))
     pairs = saved(x.join(y, (F.col("x.col") == F.col("y.col")) & near).select(F.col("x.head").alias("a"), F.col("x.n").alias("na"), F.col("y.head").alias("b"), F.col("y.n").alias("nb")).distinct())
-    left = held.select(F.col("head").alias("a"), "col", F.col("val").alias("left"))
-    right = held.select(F.col("head").alias("b"), "col", F.col("val").alias("right"))
-    common = pairs.join(left, "a").join(right, ["b", "col"]).groupBy("a", "b", "na", "nb").agg(F.sum(F.least("left", "right")).alias("common"))
+    if measure == "jaccard":  # whole sets meet, without a row for each common column
+        sets = groups.filter("place = 1").select(F.col("row").alias("head"), F.col("cols.col").alias("set"))
+        left, right = (sets.select(F.col("head").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+        common = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("set_a", "set_b")).alias("common"))
+    else:
+        left = held.select(F.col("head").alias("a"), "col", F.col("val").alias("left"))
+        right = held.select(F.col("head").alias("b"), "col", F.col("val").alias("right"))
+        common = pairs.join(left, "a").join(right, ["b", "col"]).groupBy("a", "b", "na", "nb").agg(F.sum(F.least("left", "right")).alias("common"))
     against = F.col("na") if measure == "amin" else F.col("na") + F.col("nb") - F.col("common")
     compared = saved(common.select("a", "b", (F.col("common") / against).alias("similarity")).filter(F.col("similarity") >= least))
     both = compared if measure == "amin" else compared.unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
