@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import cross, dot, minus, norm, vector
 from tessera.operators.mesh import directed_edges, facet_measures
 from tessera.plans.components import connected_components
+from tessera.plans.scans import sums_before
 from tessera.plans.tables import freed, saved
 
 #: Distances up to so many units of rounding, times the size of the two facets, count as none.
@@ -42,6 +43,95 @@ def planar_faces(facets: DataFrame) -> DataFrame:
     return connected_components(planar_links(facets)).select(F.col("node").alias("facet_id"), F.col("component").alias("face_id"))
 
 
+#: Seeds meet each other's facets only through edges that bend by less than this share of their facets' longest edges.
+BEND = 1e-6
+
+
+def _on_plane(plane: str, other: str, share: float) -> Column:
+    """Whether the corners of one facet lie in the plane of another, up to a share of its longest edge times their distance from its first corner."""
+    a, b, c = (vector(*(f"{plane}_{v}{x}" for x in "xyz")) for v in "abc")
+    n = cross(minus(b, a), minus(c, a))
+    longest = F.greatest(norm(minus(b, a)), norm(minus(c, a)), norm(minus(c, b)))
+    within = F.lit(True)
+    for v in "abc":
+        q = minus(vector(*(f"{other}_{v}{x}" for x in "xyz")), a)
+        within &= F.abs(dot(n, q)) <= norm(n) * share * longest * norm(q)
+    return (norm(n) > 0) & within
+
+
+def _pair_of(facets: DataFrame, pairs: DataFrame, first: str, second: str) -> DataFrame:
+    """Pairs with the corners of both facets, named after their columns."""
+    for side in (first, second):
+        pairs = pairs.join(facets.select(F.col("facet_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in (f"{v}{x}" for v in "abc" for x in "xyz"))), side)
+    return pairs
+
+
+def seeded_faces(facets: DataFrame) -> DataFrame:
+    """``facet_id, face_id``: planar faces that grow from their smallest facet and keep its plane; ``face_id`` is that seed.
+
+    Seeds come in ascending order.  A facet is one if it is still free and has a free neighbour such that each lies in the plane of the other;
+    it takes all free facets that it reaches over facets that share its plane in this way.  So a chain of facets that bends within rounding is cut
+    where it leaves the seed's plane.  Degenerate facets and those without such a neighbour belong to no face.  Neighbours share an edge
+    with no third facet.
+
+    Method: rounds.  Edges that bend by no more than a millionth split the free facets into groups, and what one group does
+    does not touch another.  Each round the smallest possible seed of every group grows: its plane joins the facets of its group, and of those that
+    share it the ones connected with the seed are taken.  Groups without a seed are left out of later rounds.  A flat face takes
+    one round and a group that bends as many as it has faces.  A group that grows past the edges counted (a seed thinner than about one part in 10**7 of its
+    distance) would be cut there.
+    """
+    numbers = [f"{v}{x}" for v in "abc" for x in "xyz"]
+    edges = directed_edges(facets).groupBy("lo", "hi").agg(F.min("facet_id").alias("a"), F.max("facet_id").alias("b"), F.count("*").alias("uses"))
+    pairs = _pair_of(facets, edges.filter("uses = 2 and a < b").select("a", "b").distinct(), "a", "b")
+    loose = _on_plane("a", "b", BEND) & _on_plane("b", "a", BEND)
+    links = saved(pairs.filter(loose).select("a", "b", (_on_plane("a", "b", ROUNDING) & _on_plane("b", "a", ROUNDING)).alias("flat")))
+    planes = saved(facets.select("facet_id", *numbers).join(links.select(F.explode(F.array("a", "b")).alias("facet_id")).distinct(), "facet_id", "left_semi"))
+    faces: DataFrame | None = None
+    while not links.filter("flat").isEmpty():
+        groups = connected_components(links)
+        seeds = links.filter("flat").join(groups, F.col("a") == F.col("node")).groupBy("component").agg(F.min("a").alias("seed"))
+        members = groups.join(seeds, "component").select(F.col("node").alias("facet"), "seed")  # groups without a seed end here
+        flat = saved(_pair_of(planes, members, "seed", "facet").filter((F.col("seed") == F.col("facet")) | (_on_plane("seed", "facet", ROUNDING) & _on_plane("facet", "seed", ROUNDING))).select("seed", "facet"))
+        inside = links.select("a", "b").join(flat.select(F.col("facet").alias("a"), "seed"), "a").join(flat.select(F.col("facet").alias("b")), "b", "left_semi")
+        parts = connected_components(inside)
+        ours = parts.select(F.col("node").alias("seed"), "component").join(flat.select("seed").distinct(), "seed", "left_semi")
+        taken = saved(parts.join(ours, "component").select(F.col("node").alias("facet_id"), F.col("seed").alias("face_id")))
+        left = links.join(members.select(F.col("facet").alias("a")), "a", "left_semi")
+        for side in "ab":
+            left = left.join(taken.select(F.col("facet_id").alias(side)), side, "left_anti")
+        left = saved(left.select("a", "b", "flat"))
+        freed(links, groups, flat, parts)
+        links, faces = left, taken if faces is None else faces.union(taken)
+    freed(links)
+    return faces if faces is not None else facets.select(F.col("facet_id").cast("long").alias("facet_id"), F.col("facet_id").cast("long").alias("face_id")).limit(0)
+
+
+def face_report(facets: DataFrame, faces: DataFrame, excluded: list[int] | None = None, small: float = 0.01) -> DataFrame:
+    """``face_id, original, face, facets, area, share, small`` of each face, numbered from 1 by seed; ``original`` counts excluded faces too, ``face`` does not.
+
+    ``small``: faces of less than this share of the whole area, to look at before they are kept.  An excluded number that no face has, and a share outside 0 to 1, raise.
+    """
+    excluded = sorted(set(excluded or []))
+    if not 0 <= small <= 1:
+        raise ValueError("the share of small faces has to lie in 0 to 1")
+    sized = facet_measures(facets).select("facet_id", "area").join(faces, "facet_id", "left")
+    by_face = saved(sized.groupBy("face_id").agg(F.count("*").alias("facets"), F.sum("area").alias("area")))
+    whole = by_face.agg(F.sum("area").alias("whole"))
+    found = sums_before(by_face.filter("face_id is not null"), ["face_id"], {"original": F.lit(1)}).withColumn("original", F.col("original") + 1)
+    if excluded and found.filter(F.col("original").isin(excluded)).count() < len(excluded):
+        raise ValueError("an excluded face does not exist")
+    kept = sums_before(found.filter(~F.col("original").isin(excluded)), ["face_id"], {"face": F.lit(1)}).withColumn("face", F.col("face") + 1)
+    share = F.when(F.col("whole") > 0, F.col("area") / F.col("whole")).otherwise(0.0)
+    return kept.crossJoin(F.broadcast(whole)).select("face_id", "original", "face", "facets", "area", share.alias("share"), ((F.col("whole") > 0) & (share < small)).alias("small"))  # one row
+
+
+def boundary_edges(facets: DataFrame, faces: DataFrame) -> DataFrame:
+    """``lo, hi, kind``: as ``feature_edges``, for given faces; facets of none count as one face together, so edges between two of them are flat."""
+    owned = directed_edges(facets).join(faces, "facet_id", "left").withColumn("face_id", F.coalesce("face_id", F.lit(-1)))
+    used = owned.groupBy("lo", "hi").agg(F.count("*").alias("uses"), F.min("face_id").alias("low"), F.max("face_id").alias("high"))
+    return used.select("lo", "hi", F.when(F.col("uses") == 1, "open").when(F.col("low") == F.col("high"), "flat").otherwise("feature").alias("kind"))
+
+
 def face_measures(facets: DataFrame) -> DataFrame:
     """``face_id, facets, area`` of each planar face."""
     measured = facet_measures(facets).select("facet_id", "area")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import features, mesh, mesh_checks, nearest, solids, tree
+from tessera.operators import features, mesh, mesh_checks, nearest, ports, solids, tree
 from tessera.plans.geometry_queries import box_facets, points
 from tessera.plans.tables import saved
 
@@ -194,7 +194,21 @@ def curve_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.traced_curves(saved(features.feature_edges(_height_field(spark, sf_dir))))
 
 
-QUERIES = {f.__name__: f for f in (solid_cells, solid_links, flow_sides, points_in_field, mesh_bands, field_distances, planar_faces, feature_edges, curve_roles, curve_order, mesh_verdicts, octree_leaves, octree_interfaces)}
+def seeded_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planar faces of the height field, grown from seeds, with a report of their sizes."""
+    facets = _height_field(spark, sf_dir)
+    report = features.face_report(facets, features.seeded_faces(facets), small=0.002)
+    return report.select("face_id", "face", "facets", F.round("area", 6).alias("area"), F.round("share", 9).alias("share"), "small")
+
+
+def port_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hulls, least widths and equivalent diameters of the planar faces of the height field."""
+    facets = _height_field(spark, sf_dir)
+    sizes = ports.port_sizes(facets, features.seeded_faces(facets))
+    return sizes.select("face_id", "corners", F.round("width", 6).alias("width"), F.round("diameter", 6).alias("diameter"))
+
+
+QUERIES = {f.__name__: f for f in (solid_cells, solid_links, flow_sides, points_in_field, mesh_bands, field_distances, planar_faces, seeded_faces, port_sizes, feature_edges, curve_roles, curve_order, mesh_verdicts, octree_leaves, octree_interfaces)}
 
 SQL = {
     "solid_cells": f"SELECT s_suppkey, CASE WHEN {_NEAR_WALL} THEN 1 ELSE 2 END AS cell_type, count(*) AS n FROM ({_WET}) GROUP BY ALL",
@@ -237,6 +251,20 @@ SQL = {
         SELECT l_linenumber::BIGINT AS line, count(DISTINCT p) AS n, min(p * 8 + l_linenumber) AS first FROM lineitem JOIN s ON l_partkey = p WHERE l_linenumber * 0.25 + 0.125 < z GROUP BY 1
     """,
     "planar_faces": f"{_FACES} SELECT face_id, count(*) AS facets, round(sum(sqrt(1 + gx * gx + gy * gy) / 2), 6) AS area FROM m JOIN f USING (id) GROUP BY 1",
+    "seeded_faces": f"""
+        {_FACES}, w AS (SELECT sum(sqrt(1 + gx * gx + gy * gy) / 2) AS whole FROM f),
+        g AS (SELECT face_id, count(*) AS facets, sum(sqrt(1 + gx * gx + gy * gy) / 2) AS area FROM m JOIN f USING (id) GROUP BY 1)
+        SELECT face_id, row_number() OVER (ORDER BY face_id) AS face, facets, round(area, 6) AS area, round(area / whole, 9) AS share, area / whole < 0.002 AS small FROM g, w
+    """,
+    "port_sizes": f"""
+        {_FACES}, g AS MATERIALIZED (SELECT face_id, any_value(1 + gx * gx + gy * gy) AS slope, any_value(gx) AS gx, any_value(gy) AS gy, sum(sqrt(1 + gx * gx + gy * gy) / 2) AS area FROM m JOIN f USING (id) GROUP BY 1),
+        v AS MATERIALIZED (SELECT DISTINCT face_id, unnest([p, q, r]) % 40 AS x, unnest([p, q, r]) // 40 AS y FROM m JOIN f USING (id)),
+        t AS (SELECT a.face_id, a.x, a.y, b.x - a.x AS ex, b.y - a.y AS ey, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS turn, (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) AS reach
+              FROM v a JOIN v b ON a.face_id = b.face_id AND (a.x, a.y) <> (b.x, b.y) JOIN v c ON a.face_id = c.face_id),
+        rim AS (SELECT face_id, x, y, ex, ey, max(turn) AS far FROM t GROUP BY ALL HAVING min(turn) >= 0 AND count(*) FILTER (turn = 0 AND (reach < 0 OR reach > ex * ex + ey * ey)) = 0)
+        SELECT face_id, count(*) AS corners, round(min(far * sqrt(slope) / sqrt(ex * ex + ey * ey + (gx * ex + gy * ey) ** 2)), 6) AS width, round(2 * sqrt(any_value(area) / pi()), 6) AS diameter
+        FROM rim JOIN g USING (face_id) GROUP BY 1
+    """,
     "feature_edges": f"""
         {_FACES}, o AS (SELECT lo, hi, coalesce(face_id, id) AS face FROM e LEFT JOIN m USING (id))
         SELECT lo, hi, CASE WHEN count(*) = 1 THEN 'open' WHEN min(face) = max(face) THEN 'flat' ELSE 'feature' END AS kind FROM o GROUP BY lo, hi
