@@ -1,5 +1,6 @@
 """Graph formats, duals, matching, contraction and orders."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import sparse
@@ -17,6 +18,52 @@ def test_graph_files(spark, tmp_path):
     assert graphs.one_sided(weighted.filter("a < 2")).count() == 1
 
 
+def test_graph_files_in_splits(spark, tmp_path):
+    """A ring of 3,000 vertices read in splits of 4 kB, with comments between, equals the ring; part files in order are one file."""
+    n = 3000
+    ring = spark.range(n).select(F.col("id").alias("a"), ((F.col("id") + 1) % n).alias("b"), (F.col("id") % 7 + 1).cast("double").alias("w"))
+    both = ring.union(ring.select("b", "a", "w"))
+    graphs.write_lines(graphs.graph_lines(both, n), str(tmp_path / "out"))
+    parts = [p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))]
+    lines = "".join(parts).splitlines()
+    (tmp_path / "ring.graph").write_text("".join(f"{x}\n" + "% note\n" * (i % 3) for i, x in enumerate(lines)) + "\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "16")
+    try:
+        assert spark.read.text(str(tmp_path / "ring.graph")).rdd.getNumPartitions() > 5
+        found = graphs.read_graph(spark, str(tmp_path / "ring.graph")).drop("path")
+        assert sorted(found.collect()) == sorted(both.collect())
+        assert graphs.graph_faults(found, n).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    for i, broken in enumerate(("", "% only\n", "\n".join(lines[:-9]), "2 1\n2\n3\n", "2 1\n2\nx\n", "2 2\n2\n1\n", "2 1\n2\n1\n1\n", "a b\n")):
+        (tmp_path / f"broken{i}").write_text(broken)
+        with pytest.raises(ValueError):
+            graphs.read_graph(spark, str(tmp_path / f"broken{i}"))
+
+
+def test_vertices_and_faults(spark, tmp_path):
+    (tmp_path / "g").write_text("3 2 111 2\n9 7 8 2 5\n1 7 8 1 5 3 6\n4 7 9 2 6\n")
+    assert sorted((r.a, r.size, r.weights) for r in graphs.read_vertices(spark, str(tmp_path / "g")).collect()) == [(0, 9, [7, 8]), (1, 1, [7, 8]), (2, 4, [7, 9])]
+    edges = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0), (0, 1, 1.0), (1, 0, 2.0), (2, 1, 1.0), (1, 2, 3.0), (1, 9, 1.0), (9, 1, 1.0)], "a long, b long, w double")
+    assert sorted(map(tuple, graphs.graph_faults(edges, 3).collect())) == [("loop", 0, 0, 1), ("one way", 0, 1, 3), ("one way", 1, 2, 2), ("range", 1, 9, 1), ("range", 9, 1, 1), ("repeated", 0, 1, 3)]
+
+
+def test_row_formats_round_trip(spark, tmp_path):
+    entries = spark.createDataFrame([(0, 3, 1.5), (0, 1, 2.0), (2, 1, -2.0)], "row long, col long, val double")
+    for i, (header, values, first) in enumerate([(True, True, 1), (False, True, 0), (False, False, 1)]):
+        graphs.write_lines(graphs.row_lines(entries, 4, 5, header, values, first).coalesce(1), str(tmp_path / f"m{i}"))
+        (tmp_path / f"f{i}").write_text("".join(p.read_text() for p in sorted((tmp_path / f"m{i}").glob("part-*"))))
+        back = graphs.read_rows(spark, str(tmp_path / f"f{i}"), header, values, first).drop("path")
+        assert sorted(map(tuple, back.collect())) == sorted((r.row, r.col, r.val if values else 1.0) for r in entries.collect())
+    for i, broken in enumerate(("1 2 2\n1 5\n", "1 2 1\n3 5\n", "2 2 1\n1 5\n", "1 2 1\nx 5\n", "1 2 1\n1\n")):
+        (tmp_path / f"b{i}").write_text(broken)
+        with pytest.raises(ValueError):
+            graphs.read_rows(spark, str(tmp_path / f"b{i}"))
+
+
 def test_triples_round_trip(spark, tmp_path):
     entries = spark.createDataFrame([(0, 3, 1.5), (2, 1, -2.0)], "row long, col long, val double")
     graphs.triples(entries).write.text(str(tmp_path / "m"))
