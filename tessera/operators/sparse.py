@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.scans import sums_before
+from tessera.plans.scans import running_before, sums_before
 from tessera.plans.tables import saved
 
 
@@ -246,3 +246,82 @@ def ranking(scored: DataFrame, score: str, positive: str, key: str) -> DataFrame
     middle = (F.col("p") == 1) & (F.col("tp") + 1 == F.floor((F.col("positives") + 1) / 2))
     found = ahead.agg(F.max(100.0 * right / F.col("n")).alias("accuracy"), F.coalesce(F.max(F.when(middle, F.col("fp"))), F.lit(0)).alias("before"))
     return totals.crossJoin(F.broadcast(found)).select("n", "positives", "accuracy", F.when(F.col("negatives") > 0, F.col("before") / F.col("negatives")).alias("median_false"))
+
+
+def first_negatives(scored: DataFrame, score: str, positive: str, key: str, limit: int) -> DataFrame:
+    """One row on a list from the highest score down, ties by key, up to its ``limit``-th negative: ``positives`` of the whole list, ``tp`` and ``fp`` up to there, ``area``.
+
+    ``area`` is that under the ROC curve over these negatives, as a share of all positives times ``fp``.  Rows of equal scores are a straight piece of the curve,
+    whose area is rounded down to a whole number.  Without a positive up to there, without negatives and for an empty table it is 0.
+    """
+    rows = scored.select(F.col(score).alias("s"), F.col(key).alias("k"), F.coalesce(F.col(positive).cast("long"), F.lit(0)).alias("p")).withColumn("q", 1 - F.col("p"))
+    whole = rows.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("positives"))
+    ahead = sums_before(rows, [F.desc("s"), F.asc("k")], {"fp": F.col("q")}).filter(F.col("fp") < limit)
+    levels = saved(ahead.groupBy("s").agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
+    pieces = sums_before(levels, [F.desc("s")], {"before": F.col("p")})
+    won = F.sum(F.floor((2 * F.col("before") + F.col("p")) * F.col("q") / 2))
+    found = pieces.agg(*(F.coalesce(x, F.lit(0)).alias(n) for n, x in (("tp", F.sum("p")), ("fp", F.sum("q")), ("won", won))))
+    area = F.when(F.col("tp") * F.col("fp") > 0, F.col("won") / (F.col("positives") * F.col("fp"))).otherwise(0.0)
+    return whole.crossJoin(F.broadcast(found)).select("positives", "tp", "fp", area.alias("area"))  # one row
+
+
+def submatrix(entries: DataFrame, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> DataFrame:
+    """Entries of the rows and columns in ranges ``(first, number)``, which count from 0 in the result; None takes all."""
+    for name, part in (("row", rows), ("col", cols)):
+        if part is not None:
+            first, n = part
+            entries = entries.filter(F.col(name).between(first, first + n - 1)).withColumn(name, F.col(name) - first)
+    return entries
+
+
+def picked_rows(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of a list ``position, row`` under their positions; a row that is listed twice comes twice."""
+    return wanted.select("position", "row").join(entries, "row").select(F.col("position").alias("row"), *(c for c in entries.columns if c != "row"))
+
+
+def part_rows(entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """The matrix of every part: ``part, row, whole_row, col, val``, rows counted from 0 within the part in the order of the whole.
+
+    ``parts``: ``row, part``, a row for each row of the matrix, also for those without entries, which count.  A part may hold most rows: numbers come
+    from running sums over ranges.
+    """
+    numbered = running_before(parts.select("part", "row"), "part", ["row"], {"position": F.lit(1)}, {})
+    return numbered.join(entries, "row").select("part", F.col("position").alias("row"), F.col("row").alias("whole_row"), "col", "val")
+
+
+def permutation(ids: DataFrame, seed: int) -> DataFrame:
+    """``id, position``: a pseudo-random order of distinct ids, the same for a seed wherever it runs; positions count from 0."""
+    mixed = ids.select("id", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))).alias("_mixed"))
+    return sums_before(mixed, ["_mixed", "id"], {"position": F.lit(1)}).select("id", "position")
+
+
+def renumbered(entries: DataFrame, order: DataFrame, by: str = "row") -> DataFrame:
+    """The entries with rows, columns or ``both`` under their positions in an order ``id, position``; what has none is left out.
+
+    With ``both`` and the positions of some nodes it is the subgraph that they induce.
+    """
+    for name in ("row", "col") if by == "both" else (by,):
+        entries = entries.join(order.select(F.col("id").alias(name), "position"), name).drop(name).withColumnRenamed("position", name)
+    return entries.select("row", "col", "val")
+
+
+def pair_similarity(entries: DataFrame, pairs: DataFrame, measure: str = "cosine", whole: bool = True) -> DataFrame:
+    """``a, b, similarity`` of given pairs of rows: ``cosine``, ``tanimoto``, ``min`` or ``amin`` as in ``similar_rows``; 0 where the measure's divisor is not positive, also for rows without entries.
+
+    With ``whole=False`` sums stop where the shorter of both rows ends: columns after the lesser of both last ones do not count.
+    """
+    if measure not in ("cosine", "tanimoto", "min", "amin"):
+        raise ValueError(f"unknown measure {measure}")
+    pairs = pairs.select("a", "b").distinct()
+    size = F.col("val") * F.col("val") if measure in ("cosine", "tanimoto") else F.col("val")
+    last = entries.groupBy("row").agg(F.max("col").alias("last"))
+    named = saved(pairs.join(last.select(F.col("row").alias("a"), F.col("last").alias("_la")), "a", "left").join(last.select(F.col("row").alias("b"), F.col("last").alias("_lb")), "b", "left").withColumn("_last", F.least("_la", "_lb")).select("a", "b", "_last", F.col("_la").isNotNull() & F.col("_lb").isNotNull()).toDF("a", "b", "_last", "_both"))
+    sides = [named.join(entries.select(F.col("row").alias(x), F.col("col").alias("_col"), size.alias("_size"), F.col("val").alias("_val")), x).select("a", "b", "_last", "_both", "_col", *(c.alias(n) for n, c in ((f"v{x}", F.col("_val")), (f"s{x}", F.col("_size")), (f"v{y}", F.lit(None).cast("double")), (f"s{y}", F.lit(None).cast("double"))))) for x, y in ("ab", "ba")]
+    met = sides[0].unionByName(sides[1])
+    if not whole:
+        met = met.filter(F.col("_both") & (F.col("_col") <= F.col("_last")))
+    cells = met.groupBy("a", "b", "_col").agg(*(F.max(c).alias(c) for c in ("va", "sa", "vb", "sb")))
+    common = F.col("va") * F.col("vb") if measure in ("cosine", "tanimoto") else F.when(F.col("va").isNotNull() & F.col("vb").isNotNull(), F.least("va", "vb"))
+    sums = cells.groupBy("a", "b").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in (("x", common), ("p", F.col("sa")), ("q", F.col("sb")))))
+    divisor = {"cosine": F.sqrt(F.col("p") * F.col("q")), "amin": F.col("p")}.get(measure, F.col("p") + F.col("q") - F.col("x"))
+    return pairs.join(sums, ["a", "b"], "left").select("a", "b", F.coalesce(F.when(divisor > 0, F.col("x") / divisor), F.lit(0.0)).alias("similarity"))

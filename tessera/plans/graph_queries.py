@@ -257,6 +257,62 @@ def length_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 9) for c in ("accuracy", "median_false")})
 
 
+def first_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many good texts a list of the longest texts first holds before its hundredth bad one."""
+    scored = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id")
+    return sparse.first_negatives(scored, "n_chars", "quality", "doc_id", 100).withColumn("area", F.round("area", 9))
+
+
+def _parts_bought(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities that customers bought of parts, as matrix entries."""
+    items = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return saved(items.groupBy(F.col("o_custkey").alias("row"), F.col("l_partkey").alias("col")).agg(F.sum(F.col("l_quantity").cast("double")).alias("val")))
+
+
+_BOUGHT = "SELECT o_custkey AS row, l_partkey AS col, sum(l_quantity::DOUBLE) AS val FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"
+
+
+def nation_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of what customers buy, cut into one for each nation with rows numbered within it; its size and a sum over its places."""
+    parts = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row"), F.col("c_nationkey").cast("long").alias("part"))
+    cut = sparse.part_rows(_parts_bought(spark, sf_dir), parts)
+    return cut.groupBy("part").agg(F.count("*").alias("entries"), F.max("row").alias("last_row"), F.sum(F.col("row") * F.col("val")).cast("long").alias("places"))
+
+
+def shuffled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of what customers buy, under their places in a random order of all customers."""
+    order = sparse.permutation(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), 7)
+    return sparse.norms(sparse.renumbered(_parts_bought(spark, sf_dir), order), "row").select("row", "n", "total")
+
+
+def _pair_query(measure: str, whole: bool):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """How alike each customer and the next one buy."""
+        pairs = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
+        found = sparse.pair_similarity(_parts_bought(spark, sf_dir), pairs, measure, whole)
+        return found.withColumn("similarity", F.round("similarity", 9))
+
+    return run
+
+
+def _pair_sql(measure: str, whole: bool) -> str:
+    size, common = ("val * val", "x.val * y.val") if measure in ("cosine", "tanimoto") else ("val", "least(x.val, y.val)")
+    cut = "" if whole else " AND e.col <= l.last"
+    divisor = {"cosine": "sqrt(sa * sb)", "amin": "sa"}.get(measure, "sa + sb - coalesce(c, 0)")
+    return f"""
+        WITH e AS MATERIALIZED ({_BOUGHT}), m AS (SELECT row, max(col) AS last FROM e GROUP BY row),
+        l AS MATERIALIZED (SELECT c_custkey AS a, c_custkey + 1 AS b, CASE WHEN p.last IS NULL OR q.last IS NULL THEN NULL ELSE least(p.last, q.last) END AS last FROM customer LEFT JOIN m p ON p.row = c_custkey LEFT JOIN m q ON q.row = c_custkey + 1),
+        p AS (SELECT a, sum({size}) AS sa FROM l JOIN e ON e.row = a{cut} GROUP BY a), q AS (SELECT a, sum({size}) AS sb FROM l JOIN e ON e.row = b{cut} GROUP BY a),
+        x AS (SELECT a, sum({common}) AS c FROM l JOIN e x ON x.row = a JOIN e y ON y.row = b AND x.col = y.col GROUP BY a),
+        j AS (SELECT l.a, l.b, c, coalesce(sa, 0) AS sa, coalesce(sb, 0) AS sb FROM l LEFT JOIN p USING (a) LEFT JOIN q USING (a) LEFT JOIN x USING (a))
+        SELECT a, b, round(coalesce(CASE WHEN {divisor} > 0 THEN coalesce(c, 0) / ({divisor}) END, 0), 9) AS similarity FROM j
+    """
+
+
+#: Queries of pairs by measure, and whether all columns count.
+_PAIRS = {"cosine_pairs": ("cosine", True), "tanimoto_pairs": ("tanimoto", True), "least_pairs": ("min", True), "held_pairs": ("amin", False)}
+
+
 def item_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of two and three parts that at least two orders have together."""
     parts = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"))
@@ -306,9 +362,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         orders_components, trade_edges, legal_cuts, rank_loads, load_imbalance, bisection, rank_ghosts, local_views, nation_rank, market_rank, part_components, market_paths, nation_matches, order_dual, nation_paths, pruned_words, weighted_words, top_words,
-        heavy_words, marked_words, similar_documents, similar_texts, alike_documents, dampened_words, length_ranking, score_area, item_sets, event_windows, case_values, case_rules,
+        heavy_words, marked_words, similar_documents, similar_texts, alike_documents, dampened_words, length_ranking, score_area, first_negatives, nation_matrices, shuffled_rows, item_sets, event_windows, case_values, case_rules,
     )
-}
+} | {name: _pair_query(*how) for name, how in _PAIRS.items()}
 
 
 def _page_rank_sql(rounds: int) -> str:
@@ -444,6 +500,22 @@ SQL = {
         SELECT any_value(n) AS n, any_value(pos)::BIGINT AS positives, round(max((tp + n - pos - fp) * 100.0::DOUBLE / n), 9) AS accuracy,
                round(max(fp) FILTER (WHERE p = 1 AND tp = (pos + 1) // 2) / any_value(n - pos)::DOUBLE, 9) AS median_false FROM t
     """,
+    "first_negatives": """
+        WITH s AS (SELECT d.doc_id, n_chars, coalesce(quality, 0) AS p FROM documents d JOIN labels l USING (doc_id)),
+        t AS (SELECT *, coalesce(sum(1 - p) OVER (ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fp, sum(p) OVER () AS pos FROM s),
+        l AS (SELECT n_chars, any_value(pos) AS pos, sum(p) AS p, sum(1 - p) AS q FROM t WHERE fp < 100 GROUP BY n_chars),
+        c AS (SELECT *, coalesce(sum(p) OVER (ORDER BY n_chars DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
+        SELECT any_value(pos)::BIGINT AS positives, sum(p)::BIGINT AS tp, sum(q)::BIGINT AS fp, round(CASE WHEN sum(p) * sum(q) > 0 THEN sum((2 * before + p) * q // 2)::DOUBLE / (any_value(pos) * sum(q))::DOUBLE ELSE 0 END, 9) AS area FROM c
+    """,
+    "nation_matrices": f"""
+        WITH r AS (SELECT c_custkey AS row, c_nationkey::BIGINT AS part, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place FROM customer)
+        SELECT part, count(*) AS entries, max(place) AS last_row, sum(place * val)::BIGINT AS places FROM ({_BOUGHT}) JOIN r USING (row) GROUP BY part
+    """,
+    "shuffled_rows": f"""
+        WITH r AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY md5('7:' || c_custkey), c_custkey) - 1 AS row FROM customer)
+        SELECT r.row, count(*) AS n, sum(val) AS total FROM ({_BOUGHT}) e JOIN r ON e.row = r.id GROUP BY r.row
+    """,
+    **{name: _pair_sql(*how) for name, how in _PAIRS.items()},
     "score_area": """
         WITH d AS (SELECT n_chars AS s, quality AS q FROM documents JOIN labels USING (doc_id)),
         l AS (SELECT s, sum(q) AS p, count(*) - sum(q) AS m FROM d GROUP BY s),

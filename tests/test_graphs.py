@@ -1,5 +1,6 @@
 """Graph formats, duals, matching, contraction and orders."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,69 @@ def test_breadth_first_order(spark):
     edges = sparse.symmetric(spark.createDataFrame([(5, 1), (5, 3), (3, 2), (1, 4)], "a long, b long").withColumn("w", F.lit(1.0)))
     order = graphs.ranked_levels(sparse.shortest_paths(edges, 5))
     assert [r.node for r in order.orderBy("position").collect()] == [5, 1, 3, 2, 4]
+
+
+def test_parts_of_matrices(spark):
+    entries = spark.createDataFrame([(r, c, float(10 * r + c)) for r in range(4) for c in range(3) if r != 2], "row long, col long, val double")
+    assert sorted(map(tuple, sparse.submatrix(entries, (1, 3), (1, 1)).collect())) == [(0, 0, 11), (2, 0, 31)]
+    assert sparse.submatrix(entries).count() == 9
+    wanted = spark.createDataFrame([(0, 3), (1, 0), (2, 3), (3, 2)], "position long, row long")
+    assert sorted((r.row, r.val) for r in sparse.picked_rows(entries, wanted).filter("col = 1").collect()) == [(0, 31), (1, 1), (2, 31)]
+    parts = spark.createDataFrame([(0, 5), (1, 6), (2, 5), (3, 5)], "row long, part long")
+    found = {(r.part, r.row, r.whole_row) for r in sparse.part_rows(entries, parts).collect()}
+    assert found == {(5, 0, 0), (6, 0, 1), (5, 2, 3)}
+    order = sparse.permutation(spark.range(50), 3)
+    rows = sorted(map(tuple, order.collect()))
+    assert sorted(p for _, p in rows) == list(range(50)) and [p for _, p in rows] != list(range(50))
+    assert rows == sorted(map(tuple, sparse.permutation(spark.range(50).repartition(3), 3).collect()))
+    some = spark.createDataFrame([(3, 0), (1, 1)], "id long, position long")
+    assert sorted(map(tuple, sparse.renumbered(entries, some, "both").collect())) == [(1, 1, 11.0), (0, 1, 31.0)][::-1]
+    assert sparse.permutation(spark.range(0), 3).collect() == [] and sparse.part_rows(entries.limit(0), parts).collect() == []
+
+
+def test_similarity_of_pairs(spark):
+    rows = {0: {0: 1.0, 2: 2.0, 5: 3.0}, 1: {2: 1.0, 3: 2.0}, 2: {0: 2.0, 2: 4.0, 5: 6.0}}
+    entries = spark.createDataFrame([(r, c, v) for r, cols in rows.items() for c, v in cols.items()], "row long, col long, val double")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 0), (0, 0), (0, 9), (8, 9), (0, 1)], "a long, b long")
+
+    def brute(a, b, measure, whole):
+        x, y = rows.get(a, {}), rows.get(b, {})
+        end = max(max(x, default=-1), max(y, default=-1)) if whole else min(max(x, default=-1), max(y, default=-1))
+        x, y = ({c: v for c, v in z.items() if c <= end} for z in (x, y))
+        if measure in ("cosine", "tanimoto"):
+            s, p, q = sum(x[c] * y[c] for c in x if c in y), sum(v * v for v in x.values()), sum(v * v for v in y.values())
+        else:
+            s, p, q = sum(min(x[c], y[c]) for c in x if c in y), sum(x.values()), sum(y.values())
+        below = {"cosine": (p * q) ** 0.5, "amin": p}.get(measure, p + q - s)
+        return s / below if below > 0 else 0.0
+
+    for measure in ("cosine", "tanimoto", "min", "amin"):
+        for whole in (True, False):
+            found = {(r.a, r.b): r.similarity for r in sparse.pair_similarity(entries, pairs, measure, whole).collect()}
+            assert found == pytest.approx({p: brute(*p, measure, whole) for p in {(0, 1), (0, 2), (1, 0), (0, 0), (0, 9), (8, 9)}})
+    with pytest.raises(ValueError):
+        sparse.pair_similarity(entries, pairs, "other")
+
+
+def test_area_up_to_a_number_of_negatives(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(rng.integers(0, 12)), int(rng.random() < 0.4)) for i in range(80)]
+
+    def brute(limit):
+        tp = fp = before = negatives = area = 0
+        last = None
+        for key, s, p in sorted(rows, key=lambda r: (-r[1], r[0])):
+            if fp == limit:
+                break
+            if s != last:
+                area += (tp + before) * (fp - negatives) // 2
+                last, before, negatives = s, tp, fp
+            tp, fp = tp + p, fp + 1 - p
+        area += (tp + before) * (fp - negatives) // 2
+        whole = sum(p for *_, p in rows)
+        return whole, tp, fp, area / (whole * fp) if tp * fp else 0.0
+
+    table = spark.createDataFrame(rows, "id long, score double, good int")
+    for limit in (1, 7, 1000):
+        assert tuple(sparse.first_negatives(table, "score", "good", "id", limit).first()) == pytest.approx(brute(limit))
+    assert tuple(sparse.first_negatives(table.limit(0), "score", "good", "id", 5).first()) == (0, 0, 0, 0.0)
