@@ -356,4 +356,43 @@ def wall_links(cells: DataFrame, shape: Shape, model: str, h: float, key: str) -
     return crossed.select(key, "link", F.explode(F.array(hit)).alias("hit")).filter("hit is not null").select(key, "link", "hit.face", "hit.q")
 
 
-__all__ = ["BOUNDARY", "DRY", "INTERIOR", "Ball", "Box", "Cylinder", "Shape", "grid", "lattice", "norm", "wall_links"]
+def hit_points(hits: DataFrame, cells: DataFrame, model: str, h: float, key: str) -> DataFrame:
+    """Hits with the point ``x, y, z`` where the link from the centre of its cell meets the surface; hits of unknown cells or links are left out."""
+    links = F.broadcast(lattice(cells.sparkSession, model).drop("weight"))  # 27 rows at most
+    placed = hits.join(cells.select(key, *"xyz"), key).join(links, "link")
+    return placed.select(*hits.columns, *((F.col(c) + F.col("q") * h * F.col(f"e{c}")).alias(c) for c in "xyz"))
+
+
+def face_hits(points: DataFrame) -> DataFrame:
+    """``face, n, min_q, max_q`` and the bounding box ``min_x .. max_z`` of the hit points of each face."""
+    box = [f(c).alias(f"{name}_{c}") for c in "xyz" for name, f in (("min", F.min), ("max", F.max))]
+    return points.groupBy("face").agg(F.count("*").alias("n"), F.min("q").alias("min_q"), F.max("q").alias("max_q"), *box)
+
+
+def box_lines(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """The twelve edges of each box ``min_x .. max_z`` as lines: ``edge`` and ends ``ax .. bz``; along x first, then y, then z."""
+    edges = []
+    for along in range(3):
+        for side in range(4):
+            ends = []
+            for end in ("min", "max"):
+                others = iter((side & 1, side >> 1))
+                ends.append([F.col(f"{end if axis == along else ('max' if next(others) else 'min')}_{c}") for axis, c in enumerate("xyz")])
+            edges.append(F.struct(F.lit(4 * along + side).alias("edge"), *(x.alias(f"{p}{c}") for p, point in zip("ab", ends, strict=True) for c, x in zip("xyz", point, strict=True))))
+    return boxes.select(*keys, F.inline(F.array(*edges)))
+
+
+def hit_faults(hits: DataFrame, cells: DataFrame, low: tuple[float, ...], h: float, key: str) -> DataFrame:
+    """``fault, key, link`` of hits that do not belong: their cell is unknown (no cell), is not at the boundary (not boundary), lies elsewhere than its index says (centre), or ``q`` is not in 0 to 1 (range).
+
+    Cells have ``i, j, k``, centres ``x, y, z`` and ``cell_type``.  A hit has the first fault in this order; without faults there are no rows.
+    """
+    expected = [F.lit(lo) + (F.col(n) + 0.5) * h for n, lo in zip("ijk", low, strict=True)]
+    apart = F.lit(False)
+    for c, x in zip("xyz", expected, strict=True):
+        apart |= ~F.col(c).eqNullSafe(x)
+    fault = F.when(F.col("cell_type").isNull(), "no cell").when(F.col("cell_type") != BOUNDARY, "not boundary").when(apart, "centre").when(~F.coalesce(F.col("q").between(0, 1), F.lit(False)), "range")
+    return hits.join(cells.select(key, "cell_type", *"ijkxyz"), key, "left").select(fault.alias("fault"), key, "link").filter("fault is not null")
+
+
+__all__ = ["BOUNDARY", "DRY", "INTERIOR", "Ball", "Box", "Cylinder", "Shape", "box_lines", "face_hits", "grid", "hit_faults", "hit_points", "lattice", "norm", "wall_links"]

@@ -14,7 +14,7 @@ from tessera.functions.numbers import morton
 from tessera.functions.vectors import box_distance, literal, segment_distance, vector
 from tessera.operators import mesh
 from tessera.operators.flow import external, internal
-from tessera.operators.shapes import Ball, Box, Cylinder, Shape, wall_links
+from tessera.operators.shapes import Ball, Box, Cylinder, Shape, face_hits, hit_points, wall_links
 from tessera.operators.tree import interfaces, refine
 
 BOX = Box((0.0, 0.0, 0.0), (50.0, 10.0, 8.0))
@@ -103,6 +103,13 @@ def link_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy(long_.alias("squared_length")).agg(F.count("*").alias("n"), F.round(F.min("q"), 9).alias("min_q"), F.round(F.max("q"), 9).alias("max_q"))
 
 
+def hit_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, ranges and the bounding box of the points where lattice links meet the ball."""
+    wet = _cells(spark, sf_dir).filter(BALL.level(vector("x", "y", "z")) < 0)
+    found = face_hits(hit_points(wall_links(wet, BALL, "D3Q19", 3.0, "cell_id"), wet, "D3Q19", 3.0, "cell_id"))
+    return found.select("face", "n", *(F.round(c, 6).alias(c) for c in found.columns[2:]))
+
+
 def boolean_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union, intersection and difference of ball and pipe, by cell."""
     p = vector("x", "y", "z")
@@ -297,7 +304,7 @@ _MORTON = " + ".join(f"((({a}::BIGINT >> {b}) & 1) << {3 * b + k})" for k, a in
 QUERIES = {
     f.__name__: f
     for f in (
-        point_location, flow_location, point_distances, cell_types, face_members, link_hits, boolean_cells, boolean_types, boolean_links, near_pairs, welded, edge_verdicts, repeated_facets, mesh_components,
+        point_location, flow_location, point_distances, cell_types, face_members, link_hits, hit_faces, boolean_cells, boolean_types, boolean_links, near_pairs, welded, edge_verdicts, repeated_facets, mesh_components,
         facet_measures, points_in_solids, range_cells, morton_order, tree_leaves, tree_interfaces,
     )
 }
@@ -339,6 +346,14 @@ SQL = {
                      (-(x * ex + y * ey + z * ez) + sqrt((x * ex + y * ey + z * ez) ** 2 - ee * (x * x + y * y + z * z - 169))) / ee AS q FROM c, l WHERE ee IN (9, 18))
         SELECT squared_length, count(*) AS n, round(min(q), 9) AS min_q, round(max(q), 9) AS max_q FROM q WHERE q <= 1 GROUP BY 1
     """,
+    "hit_faces": f"""
+        WITH c AS (SELECT DISTINCT x - 25 AS x, y - 5 AS y, z - 4 AS z, cell_id FROM ({_CELLS}) WHERE {_BALL} < 0),
+        s AS (SELECT unnest([-3, 0, 3])::DOUBLE AS v),
+        l AS (SELECT a.v AS ex, b.v AS ey, d.v AS ez, a.v ** 2 + b.v ** 2 + d.v ** 2 AS ee FROM s a, s b, s d),
+        q AS (SELECT *, (-(x * ex + y * ey + z * ez) + sqrt((x * ex + y * ey + z * ez) ** 2 - ee * (x * x + y * y + z * z - 169))) / ee AS q FROM c, l WHERE ee IN (9, 18))
+        SELECT 0 AS face, count(*) AS n, round(min(q), 6) AS min_q, round(max(q), 6) AS max_q, round(min(25 + x + q * ex), 6) AS min_x, round(max(25 + x + q * ex), 6) AS max_x,
+               round(min(5 + y + q * ey), 6) AS min_y, round(max(5 + y + q * ey), 6) AS max_y, round(min(4 + z + q * ez), 6) AS min_z, round(max(4 + z + q * ez), 6) AS max_z FROM q WHERE q <= 1
+    """,
     "boolean_cells": f"""
         SELECT ({_BALL} < 0 OR {_PIPE} < 0) AS "union", ({_BALL} < 0 AND {_PIPE} < 0) AS "intersection", ({_BALL} < 0 AND {_PIPE} > 0) AS "difference", count(*) AS n
         FROM ({_CELLS}) GROUP BY ALL
