@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,13 +84,12 @@ def _hulls_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_pydict({"face_id": np.repeat([f for f, _ in hulls], [len(h) for _, h in hulls]), "x": corners[:, 0], "y": corners[:, 1]})
 
 
-def _measured(frame: pd.DataFrame) -> pd.DataFrame:
-    points = frame[["x", "y"]].to_numpy()
+def _measured(table: pa.Table) -> pa.Table:
+    points = np.stack([table.column(c).to_numpy() for c in "xy"], axis=1)
     scale = float(np.ptp(points, axis=0).max())
     corners = hull(points, ROUNDING * scale * scale)
-    if len(corners) < 3:
-        return pd.DataFrame({"face_id": frame["face_id"].iloc[:1], "corners": [len(corners)], "width": [None]})
-    return pd.DataFrame({"face_id": frame["face_id"].iloc[:1], "corners": [len(corners)], "width": [least_width(corners)]})
+    width = least_width(corners) if len(corners) > 2 else None
+    return pa.table({"face_id": table.column("face_id").slice(0, 1), "corners": pa.array([len(corners)], pa.int64()), "width": pa.array([width], pa.float64())})
 
 
 def port_sizes(facets: DataFrame, faces: DataFrame) -> DataFrame:
@@ -109,6 +107,6 @@ def port_sizes(facets: DataFrame, faces: DataFrame) -> DataFrame:
     placed = facets.join(faces, "facet_id").select("face_id", corner).join(planes.filter("nx is not null"), "face_id")
     near = placed.select(F.col("face_id").cast("long"), *(F.col(f"p{x}") - F.col(f"o{x}") for x in "xyz"), "nx", "ny", "nz")
     parts = near.mapInArrow(_hulls_of_batches, "face_id long, x double, y double")
-    sizes = parts.groupBy("face_id").applyInPandas(_measured, "face_id long, corners long, width double")
+    sizes = parts.groupBy("face_id").applyInArrow(_measured, "face_id long, corners long, width double")
     diameter = 2 * F.sqrt(F.col("area") / F.lit(float(np.pi)))
     return planes.join(sizes, "face_id", "left").select("face_id", "facets", "area", diameter.alias("diameter"), F.coalesce("corners", F.lit(0)).cast("long").alias("corners"), "width")
