@@ -450,3 +450,16 @@ def test_parts_become_contiguous(spark):
     given = spark.createDataFrame([(i, p, 1.0 + (i == 7)) for i, p in enumerate((0, 0, 0, 1, 0, 1, 1, 2))], "node long, part int, work double")
     assert sorted(map(tuple, partition.contiguous(line, given).collect())) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 1), (7, 2)]
     assert partition.contiguous(frame.limit(0), table.limit(0)).isEmpty()
+
+
+def test_similar_texts_down_to_a_tenth(spark, tmp_path):
+    """Texts with a tenth of their words in common are similar, however often they say them; fewer are not."""
+    from tessera import catalog
+
+    texts = {0: "a b c d e f", 1: "f g h i j", 2: "f f f f k l m n", 3: "K l M n; f!", 4: "o p q r s t u v w x y a", 5: None, 6: "", 7: "f"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in catalog.QUERIES["similar_texts"](spark, str(tmp_path)).select("row", "other", "similarity", "rank").collect()]
+    assert sorted(got) == [
+        (0, 1, 0.1, 2), (0, 2, 0.1, 3), (0, 7, 0.166666667, 1), (1, 2, 0.111111111, 2), (1, 3, 0.111111111, 3), (1, 7, 0.2, 1),
+        (2, 1, 0.111111111, 3), (2, 3, 1.0, 1), (2, 7, 0.2, 2), (3, 1, 0.111111111, 3), (3, 2, 1.0, 1), (3, 7, 0.2, 2), (7, 1, 0.2, 1), (7, 2, 0.2, 2), (7, 3, 0.2, 3),
+    ]
