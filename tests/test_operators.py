@@ -463,3 +463,34 @@ def test_similar_texts_down_to_a_tenth(spark, tmp_path):
         (0, 1, 0.1, 2), (0, 2, 0.1, 3), (0, 7, 0.166666667, 1), (1, 2, 0.111111111, 2), (1, 3, 0.111111111, 3), (1, 7, 0.2, 1),
         (2, 1, 0.111111111, 3), (2, 3, 1.0, 1), (2, 7, 0.2, 2), (3, 1, 0.111111111, 3), (3, 2, 1.0, 1), (3, 7, 0.2, 2), (7, 1, 0.2, 1), (7, 2, 0.2, 2), (7, 3, 0.2, 3),
     ]
+
+
+def test_nearest_sets_of_all_pairs(spark, monkeypatch):
+    """Sets in several blocks, many of them equal and some with columns of their own, against brute force; a pair of blocks in small chunks."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(9)
+    sets = {i: {int(c) for c in r.choice(300, r.integers(1, 40), replace=False) ** 2 // 300} for i in range(600)}
+    sets |= {1000 + i: {1, 2, 3, 50} for i in range(150)} | {2000 + i: {1, 2, 3, 5000 + i // 2 * 2} for i in range(9)} | {3000: {7000}, 3001: {7001, 7002}}
+    expected = {}
+    for least in (0.1, 0.3):
+        for i, s in sets.items():
+            scored = sorted((-len(s & t) / len(s | t), j) for j, t in sets.items() if j != i and len(s & t) / len(s | t) >= least)
+            expected.setdefault(least, set()).update((i, j, -v, k) for k, (v, j) in enumerate(scored[:3], 1))
+    entries = spark.createDataFrame([(i, f"c{c}", 1.0) for i, s in sets.items() for c in s] + [(None, "c1", 1.0)], "row long, col string, val double")
+    for least, rows in expected.items():
+        got = [tuple(x) for x in sparse.nearest_sets(entries, 3, least).collect()]
+        assert set(got) == rows and len(got) == len(rows)
+    assert sparse.nearest_sets(entries.limit(0), 3, 0.1).isEmpty()
+
+    for name, value in (("ROWS", 8), ("OTHERS", 16), ("COMMON", 5)):
+        monkeypatch.setattr(sparse, name, value)
+    some = {i: s for i, s in sets.items() if i < 150}
+    for blocks in (1, 2):
+        table = pa.table({"x": [0] * 150, "y": [blocks - 1] * 150, "block": [i % blocks for i in some], "head": list(some), "n": [len(s) for s in some.values()], "cols": pa.array([sorted(s) for s in some.values()], pa.list_(pa.int32()))})
+        rows = set()
+        for i, s in some.items():
+            scored = sorted((-len(s & t) / len(s | t), j) for j, t in some.items() if j != i and (blocks == 1 or (i - j) % 2) and len(s & t) / len(s | t) >= 0.1)
+            rows |= {(i, j, -v) for v, j in scored[:3]}
+        got = [tuple(x.values()) for x in sparse._met(table, 3, 0.1).to_pylist()]
+        assert set(got) == rows and len(got) == len(rows)
